@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash
+from . import langid, quality, simhash
 from .common import read_table
 
 
@@ -16,9 +16,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op6_quality": op6_quality,
+    "op9_langid": op9_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {}
