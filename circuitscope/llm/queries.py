@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality, simhash
+from . import langid, quality, simhash, toxicity
 from .common import read_table
 
 
@@ -20,8 +20,13 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(read_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predict(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("passages")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_toxicity": op3_toxicity,
     "op6_quality": op6_quality,
     "op9_langid": op9_langid,
 }
