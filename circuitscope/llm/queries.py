@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality, simhash, toxicity
+from . import bpe, langid, quality, simhash, toxicity
 from .common import read_table
 
 
@@ -24,10 +24,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("passages")
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(read_table(spark, sf_dir, "documents"), digests_only=True)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_toxicity": op3_toxicity,
     "op6_quality": op6_quality,
+    "op8_bpe": op8_bpe,
     "op9_langid": op9_langid,
 }
 
