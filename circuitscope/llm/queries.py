@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, quality, simhash, toxicity
+from . import bpe, langid, pfor, quality, simhash, toxicity
 from .common import read_table
 
 
@@ -28,8 +28,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), digests_only=True)
 
 
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfor.tokenize_and_read_back(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_tokens": op2_tokens,
     "op3_toxicity": op3_toxicity,
     "op6_quality": op6_quality,
     "op8_bpe": op8_bpe,
