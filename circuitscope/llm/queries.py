@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, pfor, quality, simhash, toxicity
-from .common import read_table
+from . import bpe, chat, embeddings, langid, packing, pfor, quality, simhash, toxicity
+from .common import WORD, materialize, read_table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,13 +32,59 @@ def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.tokenize_and_read_back(read_table(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.sql("""SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'),
+                         (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)""")
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    out = materialize(chat.format_conversations(rows), "chat")
+    out = out.withColumn("formatted", chat.formatted_text()).withColumn("loss", chat.loss_text())
+    turns = chat.read_turns(F.col("formatted"))
+    newline = F.lit("\n")
+    told = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], newline, t["text"], newline)), "")
+    return out.select("conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+                      F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                      F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
+    items = read_table(spark, sf_dir, "documents").select("doc_id", (words + 1).alias("n_tokens"))
+    return packing.pack(items)
+
+
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_tokens": op2_tokens,
     "op3_toxicity": op3_toxicity,
+    "op4_chat": op4_chat,
+    "op5_packing": op5_packing,
     "op6_quality": op6_quality,
     "op8_bpe": op8_bpe,
     "op9_langid": op9_langid,
+    "op10_embeddings": op10_embeddings,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _sql_escaped_length(column: str) -> str:
+    """Code points of an escaped text: one more for each backslash, two for each control string."""
+    template = chat.Template()
+    found = " + ".join(f"2 * (length({column}) - length(replace({column}, '{c}', ''))) // {len(c)}" for c in template.controls)
+    return f"length({column}) + length({column}) - length(replace({column}, '\\', '')) + {found}"
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat": f"""
+        WITH r AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum({sum(map(len, chat.Template().controls))} + {_sql_escaped_length('role')} + {_sql_escaped_length('text')}) AS BIGINT) AS formatted_chars
+        FROM r GROUP BY conv_id""",
+}
