@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, embeddings, langid, packing, pfor, quality, simhash, toxicity
+from . import bpe, chat, embeddings, langid, licenses, packing, pfor, quality, simhash, toxicity
 from .common import WORD, materialize, read_table
 
 
@@ -52,6 +52,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(items)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("findings").cast("long").alias("n_findings"),
+                        F.array_join(F.array_sort(F.array_distinct("findings.license")), ",").alias("licenses"),
+                        F.array_join(F.flatten("findings.missing"), " ").alias("missing"), F.array_join(F.flatten("findings.added"), " ").alias("added"))
+
+
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
@@ -63,6 +70,7 @@ QUERIES = {
     "op4_chat": op4_chat,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
+    "op7_licenses": op7_licenses,
     "op8_bpe": op8_bpe,
     "op9_langid": op9_langid,
     "op10_embeddings": op10_embeddings,
