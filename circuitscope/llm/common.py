@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: What separates words throughout these operators: space and the ASCII controls 9 to 13.
@@ -47,3 +50,15 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
 def held_out(id_column):
     """True for the quarter of documents kept for measuring: crc32(id as text) mod 4 is 2."""
     return F.crc32(id_column.cast("string").cast("binary")) % 4 == 2
+
+
+def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows for which ``keep``, given a batch of texts, is true: all columns as they are, no shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                yield batch.filter(pa.array(keep(batch.column(at).cast(pa.string()))))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import held_out
+from .common import held_out, keep_rows
 from .words import IN_LETTERS, Texts, Words, find_words, mix, slices
 
 #: About so many documents of each language (picked by hash of their id) train the model.
@@ -185,55 +185,64 @@ def _has_letter(texts: Texts, i: int, words: int) -> bool:
     return any(65 <= b <= 90 or 97 <= b <= 122 for b in raw) or any(c.isalpha() for c in raw.decode())
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None,
-             switch: float = SWITCH) -> DataFrame:
-    """One row per row of ``docs``: id, lang_pred, score, spans, then the columns named in ``carry``.
+def _identified(column: pa.Array, model: Model, switch: float = SWITCH) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, pa.Array]]:
+    """(index of the first text, texts, language, score, spans) for whole texts."""
+    begin, held, parts = 0, 0, []
+    for first, texts in slices(column, lower=True):
+        words = find_words(texts, IN_LETTERS)
+        parts.append((word_scores(texts, words, model) if model.langs else np.zeros((len(words.starts), 1), "f4"), words.counts,
+                      words.ends - words.starts, [_has_letter(texts, i, n) for i, n in enumerate(words.counts)]))
+        held += len(words.starts)
+        if held >= HELD_WORDS or first + len(texts) == len(column):
+            yield begin, first + len(texts) - begin, *_label(parts, model, switch)
+            begin, held, parts = first + len(texts), 0, []
+
+
+def _label(parts: list, model: Model, switch: float) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    scores, counts, sizes, lettered = (np.concatenate(x) for x in zip(*parts))
+    best, n = viterbi(scores, counts, switch).astype("i8"), max(1, len(model.langs))
+    text = np.repeat(np.arange(len(counts)), counts)
+    shares = np.bincount(text * n + best, sizes, len(counts) * n).reshape(-1, n)
+    known = lettered.astype(bool) & bool(model.langs)
+    share = np.where(known, shares.max(1) / np.maximum(shares.sum(1), 1), 0.0)
+    names = np.array([*model.langs, "und"], object)
+    change = np.ones(len(best), bool)
+    change[1:] = (best[1:] != best[:-1]) | (text[1:] != text[:-1])
+    change &= known[text]
+    at = np.flatnonzero(change)
+    runs = np.bincount(np.cumsum(change)[known[text]] - 1, minlength=len(at)) if len(at) else np.zeros(0, "i8")
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(text[at], minlength=len(counts)))]).astype("i4")
+    spans = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(
+        [pa.array(names[best[at]], pa.string()), pa.array(runs, pa.int64())], ["lang", "words"]))
+    return names[np.where(known, shares.argmax(1), -1)], share, spans
+
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:
+    """One row per row of ``docs``: id, lang_pred, score, spans.
 
     ``spans``: in order, language and number of words (runs of letters) of each span. ``lang_pred``
     is the language of most bytes of words (ties: the first by name), ``score`` its share of them.
     Null texts and texts without a letter, and all texts of a model without a language, get ``und``,
     0.0 and no span. Repeated rows stay repeated; very long texts are labelled whole.
     """
-    carry = carry or []
     send = docs.sparkSession.sparkContext.broadcast(model)
     span = T.StructType([T.StructField("lang", T.StringType()), T.StructField("words", T.LongType())])
     schema = T.StructType([docs.schema[id_col], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
-                           T.StructField("spans", T.ArrayType(span)), *[docs.schema[c] for c in carry]])
+                           T.StructField("spans", T.ArrayType(span))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = send.value
         for batch in batches:
-            begin, held, parts = 0, 0, []
-            for first, texts in slices(batch.column(1), lower=True):
-                words = find_words(texts, IN_LETTERS)
-                parts.append((word_scores(texts, words, model) if model.langs else np.zeros((len(words.starts), 1), "f4"), words.counts,
-                              words.ends - words.starts, [_has_letter(texts, i, n) for i, n in enumerate(words.counts)]))
-                held += len(words.starts)
-                if held >= HELD_WORDS or first + len(texts) == len(batch):
-                    yield label(batch.slice(begin, first + len(texts) - begin), parts, model)
-                    begin, held, parts = first + len(texts), 0, []
-
-    def label(batch: pa.RecordBatch, parts: list, model: Model) -> pa.RecordBatch:
-        scores, counts, sizes, lettered = (np.concatenate(x) for x in zip(*parts))
-        best, n = viterbi(scores, counts, switch).astype("i8"), max(1, len(model.langs))
-        text = np.repeat(np.arange(len(counts)), counts)
-        shares = np.bincount(text * n + best, sizes, len(counts) * n).reshape(-1, n)
-        known = lettered.astype(bool) & bool(model.langs)
-        top = shares.argmax(1)
-        share = np.where(known, shares.max(1) / np.maximum(shares.sum(1), 1), 0.0)
-        names = np.array([*model.langs, "und"], object)
-        change = np.ones(len(best), bool)
-        change[1:] = (best[1:] != best[:-1]) | (text[1:] != text[:-1])
-        change &= known[text]
-        at = np.flatnonzero(change)
-        runs = np.bincount(np.cumsum(change)[known[text]] - 1, minlength=len(at)) if len(at) else np.zeros(0, "i8")
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(text[at], minlength=len(counts)))]).astype("i4")
-        spans = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(
-            [pa.array(names[best[at]], pa.string()), pa.array(runs, pa.int64())], ["lang", "words"]))
-        return pa.record_batch([batch.column(0), pa.array(names[np.where(known, top, -1)], pa.string()), pa.array(share), spans,
-                                *batch.columns[2:]], schema.names)
-
-    return docs.select(id_col, F.col(text_col).cast("string").alias("__text"), *carry).mapInArrow(run, schema)
+            for first, n, lang, share, spans in _identified(batch.column(1), send.value, switch):
+                yield pa.record_batch([batch.column(0).slice(first, n), pa.array(lang, pa.string()), pa.array(share), spans], schema.names)
+
+    return docs.select(id_col, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, of which a learned language has ``min_score`` of the words' bytes or more."""
+    send = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, text_col, lambda column: np.concatenate(
+        [(lang != "und") & (share >= min_score) for _, _, lang, share, _ in _identified(column, send.value)]))
 
 
 def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

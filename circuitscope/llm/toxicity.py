@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import held_out
+from .common import held_out, keep_rows
 from .words import IN_LETTERS, Texts, Words, find_words, hash_words, slices
 
 #: About so many labelled documents (picked by hash of their id) train the model.
@@ -224,35 +224,43 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """One row per row of ``docs``: id, score, predicted, passages, then the columns named in ``carry``.
+def _probabilities(column: pa.Array, model: Model) -> Iterator[tuple[int, np.ndarray, list]]:
+    """(index of the first text, probabilities, features and significant passages) for whole texts."""
+    for first, found in _segments(column, model):
+        rated = [passage_features(segments, n, model) for n, segments in found]
+        x = np.array([(1.0, best, evidence) for best, evidence, _ in rated])
+        yield first, 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))), rated
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, score, predicted, passages.
 
     ``score`` is the probability of label 1; ``predicted`` is 1 from THRESHOLD up. ``passages`` has the
     significant segments: first word, number of words (runs of letters), score, expected chance
     equals. Null and empty texts have no passage and the score of a text without evidence. Repeated rows
     stay repeated; very long texts are scored whole.
     """
-    carry = carry or []
     send = docs.sparkSession.sparkContext.broadcast(model)
     passage = T.StructType([T.StructField("first_word", T.LongType()), T.StructField("words", T.LongType()),
                             T.StructField("score", T.DoubleType()), T.StructField("expected", T.DoubleType())])
     schema = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()),
-                           T.StructField("passages", T.ArrayType(passage)), *[docs.schema[c] for c in carry]])
+                           T.StructField("passages", T.ArrayType(passage))])
     kind = pa.list_(pa.struct([("first_word", pa.int64()), ("words", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = send.value
         for batch in batches:
-            for first, found in _segments(batch.column(1), model):
-                part = batch.slice(first, len(found))
-                rated = [passage_features(segments, n, model) for n, segments in found]
-                x = np.array([(1.0, best, evidence) for best, evidence, _ in rated])
-                p = 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30)))
+            for first, p, rated in _probabilities(batch.column(1), send.value):
+                part = batch.slice(first, len(p))
                 passages = [[{"first_word": f, "words": e - f + 1, "score": s, "expected": c} for f, e, s, c in r] for *_, r in rated]
-                yield pa.record_batch([part.column(0), pa.array(p), pa.array((p >= THRESHOLD).astype("i4")), pa.array(passages, kind),
-                                       *part.columns[2:]], schema.names)
+                yield pa.record_batch([part.column(0), pa.array(p), pa.array((p >= THRESHOLD).astype("i4")), pa.array(passages, kind)], schema.names)
+
+    return docs.select(id_col, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 
-    return docs.select(id_col, F.col(text_col).cast("string").alias("__text"), *carry).mapInArrow(run, schema)
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is not predicted to be toxic. Nothing is shuffled."""
+    send = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, text_col, lambda column: np.concatenate([p < THRESHOLD for _, p, _ in _probabilities(column, send.value)]))
 
 
 def predict(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
