@@ -74,7 +74,7 @@ class Service:
                                                                  F.array(F.col("num_qubits").cast("double"), *[F.col(n).cast("double") for n in names])))
         ready = parsed.join(compatibility.report(parsed, self.devices), "request_id", "left")
         near = retrieval.nearest_examples(ready, self.examples, self.n_examples).groupBy("request_id").agg(
-            F.array_sort(F.collect_list(F.struct("rank", "record_id", "distance", "prompt_input"))).alias("examples"))
+            F.array_sort(F.collect_list(F.struct("rank", "record_id", "distance", "prompt_input")), lambda a, b: a["rank"] - b["rank"]).alias("examples"))
         return ready.join(near, "request_id", "left")
 
     def recommend(self, requests: DataFrame) -> DataFrame:

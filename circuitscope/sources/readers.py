@@ -124,8 +124,7 @@ def read_context_dataset(spark: SparkSession, path: str, required: bool = False)
     except Exception as error:
         if required or "PATH_NOT_FOUND" not in str(error):
             raise
-        record = schemas.CONTEXT_DATASET["records"].dataType.elementType
-        return spark.createDataFrame([], record)
+        return spark.createDataFrame([], schemas.CONTEXT_RECORD)
     return doc.select(F.explode("records").alias("r")).select("r.*")
 
 
