@@ -175,17 +175,23 @@ def _rate(scores: np.ndarray, chances: np.ndarray) -> float:
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression with a slight ridge, by Newton's method."""
-    x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
-    ridge = np.diag([0.01, *[0.05] * (x.shape[1] - 1)])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
-        w += step
-        if abs(step).max() < 1e-8:
+    """Logistic regression on standardized features with a slight ridge: Newton's steps, halved until the loss falls, so that
+    classes that can be told apart entirely don't throw the weights about."""
+    mean, sd = x.mean(0), np.maximum(x.std(0), 1e-9)
+    z = np.column_stack([np.ones(len(x)), (x - mean) / sd])
+    ridge = np.array([0.01, *[1.0] * x.shape[1]])
+    loss = lambda w: float(np.sum(np.logaddexp(0, z @ w) - y * (z @ w)) + 0.5 * ridge @ (w * w))
+    w = np.zeros(z.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (y - p) - ridge * w)
+        size, now = 1.0, loss(w)
+        while size > 1e-6 and not loss(w + size * step) <= now:
+            size /= 2
+        w = w + size * step
+        if abs(size * step).max() < 1e-7 or size <= 1e-6:
             break
-    return w
+    return np.array([w[0] - np.sum(w[1:] * mean / sd), *(w[1:] / sd)])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",

@@ -89,6 +89,17 @@ def test_toxicity_on_held_out(spark, labelled):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if not r.predicted}
 
 
+def test_calibration_is_steady():
+    rng = np.random.default_rng(5)
+    y = (rng.random(4000) < 0.1).astype("f8")
+    for noise in (0.0, 0.02):  # without noise the classes can be told apart
+        hit = np.where(rng.random(4000) < noise, 1 - y, y)
+        x = np.column_stack([hit * rng.uniform(2, 4, 4000), hit * rng.uniform(1, 100, 4000)])
+        w = toxicity._calibrate(x, y)
+        p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
+        assert np.isfinite(w).all() and np.abs(w).max() < 100 and np.mean((p >= 0.3) == (hit == 1)) > 0.99
+
+
 def test_toxicity_without_labels_or_rows(spark, labelled):
     docs, labels = labelled
     assert {r.predicted for r in toxicity.predict(docs.where("doc_id < 20"), labels.limit(0)).collect()} == {0}
