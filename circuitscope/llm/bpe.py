@@ -5,22 +5,24 @@ from __future__ import annotations
 import hashlib
 import os
 import unicodedata
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import materialize
+
+from .words import Texts, find_words, hash_words, same_bytes
 
 #: Documents are dealt with in blocks of about so many bytes of text, or of one document that is longer.
 BLOCK_BYTES = 8 << 20
 #: Words that are encoded in one call of the library.
 CALL_WORDS = 20_000
 #: Words that a worker's cache holds in each of its two generations; see :class:`CachedEncoder`.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 
 _loaded: dict[str, object] = {}
 
@@ -51,57 +53,86 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes for themselves, the others, in
+    order, for what follows Latin-1."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)]
+
+
 class CachedEncoder:
     """Encodes texts word by word with the library, and keeps the ids of words seen lately.
 
     The cache holds two generations: when the younger is full it becomes the older one, whose former
-    content is dropped. It bounds memory and changes no result. A word that is plain letters followed by
-    plain punctuation is kept in lower case and in two parts, as the vocabulary splits it.
+    content is dropped. It bounds memory and changes no result. Most words are plain: Latin letters, then perhaps
+    plain punctuation. The vocabulary lower-cases and splits these into the two parts, so they go straight to the library's
+    model; every other word goes through all of the library's steps.
     """
 
     def __init__(self, path: str):
         self.tokenizer, self.young, self.old = load(path), {}, {}
+        self.letters = _byte_letters()
 
-    @staticmethod
-    def parts(word: str) -> tuple[str, ...]:
+    def plain_parts(self, word: str) -> tuple[str, ...] | None:
+        """The parts of a plain word as the model takes them, else None."""
         body = word.rstrip(".,;:!?")
-        if body and body.isalpha() and max(body) < "ɐ" and "İ" not in body and unicodedata.is_normalized("NFC", body):
-            return (body.lower(), word[len(body):]) if len(body) < len(word) else (body.lower(),)
-        return (word,)
-
-    def encode(self, texts: list[list[bytes]]) -> list[list[int]]:
-        """The ids of each text, given as its words."""
-        young, old = self.young, self.old
-        missing: dict[bytes, None] = {}
-        for words in texts:
-            for w in words:
-                if w not in young:
-                    ids = old.get(w)
-                    if ids is None:
-                        missing[w] = None
-                    else:
-                        young[w] = ids
-        self._add(list(missing))
-        out = []
-        for words in texts:
-            ids: list[int] = []
-            for w in words:
-                ids += young[w]
-            out.append(ids)
+        if not body:
+            return (word,)
+        if body.isascii():
+            if not body.isalpha():
+                return None
+            low = body.lower()
+        elif body.isalpha() and max(body) < "ɐ" and "İ" not in body and unicodedata.is_normalized("NFC", body):
+            low = "".join([self.letters[b] for b in body.lower().encode()])
+        else:
+            return None
+        return (low, word[len(body):]) if len(body) < len(word) else (low,)
+
+    def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a slice of texts, one after another, and how many each text has.
+
+        Words are grouped by hash, and the groups checked byte by byte; only a word of each group is looked up.
+        """
+        words = find_words(texts)
+        if not len(words.starts):
+            return np.zeros(0, "u4"), np.zeros(len(texts), "i8")
+        _, first, group = np.unique(hash_words(texts, words), return_index=True, return_inverse=True)
+        if not same_bytes(texts, words, first[group]):
+            raise ValueError("two words of a slice have one hash")
+        raw, young = texts.data.tobytes(), self.young
+        each = [raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist())]
+        self._add([w for w in each if w not in young])
+        ids = list(map(young.get, each))
+        lengths, flat = np.fromiter(map(len, ids), "i8", len(ids)), np.fromiter(chain.from_iterable(ids), "u4")
+        n = lengths[group]
+        ends = np.cumsum(n)
+        at = np.repeat((np.cumsum(lengths) - lengths)[group] - (ends - n), n)
+        at += np.arange(len(at))
         if len(young) > CACHE_WORDS:
             self.young, self.old = {}, young
-        return out
+        return flat[at], np.bincount(words.text, n, len(texts)).astype("i8")
 
     def _add(self, missing: list[bytes]) -> None:
-        young, old = self.young, self.old
-        parts = [[p.encode() for p in self.parts(w.decode())] for w in missing]
-        keys = list({p: None for group in parts for p in group if p not in young and p not in old})
-        for at in range(0, len(keys), CALL_WORDS):
-            some = keys[at:at + CALL_WORDS]
-            for key, found in zip(some, self.tokenizer.encode_batch([k.decode() for k in some], add_special_tokens=False)):
-                young[key] = found.ids
-        for word, group in zip(missing, parts):
-            young[word] = [i for p in group for i in (young.get(p) or old.get(p) or [])]
+        young, old, tokenize, odd = self.young, self.old, self.tokenizer.model.tokenize, []
+        parts: dict[str, tuple[int, ...]] = {}
+        for word in missing:
+            ids = old.get(word)
+            if ids is None:
+                plain = self.plain_parts(text := word.decode())
+                if plain is None:
+                    odd.append((word, text))
+                    continue
+                ids = ()
+                for p in plain:
+                    if p not in parts:
+                        parts[p] = tuple([t.id for t in tokenize(p)])
+                    ids += parts[p]
+            young[word] = ids
+        for at in range(0, len(odd), CALL_WORDS):
+            some = odd[at:at + CALL_WORDS]
+            for (word, _), x in zip(some, self.tokenizer.encode_batch([text for _, text in some], add_special_tokens=False)):
+                young[word] = tuple(x.ids)
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -110,38 +141,51 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array(vocabulary.values(), pa.int32()), "piece": pa.array(vocabulary.keys(), pa.string())}))
 
 
-def word_table(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids, decoded) for each distinct ``word`` (binary): encoded once, decoded by an id-to-piece join.
+_pieces: dict[str, list[str]] = {}
+
+
+def piece_list(path: str) -> list[str]:
+    """The piece of each id of a vocabulary; one list a process."""
+    if path not in _pieces:
+        vocabulary = load(path).get_vocab(with_added_tokens=True)
+        found = [""] * (max(vocabulary.values()) + 1)
+        for piece, i in vocabulary.items():
+            found[i] = piece
+        _pieces[path] = found
+    return _pieces[path]
+
+
+def _squeeze(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, byte planes one after another, compressed; in front, their count."""
+    planes = numbers.astype("<u4").view("u1").reshape(-1, 4).T.tobytes()
+    return len(numbers).to_bytes(4, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def _expand(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    return np.frombuffer(pa.decompress(data[4:], 4 * n, "zstd", asbytes=True), "u1").reshape(4, n).T.copy().view("<u4").ravel()
 
-    The piece table is broadcast: the vocabulary bounds it. Without a decoder in the vocabulary
-    file the library joins pieces by a space, and so does this.
-    """
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path)
-        for batch in batches:
-            for at in range(0, len(batch), CALL_WORDS):
-                part = batch.column(0).slice(at, CALL_WORDS)
-                found = tokenizer.encode_batch([w.decode() for w in part.to_pylist()], add_special_tokens=False)
-                yield pa.record_batch([part, pa.array([x.ids for x in found], pa.list_(pa.int32()))], ["word", "ids"])
 
-    encoded = words.select("word").distinct().mapInArrow(encode, "word binary, ids array<int>")
-    found = (encoded.select("word", F.posexplode("ids").alias("pos", "id"))
-             .join(F.broadcast(pieces(words.sparkSession, path)), "id")
-             .groupBy("word").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "piece"))).alias("p")))
-    return found.select("word", F.col("p.id").alias("ids"), F.array_join("p.piece", " ").alias("decoded"))
+def _squeeze_words(words: list[bytes]) -> bytes:
+    line = b" ".join(words)
+    return len(line).to_bytes(4, "little") + pa.compress(line, "zstd", asbytes=True)
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each block of documents: its key, the documents' ids and word counts, the distinct words,
-    and each place's word as a number in the block. Words are split where the texts are scanned."""
+def _expand_words(data: bytes) -> list[bytes]:
+    return pa.decompress(data[4:], int.from_bytes(data[:4], "little"), "zstd", asbytes=True).split()
+
+
+def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
+    """One row for each block of documents: its key, the documents' ids and word counts, its distinct words as
+    they first occur, and for each place the number of its word. Words are split where texts are scanned."""
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)),
-                           T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("words", T.ArrayType(T.BinaryType())),
-                           T.StructField("places", T.BinaryType())])
+                           T.StructField("counts", T.ArrayType(T.IntegerType())),
+                           T.StructField("words", T.BinaryType()), T.StructField("places", T.BinaryType())])
 
     def close(key: int, ids: list, counts: list[int], numbers: dict[bytes, int], places: list[np.ndarray], id_type) -> pa.RecordBatch:
-        packed = pa.compress(np.concatenate([*places, np.zeros(0, "i4")]).astype("i4").view("u1").reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
         return pa.record_batch([pa.array([key]), pa.array([ids], pa.list_(id_type)), pa.array([counts], pa.list_(pa.int32())),
-                                pa.array([list(numbers)], pa.list_(pa.binary())), pa.array([packed], pa.binary())], schema.names)
+                                pa.array([_squeeze_words(list(numbers))], pa.binary()),
+                                pa.array([_squeeze(np.concatenate([*places, np.zeros(0, "i4")]))], pa.binary())], schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 32
@@ -153,7 +197,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 ids.append(i)
                 counts.append(len(words))
                 size += sum(map(len, words))
-                if size >= BLOCK_BYTES or len(ids) >= 1 << 16:
+                if size >= block_bytes or len(ids) >= 1 << 16:
                     yield close(key, ids, counts, numbers, places, batch.column(0).type)
                     key += 1
                     ids, counts, numbers, places, size = [], [], {}, [], 0
@@ -163,64 +207,106 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
+def _dealt(words: list[bytes], buckets: int) -> tuple[list[int], np.ndarray]:
+    """The words' numbers in order of bucket and word, and each one's bucket. Buckets are ranges of the words' hash."""
+    bucket = [zlib.crc32(w) * buckets >> 32 for w in words]
+    order = sorted(range(len(words)), key=lambda k: (bucket[k], words[k]))
+    return order, np.array([bucket[k] for k in order], "i8")
+
+
+def _encoded_words(blocks: DataFrame, path: str, buckets: int) -> DataFrame:
+    """(of, bucket, lengths, ids): the ids of each block's words, bucket by bucket, in the order of :func:`_dealt`.
+
+    A bucket is the part of the distinct-word table with its hashes: all blocks' lists of it meet, and each of its
+    words is encoded once.
+    """
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, packed in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist()):
+                words = _expand_words(packed)
+                if not words:
+                    continue
+                order, bucket = _dealt(words, buckets)
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(words)]])
+                yield pa.record_batch([pa.array(bucket[cuts[:-1]], pa.int64()), pa.array([block] * (len(cuts) - 1), pa.int64()),
+                                       pa.array([_squeeze_words([words[k] for k in order[a:b]]) for a, b in zip(cuts, cuts[1:])], pa.binary())],
+                                      ["bucket", "of", "words"])
+
+    def encode(table: pa.Table) -> pa.Table:
+        lists = [_expand_words(x) for x in table.column("words").to_pylist()]
+        distinct = list({w: None for some in lists for w in some})
+        known: dict[bytes, list[int]] = {}
+        tokenizer = load(path)
+        for at in range(0, len(distinct), CALL_WORDS):
+            some = distinct[at:at + CALL_WORDS]
+            found = tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
+            known.update(zip(some, (x.ids for x in found)))
+        ids = [[known[w] for w in some] for some in lists]
+        return pa.table([table.column("of"), table.column("bucket"),
+                         pa.array([_squeeze(np.fromiter(map(len, x), "u4", len(x))) for x in ids], pa.binary()),
+                         pa.array([_squeeze(np.fromiter((i for w in x for i in w), "u4")) for x in ids], pa.binary())],
+                        ["of", "bucket", "lengths", "ids"])
+
+    # all columns go in, so that this and the join below read one shuffle of the blocks
+    return (blocks.mapInArrow(deal, "bucket long, of long, words binary")
+            .groupBy("bucket").applyInArrow(encode, "of long, bucket long, lengths binary, ids binary"))
+
+
 def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-                  digests_only: bool = False) -> DataFrame:
+                  digests_only: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each row of ``docs``: id, n_tokens, ids and the decoded text; or, with ``digests_only``, the hex SHA-256
     of the ids as decimals joined by a space, and of the decoded text.
 
     Texts are split where they are scanned, into blocks of bounded size; a block lists its distinct words
-    and each place's word. The blocks' words meet in one table of distinct words, each encoded once;
-    its rows go back to the blocks, where the ids are joined by position. So a word
-    costs a row for each block that has it, not for each place, and a hot word no more than any.
+    and each place's word. The lists of all blocks meet in the distinct-word table, dealt by hash over twice
+    spark.sql.shuffle.partitions buckets, where each word is encoded once; the ids go back to the blocks and are joined by position. A word so costs an
+    entry for each block that has it, not for each place, and a hot word no more than any. The
+    pieces are joined to the ids from the vocabulary's table, which each task holds whole: the file bounds it.
+    Without a decoder in the vocabulary file the library joins pieces by a space, and so does this.
     Null and empty texts have no ids; repeated rows stay repeated; long texts are whole.
     """
     path = path or vocabulary_path()
-    blocks = materialize(_blocks(docs, id_col, text_col), "bpe")
-    listed = blocks.select("block", F.posexplode("words").alias("number", "word"))
-    table = word_table(listed, path)
-    back = listed.join(table, "word").select(F.col("block").alias("of"), "number", "ids", "decoded")
-    kept = blocks.select("block", "ids", "counts", "places", F.size("words").alias("n"))
-    id_type = docs.schema[id_col]
+    blocks = _blocks(docs, id_col, text_col, block_bytes).repartition("block")
+    buckets = max(24, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     result = [("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digests_only else [
         ("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())]
-    schema = T.StructType([id_type, T.StructField("n_tokens", T.LongType()), *[T.StructField(n, t) for n, t in result]])
+    schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), *[T.StructField(n, t) for n, t in result]])
 
     def rebuild(block: pa.Table, words: pa.Table) -> pa.Table:
-        row = block.slice(0, 1).to_pydict()
-        n = row["n"][0]
-        raw = np.frombuffer(pa.decompress(row["places"][0], 4 * sum(row["counts"][0]), "zstd"), "u1")
-        places = raw.reshape(4, -1).T.copy().view("i4").ravel()
-        number = words.column("number").to_numpy()
-        lists = words.column("ids").combine_chunks()
-        lengths = np.zeros(n, "i8")
-        lengths[number] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        flat, first = lists.flatten().to_numpy(zero_copy_only=False), np.zeros(n, "i8")
-        first[number] = np.cumsum(lengths[number]) - lengths[number]
-        decimals, text = [""] * n, [""] * n
-        for k, d in zip(number.tolist(), words.column("decoded").to_pylist()):
-            text[k] = d
-        if digests_only:
-            joined = pc.binary_join(lists.cast(pa.list_(pa.string())), " ").to_pylist()
-            for k, d in zip(number.tolist(), joined):
-                decimals[k] = d
+        piece_of = piece_list(path)
+        row = {name: block.column(name)[0] for name in block.schema.names}
+        counts, places = row["counts"].as_py(), _expand(row["places"].as_py()).astype("i8")
+        order, _ = _dealt(_expand_words(row["words"].as_py()), buckets)
+        words = words.sort_by("bucket")
+        none = [np.zeros(0, "u4")]
+        lengths = np.concatenate([_expand(x) for x in words.column("lengths").to_pylist()] or none).astype("i8")
+        flat = np.concatenate([_expand(x) for x in words.column("ids").to_pylist()] or none)
+        if len(lengths) != len(order):
+            raise ValueError("a block's words are not those it listed")
+        ends, each = np.cumsum(lengths).tolist(), flat.tolist()
+        slices: list[list[int]] = [[]] * len(order)
+        for k, a, b in zip(order, [0, *ends], ends):
+            slices[k] = each[a:b]
+        lengths = np.fromiter(map(len, slices), "i8", len(slices))
+        text = [" ".join([piece_of[i] for i in ids]) for ids in slices]
+        decimals = [" ".join(map(str, ids)) for ids in slices] if digests_only else []
         columns, at = ([], [], []), 0
-        for count in row["counts"][0]:
+        for count in counts:
             some = places[at:at + count]
             at += count
-            some = some[lengths[some] > 0]
-            columns[0].append(int(lengths[some].sum()))
-            decoded = " ".join([text[k] for k in some.tolist()])
+            some = some[lengths[some] > 0].tolist()
+            columns[0].append(int(sum([len(slices[k]) for k in some])))
+            decoded = " ".join([text[k] for k in some])
             if digests_only:
-                columns[1].append(hashlib.sha256(" ".join([decimals[k] for k in some.tolist()]).encode()).hexdigest())
+                columns[1].append(hashlib.sha256(" ".join([decimals[k] for k in some]).encode()).hexdigest())
                 columns[2].append(hashlib.sha256(decoded.encode()).hexdigest())
             else:
-                columns[1].append(np.concatenate([flat[first[k]:first[k] + lengths[k]] for k in some] or [np.zeros(0, "i4")]))
+                columns[1].append([i for k in some for i in slices[k]])
                 columns[2].append(decoded)
         kinds = [pa.int64(), *([pa.string()] * 2 if digests_only else [pa.list_(pa.int32()), pa.string()])]
-        return pa.table([pa.array(row["ids"][0], block.schema.field("ids").type.value_type),
-                         *[pa.array(c, k) for c, k in zip(columns, kinds)]], schema.names)
+        return pa.table([row["ids"].values, *[pa.array(c, k) for c, k in zip(columns, kinds)]], schema.names)
 
-    return kept.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(rebuild, schema)
+    return blocks.groupBy("block").cogroup(_encoded_words(blocks, path, buckets).groupBy("of")).applyInArrow(rebuild, schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

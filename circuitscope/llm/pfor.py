@@ -10,16 +10,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .bpe import CachedEncoder, split_words, vocabulary_path
+from .bpe import CachedEncoder, vocabulary_path
 from .common import scratch_dir
+from .words import slices
 
 #: Ids in a block, and the share of them that the packed width must hold; the others are exceptions.
 BLOCK_IDS = 1024
 PERCENTILE = 0.9
 #: A segment (one row of the file) closes with the document that brings it to so many ids.
 SEGMENT_IDS = 1 << 18
-#: Documents that are encoded at once.
-BATCH_DOCS = 256
+#: Bytes of text that are encoded at once, about.
+SLICE_BYTES = 4 << 20
 HEADER = np.dtype([("base", "<u4"), ("count", "<u2"), ("width", "u1"), ("high_bytes", "u1"), ("exceptions", "<u2")])
 
 
@@ -62,8 +63,32 @@ def unpack_block(data: bytes | memoryview, at: int = 0) -> np.ndarray:
 
 
 def pack(ids: np.ndarray) -> tuple[bytes, list[int]]:
-    """Blocks one after another, and the byte at which each begins."""
-    blocks = [pack_block(ids[k:k + BLOCK_IDS]) for k in range(0, len(ids), BLOCK_IDS)]
+    """Blocks one after another, and the byte at which each begins. Full blocks are packed together, as :func:`pack_block` does."""
+    full = len(ids) // BLOCK_IDS
+    blocks: list[bytes] = [b""] * full
+    table = ids[:full * BLOCK_IDS].reshape(full, BLOCK_IDS).astype("u4")
+    if full:
+        base = table.min(1)
+        rest = table - base[:, None]
+        holds = int(np.ceil(PERCENTILE * BLOCK_IDS)) - 1
+        at = np.partition(rest, holds, axis=1)[:, holds]
+        widths = np.array([int(x).bit_length() for x in at])
+        for width in np.unique(widths).tolist():
+            rows = np.flatnonzero(widths == width)
+            some = rest[rows]
+            low = some & np.uint32((1 << width) - 1)
+            cells = low.astype("<u2").view("u1").reshape(-1, 2) if width <= 16 else low.astype("<u4").view("u1").reshape(-1, 4)
+            bits = np.packbits(np.unpackbits(cells, axis=1, bitorder="little")[:, :width].reshape(len(rows), -1), axis=1, bitorder="little")
+            over = some >> np.uint32(width) if width < 32 else np.zeros_like(some)
+            for k, row in enumerate(rows.tolist()):
+                outlier = np.flatnonzero(over[k])
+                high = over[k][outlier]
+                size = (int(high.max()).bit_length() + 7) // 8 if len(outlier) else 0
+                header = np.array([(base[row], BLOCK_IDS, width, size, len(outlier))], HEADER)
+                blocks[row] = b"".join([header.tobytes(), bits[k].tobytes(), outlier.astype("<u2").tobytes(),
+                                        high.astype("<u4").view("u1").reshape(-1, 4)[:, :size].tobytes()])
+    if full * BLOCK_IDS < len(ids):
+        blocks.append(pack_block(ids[full * BLOCK_IDS:]))
     starts = [0]
     for b in blocks:
         starts.append(starts[-1] + len(b))
@@ -74,12 +99,35 @@ def unpack(data: bytes, starts: list[int], first: int = 0, count: int | None = N
     """Ids ``first`` to ``first + count`` (all by default): only the blocks that hold them are read."""
     last = len(starts) if count is None else min(len(starts), -(-(first + count) // BLOCK_IDS))
     begin = first // BLOCK_IDS
-    ids = np.concatenate([*(unpack_block(data, s) for s in starts[begin:last]), np.zeros(0, "u4")])
-    return ids[first - begin * BLOCK_IDS:][:count]
+    chosen = starts[begin:last]
+    headers = np.array([np.frombuffer(data, HEADER, 1, s)[0] for s in chosen], HEADER)
+    full = np.flatnonzero(headers["count"] == BLOCK_IDS)
+    blocks: list[np.ndarray] = [np.zeros(0, "u4")] * len(chosen)
+    for width in np.unique(headers["width"][full]).tolist():
+        rows = full[headers["width"][full] == width]
+        out = np.repeat(headers["base"][rows].astype("u4")[:, None], BLOCK_IDS, axis=1)
+        packed = BLOCK_IDS * width // 8
+        if width:
+            raw = np.stack([np.frombuffer(data, "u1", packed, chosen[r] + HEADER.itemsize) for r in rows])
+            size = 16 if width <= 16 else 32
+            bits = np.zeros((len(rows) * BLOCK_IDS, size), "u1")
+            bits[:, :width] = np.unpackbits(raw, axis=1, bitorder="little").reshape(-1, width)
+            out += np.packbits(bits, axis=1, bitorder="little").view(f"<u{size // 8}").reshape(len(rows), BLOCK_IDS)
+        for k, r in enumerate(rows.tolist()):
+            n, size = int(headers["exceptions"][r]), int(headers["high_bytes"][r])
+            if n:
+                at = chosen[r] + HEADER.itemsize + packed
+                high = np.zeros((n, 4), "u1")
+                high[:, :size] = np.frombuffer(data, "u1", n * size, at + 2 * n).reshape(n, size)
+                out[k, np.frombuffer(data, "<u2", n, at)] += high.view("<u4").ravel() << np.uint32(width)
+            blocks[r] = out[k]
+    for r in np.flatnonzero(headers["count"] != BLOCK_IDS).tolist():
+        blocks[r] = unpack_block(data, chosen[r])
+    return np.concatenate([*blocks, np.zeros(0, "u4")])[first - begin * BLOCK_IDS:][:count]
 
 
 def write_tokens(docs: DataFrame, out: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-                 end_id: int = 1) -> None:
+                 end_id: int = 1, segment_ids: int = SEGMENT_IDS) -> None:
     """Encode every whole text, append ``end_id`` and write all ids in ascending order of ``id_col`` to ``out``.
 
     A range shuffle by id puts the documents in order (null ids first; rows with equal ids in any order,
@@ -110,15 +158,16 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, id_col: str
 
         for batch in batches:
             kind = batch.column(0).type
-            for at in range(0, len(batch), BATCH_DOCS):
-                some = batch.slice(at, BATCH_DOCS)
-                encoded = encoder.encode([split_words(t) for t in some.column(1).to_pylist()])
-                for doc, ids in zip(some.column(0).to_pylist(), encoded):
-                    ids.append(end_id)
+            for first, texts in slices(batch.column(1), size=SLICE_BYTES):
+                ids, counts = encoder.encode(texts)
+                ends = np.cumsum(counts)
+                ids = np.insert(ids, ends, np.uint32(end_id))  # behind each text
+                ends += np.arange(1, len(ends) + 1)
+                for doc, a, b in zip(batch.column(0).slice(first, len(texts)).to_pylist(), [0, *ends.tolist()], ends.tolist()):
                     docs_.append(doc)
-                    parts.append(np.array(ids, "u4"))
-                    size += len(ids)
-                    if size >= SEGMENT_IDS:
+                    parts.append(ids[a:b])
+                    size += b - a
+                    if size >= segment_ids:
                         yield close()
                         docs_, parts, segment, before, size = [], [], segment + 1, before + size, 0
         if docs_:

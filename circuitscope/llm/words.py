@@ -39,13 +39,13 @@ class Texts:
         return total[self.offsets[1:]] - total[self.offsets[:-1]]
 
 
-def slices(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, Texts]]:
+def slices(column: pa.Array, lower: bool = False, size: int = SLICE_BYTES) -> Iterator[tuple[int, Texts]]:
     """(index of the first text, Texts) over a whole column, whole texts only."""
     column = pc.fill_null(column, "").cast(pa.large_string())
     at = np.frombuffer(column.buffers()[1], "i8")[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, "i8")
     first = 0
     while first < len(column):
-        last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(at, at[first] + size, "right")) - 1)
         part = column.slice(first, last - first)
         if lower:
             part = pc.utf8_lower(part)
@@ -111,3 +111,13 @@ def hash_words(texts: Texts, words: Words) -> np.ndarray:
     within = at - np.repeat(first, lengths)
     sums = np.add.reduceat((texts.data[at + shift].astype("u8") + np.uint64(1)) * _powers[within], first)
     return mix(sums + lengths.astype("u8") * _K2)
+
+
+def same_bytes(texts: Texts, words: Words, other: np.ndarray) -> bool:
+    """Whether each word has the bytes of the word whose number ``other`` gives."""
+    lengths = words.ends - words.starts
+    if (lengths != lengths[other]).any():
+        return False
+    first = np.cumsum(lengths) - lengths
+    at = np.arange(int(lengths.sum()))
+    return bool((texts.data[at + np.repeat(words.starts - first, lengths)] == texts.data[at + np.repeat(words.starts[other] - first, lengths)]).all())

@@ -4,10 +4,12 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from circuitscope.llm import bpe, packing, pfor
+from circuitscope.llm.words import slices
 
 TEXTS = ["Hello, World! don't", None, "", " \t", "naïve Straße ÀÉ. ñandú", "a\x0bb a,\x0b.", "x y z 漢字 かな 12 345", "<|endoftext|>mid<|startoftext|> <|end",
          "ΑΣ é é İ", "word " * 5000, "z" * 3000, "Hello, World! don't", "é̀ ́start !!??"]
@@ -30,11 +32,14 @@ def documents(spark):
 
 def test_cached_encoder_is_the_library(library):
     encoder = bpe.CachedEncoder(bpe.vocabulary_path())
-    for _ in range(2):
-        got = encoder.encode([bpe.split_words(t) for t in TEXTS])
-        assert [g.tolist() for g in got] == [ids_of(library, t) for t in TEXTS]
-    encoder.old, encoder.young = encoder.young, {}
-    assert encoder.encode([bpe.split_words(TEXTS[0])])[0].tolist() == ids_of(library, TEXTS[0])
+    want = [ids_of(library, t) for t in TEXTS]
+    for size in (1, 100, 1 << 20, 1 << 20):
+        got = []
+        for _, texts in slices(pa.array(TEXTS), size=size):
+            ids, counts = encoder.encode(texts)
+            got += [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == want
+        encoder.old, encoder.young = encoder.young, {}
 
 
 def test_word_table_encodes_and_decodes(spark, library):
