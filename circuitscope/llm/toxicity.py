@@ -23,8 +23,9 @@ PRIOR = 0.1
 PREFIX = 4
 #: A token counts if its log-odds lie MIN_Z standard deviations from 0, with SHRINK of them taken off; others are neutral.
 MIN_Z, SHRINK = 3.0, 1.5
-#: What every word costs beside its log-odds, so that a segment of neutral words loses. Log-odds are limited to +-CAP.
-DRIFT, CAP = 0.4, 8.0
+#: What every word costs beside its log-odds, so that a segment of neutral words loses: of these, what explains the
+#: calibration part best. Log-odds are limited to +-CAP.
+DRIFTS, CAP = (0.4, 1.0, 1.8), 8.0
 #: Passages with at most this many chance equals expected in a text of this length are significant.
 MAX_EXPECTED = 0.05
 #: Documents with this probability or more are toxic.
@@ -40,6 +41,7 @@ class Model:
     rate: float = 1.0
     scale: float = 1.0
     weights: np.ndarray = field(default_factory=lambda: np.array([-3.0, 0.0, 0.0]))
+    drift: float = DRIFTS[0]
 
 
 def token_hashes(texts: Texts, words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +93,7 @@ def _segments(column: pa.Array, model: Model) -> Iterator[tuple[int, list[tuple[
     """(index of the first text, [(words, maximal segments)]) for whole texts."""
     for first, texts in slices(column, lower=True):
         words = find_words(texts, IN_LETTERS)
-        scores = np.full(len(words.starts), -DRIFT)
+        scores = np.full(len(words.starts), -model.drift)
         if len(model.hashes) and len(scores):
             unseen = np.ones(len(scores), bool)
             for hashes in token_hashes(texts, words):  # a word's own score stands before its prefix's
@@ -174,9 +176,9 @@ def _rate(scores: np.ndarray, chances: np.ndarray) -> float:
     return high
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression on standardized features with a slight ridge: Newton's steps, halved until the loss falls, so that
-    classes that can be told apart entirely don't throw the weights about."""
+    classes that can be told apart entirely don't throw the weights about. Returns the weights and the loss."""
     mean, sd = x.mean(0), np.maximum(x.std(0), 1e-9)
     z = np.column_stack([np.ones(len(x)), (x - mean) / sd])
     ridge = np.array([0.01, *[1.0] * x.shape[1]])
@@ -191,7 +193,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         w = w + size * step
         if abs(size * step).max() < 1e-7 or size <= 1e-6:
             break
-    return np.array([w[0] - np.sum(w[1:] * mean / sd), *(w[1:] / sd)])
+    return np.array([w[0] - np.sum(w[1:] * mean / sd), *(w[1:] / sd)]), loss(w)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -202,32 +204,38 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     rows = _labelled(docs, labels, id_col, text_col, label_col, train_docs)
     hashes, deltas, _ = _lexicon(rows)
-    model = Model(hashes, deltas)
-    send = docs.sparkSession.sparkContext.broadcast(model)
+    models = [Model(hashes, deltas, drift=drift) for drift in DRIFTS]
+    send = docs.sparkSession.sparkContext.broadcast(models)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, found in _segments(batch.column(0), send.value):
-                yield pa.record_batch([pa.array([n for n, _ in found], pa.int64()),
-                                       pa.array([[s for _, _, s in x] for _, x in found], pa.list_(pa.float64())),
-                                       batch.column(1).slice(first, len(found))], ["n", "segments", "y"])
-
-    part = (rows.where("not __fold").select("__text", "__toxic")
-            .mapInArrow(features, "n long, segments array<double>, y int").toPandas())
+            for together in zip(*[_segments(batch.column(0), model) for model in send.value]):
+                first, found = together[0]
+                columns = [pa.array([[s for _, _, s in x] for _, x in part], pa.list_(pa.float64())) for _, part in together]
+                yield pa.record_batch([pa.array([n for n, _ in found], pa.int64()), batch.column(1).slice(first, len(found)), *columns],
+                                      ["n", "y", *[f"s{k}" for k in range(len(columns))]])
+
+    kinds = ", ".join(f"s{k} array<double>" for k in range(len(models)))
+    part = rows.where("not __fold").select("__text", "__toxic").mapInArrow(features, f"n long, y int, {kinds}").toPandas()
     if not len(part) or part.y.nunique() < 2:
         share = (part.y.sum() + 0.5) / (len(part) + 5)
-        model.weights = np.array([math.log(share / (1 - share)), 1.0 if len(hashes) else 0.0, 0.0])
-        return model
-    clean = part[part.y == 0]
-    words, hits = float(clean.n.sum()), float(clean.segments.map(len).sum())
-    chance = (hits + 0.5) / (words + 1)  # of a word of clean text to start a segment
-    positive = deltas[deltas > DRIFT] - DRIFT
+        models[0].weights = np.array([math.log(share / (1 - share)), 1.0 if len(hashes) else 0.0, 0.0])
+        return models[0]
+    losses = [_fit(model, part.n, part[f"s{k}"], part.y.to_numpy("f8")) for k, model in enumerate(models)]
+    return models[int(np.argmin(losses))]
+
+
+def _fit(model: Model, n_words, segments, toxic: np.ndarray) -> float:
+    """Set a model's extreme-value parameters, from clean texts, and its calibration; returns the loss."""
+    clean = toxic == 0
+    chance = (float(segments[clean].map(len).sum()) + 0.5) / (float(n_words[clean].sum()) + 1)  # of a clean word to start a segment
+    positive = model.scores[model.scores > model.drift] - model.drift
     if len(positive):
-        model.rate = _rate(np.concatenate([[-DRIFT], positive]), np.concatenate([[1 - chance], np.full(len(positive), chance / len(positive))]))
+        model.rate = _rate(np.concatenate([[-model.drift], positive]), np.concatenate([[1 - chance], np.full(len(positive), chance / len(positive))]))
     model.scale = chance
-    x = np.array([passage_features([(0, 0, s) for s in found], int(n), model)[:2] for n, found in zip(part.n, part.segments)])
-    model.weights = _calibrate(x, part.y.to_numpy("f8"))
-    return model
+    x = np.array([passage_features([(0, 0, s) for s in found], int(n), model)[:2] for n, found in zip(n_words, segments)])
+    model.weights, loss = _calibrate(x, toxic)
+    return loss
 
 
 def _probabilities(column: pa.Array, model: Model) -> Iterator[tuple[int, np.ndarray, list]]:
