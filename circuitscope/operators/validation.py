@@ -12,10 +12,6 @@ ROUTING_METHODS = ("basic", "lookahead", "stochastic", "sabre", "none")
 MAX_SEED = 2**32 - 1
 
 
-def _in_range(v: Column, path: str, low: int, high: int) -> Column:
-    return F.coalesce(S.int_field(v, path).between(low, high), F.lit(False))
-
-
 def _one_of(v: Column, path: str, allowed: tuple[str, ...]) -> Column:
     """A permitted string, a JSON null or nothing. A list or number is an error, not a crash."""
     missing = ~S.has_key(v, path) | F.coalesce(S.kind(S.field(v, path)) == "VOID", F.lit(False))
@@ -37,34 +33,37 @@ def validate(responses: DataFrame, response: str = "response") -> DataFrame:
     JSON object has that one error. Integers are strict: neither booleans nor fractions. ``recommendation`` is the typed plan, null
     unless valid.
     """
-    v, limits = F.col("__v"), F.try_parse_json(F.coalesce("constraints", F.lit("{}")))
-    staged = responses.withColumn("__raw", F.try_parse_json(response)).withColumn(
-        "__v", F.when(S.is_object(F.col("__raw")), F.col("__raw")))
-    object_ok = v.isNotNull()
+    v, p = F.col("__v"), F.col("__p")
+    names = set(responses.columns)
     plan = F.when(S.is_object(S.field(v, "$.qiskit_plan")), S.field(v, "$.qiskit_plan"))
-    p = F.coalesce(plan, F.parse_json(F.lit("{}")))  # a plan that is no object counts as empty, so its rules fail too
-    level, limit = S.int_field(p, "$.optimization_level"), S.int_field(limits, "$.max_optimization_level", bool_as_int=True)
-    evidence = _strings(v, "$.evidence")
-    warnings = F.when(S.has_key(v, "$.warnings"), _strings(v, "$.warnings")).otherwise(F.array().cast("array<string>"))
+    # Each field is taken out once, step by step: one expression over all of them would be too large to compile
+    read = (responses.withColumn("__raw", F.try_parse_json(response)).withColumn("__v", F.when(S.is_object(F.col("__raw")), F.col("__raw")))
+            .withColumn("__plan", plan).withColumn("__p", F.coalesce("__plan", F.parse_json(F.lit("{}"))))  # a plan that is no object counts as empty
+            .withColumns({"__device": S.text_field(v, "$.selected_device"), "__merit": S.text_field(v, "$.figure_of_merit"), "__compiler": S.text_field(v, "$.compiler"),
+                          "__explanation": S.strip(S.text_field(v, "$.explanation")), "__evidence": _strings(v, "$.evidence"),
+                          "__warnings": F.when(S.has_key(v, "$.warnings"), _strings(v, "$.warnings")).otherwise(F.array().cast("array<string>"))})
+            .withColumns({"__level": S.int_field(p, "$.optimization_level"), "__seed": S.int_field(p, "$.seed_transpiler"),
+                          "__layout": _one_of(p, "$.layout_method", LAYOUT_METHODS), "__routing": _one_of(p, "$.routing_method", ROUTING_METHODS),
+                          "__limit": S.int_field(F.try_parse_json(F.coalesce("constraints", F.lit("{}"))), "$.max_optimization_level", bool_as_int=True)}))
     broken = lambda ok, message: F.when(~F.coalesce(ok, F.lit(False)), F.lit(message))
     rules = F.array_compact(F.array(
-        broken(F.array_contains("available", S.text_field(v, "$.selected_device")), "selected_device is not an available device"),
-        broken(S.text_field(v, "$.figure_of_merit") == F.col("figure_of_merit"), "figure_of_merit differs from the request"),
-        broken(S.text_field(v, "$.compiler") == "qiskit", "compiler must be qiskit"),
-        broken(plan.isNotNull(), "qiskit_plan must be an object"),
-        broken(_in_range(p, "$.optimization_level", 0, 3), "optimization_level must be an integer from 0 to 3"),
-        broken(_in_range(p, "$.seed_transpiler", 0, MAX_SEED), "seed_transpiler must be an unsigned 32-bit integer"),
-        broken(_one_of(p, "$.layout_method", LAYOUT_METHODS), "layout_method is not permitted"),
-        broken(_one_of(p, "$.routing_method", ROUTING_METHODS), "routing_method is not permitted"),
-        broken(~F.coalesce(level > limit, F.lit(False)), "optimization_level exceeds the constraint"),
-        broken(~S.is_blank(S.text_field(v, "$.explanation")), "explanation must be a non-blank string"),
-        broken(evidence.isNotNull(), "evidence must be a list of non-blank strings"),
-        broken(warnings.isNotNull(), "warnings must be a list of non-blank strings")))
-    errors = F.when(object_ok, rules).otherwise(F.array(F.lit("response must be a JSON object")))
+        broken(F.array_contains("available", F.col("__device")), "selected_device is not an available device"),
+        broken(F.col("__merit") == F.col("figure_of_merit"), "figure_of_merit differs from the request"),
+        broken(F.col("__compiler") == "qiskit", "compiler must be qiskit"),
+        broken(F.col("__plan").isNotNull(), "qiskit_plan must be an object"),
+        broken(F.col("__level").between(0, 3), "optimization_level must be an integer from 0 to 3"),
+        broken(F.col("__seed").between(0, MAX_SEED), "seed_transpiler must be an unsigned 32-bit integer"),
+        broken(F.col("__layout"), "layout_method is not permitted"),
+        broken(F.col("__routing"), "routing_method is not permitted"),
+        broken(~F.coalesce(F.col("__level") > F.col("__limit"), F.lit(False)), "optimization_level exceeds the constraint"),
+        broken(F.col("__explanation") != "", "explanation must be a non-blank string"),
+        broken(F.col("__evidence").isNotNull(), "evidence must be a list of non-blank strings"),
+        broken(F.col("__warnings").isNotNull(), "warnings must be a list of non-blank strings")))
     typed = F.struct(
-        S.text_field(v, "$.selected_device").alias("selected_device"), S.text_field(v, "$.figure_of_merit").alias("figure_of_merit"),
-        F.struct(level.alias("optimization_level"), S.int_field(p, "$.seed_transpiler").alias("seed_transpiler"),
+        F.col("__device").alias("selected_device"), F.col("__merit").alias("figure_of_merit"),
+        F.struct(F.col("__level").alias("optimization_level"), F.col("__seed").alias("seed_transpiler"),
                  S.text_field(p, "$.layout_method").alias("layout_method"), S.text_field(p, "$.routing_method").alias("routing_method")).alias("plan"),
-        S.strip(S.text_field(v, "$.explanation")).alias("explanation"), evidence.alias("evidence"), warnings.alias("warnings"))
-    return (staged.withColumn("errors", errors).withColumn("is_valid", F.size("errors") == 0)
-            .withColumn("recommendation", F.when(F.col("is_valid"), typed)).drop("__raw", "__v"))
+        F.col("__explanation").alias("explanation"), F.col("__evidence").alias("evidence"), F.col("__warnings").alias("warnings"))
+    judged = (read.withColumn("errors", F.when(v.isNotNull(), rules).otherwise(F.array(F.lit("response must be a JSON object"))))
+              .withColumn("is_valid", F.size("errors") == 0).withColumn("recommendation", F.when(F.col("is_valid"), typed)))
+    return judged.drop(*[c for c in judged.columns if c.startswith("__") and c not in names])
