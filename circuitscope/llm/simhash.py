@@ -23,8 +23,9 @@ CHUNK = 1 << 16
 #: in the tables. Shingle sets of Jaccard similarity 0.8 differ in 0.15 of the bits (39 of 256); two of a segment's 24
 #: bits or less then differ with probability 0.28, and in one of ten segments with 0.96 (at 0.85: 0.99).
 WIDE_WORDS, WIDE_SEGMENTS, WIDE_WIDTH = 4, 10, 24
-#: Differing bits of a link, of all 256; and of 32 of them, by which most chance meetings are dropped early.
-WIDE_BITS, SKETCH_BITS = 42, 12
+#: Differing bits of a link, of all 256. A sketch drops most chance meetings early: 24 of the bits, SKETCH_BITS of which may
+#: differ, and the number of shingles on a scale of powers of 1.1, which similar texts have at most SIZE_STEPS apart.
+WIDE_BITS, SKETCH_BITS, SIZE_STEPS = 42, 8, 3
 
 
 def fingerprint(text: str | None, shingle_words: int = 4, lower: bool = True) -> int:
@@ -123,8 +124,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select(F.col("__id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
 
 
-def wide_fingerprints(texts: Texts, shingle_words: int = 5) -> np.ndarray:
-    """For each text of a slice WIDE_WORDS times 64 bits, set where over half its distinct shingles have them."""
+def wide_fingerprints(texts: Texts, shingle_words: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """For each text of a slice WIDE_WORDS times 64 bits, set where over half its distinct shingles have them; and how many it has."""
     words = find_words(texts, IN_WORD)
     hashes = hash_words(texts, words)
     n = len(hashes)
@@ -148,29 +149,31 @@ def wide_fingerprints(texts: Texts, shingle_words: int = 5) -> np.ndarray:
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (shingle[1:] != shingle[:-1])
     shingle, text = shingle[new], text[new]
-    out = np.zeros((len(texts), WIDE_WORDS), "u8")
+    out, sizes = np.zeros((len(texts), WIDE_WORDS), "u8"), np.bincount(text, minlength=len(texts))
     there, first, counts = np.unique(text, return_index=True, return_counts=True)
     if not len(there):
-        return out
+        return out, sizes
     for k in range(WIDE_WORDS):
         bits = mix(shingle + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))).view("u1").reshape(-1, 8)
         ones = np.add.reduceat(np.unpackbits(bits, axis=1, bitorder="little"), first, axis=0, dtype="i4")
         out[there, k] = np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view("<u8").ravel()
-    return out
+    return out, sizes
 
 
 def _wide_table(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.ArrayType(T.LongType())),
-                           T.StructField("segments", T.ArrayType(T.IntegerType()))])
+                           T.StructField("segments", T.ArrayType(T.IntegerType())), T.StructField("sketch", T.IntegerType())])
 
     def run(batches):
         for batch in batches:
             for first, texts in slices(batch.column(1), lower=True):
-                fps = wide_fingerprints(texts, shingle_words)
+                fps, sizes = wide_fingerprints(texts, shingle_words)
+                steps = np.minimum(np.log(np.maximum(sizes, 1)) / np.log(1.1), 127).astype("i4")  # up to 180,000 shingles; one step beyond
+                sketch = (fps[:, -1] >> np.uint64(40)).astype("i4") | steps << 24
                 bits = np.unpackbits(fps.view("u1").reshape(len(fps), -1), axis=1, bitorder="little")[:, :WIDE_SEGMENTS * WIDE_WIDTH]
                 segments = bits.reshape(len(fps), WIDE_SEGMENTS, WIDE_WIDTH) @ (1 << np.arange(WIDE_WIDTH, dtype="i4"))
                 yield pa.record_batch([batch.column(0).slice(first, len(texts)), pa.array(list(fps.view("i8")), pa.list_(pa.int64())),
-                                       pa.array(list(segments.astype("i4")), pa.list_(pa.int32()))], schema.names)
+                                       pa.array(list(segments.astype("i4")), pa.list_(pa.int32())), pa.array(sketch, pa.int32())], schema.names)
 
     return docs.where(F.col(id_col).isNotNull()).select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
@@ -183,7 +186,7 @@ def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             .where(bits <= WIDE_BITS).select("src", "dst"))
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, crowd: int = 64) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, crowd: int = 4) -> DataFrame:
     """(id_col, component_id) of each document that is linked to another: near copies on word shingles.
 
     Links join documents whose sets of ``shingle_words``-word shingles (A-Z and other letters in lower case) have a
@@ -196,27 +199,28 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     rows = materialize(_wide_table(docs, id_col, text_col, shingle_words), "wide")
     classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"),
-                                                 F.first("segments").alias("segments")), "wide")
-    sketch = F.shiftright(F.col("fp")[0], 32).cast("int")
+                                                 F.first("segments").alias("segments"), F.min("sketch").alias("sketch")), "wide")
     keys = F.flatten(F.transform("segments", lambda x, i: F.array(*[k.bitwiseOR(F.shiftleft(i, WIDE_WIDTH)) for k in _ball(x, WIDE_WIDTH)])))
-    entered = classes.select("rep", sketch.alias("s"), F.explode(keys).alias("key"))
+    entered = classes.select("rep", F.col("sketch").alias("s"), F.explode(keys).alias("key"))
+    low = (1 << 24) - 1
+    close = lambda a, b: (f"(bit_count(({a} ^ {b}) & {low}) <= {SKETCH_BITS} AND "
+                          f"abs(shiftright({a}, 24) - shiftright({b}, 24)) <= {SIZE_STEPS})")
     shared = materialize(entered.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "wide")
     few = (shared.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list(F.struct("rep", "s")).alias("m"))
            .select(F.explode(F.expr(f"""flatten(transform(m, (x, i) -> transform(
-               filter(slice(m, i + 2, size(m)), y -> bit_count(x.s ^ y.s) <= {SKETCH_BITS}),
+               filter(slice(m, i + 2, size(m)), y -> {close("x.s", "y.s")}),
                y -> struct(least(x.rep, y.rep) AS src, greatest(x.rep, y.rep) AS dst))))""")).alias("p")).select("p.src", "p.dst"))
     crowded = shared.where(F.col("n") > crowd).select("key", "rep", "s")
-    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= SKETCH_BITS
     leaders = crowded.groupBy("key").agg(F.min(F.struct("rep", "s")).alias("l")).select("key", F.col("l.rep").alias("leader"), F.col("l.s").alias("ls"))
     led = crowded.join(leaders, "key")
-    starred = led.where((F.col("rep") != F.col("leader")) & close("s", "ls")).select(F.col("leader").alias("src"), F.col("rep").alias("dst"))
+    starred = led.where((F.col("rep") != F.col("leader")) & F.expr(close("s", "ls"))).select(F.col("leader").alias("src"), F.col("rep").alias("dst"))
     first = connected_components(_verified(few.union(starred), classes))
 
     named = led.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "s", "leader", F.coalesce("component", "rep").alias("c"))
     named = named.join(first.select(F.col("node").alias("leader"), F.col("component").alias("lc")), "leader", "left").withColumn("lc", F.coalesce("lc", "leader"))
     named = materialize(named.select("key", "rep", "s", "c", "lc"), "wide")
     rest = named.where("c != lc").select("key", F.col("rep").alias("r2"), F.col("s").alias("s2"), F.col("c").alias("c2"))
-    across = (named.join(rest, "key").where((F.col("c") != F.col("c2")) & close("s", "s2"))
+    across = (named.join(rest, "key").where((F.col("c") != F.col("c2")) & F.expr(close("s", "s2")))
               .select(F.least("rep", "r2").alias("src"), F.greatest("rep", "r2").alias("dst")))
     stars = first.where("node != component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
     components = connected_components(stars.union(_verified(across, classes)))
