@@ -89,14 +89,14 @@ class CachedEncoder:
             return None
         return (low, word[len(body):]) if len(body) < len(word) else (low,)
 
-    def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a slice of texts, one after another, and how many each text has.
+    def _looked_up(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, list[tuple[int, ...]]]:
+        """For each word of a slice the number of its text and of its group; and the ids of each group's word.
 
         Words are grouped by hash, and the groups checked byte by byte; only a word of each group is looked up.
         """
         words = find_words(texts)
         if not len(words.starts):
-            return np.zeros(0, "u4"), np.zeros(len(texts), "i8")
+            return np.zeros(0, "i8"), np.zeros(0, "i8"), []
         _, first, group = np.unique(hash_words(texts, words), return_index=True, return_inverse=True)
         if not same_bytes(texts, words, first[group]):
             raise ValueError("two words of a slice have one hash")
@@ -104,14 +104,26 @@ class CachedEncoder:
         each = [raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist())]
         self._add([w for w in each if w not in young])
         ids = list(map(young.get, each))
+        if len(young) > CACHE_WORDS:
+            self.young, self.old = {}, young
+        return words.text, group, ids
+
+    def count(self, texts: Texts) -> np.ndarray:
+        """How many ids each text of a slice has."""
+        text, group, ids = self._looked_up(texts)
+        return np.bincount(text, np.fromiter(map(len, ids), "i8", len(ids))[group], len(texts)).astype("i8")
+
+    def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a slice of texts, one after another, and how many each text has."""
+        text, group, ids = self._looked_up(texts)
+        if not len(text):
+            return np.zeros(0, "u4"), np.zeros(len(texts), "i8")
         lengths, flat = np.fromiter(map(len, ids), "i8", len(ids)), np.fromiter(chain.from_iterable(ids), "u4")
         n = lengths[group]
         ends = np.cumsum(n)
         at = np.repeat((np.cumsum(lengths) - lengths)[group] - (ends - n), n)
         at += np.arange(len(at))
-        if len(young) > CACHE_WORDS:
-            self.young, self.old = {}, young
-        return flat[at], np.bincount(words.text, n, len(texts)).astype("i8")
+        return flat[at], np.bincount(text, n, len(texts)).astype("i8")
 
     def _add(self, missing: list[bytes]) -> None:
         young, old, tokenize, odd = self.young, self.old, self.tokenizer.model.tokenize, []

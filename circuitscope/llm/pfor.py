@@ -185,6 +185,23 @@ def _encoder(path: str) -> CachedEncoder:
     return _encoders.setdefault(path, CachedEncoder(path))
 
 
+def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_tokens) for every row of ``docs``: the ids that the vocabulary gives its text, and an end mark.
+
+    The lengths are those of :func:`write_tokens`. Texts are encoded where they are scanned, and not shuffled.
+    """
+    path = path or vocabulary_path()
+    schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(path)
+        for batch in batches:
+            for first, texts in slices(batch.column(1), size=SLICE_BYTES):
+                yield pa.record_batch([batch.column(0).slice(first, len(texts)), pa.array(encoder.count(texts) + 1, pa.int64())], schema.names)
+
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+
+
 def shard_starts(segments: DataFrame) -> DataFrame:
     """(shard, shard_start): ids before each shard. One row for each shard, i.e. for each task of the writer."""
     sizes = segments.groupBy("shard").agg(F.sum("n_ids").alias("n"))

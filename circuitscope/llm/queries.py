@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, chat, embeddings, langid, licenses, packing, pfor, quality, simhash, toxicity
-from .common import WORD, materialize, read_table
+from .common import materialize, read_table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,9 +47,8 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
-    items = read_table(spark, sf_dir, "documents").select("doc_id", (words + 1).alias("n_tokens"))
-    return packing.pack(items)
+    # written once, because packing reads the lengths twice
+    return packing.pack(materialize(pfor.token_counts(read_table(spark, sf_dir, "documents")), "lengths"))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

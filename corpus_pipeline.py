@@ -5,10 +5,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from circuitscope.llm import langid, packing, simhash, toxicity
-from circuitscope.llm.common import WORD, read_table, scratch_dir
+from circuitscope.llm import langid, packing, pfor, simhash, toxicity
+from circuitscope.llm.common import materialize, read_table, scratch_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every remaining document in sequences of the permitted lengths, counted in words and an end mark."""
-    return packing.pack(docs.select("doc_id", (F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)) + 1).alias("n_tokens")))
+    """The place of every remaining document in sequences of the permitted lengths, counted in the vocabulary's tokens and an end mark."""
+    return packing.pack(materialize(pfor.token_counts(docs), "lengths"))
 
 
 STAGES = [

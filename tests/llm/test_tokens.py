@@ -8,7 +8,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from circuitscope.llm import bpe, packing, pfor
+from circuitscope.llm.queries import QUERIES
 from circuitscope.llm.words import slices
 
 TEXTS = ["Hello, World! don't", None, "", " \t", "naïve Straße ÀÉ. ñandú", "a\x0bb a,\x0b.", "x y z 漢字 かな 12 345", "<|endoftext|>mid<|startoftext|> <|end",
@@ -125,3 +127,13 @@ def test_best_fit_prefers_least_room_and_cheap_bins():
     assert sizes.tolist() == [4]
     _, _, sizes = packing.best_fit(np.array([50, 2, 1]), (4, 64, 128), cost=lambda c: c * c)
     assert sizes.tolist() == [64]
+
+
+def test_packing_counts_the_library_tokens(spark, library, tmp_path):
+    docs = documents(spark)
+    want = {len(TEXTS) - k: len(ids_of(library, t)) + 1 for k, t in enumerate(TEXTS)}
+    assert {r.doc_id: r.n_tokens for r in pfor.token_counts(docs).collect()} == want
+    assert pfor.token_counts(docs.limit(0)).count() == 0
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for packed in (QUERIES["op5_packing"](spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, docs, str(tmp_path))):
+        assert {r.doc_id: r.n for r in packed.groupBy("doc_id").agg(F.sum("piece_tokens").alias("n")).collect()} == want
