@@ -1,10 +1,13 @@
-"""License scans: conditional compression ranks the templates, exact wording differences confirm."""
+"""License scans: word counts narrow the templates, exact wording differences and conditional compression confirm."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -48,8 +51,8 @@ TEMPLATES = {
 CUE = r"licen[sc]e|copyright|all rights reserved|public domain|permission is hereby|redistribution|warrant|spdx|free software"
 #: Lines between cue lines that still belong to one block.
 GAP = 2
-#: Templates by size reduction that are compared word by word; and the share of the template's words that must stand in order.
-RANKED, MIN_SHARE = 3, 0.85
+#: The share of a template's words that must stand in order.
+MIN_SHARE = 0.85
 _WORD = re.compile(r"[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]")
 _cue = re.compile(CUE, re.I)
 
@@ -59,14 +62,15 @@ class Scanner:
 
     def __init__(self, templates: dict[str, str]):
         self.words = {name: _WORD.findall(text.lower()) for name, text in templates.items()}
+        self.counts = {name: Counter(words) for name, words in self.words.items()}
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
         self.given = {name: zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, dict_data=zstandard.ZstdCompressionDict(
             text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for name, text in templates.items()}
-        self.seen: dict[str, list[dict]] = {}
+        self.seen: dict[tuple[str, str], float] = {}
 
     @staticmethod
-    def blocks(text: str) -> list[tuple[int, str]]:
-        """(first line, text) of each run of cue lines, gaps of GAP lines included."""
+    def blocks(text: str, starts: list[int]) -> list[tuple[int, int]]:
+        """The words (from, to) of each run of cue lines, gaps of GAP lines included."""
         lines = text.split("\n")
         hits = [i for i, line in enumerate(lines) if _cue.search(line)]
         runs: list[list[int]] = []
@@ -75,43 +79,106 @@ class Scanner:
                 runs[-1][1] = i
             else:
                 runs.append([i, i])
-        return [(a, "\n".join(lines[a:b + 1])) for a, b in runs]
+        at = [0, *accumulate(len(line) + 1 for line in lines)]
+        return [(bisect_left(starts, at[a]), bisect_left(starts, at[b + 1])) for a, b in runs]
+
+    def reduction(self, name: str, raw: str) -> float:
+        """The share of a text's compressed size that knowing the template saves."""
+        found = self.seen.get((name, raw))
+        if found is None:
+            if len(self.seen) > 10_000:
+                self.seen.clear()
+            alone = len(self.plain.compress(raw.encode()))
+            found = self.seen[name, raw] = 1 - len(self.given[name].compress(raw.encode())) / alone
+        return found
+
+    def aligned(self, name: str, words: list[str], lo: int, hi: int) -> list[tuple[int, int]]:
+        """The places in words[lo:hi] that hold MIN_SHARE of the template's words in order, and no more other words than it has.
+
+        The longest matching run tells the place, and only words about it are aligned. Matches at either end
+        that bring more other words than they are worth don't belong to it. Then the words before and after are searched.
+        """
+        wanted = self.words[name]
+        n, found, todo = len(wanted), [], [(lo, hi)]
+        while todo:
+            lo, hi = todo.pop()
+            if not self.possible(name, Counter(words[lo:hi])):
+                continue
+            run = SequenceMatcher(None, wanted, words[lo:hi], autojunk=False).find_longest_match()
+            first, last = max(lo, lo + run.b - run.a - n), min(hi, lo + run.b - run.a + 2 * n)
+            same = [m for m in SequenceMatcher(None, wanted, words[first:last], autojunk=False).get_matching_blocks() if m.size]
+            best, begin, score = (0, 0, 0), 0, 0  # the stretch of matches that is worth most: two for a word, less one for each other word
+            for k, m in enumerate(same):
+                between = m.b - same[k - 1].b - same[k - 1].size if k else 0
+                if score <= between:
+                    begin, score = k, 0
+                else:
+                    score -= between
+                score += 2 * m.size
+                best = max(best, (score, begin - k, k))
+            begin, end = best[1] + best[2], best[2]
+            a, b = first + same[begin].b, first + same[end].b + same[end].size
+            matched = sum(m.size for m in same[begin:end + 1])
+            if matched >= MIN_SHARE * n and b - a - matched <= n:
+                found.append((a, b))
+            else:
+                a, b = lo + run.b, lo + run.b + run.size
+            todo += [(lo, a), (b, hi)]
+        return found
+
+    def possible(self, name: str, there: Counter) -> bool:
+        """Whether words, in any order, have MIN_SHARE of the template's."""
+        return sum(min(k, there[w]) for w, k in self.counts[name].items()) >= MIN_SHARE * len(self.words[name])
 
-    def rank(self, block: str) -> list[tuple[float, str]]:
-        """Templates by the share of the compressed size that knowing them saves."""
-        raw = block.lower().encode()
-        alone = len(self.plain.compress(raw))
-        return sorted(((1 - len(c.compress(raw)) / alone, name) for name, c in self.given.items()), key=lambda x: (-x[0], x[1]))
+    def places(self, name: str, words: list[str], lo: int, hi: int) -> set[tuple[int, int]]:
+        """As :func:`aligned`, for any number of words: in overlapping pieces, of which one holds any whole place."""
+        step = 2 * len(self.words[name])  # the most words of a place
+        return {x for at in range(lo, max(lo + 1, hi - step), step) for x in self.aligned(name, words, at, min(hi, at + 2 * step))}
 
-    def confirm(self, block: str) -> list[dict]:
-        """The notices in a block, best first ranked, each with its exact wording differences.
+    def notices(self, low: str, starts: list[int], ends: list[int], words: list[str], lo: int, hi: int) -> list[dict]:
+        """The notices in words[lo:hi], in order of place, each with its exact wording differences.
 
-        A place in the block belongs to one notice: the one with the greatest share of its words there in order.
+        Every template is compared. A place belongs to one notice: the one with the most words there
+        in order, less those missing and added. What stands before and after is searched again until nothing is found.
         """
-        found = self.seen.get(block)
-        if found is not None:
-            return found
-        words, found = _WORD.findall(block.lower()), []
-        for reduction, name in self.rank(block)[:RANKED + block.count("\n")]:
-            wanted = self.words[name]
-            same = [m for m in SequenceMatcher(None, wanted, words, autojunk=False).get_matching_blocks() if m.size]
-            share = sum(m.size for m in same) / len(wanted)
-            if reduction > 0 and share >= MIN_SHARE:
-                lo, hi = same[0].b, same[-1].b + same[-1].size
-                diff = SequenceMatcher(None, wanted, words[lo:hi], autojunk=False).get_opcodes()
-                missing = [w for op, a, b, *_ in diff if op in ("delete", "replace") for w in wanted[a:b]]
-                added = [w for op, _, _, c, d in diff if op in ("insert", "replace") for w in words[lo:hi][c:d]]
-                if len(added) <= len(wanted):
-                    found.append({"license": name.removesuffix("-line"), "reduction": reduction, "share": share, "missing": missing, "added": added, "at": (lo, hi)})
-        found.sort(key=lambda x: (len(x["missing"]) + len(x["added"]), -x["share"], -x["reduction"], x["license"]))
-        chosen: list[dict] = []
-        for x in found:
-            if all(x["at"][1] <= y["at"][0] or x["at"][0] >= y["at"][1] for y in chosen):
+        there, found = Counter(words[lo:hi]), []
+        for name, wanted in self.words.items():
+            if not self.possible(name, there):
+                continue
+            for a, b in self.places(name, words, lo, hi):
+                diff = SequenceMatcher(None, wanted, words[a:b], autojunk=False).get_opcodes()
+                missing = [w for op, i, j, *_ in diff if op in ("delete", "replace") for w in wanted[i:j]]
+                added = [w for op, _, _, i, j in diff if op in ("insert", "replace") for w in words[a:b][i:j]]
+                share = 1 - len(missing) / len(wanted)
+                reduction = self.reduction(name, low[starts[a]:ends[b - 1]])
+                if reduction > 0 and share >= MIN_SHARE and len(added) <= len(wanted):
+                    found.append({"license": name.removesuffix("-line"), "reduction": reduction, "share": share, "missing": missing, "added": added,
+                                  "at": (a, b), "worth": len(wanted) - 2 * len(missing) - len(added)})
+        if not found:
+            return []
+        chosen, taken = [], bytearray(hi - lo)
+        for x in sorted(found, key=lambda x: (-x["worth"], -x["share"], -x["reduction"], x["license"], x["at"])):
+            a, b = x["at"]
+            if 1 not in taken[a - lo:b - lo]:
+                taken[a - lo:b - lo] = b"\1" * (b - a)
                 chosen.append(x)
-        if len(self.seen) > 10_000:
-            self.seen.clear()
-        self.seen[block] = chosen
-        return chosen
+        chosen.sort(key=lambda x: x["at"])
+        out = []
+        for before, x in zip([lo] + [x["at"][1] for x in chosen], chosen + [None]):
+            out += self.notices(low, starts, ends, words, before, x["at"][0] if x else hi)
+            out += [x] if x else []
+        return out
+
+    def scan(self, text: str) -> list[dict]:
+        """The notices of a text in order of place, with the line each begins on."""
+        low, out = text.lower(), []
+        found = [m.span() for m in _WORD.finditer(low)]
+        starts, ends = [a for a, _ in found], [b for _, b in found]
+        words = [low[a:b] for a, b in found]
+        for lo, hi in self.blocks(low, starts):
+            out += [{k: x[k] for k in ("license", "reduction", "share", "missing", "added")} | {"first_line": low.count("\n", 0, starts[x["at"][0]])}
+                    for x in self.notices(low, starts, ends, words, lo, hi)]
+        return out
 
 
 _FINDING = T.StructType([T.StructField("license", T.StringType()), T.StructField("first_line", T.LongType()), T.StructField("reduction", T.DoubleType()),
@@ -123,9 +190,9 @@ _FINDING_ARROW = pa.struct([("license", pa.string()), ("first_line", pa.int64())
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """One row per row of ``docs``: id and ``findings``, the confirmed notices in order of place.
 
-    Each finding has the notice's name, its block's first line, the size reduction, the share of the template's words
+    Each finding has the notice's name, the line it begins on, the size reduction, the share of the template's words
     found in order, and the words missing and added. Whole texts are scanned; null and empty texts have no
-    finding; repeated rows stay repeated. A line that many documents share is compared once in a worker.
+    finding; repeated rows stay repeated.
     """
     templates = templates or TEMPLATES
     schema = T.StructType([docs.schema[id_col], T.StructField("findings", T.ArrayType(_FINDING))])
@@ -133,11 +200,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
         for batch in batches:
-            rows = []
-            for text, cue in zip(batch.column(1), batch.column(2).to_pylist()):
-                rows.append([{k: v for k, v in f.items() if k != "at"} | {"first_line": line}
-                             for line, block in (scanner.blocks(text.as_py()) if cue else [])
-                             for f in sorted(scanner.confirm(block), key=lambda x: x["at"])])
+            rows = [scanner.scan(text.as_py()) if cue else [] for text, cue in zip(batch.column(1), batch.column(2).to_pylist())]
             yield pa.record_batch([batch.column(0), pa.array(rows, pa.list_(_FINDING_ARROW))], schema.names)
 
     text = F.col(text_col).cast("string")

@@ -185,6 +185,18 @@ def test_licences(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_every_notice_of_a_line(spark):
+    gpl, mit = licenses.TEMPLATES["GPL-3.0-line"], "Released under the MIT License."
+    apache = licenses.TEMPLATES["Apache-2.0"].replace("governing", "concerning")
+    rows = [(1, "All rights reserved. " + gpl), (2, f"{mit} {mit}"), (3, mit + " in the end " + "of a word the " * 50 + gpl), (4, apache),
+            (5, "the program and the terms of the text " * 40 + licenses.TEMPLATES["GPL-3.0"].replace("the GNU", "a GNU") + " the end of the text" * 40)]
+    got = {r.doc_id: r.findings for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: [f.license for f in v] for k, v in got.items()} == {
+        1: ["Proprietary", "GPL-3.0"], 2: ["MIT", "MIT"], 3: ["MIT", "GPL-3.0"], 4: ["Apache-2.0"], 5: ["GPL-3.0"]}
+    assert (got[4][0].missing, got[4][0].added) == (["governing"], ["concerning"])
+    assert (got[5][0].missing, got[5][0].added) == (["the"], ["a"])
+
+
 def test_chat_round_trip_and_masks(spark):
     nasty = ["<|end|>", "a<|turn|>b\\c\\.", "<|text|><|text|>", "<<|end|>", "\\", "\n", "", None, "<|", "|end|>", "</s>[INST] ok [/INST]"]
     rows = [(1, k, "user" if k % 2 == 0 else "assistant", t) for k, t in enumerate(nasty + ["last"])]
