@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -47,10 +46,9 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "Proprietary": "All rights reserved.",
 }
-#: Lines with one of these may belong to a notice; the scan looks at no other line.
-CUE = r"licen[sc]e|copyright|all rights reserved|public domain|permission is hereby|redistribution|warrant|spdx|free software"
-#: Lines between cue lines that still belong to one block.
-GAP = 2
+#: The scan looks only at words about one of these, which lines and comment marks may break.
+_GAP = "[^a-z0-9]+"
+CUE = ("licen[sc]e|copyright|all rights reserved|public domain|permission is hereby|redistribution|warrant|spdx|free software").replace(" ", _GAP)
 #: The share of a template's words that must stand in order.
 MIN_SHARE = 0.85
 _WORD = re.compile(r"[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]")
@@ -62,25 +60,24 @@ class Scanner:
 
     def __init__(self, templates: dict[str, str]):
         self.words = {name: _WORD.findall(text.lower()) for name, text in templates.items()}
+        self.reach = 2 * max(map(len, self.words.values()))  # a notice may have as many other words as its template has words
         self.counts = {name: Counter(words) for name, words in self.words.items()}
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
         self.given = {name: zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, dict_data=zstandard.ZstdCompressionDict(
             text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for name, text in templates.items()}
         self.seen: dict[tuple[str, str], float] = {}
 
-    @staticmethod
-    def blocks(text: str, starts: list[int]) -> list[tuple[int, int]]:
-        """The words (from, to) of each run of cue lines, gaps of GAP lines included."""
-        lines = text.split("\n")
-        hits = [i for i, line in enumerate(lines) if _cue.search(line)]
-        runs: list[list[int]] = []
-        for i in hits:
-            if runs and i - runs[-1][1] <= GAP + 1:
-                runs[-1][1] = i
+    def blocks(self, low: str, starts: list[int]) -> list[tuple[int, int]]:
+        """The words (from, to) about each cue: on both sides as many as a notice can have, so that it is whole however
+        its lines are wrapped. Where these meet they are one."""
+        out: list[tuple[int, int]] = []
+        for cue in _cue.finditer(low):
+            a, b = max(0, bisect_right(starts, cue.start()) - self.reach), min(len(starts), bisect_left(starts, cue.end()) + self.reach)
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], b)
             else:
-                runs.append([i, i])
-        at = [0, *accumulate(len(line) + 1 for line in lines)]
-        return [(bisect_left(starts, at[a]), bisect_left(starts, at[b + 1])) for a, b in runs]
+                out.append((a, b))
+        return out
 
     def reduction(self, name: str, raw: str) -> float:
         """The share of a text's compressed size that knowing the template saves."""

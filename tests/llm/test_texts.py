@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -197,6 +198,21 @@ def test_every_notice_of_a_line(spark):
     assert (got[5][0].missing, got[5][0].added) == (["the"], ["a"])
 
 
+def test_notices_in_any_wrapping(spark):
+    templates = licenses.TEMPLATES
+    prose = "some words of the text stand about it and are of no matter to the scan "
+    rows, names, k = [], {}, 0
+    for name, text in templates.items():
+        for width, mark in ((20, ""), (60, " * "), (72, ""), (79, "# ")):
+            lines = "\n".join(mark + line for line in textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False))
+            rows.append((k, (prose + "\n") * 30 + "\n" + lines + "\n\n" + (prose + "\n") * 30))
+            names[k] = name.removesuffix("-line")
+            k += 1
+    got = {r.doc_id: r.findings for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: [(f.license, f.first_line, f.share, f.missing, f.added) for f in v] for k, v in got.items()} == {
+        k: [(name, 31, 1.0, [], [])] for k, name in names.items()}
+
+
 def test_chat_round_trip_and_masks(spark):
     nasty = ["<|end|>", "a<|turn|>b\\c\\.", "<|text|><|text|>", "<<|end|>", "\\", "\n", "", None, "<|", "|end|>", "</s>[INST] ok [/INST]"]
     rows = [(1, k, "user" if k % 2 == 0 else "assistant", t) for k, t in enumerate(nasty + ["last"])]
