@@ -23,9 +23,11 @@ CHUNK = 1 << 16
 #: in the tables. Shingle sets of Jaccard similarity 0.8 differ in 0.15 of the bits (39 of 256); two of a segment's 24
 #: bits or less then differ with probability 0.28, and in one of ten segments with 0.96 (at 0.85: 0.99).
 WIDE_WORDS, WIDE_SEGMENTS, WIDE_WIDTH = 4, 10, 24
-#: Differing bits of a link, of all 256. A sketch drops most chance meetings early: 24 of the bits, SKETCH_BITS of which may
+#: Differing bits of a candidate, of all 256: at similarity 0.8 three standard deviations above the mean. What links is
+#: SIMILARITY, the exact Jaccard similarity of the candidates' shingle sets. A sketch drops most chance meetings early: 24 of the bits, SKETCH_BITS of which may
 #: differ, and the number of shingles on a scale of powers of 1.1, which similar texts have at most SIZE_STEPS apart.
-WIDE_BITS, SKETCH_BITS, SIZE_STEPS = 42, 8, 3
+WIDE_BITS, SKETCH_BITS, SIZE_STEPS = 56, 8, 3
+SIMILARITY = 0.8
 
 
 def fingerprint(text: str | None, shingle_words: int = 4, lower: bool = True) -> int:
@@ -124,8 +126,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select(F.col("__id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
 
 
-def wide_fingerprints(texts: Texts, shingle_words: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """For each text of a slice WIDE_WORDS times 64 bits, set where over half its distinct shingles have them; and how many it has."""
+def shingle_sets(texts: Texts, shingle_words: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of each text's distinct shingles in rising order, text by text, and the number of each one's text."""
     words = find_words(texts, IN_WORD)
     hashes = hash_words(texts, words)
     n = len(hashes)
@@ -148,7 +150,12 @@ def wide_fingerprints(texts: Texts, shingle_words: int = 5) -> tuple[np.ndarray,
     shingle, text = shingle[order], text[order]
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (shingle[1:] != shingle[:-1])
-    shingle, text = shingle[new], text[new]
+    return shingle[new], text[new]
+
+
+def wide_fingerprints(texts: Texts, shingle_words: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """For each text of a slice WIDE_WORDS times 64 bits, set where over half its distinct shingles have them; and how many it has."""
+    shingle, text = shingle_sets(texts, shingle_words)
     out, sizes = np.zeros((len(texts), WIDE_WORDS), "u8"), np.bincount(text, minlength=len(texts))
     there, first, counts = np.unique(text, return_index=True, return_counts=True)
     if not len(there):
@@ -178,20 +185,68 @@ def _wide_table(docs: DataFrame, id_col: str, text_col: str, shingle_words: int)
     return docs.where(F.col(id_col).isNotNull()).select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (src, dst) of which the complete fingerprints differ in WIDE_BITS bits or less."""
+def _candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (src, dst, bits) of which the complete fingerprints differ in WIDE_BITS bits or less, as a written table."""
     bits = sum((F.bit_count(F.col("a")[k].bitwiseXOR(F.col("b")[k])) for k in range(WIDE_WORDS)), F.lit(0))
-    return (pairs.distinct().join(classes.select(F.col("rep").alias("src"), F.col("fp").alias("a")), "src")
-            .join(classes.select(F.col("rep").alias("dst"), F.col("fp").alias("b")), "dst")
-            .where(bits <= WIDE_BITS).select("src", "dst"))
+    return materialize(
+        pairs.distinct().join(classes.select(F.col("rep").alias("src"), F.col("fp").alias("a")), "src")
+        .join(classes.select(F.col("rep").alias("dst"), F.col("fp").alias("b")), "dst")
+        .select("src", "dst", bits.alias("bits")).where(F.col("bits") <= WIDE_BITS), "wide")
+
+
+def _sets(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
+    """(id, shingles) of the documents in pairs, as a written table: the sorted hashes of the distinct shingles, little-endian.
+    A repeated id has a row for each of its sets."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("shingles", T.BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            for first, texts in slices(batch.column(1), lower=True):
+                shingle, text = shingle_sets(texts, shingle_words)
+                at = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+                yield pa.record_batch([batch.column(0).slice(first, len(texts)), pa.array(
+                    [shingle[a:b].astype("<u8").tobytes() for a, b in zip(at, at[1:])], pa.binary())], schema.names)
+
+    wanted = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("__text")).join(wanted, "id", "left_semi")
+    return materialize(rows.mapInArrow(run, schema).distinct(), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (src, dst) of which the shingle sets have a Jaccard similarity of SIMILARITY or more, as a written table."""
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                total = len(a) + len(b)
+                both = total - len(np.union1d(a, b))
+                keep.append(both >= SIMILARITY * (total - both))
+            yield pa.record_batch([batch.column("src"), batch.column("dst")], ["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    both = (pairs.select("src", "dst").join(sets.select(F.col("id").alias("src"), F.col("shingles").alias("x")), "src")
+            .join(sets.select(F.col("id").alias("dst"), F.col("shingles").alias("y")), "dst"))
+    return materialize(both.mapInArrow(run, pairs.select("src", "dst").schema).distinct(), "wide")
+
+
+def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components; what is in none is alone."""
+    ends = (pairs.join(components.select(F.col("node").alias("src"), F.col("component").alias("__a")), "src", "left")
+            .join(components.select(F.col("node").alias("dst"), F.col("component").alias("__b")), "dst", "left"))
+    return ends.where(F.coalesce("__a", "src") != F.coalesce("__b", "dst")).select("src", "dst")
+
+
+def _stars(components: DataFrame) -> DataFrame:
+    return components.where("node != component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, crowd: int = 4) -> DataFrame:
     """(id_col, component_id) of each document that is linked to another: near copies on word shingles.
 
     Links join documents whose sets of ``shingle_words``-word shingles (A-Z and other letters in lower case) have a
-    Jaccard similarity of about 0.8 or more, as estimated by 256-bit fingerprints that differ in WIDE_BITS bits or
-    less. Each distinct fingerprint is entered under the one-bit Hamming balls of its ten segments, so those within two bits
+    Jaccard similarity of SIMILARITY or more. Candidates are found by 256-bit fingerprints that differ in WIDE_BITS bits or
+    less, and each is verified by its sets, unless verified pairs connect it already: first the nearest candidate of each, so a large group
+    needs about one comparison a member. Each distinct fingerprint is entered under the one-bit Hamming balls of its ten segments, so those within two bits
     in a segment meet. Values that more than ``crowd`` fingerprints share are searched in two steps that emit no pairs
     within a group: first each member is held against the value's smallest member; then only members
     that are in another component than that one are held against the value's members in other components.
@@ -214,7 +269,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     leaders = crowded.groupBy("key").agg(F.min(F.struct("rep", "s")).alias("l")).select("key", F.col("l.rep").alias("leader"), F.col("l.s").alias("ls"))
     led = crowded.join(leaders, "key")
     starred = led.where((F.col("rep") != F.col("leader")) & F.expr(close("s", "ls"))).select(F.col("leader").alias("src"), F.col("rep").alias("dst"))
-    first = connected_components(_verified(few.union(starred), classes))
+    near = _candidates(few.union(starred), classes)
+    sets = _sets(near, docs, id_col, text_col, shingle_words)
+    nearest = near.groupBy("dst").agg(F.min_by("src", F.struct("bits", "src")).alias("src")).select("src", "dst")
+    linked = materialize(connected_components(_verified(nearest, sets)), "wide")
+    first = materialize(connected_components(_stars(linked).union(_verified(_apart(near, linked), sets))), "wide")
 
     named = led.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "s", "leader", F.coalesce("component", "rep").alias("c"))
     named = named.join(first.select(F.col("node").alias("leader"), F.col("component").alias("lc")), "leader", "left").withColumn("lc", F.coalesce("lc", "leader"))
@@ -222,8 +281,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rest = named.where("c != lc").select("key", F.col("rep").alias("r2"), F.col("s").alias("s2"), F.col("c").alias("c2"))
     across = (named.join(rest, "key").where((F.col("c") != F.col("c2")) & F.expr(close("s", "s2")))
               .select(F.least("rep", "r2").alias("src"), F.greatest("rep", "r2").alias("dst")))
-    stars = first.where("node != component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
-    components = connected_components(stars.union(_verified(across, classes)))
+    near = _candidates(across, classes)
+    components = connected_components(_stars(first).union(_verified(near, _sets(near, docs, id_col, text_col, shingle_words))))
     named = (classes.join(components.withColumnRenamed("node", "rep"), "rep", "left")
              .where(F.col("component").isNotNull() | (F.col("copies") > 1)).select("fp", F.coalesce("component", "rep").alias("component_id")))
     return rows.select(F.col("id").alias(id_col), "fp").join(named, "fp").select(id_col, "component_id")

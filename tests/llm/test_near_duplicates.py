@@ -127,6 +127,25 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     assert simhash.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_near_copies_have_the_exact_similarity(spark):
+    rng = random.Random(21)
+    rows, linked, apart = [], [], []
+    for k in range(300):
+        base = words(rng, 300)
+        other = base[:]
+        for at in range(rng.randint(3, 9)):  # so many replaced runs, far apart
+            other[20 + 30 * at:22 + 30 * at] = words(rng, 2)
+        a, b = ({tuple(x[i:i + 5]) for i in range(296)} for x in (base, other))
+        j = len(a & b) / len(a | b)
+        if 0.68 <= j <= 0.92:
+            (linked if j >= 0.8 else apart).append(k)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    got = {r.doc_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(linked) > 80 and len(apart) > 50
+    assert not [k for k in apart if 2 * k in got or 2 * k + 1 in got]
+    assert sum(2 * k in got and 2 * k + 1 in got for k in linked) >= 0.96 * len(linked)
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((40, 64)).astype("f4")
