@@ -42,3 +42,18 @@ def nearest_rows(rows: DataFrame, query: Column, vector: str, identity: str, k:
     pairs = F.zip_with(vector, query, lambda a, b: S.relative_difference(a.cast("double"), b.cast("double")))
     distance = F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x) / F.size(vector)
     return rows.select(identity, distance.alias("distance")).orderBy("distance", identity).limit(max(k, 0))
+
+
+def nearest_rows_each(queries: DataFrame, rows: DataFrame, vector: str, identity: str, k: int) -> DataFrame:
+    """(query_id, rank, identity, distance): for each query row the ``k`` rows nearest by mean relative difference.
+
+    Every query meets every row in blocks of both, neither side held whole; a task passes on at most ``k`` rows of a query.
+    Ties go to the smaller identity; null or empty vectors, and vectors of another length, have no distance and don't appear.
+    """
+    pairs = F.zip_with("__query", vector, lambda a, b: S.relative_difference(b.cast("double"), a.cast("double")))
+    distance = F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x) / F.size(vector)
+    asked = queries.select(F.col(identity).alias("query_id"), F.col(vector).alias("__query")).where(F.size(vector) > 0)
+    met = (asked.hint("shuffle_replicate_nl").crossJoin(rows.select(identity, vector)).where(F.size("__query") == F.size(vector))
+           .select("query_id", identity, distance.alias("distance")).where("distance is not null"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", identity))
+    return met.withColumn("rank", rank).where(F.col("rank") <= max(k, 0)).select("query_id", "rank", identity, "distance")

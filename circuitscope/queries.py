@@ -107,11 +107,18 @@ def record_ids(spark, sf_dir):
 
 def nearest_rows(spark, sf_dir):
     e = _table(spark, sf_dir, "embeddings")
-    query = e.where("vec_id = 0").select("embedding").first()[0]
-    found = retrieval.nearest_rows(e, F.array(*[F.lit(float(x)) for x in query]), "embedding", "vec_id", 5)
+    first = e.where("vec_id = 0").select("embedding").first()
+    query = first[0] if first and first[0] else []
+    found = retrieval.nearest_rows(e, F.array(*[F.lit(float(x)) for x in query]), "embedding", "vec_id", 5 if query else 0)
     return found.select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+def nearest_rows_each(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings")
+    found = retrieval.nearest_rows_each(e.where("vec_id % 20 = 0"), e, "embedding", "vec_id", 5)
+    return found.select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
+
+
 def op_counts(spark, sf_dir):
     d = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([a-z]+)"))).alias("op"))
     return d.groupBy("doc_id", "op").agg(F.count("*").alias("n"))
@@ -211,7 +218,7 @@ def validate_plans(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     best_device_label, rank_margin, width_filter, build_jobs, width_reasons, compatibility_report, latest_by_key, attempts_status, mean_duration,
-    finite_stats, seeded_cap, seeded_top, stratified_split, balanced_weights, record_ids, nearest_rows, op_counts, unsupported_ops, json_field, coverage,
+    finite_stats, seeded_cap, seeded_top, stratified_split, balanced_weights, record_ids, nearest_rows, nearest_rows_each, op_counts, unsupported_ops, json_field, coverage,
     pending, missing_by_device, device_queues, reason_examples, fidelity_product, label_counts, below_minimum, failure_counts, first_circuits,
     one_job_per_device, copy_plan, validate_plans)}
 
@@ -251,6 +258,11 @@ ORACLE_SQL = {
     "nearest_rows": """WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0)
         SELECT vec_id, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: abs(CAST(embedding[i] AS DOUBLE) - CAST(v[i] AS DOUBLE))
         / (1 + greatest(abs(CAST(embedding[i] AS DOUBLE)), abs(CAST(v[i] AS DOUBLE)))))) / len(embedding), 6) AS distance FROM embeddings, q ORDER BY distance, vec_id LIMIT 5""",
+    "nearest_rows_each": """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i:
+        abs(CAST(e.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE)) / (1 + greatest(abs(CAST(e.embedding[i] AS DOUBLE)), abs(CAST(q.embedding[i] AS DOUBLE)))))) / len(e.embedding) AS d
+        FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INTEGER) AS rank, vec_id, round(d, 6) AS distance FROM p
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) <= 5""",
     "op_counts": "SELECT doc_id, op, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([a-z]+)')) AS op FROM documents) GROUP BY doc_id, op",
     "unsupported_ops": """SELECT l_orderkey, array_to_string(list_sort(list_filter(list(DISTINCT l_returnflag || l_linestatus), lambda x: x NOT IN ('AF', 'NO'))), ',') AS unsupported
         FROM lineitem GROUP BY l_orderkey""",

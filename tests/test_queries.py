@@ -40,6 +40,12 @@ def test_query(spark, duck, name, tmp_path):
     assert len(frames[0]) == len(frames[1]) and frames[0].equals(frames[1])
 
 
+def test_nearest_rows_of_no_rows(spark, tmp_path):
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name in ("nearest_rows", "nearest_rows_each"):
+        assert core.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
 def test_imports_without_the_optional_part():
     code = ("import importlib.util as u; real = u.find_spec\n"
             "u.find_spec = lambda n, *a: None if n.startswith(('circuitscope.llm', 'corpus_pipeline')) else real(n, *a)\n"
