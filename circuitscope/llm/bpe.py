@@ -92,15 +92,18 @@ class CachedEncoder:
     def _looked_up(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, list[tuple[int, ...]]]:
         """For each word of a slice the number of its text and of its group; and the ids of each group's word.
 
-        Words are grouped by hash, and the groups checked byte by byte; only a word of each group is looked up.
+        Words are grouped by hash, and the groups checked byte by byte; only a word of each group is looked up. Should
+        two words ever share a hash, the slice is grouped by the words themselves.
         """
         words = find_words(texts)
         if not len(words.starts):
             return np.zeros(0, "i8"), np.zeros(0, "i8"), []
+        raw, young = texts.data.tobytes(), self.young
         _, first, group = np.unique(hash_words(texts, words), return_index=True, return_inverse=True)
         if not same_bytes(texts, words, first[group]):
-            raise ValueError("two words of a slice have one hash")
-        raw, young = texts.data.tobytes(), self.young
+            numbers: dict[bytes, int] = {}
+            group = np.array([numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(words.starts.tolist(), words.ends.tolist())])
+            first = np.unique(group, return_index=True)[1]
         each = [raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist())]
         self._add([w for w in each if w not in young])
         ids = list(map(young.get, each))

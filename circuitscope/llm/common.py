@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,13 +19,21 @@ def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_own_folders: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``. Only a local session, which has no other machine, may
+    leave it unset and gets a temporary folder; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="circuitscope-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^,]*(,\s*\d+)?\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="circuitscope-")
+    return _own_folders[context.applicationId]
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -47,6 +56,23 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+class Scratch:
+    """Scratch tables of one computation, dropped together once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, tag: str) -> DataFrame:
+        found, path = write_scratch(df, tag)
+        self.paths.append(path)
+        return found
+
+    def drop(self) -> None:
+        for path in self.paths:
+            drop_scratch(self.spark, path)
+        self.paths.clear()
+
+
 def held_out(id_column):
     """True for the quarter of documents kept for measuring: crc32(id as text) mod 4 is 2."""
     return F.crc32(id_column.cast("string").cast("binary")) % 4 == 2

@@ -7,11 +7,10 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import materialize
+from .common import Scratch, materialize
 from .components import connected_components
-from .words import IN_WORD, Texts, find_words, hash_words, mix, pair_hash, slices
 
 #: Fingerprints are hashed and cut as two segments of 32 bits.
 BITS, SEGMENTS = 64, 2
@@ -19,15 +18,6 @@ BITS, SEGMENTS = 64, 2
 MAX_BITS = 4
 #: Shingle hashes that are turned into bits at once.
 CHUNK = 1 << 16
-#: Wide fingerprints estimate the similarity of shingle sets: 256 bits, of which ten segments of 24 bits are entered
-#: in the tables. Shingle sets of Jaccard similarity 0.8 differ in 0.15 of the bits (39 of 256); two of a segment's 24
-#: bits or less then differ with probability 0.28, and in one of ten segments with 0.96 (at 0.85: 0.99).
-WIDE_WORDS, WIDE_SEGMENTS, WIDE_WIDTH = 4, 10, 24
-#: Differing bits of a candidate, of all 256: at similarity 0.8 three standard deviations above the mean. What links is
-#: SIMILARITY, the exact Jaccard similarity of the candidates' shingle sets. A sketch drops most chance meetings early: 24 of the bits, SKETCH_BITS of which may
-#: differ, and the number of shingles on a scale of powers of 1.1, which similar texts have at most SIZE_STEPS apart.
-WIDE_BITS, SKETCH_BITS, SIZE_STEPS = 56, 8, 3
-SIMILARITY = 0.8
 
 
 def fingerprint(text: str | None, shingle_words: int = 4, lower: bool = True) -> int:
@@ -66,12 +56,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def _ball(column, bits: int):
+def ball(column, bits: int):
     """The values within one bit of a segment's value, itself included."""
     return [column] + [column.bitwiseXOR(F.lit(1 << b)) for b in range(bits)]
 
 
-def hamming_links(fps: DataFrame, crowd: int = 64) -> DataFrame:
+def hamming_links(fps: DataFrame, crowd: int = 64, scratch: Scratch | None = None) -> DataFrame:
     """Links (src, dst) that connect exactly those distinct fingerprints ``fp`` that chains of steps of
     at most four differing bits connect.
 
@@ -87,10 +77,10 @@ def hamming_links(fps: DataFrame, crowd: int = 64) -> DataFrame:
     width = BITS // SEGMENTS
     keys = [key.bitwiseOR(F.lit(s << width))
             for s in range(SEGMENTS)
-            for key in _ball(F.shiftrightunsigned("fp", s * width).bitwiseAND(F.lit((1 << width) - 1)), width)]
+            for key in ball(F.shiftrightunsigned("fp", s * width).bitwiseAND(F.lit((1 << width) - 1)), width)]
     entered = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    shared = materialize(
-        entered.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "hamming")
+    scratch = scratch or Scratch(fps.sparkSession)
+    shared = scratch.table(entered.join(entered.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "hamming")
     pairs = (shared.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list("fp").alias("fps"))
              .select(F.explode(F.expr(f"""flatten(transform(fps, (x, i) -> transform(
                  filter(slice(fps, i + 2, size(fps)), y -> bit_count(x ^ y) <= {MAX_BITS}),
@@ -101,7 +91,7 @@ def hamming_links(fps: DataFrame, crowd: int = 64) -> DataFrame:
     near = (crowded.withColumn("m", masks)
             .select("fp", F.explode(F.expr("""concat(array(fp), flatten(transform(sequence(0, 63), i ->
                  transform(sequence(i + 1, 64), j -> fp ^ m[i] ^ m[j]))))""")).alias("z")))
-    stars = (near.select(F.col("fp").alias("dst"), F.min("fp").over(Window.partitionBy("z")).alias("src"))
+    stars = (near.select(F.col("fp").alias("dst"), "z").join(near.groupBy("z").agg(F.min("fp").alias("src")), "z")
              .where("src != dst").select("src", "dst").distinct())
     return pairs.union(stars)
 
@@ -118,181 +108,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle_words).withColumnRenamed(id_col, "__id"), "fps")
     classes = fps.groupBy("fp").agg(F.min("__id").alias("rep"))
-    found = connected_components(hamming_links(classes.select("fp")))
+    scratch = Scratch(docs.sparkSession)
+    found = connected_components(hamming_links(classes.select("fp"), scratch=scratch))
+    scratch.drop()
     linked = classes.join(found.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
     names = linked.join(least, "component").select("fp", "component_id")
     return (fps.join(classes.join(names, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "fp")
             .select(F.col("__id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
-
-
-def shingle_sets(texts: Texts, shingle_words: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit hashes of each text's distinct shingles in rising order, text by text, and the number of each one's text."""
-    words = find_words(texts, IN_WORD)
-    hashes = hash_words(texts, words)
-    n = len(hashes)
-    shingle, text = hashes, words.text
-    for k in range(1, shingle_words):
-        shingle = pair_hash(shingle[:max(0, n - k)], hashes[k:])
-    inside = words.text[:len(shingle)] == words.text[n - len(shingle):]
-    shingle, text = shingle[inside], words.text[:len(inside)][inside]
-    begins = np.cumsum(words.counts) - words.counts
-    short = np.flatnonzero((words.counts > 0) & (words.counts < shingle_words))
-    alone = []
-    for i in short:  # fewer words make one shingle
-        h = hashes[begins[i]]
-        for k in range(1, words.counts[i]):
-            h = pair_hash(np.array([h]), hashes[begins[i] + k:begins[i] + k + 1])[0]
-        alone.append(h)
-    shingle = np.concatenate([shingle, np.array(alone, "u8")])
-    text = np.concatenate([text, short])
-    order = np.lexsort((shingle, text))
-    shingle, text = shingle[order], text[order]
-    new = np.ones(len(text), bool)
-    new[1:] = (text[1:] != text[:-1]) | (shingle[1:] != shingle[:-1])
-    return shingle[new], text[new]
-
-
-def wide_fingerprints(texts: Texts, shingle_words: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """For each text of a slice WIDE_WORDS times 64 bits, set where over half its distinct shingles have them; and how many it has."""
-    shingle, text = shingle_sets(texts, shingle_words)
-    out, sizes = np.zeros((len(texts), WIDE_WORDS), "u8"), np.bincount(text, minlength=len(texts))
-    there, first, counts = np.unique(text, return_index=True, return_counts=True)
-    if not len(there):
-        return out, sizes
-    for k in range(WIDE_WORDS):
-        bits = mix(shingle + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))).view("u1").reshape(-1, 8)
-        ones = np.add.reduceat(np.unpackbits(bits, axis=1, bitorder="little"), first, axis=0, dtype="i4")
-        out[there, k] = np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view("<u8").ravel()
-    return out, sizes
-
-
-def _wide_table(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.ArrayType(T.LongType())),
-                           T.StructField("segments", T.ArrayType(T.IntegerType())), T.StructField("sketch", T.IntegerType())])
-
-    def run(batches):
-        for batch in batches:
-            for first, texts in slices(batch.column(1), lower=True):
-                fps, sizes = wide_fingerprints(texts, shingle_words)
-                steps = np.minimum(np.log(np.maximum(sizes, 1)) / np.log(1.1), 127).astype("i4")  # up to 180,000 shingles; one step beyond
-                sketch = (fps[:, -1] >> np.uint64(40)).astype("i4") | steps << 24
-                bits = np.unpackbits(fps.view("u1").reshape(len(fps), -1), axis=1, bitorder="little")[:, :WIDE_SEGMENTS * WIDE_WIDTH]
-                segments = bits.reshape(len(fps), WIDE_SEGMENTS, WIDE_WIDTH) @ (1 << np.arange(WIDE_WIDTH, dtype="i4"))
-                yield pa.record_batch([batch.column(0).slice(first, len(texts)), pa.array(list(fps.view("i8")), pa.list_(pa.int64())),
-                                       pa.array(list(segments.astype("i4")), pa.list_(pa.int32())), pa.array(sketch, pa.int32())], schema.names)
-
-    return docs.where(F.col(id_col).isNotNull()).select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
-
-
-def _candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (src, dst, bits) of which the complete fingerprints differ in WIDE_BITS bits or less, as a written table."""
-    bits = sum((F.bit_count(F.col("a")[k].bitwiseXOR(F.col("b")[k])) for k in range(WIDE_WORDS)), F.lit(0))
-    return materialize(
-        pairs.distinct().join(classes.select(F.col("rep").alias("src"), F.col("fp").alias("a")), "src")
-        .join(classes.select(F.col("rep").alias("dst"), F.col("fp").alias("b")), "dst")
-        .select("src", "dst", bits.alias("bits")).where(F.col("bits") <= WIDE_BITS), "wide")
-
-
-def _sets(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
-    """(id, shingles) of the documents in pairs, as a written table: the sorted hashes of the distinct shingles, little-endian.
-    A repeated id has a row for each of its sets."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("shingles", T.BinaryType())])
-
-    def run(batches):
-        for batch in batches:
-            for first, texts in slices(batch.column(1), lower=True):
-                shingle, text = shingle_sets(texts, shingle_words)
-                at = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
-                yield pa.record_batch([batch.column(0).slice(first, len(texts)), pa.array(
-                    [shingle[a:b].astype("<u8").tobytes() for a, b in zip(at, at[1:])], pa.binary())], schema.names)
-
-    wanted = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("__text")).join(wanted, "id", "left_semi")
-    return materialize(rows.mapInArrow(run, schema).distinct(), "sets")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (src, dst) of which the shingle sets have a Jaccard similarity of SIMILARITY or more, as a written table."""
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                total = len(a) + len(b)
-                both = total - len(np.union1d(a, b))
-                keep.append(both >= SIMILARITY * (total - both))
-            yield pa.record_batch([batch.column("src"), batch.column("dst")], ["src", "dst"]).filter(pa.array(keep, pa.bool_()))
-
-    both = (pairs.select("src", "dst").join(sets.select(F.col("id").alias("src"), F.col("shingles").alias("x")), "src")
-            .join(sets.select(F.col("id").alias("dst"), F.col("shingles").alias("y")), "dst"))
-    return materialize(both.mapInArrow(run, pairs.select("src", "dst").schema).distinct(), "wide")
-
-
-def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components; what is in none is alone."""
-    ends = (pairs.join(components.select(F.col("node").alias("src"), F.col("component").alias("__a")), "src", "left")
-            .join(components.select(F.col("node").alias("dst"), F.col("component").alias("__b")), "dst", "left"))
-    return ends.where(F.coalesce("__a", "src") != F.coalesce("__b", "dst")).select("src", "dst")
-
-
-def _stars(components: DataFrame) -> DataFrame:
-    return components.where("node != component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, crowd: int = 4) -> DataFrame:
-    """(id_col, component_id) of each document that is linked to another: near copies on word shingles.
-
-    Links join documents whose sets of ``shingle_words``-word shingles (A-Z and other letters in lower case) have a
-    Jaccard similarity of SIMILARITY or more. Candidates are found by 256-bit fingerprints that differ in WIDE_BITS bits or
-    less, and each is verified by its sets, unless verified pairs connect it already: first the nearest candidate of each, so a large group
-    needs about one comparison a member. Each distinct fingerprint is entered under the one-bit Hamming balls of its ten segments, so those within two bits
-    in a segment meet. Values that more than ``crowd`` fingerprints share are searched in two steps that emit no pairs
-    within a group: first each member is held against the value's smallest member; then only members
-    that are in another component than that one are held against the value's members in other components.
-    Documents with equal fingerprints, also all without a word, are one class from the start; null ids link with nothing.
-    """
-    rows = materialize(_wide_table(docs, id_col, text_col, shingle_words), "wide")
-    classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"),
-                                                 F.first("segments").alias("segments"), F.min("sketch").alias("sketch")), "wide")
-    keys = F.flatten(F.transform("segments", lambda x, i: F.array(*[k.bitwiseOR(F.shiftleft(i, WIDE_WIDTH)) for k in _ball(x, WIDE_WIDTH)])))
-    entered = classes.select("rep", F.col("sketch").alias("s"), F.explode(keys).alias("key"))
-    low = (1 << 24) - 1
-    close = lambda a, b: (f"(bit_count(({a} ^ {b}) & {low}) <= {SKETCH_BITS} AND "
-                          f"abs(shiftright({a}, 24) - shiftright({b}, 24)) <= {SIZE_STEPS})")
-    shared = materialize(entered.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "wide")
-    few = (shared.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list(F.struct("rep", "s")).alias("m"))
-           .select(F.explode(F.expr(f"""flatten(transform(m, (x, i) -> transform(
-               filter(slice(m, i + 2, size(m)), y -> {close("x.s", "y.s")}),
-               y -> struct(least(x.rep, y.rep) AS src, greatest(x.rep, y.rep) AS dst))))""")).alias("p")).select("p.src", "p.dst"))
-    crowded = shared.where(F.col("n") > crowd).select("key", "rep", "s")
-    leaders = crowded.groupBy("key").agg(F.min(F.struct("rep", "s")).alias("l")).select("key", F.col("l.rep").alias("leader"), F.col("l.s").alias("ls"))
-    led = crowded.join(leaders, "key")
-    starred = led.where((F.col("rep") != F.col("leader")) & F.expr(close("s", "ls"))).select(F.col("leader").alias("src"), F.col("rep").alias("dst"))
-    near = _candidates(few.union(starred), classes)
-    sets = _sets(near, docs, id_col, text_col, shingle_words)
-    nearest = near.groupBy("dst").agg(F.min_by("src", F.struct("bits", "src")).alias("src")).select("src", "dst")
-    linked = materialize(connected_components(_verified(nearest, sets)), "wide")
-    first = materialize(connected_components(_stars(linked).union(_verified(_apart(near, linked), sets))), "wide")
-
-    named = led.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "s", "leader", F.coalesce("component", "rep").alias("c"))
-    named = named.join(first.select(F.col("node").alias("leader"), F.col("component").alias("lc")), "leader", "left").withColumn("lc", F.coalesce("lc", "leader"))
-    named = materialize(named.select("key", "rep", "s", "c", "lc"), "wide")
-    rest = named.where("c != lc").select("key", F.col("rep").alias("r2"), F.col("s").alias("s2"), F.col("c").alias("c2"))
-    across = (named.join(rest, "key").where((F.col("c") != F.col("c2")) & F.expr(close("s", "s2")))
-              .select(F.least("rep", "r2").alias("src"), F.greatest("rep", "r2").alias("dst")))
-    near = _candidates(across, classes)
-    components = connected_components(_stars(first).union(_verified(near, _sets(near, docs, id_col, text_col, shingle_words))))
-    named = (classes.join(components.withColumnRenamed("node", "rep"), "rep", "left")
-             .where(F.col("component").isNotNull() | (F.col("copies") > 1)).select("fp", F.coalesce("component", "rep").alias("component_id")))
-    return rows.select(F.col("id").alias(id_col), "fp").join(named, "fp").select(id_col, "component_id")
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5) -> DataFrame:
-    """``docs`` without near copies: of each group the document of the smallest id stays, with all columns.
-
-    Rows that repeat an id stay or go together; rows of null id stay.
-    """
-    found = similar_documents(docs, id_col, text_col, shingle_words)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)

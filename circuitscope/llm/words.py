@@ -17,7 +17,8 @@ IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
 IN_LETTERS = np.zeros(256, bool)
 IN_LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _BASE, _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
-_powers = np.ones(1, "u8")
+#: Of eight bytes, the first k.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], "u8")
 
 
 @dataclass
@@ -98,19 +99,24 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def hash_words(texts: Texts, words: Words) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; equal words are taken for the same word by it."""
-    global _powers
+    """A 64-bit hash of each word's bytes; equal words are taken for the same word by it.
+
+    A word is the sum of its 8-byte lanes, each mixed with its place, so no algebra of repeated or swapped
+    letters makes two words meet, as it does with polynomials.
+    """
     if not len(words.starts):
         return np.zeros(0, "u8")
     lengths = words.ends - words.starts
-    if len(_powers) <= (longest := int(lengths.max())):
-        _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(256, longest), _BASE)]))
-    first = np.cumsum(lengths) - lengths
-    shift = np.repeat(words.starts - first, lengths)
-    at = np.arange(len(shift))
-    within = at - np.repeat(first, lengths)
-    sums = np.add.reduceat((texts.data[at + shift].astype("u8") + np.uint64(1)) * _powers[within], first)
-    return mix(sums + lengths.astype("u8") * _K2)
+    padded = np.concatenate([texts.data, np.zeros(8, "u1")])
+    at_byte = np.ndarray(len(texts.data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    lanes = (lengths + 7) >> 3
+    if int(lanes.max(initial=1)) <= 1:
+        return mix(mix((at_byte[words.starts] & _MASKS[lengths]) + _K1) + lengths.astype("u8") * _K2)
+    first = np.cumsum(lanes) - lanes
+    within = np.arange(int(lanes.sum())) - np.repeat(first, lanes)
+    values = at_byte[np.repeat(words.starts, lanes) + 8 * within] & _MASKS[np.minimum(np.repeat(lengths, lanes) - 8 * within, 8)]
+    place = within.astype("u8") + np.uint64(1)
+    return mix(np.add.reduceat(mix(values + mix(place * _K1) * (place > 1) + _K1), first) + lengths.astype("u8") * _K2)
 
 
 def same_bytes(texts: Texts, words: Words, other: np.ndarray) -> bool:

@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from circuitscope.llm import embeddings, simhash
+from circuitscope.llm import embeddings, near_copies, simhash
 from circuitscope.llm.components import connected_components
 
 
@@ -120,11 +120,11 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     kept.add(1000)
     rows += [(None, "no id"), (5000, "short one"), (5001, "short one"), (5002, None), (5003, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rep", F.lit(1)).withColumn("key", F.lit("k"))
-    left = simhash.deduplicate(docs)
+    left = near_copies.deduplicate(docs)
     ids = [r.doc_id for r in left.collect()]
     assert left.columns == docs.columns
     assert set(ids) == kept | {None, 5000, 5002} and len(ids) == len(set(ids))
-    assert simhash.deduplicate(docs.limit(0)).count() == 0
+    assert near_copies.deduplicate(docs.limit(0)).count() == 0
 
 
 def test_near_copies_have_the_exact_similarity(spark):
@@ -140,12 +140,65 @@ def test_near_copies_have_the_exact_similarity(spark):
         if 0.68 <= j <= 0.92:
             (linked if j >= 0.8 else apart).append(k)
         rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
-    got = {r.doc_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id for r in near_copies.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(linked) > 80 and len(apart) > 50
     assert not [k for k in apart if 2 * k in got or 2 * k + 1 in got]
     assert sum(2 * k in got and 2 * k + 1 in got for k in linked) >= 0.96 * len(linked)
 
 
+def similar(texts):
+    sets = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in texts]
+    return [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+
+def test_a_large_group_of_near_copies_loses_no_link(spark):
+    rng = random.Random(31)
+    base = words(rng, 120)
+    texts = [base]
+    for _ in range(500):  # from nearly equal to far apart; some differ from the base in one way together
+        other = edited(rng, base, rng.randint(1, 16))
+        texts.append(edited(rng, rng.choice(texts), rng.randint(1, 3)) if rng.random() < 0.3 else other)
+    want = groups(range(len(texts)), similar(texts))
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(10_000 + k, " ".join(base)) for k in range(20)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in near_copies.similar_documents(docs).collect()}
+    linked = {k for k, c in want.items() if sum(v == c for v in want.values()) > 1}
+    assert len(set(want.values())) > 50  # many that no link connects to the rest
+    assert all(want[k] == want[got[k]] for k in got if k < 10_000 and got[k] < 10_000)  # nothing is joined that links don't join
+    assert len([k for k in linked if got.get(k) == want[k]]) >= 0.97 * len(linked)
+    assert {got[10_000 + k] for k in range(20)} == {got[0]}
+
+
+def test_links_within_chunks():
+    rng = random.Random(8)
+    base = words(rng, 60)
+    texts = [base] + [edited(rng, rng.choice([base, words(rng, 60)]), rng.randint(0, 3)) for _ in range(60)] + [[]]
+    pool = {}
+    sets = [np.array(sorted({pool.setdefault(tuple(t[i:i + 5]), len(pool) * 2**40) for i in range(len(t) - 4)}), "u8") for t in texts]
+    want = groups(range(len(texts)), similar(texts[:-1]))
+    done = np.array([want[k] == want[0] for k in range(len(texts))]) & (np.arange(len(texts)) % 2 == 0)
+    links = near_copies.links_within(np.arange(len(texts)), sets, done, None)
+    assert groups(range(len(texts)), links + [(0, int(k)) for k in np.flatnonzero(done)]) == want
+    side = np.arange(len(texts)) % 3 == 0
+    assert all(side[a] != side[b] for a, b in near_copies.links_within(np.arange(len(texts)), sets, done & False, side))
+
+
+def test_tables_grow_with_the_texts():
+    assert near_copies.tables_for(1000) == near_copies.Tables(10, 24) and near_copies.tables_for(1000).limit == 56
+    wider = near_copies.tables_for(50_000_000)
+    assert wider.width == 32 and wider.segments > 20 and 64 * wider.words >= wider.segments * wider.width
+
+
+def test_wider_tables_find_the_same(spark):
+    rng = random.Random(3)
+    bases = [words(rng, 200) for _ in range(30)]
+    rows = [(2 * k, " ".join(b)) for k, b in enumerate(bases)] + [(2 * k + 1, " ".join(edited(rng, b, 2))) for k, b in enumerate(bases)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_copies.similar_documents(docs, tables=near_copies.tables_for(10**9)).collect()}
+    assert got == {k: k // 2 * 2 for k in range(60)}
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((40, 64)).astype("f4")

@@ -238,3 +238,29 @@ def test_other_templates_keep_texts_apart(spark):
     r = chat.format_conversations(rows, template).withColumn("t", chat.read_turns(chat.formatted_text(), template)).withColumn("l", chat.loss_text()).first()
     assert [x.text for x in r.t] == ["</s>[INST] ok [/INST]"] * 2 and r.l == "</s>[INST] ok [/INST]"
     assert hashlib.sha256(r.l.encode()).hexdigest() == hashlib.sha256(b"</s>[INST] ok [/INST]").hexdigest()
+
+
+def thue_morse(doublings):
+    a, b = "a", "b"
+    for _ in range(doublings):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_of_equal_letter_sums_have_different_hashes():
+    from circuitscope.llm.words import find_words, hash_words, slices
+
+    words = [w for k in range(3, 17) for w in thue_morse(k)] + ["a" * k for k in range(1, 40)] + ["abcdefgh12345678", "12345678abcdefgh"]
+    (_, texts), = slices(pa.array([" ".join(words), "é " + " ".join(words[::-1])]), size=1 << 30)
+    found = find_words(texts)
+    hashes = hash_words(texts, found).tolist()
+    assert len(set(hashes[:len(words)])) == len(set(words))
+    assert hashes[:len(words)] == hashes[len(words) + 1:][::-1]  # whatever stands about a word
+
+
+def test_quality_counts_of_such_words(spark):
+    a, b = thue_morse(10)
+    other = " ".join(f"w{k}" for k in range(50))
+    docs = spark.createDataFrame([(1, f"x {a} y x {b} y {other}"), (2, f"x {a} y x {a} y {other}")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id: r.n_repeat_words for r in quality.quality(docs, labels).collect()} == {1: 0, 2: 6}

@@ -137,3 +137,18 @@ def test_packing_counts_the_library_tokens(spark, library, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     for packed in (QUERIES["op5_packing"](spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, docs, str(tmp_path))):
         assert {r.doc_id: r.n for r in packed.groupBy("doc_id").agg(F.sum("piece_tokens").alias("n")).collect()} == want
+
+
+def test_words_that_a_hash_may_confuse(spark, monkeypatch):
+    from circuitscope.llm import bpe
+    from circuitscope.llm.words import slices
+
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    texts = [f"one {a} two {b} one", f"{b} {a}", None]
+    (_, part), = slices(pa.array(texts))
+    want = [i for t in texts for i in bpe.load(bpe.vocabulary_path()).encode(t or "", add_special_tokens=False).ids]
+    assert bpe.CachedEncoder(bpe.vocabulary_path()).encode(part)[0].tolist() == want
+    monkeypatch.setattr(bpe, "hash_words", lambda texts, words: words.ends.astype("u8") % np.uint64(2))  # all but two words collide
+    assert bpe.CachedEncoder(bpe.vocabulary_path()).encode(part)[0].tolist() == want
