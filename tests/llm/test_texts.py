@@ -187,7 +187,7 @@ def test_licences(spark):
 
 
 def test_every_notice_of_a_line(spark):
-    gpl, mit = licenses.TEMPLATES["GPL-3.0-line"], "Released under the MIT License."
+    gpl, mit = licenses.TEMPLATES["GPL-3.0/line"], "Released under the MIT License."
     apache = licenses.TEMPLATES["Apache-2.0"].replace("governing", "concerning")
     rows = [(1, "All rights reserved. " + gpl), (2, f"{mit} {mit}"), (3, mit + " in the end " + "of a word the " * 50 + gpl), (4, apache),
             (5, "the program and the terms of the text " * 40 + licenses.TEMPLATES["GPL-3.0"].replace("the GNU", "a GNU") + " the end of the text" * 40)]
@@ -206,13 +206,61 @@ def test_notices_in_any_wrapping(spark):
         for width, mark in ((20, ""), (60, " * "), (72, ""), (79, "# ")):
             lines = "\n".join(mark + line for line in textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False))
             rows.append((k, (prose + "\n") * 30 + "\n" + lines + "\n\n" + (prose + "\n") * 30))
-            names[k] = name.removesuffix("-line")
+            names[k] = name.split("/")[0]
             k += 1
     got = {r.doc_id: r.findings for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {k: [(f.license, f.first_line, f.share, f.missing, f.added) for f in v] for k, v in got.items()} == {
         k: [(name, 31, 1.0, [], [])] for k, name in names.items()}
 
 
+def test_deciding_words_and_clauses(spark):
+    line, bsd2, bsd3 = licenses.TEMPLATES["GPL-3.0/line"], licenses.TEMPLATES["BSD-2-Clause"], licenses.TEMPLATES["BSD-3-Clause"]
+    numbered = bsd3.replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in").replace("Neither", "3. Neither")
+    gpl2 = licenses.TEMPLATES["GPL-2.0"]
+    rows = [(1, line.replace("3", "4")), (2, gpl2), (3, gpl2.replace("GNU General", "GNU Lesser General")), (4, bsd2), (5, numbered), (6, licenses.TEMPLATES["MIT"]),
+            (7, gpl2.replace("version 2", "version 5")), (8, "Licensed under CC BY-ND 4.0."), (9, gpl2 + "\n" + gpl2), (10, "words without any of them " * 9)]
+    got = {r.doc_id: [f.license for f in r.findings] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: ["GPL-2.0"], 3: [], 4: ["BSD-2-Clause"], 5: ["BSD-3-Clause"], 6: ["MIT"], 7: [], 8: [], 9: ["GPL-2.0"] * 2, 10: []}
+
+
+def common_length(a, b):
+    """The most words of two lists in the same order."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+    return row[-1]
+
+
+def test_every_template_against_every_window():
+    """A place of brute force: a window, no longer than twice a template, with MIN_SHARE of its words in order and nothing decisive changed."""
+    rng = random.Random(14)
+    templates = {n: t for n, t in licenses.TEMPLATES.items() if len(t.split()) < 30}
+    scanner = licenses.Scanner(templates)
+    for _ in range(60):
+        name = rng.choice(sorted(templates))
+        words = licenses._WORD.findall(templates[name].lower())
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(words))
+            words[at:at + rng.randint(0, 1)] = [rng.choice(["of", "other", "4", "the"])] if rng.random() < 0.6 else []
+        text = ["prose"] * rng.randint(0, 4) + words + ["more"] * rng.randint(0, 4)
+        worth = {}
+        for n, wanted in scanner.words.items():
+            for a in range(len(text)):
+                for b in range(a + 1, min(len(text), a + 2 * len(wanted)) + 1):
+                    part = text[a:b]
+                    if part[0] not in wanted or part[-1] not in wanted or (same := common_length(wanted, part)) < licenses.MIN_SHARE * len(wanted):
+                        continue
+                    if scanner.confirmed(n, part):
+                        worth[n] = max(worth.get(n, -99), 3 * same - len(wanted) - len(part))
+        got = scanner.scan(" ".join(text))
+        assert bool(got) == bool(worth)
+        if got:
+            assert got[0]["license"] in {n.split("/")[0] for n in worth}
+            assert worth[max(worth, key=worth.get)] == max(v for n, v in worth.items() if n.split("/")[0] in {f["license"] for f in got})
+
+
 def test_chat_round_trip_and_masks(spark):
     nasty = ["<|end|>", "a<|turn|>b\\c\\.", "<|text|><|text|>", "<<|end|>", "\\", "\n", "", None, "<|", "|end|>", "</s>[INST] ok [/INST]"]
     rows = [(1, k, "user" if k % 2 == 0 else "assistant", t) for k, t in enumerate(nasty + ["last"])]
