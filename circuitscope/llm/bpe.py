@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
 import unicodedata
 import zlib
@@ -19,6 +18,8 @@ from .words import Texts, find_words, hash_words, same_bytes
 
 #: Documents are dealt with in blocks of about so many bytes of text, or of one document that is longer.
 BLOCK_BYTES = 8 << 20
+#: A bucket of the distinct-word table takes the words of so many bytes of text; its lists have about a tenth of them.
+BUCKET_BYTES = 64 << 20
 #: Words that are encoded in one call of the library.
 CALL_WORDS = 20_000
 #: Words that a worker's cache holds in each of its two generations; see :class:`CachedEncoder`.
@@ -152,22 +153,21 @@ class CachedEncoder:
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
     """(id, piece) of a vocabulary: a table whose size the vocabulary file fixes."""
-    vocabulary = load(path).get_vocab(with_added_tokens=True)
+    tokenizer = load(path)
+    if tokenizer.decoder is not None:
+        raise ValueError(f"{path} has a decoder of its own; joined pieces would not be its text")
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
     return spark.createDataFrame(pa.table({"id": pa.array(vocabulary.values(), pa.int32()), "piece": pa.array(vocabulary.keys(), pa.string())}))
 
 
-_pieces: dict[str, list[str]] = {}
-
-
-def piece_list(path: str) -> list[str]:
-    """The piece of each id of a vocabulary; one list a process."""
-    if path not in _pieces:
-        vocabulary = load(path).get_vocab(with_added_tokens=True)
-        found = [""] * (max(vocabulary.values()) + 1)
-        for piece, i in vocabulary.items():
-            found[i] = piece
-        _pieces[path] = found
-    return _pieces[path]
+def _piece_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(vocabulary, pieces): the table of :func:`pieces` as one row, with the piece of each id at its place."""
+    found = pieces(spark, path)
+    listed = found.agg(F.array_sort(F.collect_list(F.struct("id", "piece"))).alias("p"), F.max("id").alias("most"))
+    by_id = F.map_from_entries("p")
+    return listed.select(F.lit(path).alias("vocabulary"),
+                         F.when(F.size("p") == F.col("most") + 1, F.col("p.piece")).otherwise(
+                             F.transform(F.sequence(F.lit(0), F.col("most")), lambda i: F.try_element_at(by_id, i))).alias("pieces"))
 
 
 def _squeeze(numbers: np.ndarray) -> bytes:
@@ -273,24 +273,24 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     of the ids as decimals joined by a space, and of the decoded text.
 
     Texts are split where they are scanned, into blocks of bounded size; a block lists its distinct words
-    and each place's word. The lists of all blocks meet in the distinct-word table, dealt by hash over twice
-    spark.sql.shuffle.partitions buckets, where each word is encoded once; the ids go back to the blocks and are joined by position. A word so costs an
-    entry for each block that has it, not for each place, and a hot word no more than any. The
-    pieces are joined to the ids from the vocabulary's table, which each task holds whole: the file bounds it.
-    Without a decoder in the vocabulary file the library joins pieces by a space, and so does this.
+    and each place's word. The lists of all blocks meet in the distinct-word table, dealt by hash over buckets whose number
+    grows with the bytes of text, where each word is encoded once; the ids go back to the blocks and are joined by position. A word so costs an
+    entry for each block that has it, not for each place, and a hot word no more than any. The id
+    lists are decoded by a broadcast join with the vocabulary's pieces, a row for each vocabulary, whose size the file fixes.
+    Without a decoder in the vocabulary file the library joins pieces by a space, and so does this; a file with one is an error.
     Null and empty texts have no ids; repeated rows stay repeated; long texts are whole.
     """
-    path = path or vocabulary_path()
+    path, spark = path or vocabulary_path(), docs.sparkSession
+    lists = F.broadcast(_piece_lists(spark, path))
     blocks = _blocks(docs, id_col, text_col, block_bytes).repartition("block")
-    buckets = max(24, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    result = [("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digests_only else [
-        ("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())]
-    schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), *[T.StructField(n, t) for n, t in result]])
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
+    buckets = max(24, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    schema = T.StructType([T.StructField("vocabulary", T.StringType()), T.StructField("docs", T.ArrayType(docs.schema[id_col].dataType)),
+                           T.StructField("ids", T.ArrayType(T.ArrayType(T.IntegerType())))])
 
     def rebuild(block: pa.Table, words: pa.Table) -> pa.Table:
-        piece_of = piece_list(path)
         row = {name: block.column(name)[0] for name in block.schema.names}
-        counts, places = row["counts"].as_py(), _expand(row["places"].as_py()).astype("i8")
+        counts, places = row["counts"].values.to_numpy(), _expand(row["places"].as_py()).astype("i8")
         order, _ = _dealt(_expand_words(row["words"].as_py()), buckets)
         words = words.sort_by("bucket")
         none = [np.zeros(0, "u4")]
@@ -298,30 +298,29 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
         flat = np.concatenate([_expand(x) for x in words.column("ids").to_pylist()] or none)
         if len(lengths) != len(order):
             raise ValueError("a block's words are not those it listed")
-        ends, each = np.cumsum(lengths).tolist(), flat.tolist()
-        slices: list[list[int]] = [[]] * len(order)
-        for k, a, b in zip(order, [0, *ends], ends):
-            slices[k] = each[a:b]
-        lengths = np.fromiter(map(len, slices), "i8", len(slices))
-        text = [" ".join([piece_of[i] for i in ids]) for ids in slices]
-        decimals = [" ".join(map(str, ids)) for ids in slices] if digests_only else []
-        columns, at = ([], [], []), 0
-        for count in counts:
-            some = places[at:at + count]
-            at += count
-            some = some[lengths[some] > 0].tolist()
-            columns[0].append(int(sum([len(slices[k]) for k in some])))
-            decoded = " ".join([text[k] for k in some])
-            if digests_only:
-                columns[1].append(hashlib.sha256(" ".join([decimals[k] for k in some]).encode()).hexdigest())
-                columns[2].append(hashlib.sha256(decoded.encode()).hexdigest())
-            else:
-                columns[1].append([i for k in some for i in slices[k]])
-                columns[2].append(decoded)
-        kinds = [pa.int64(), *([pa.string()] * 2 if digests_only else [pa.list_(pa.int32()), pa.string()])]
-        return pa.table([row["ids"].values, *[pa.array(c, k) for c, k in zip(columns, kinds)]], schema.names)
-
-    return blocks.groupBy("block").cogroup(_encoded_words(blocks, path, buckets).groupBy("of")).applyInArrow(rebuild, schema)
+        number, first = np.zeros(len(order), "i8"), np.cumsum(lengths) - lengths
+        number[order] = np.arange(len(order))  # of each of the block's words, its place among the encoded ones
+        which = number[places]
+        n = lengths[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(first[which] - ends[:-1], n)
+        at += np.arange(len(at))
+        offsets = ends[np.concatenate([[0], np.cumsum(counts)])]
+        ids = pa.ListArray.from_arrays(pa.array(offsets.astype("i4")), pa.array(flat[at].astype("i4")))
+        outer = pa.array([0, len(counts)], pa.int32())
+        return pa.table([pa.array([path]), pa.ListArray.from_arrays(outer, row["ids"].values), pa.ListArray.from_arrays(outer, ids)], schema.names)
+
+    encoded = blocks.groupBy("block").cogroup(_encoded_words(blocks, path, buckets).groupBy("of")).applyInArrow(rebuild, schema)
+    joined = encoded.join(lists, "vocabulary")
+    decoded = lambda ids: F.array_join(F.transform(ids, lambda i: F.get("pieces", i)), " ")
+    if digests_only:
+        digests = F.transform("ids", lambda ids: F.struct(F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), " "), 256).alias("ids_sha256"),
+                                                          F.sha2(decoded(ids), 256).alias("decoded_sha256")))
+        rows = joined.select(F.inline(F.arrays_zip(F.col("docs").alias("d"), digests.alias("x"))))
+        return rows.select(F.col("d").alias(id_col), "x.*")
+    texts = F.transform("ids", lambda ids: F.struct(F.size(ids).cast("long").alias("n_tokens"), ids.alias("ids"), decoded(ids).alias("decoded")))
+    rows = joined.select(F.inline(F.arrays_zip(F.col("docs").alias("d"), texts.alias("x"))))
+    return rows.select(F.col("d").alias(id_col), "x.*")
 
 
 def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
