@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: About so many pieces are packed together, in one task; a corpus is that many independent packings.
 GROUP_ITEMS = 50_000
+#: Equal rows are numbered in runs of so many.
+RUN = 4096
 
 
 def sequence_cost(capacity: int) -> float:
@@ -68,18 +70,21 @@ def pack(items: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens",
     """(id_col, piece, piece_start, piece_tokens, bin, bin_offset, capacity): every token of every row in one bin.
 
     Items longer than the largest capacity are cut into pieces of it and a rest; no token is dropped. Rows of null or
-    no length need no place and give no row. Only ids and lengths are shuffled. Pieces are dealt by hash
-    into groups of about GROUP_ITEMS; a salt from the row's place keeps a repeated id from filling a group.
+    no length need no place and give no row. Only ids and lengths are shuffled. Pieces are dealt by hash of id, length and piece
+    into groups of about GROUP_ITEMS, so the bins don't depend on how the rows are partitioned, nor on a task that runs again. Rows that
+    repeat id and length are counted first and numbered, so they spread over the groups.
     """
     if not capacities or min(capacities) < 1:
         raise ValueError("capacities must be positive")
     largest = max(capacities)
     length = F.col(length_col).cast("long")
-    pieces = (items.select(F.col(id_col).alias("__id"), length.alias("__n"), F.monotonically_increasing_id().alias("__row")).where("__n > 0")
-              .select("__id", "__n", "__row", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / largest))).alias("piece"))
-              .select("__id", "piece", F.least(F.lit(largest), F.col("__n") - F.col("piece") * largest).alias("n"), "__row"))
+    equal = items.select(F.col(id_col).alias("__id"), length.alias("__n")).where("__n > 0").groupBy("__id", "__n").agg(F.count("*").alias("times"))
+    copies = (equal.select("__id", "__n", "times", F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / RUN))).alias("run"))
+              .select("__id", "__n", F.explode(F.sequence(F.col("run") * RUN, F.least("times", (F.col("run") + 1) * RUN) - 1)).alias("copy")))
+    pieces = copies.select("__id", "__n", "copy", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / largest))).alias("piece"))
     groups = max(1, -(-int(items.agg(F.coalesce(F.sum(F.ceil(length / largest)), F.lit(0))).first()[0]) // GROUP_ITEMS))
-    dealt = pieces.select(F.pmod(F.xxhash64("__row", "piece"), F.lit(groups)).alias("group"), "__id", "piece", "n")
+    dealt = pieces.select(F.pmod(F.xxhash64("__id", "__n", "copy", "piece"), F.lit(groups)).alias("group"), "__id", "piece",
+                          F.least(F.lit(largest), F.col("__n") - F.col("piece") * largest).alias("n"))
     id_type = items.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type), *[T.StructField(c, T.LongType()) for c in (
         "piece", "piece_start", "piece_tokens", "bin", "bin_offset", "capacity")]])

@@ -152,3 +152,47 @@ def test_words_that_a_hash_may_confuse(spark, monkeypatch):
     assert bpe.CachedEncoder(bpe.vocabulary_path()).encode(part)[0].tolist() == want
     monkeypatch.setattr(bpe, "hash_words", lambda texts, words: words.ends.astype("u8") % np.uint64(2))  # all but two words collide
     assert bpe.CachedEncoder(bpe.vocabulary_path()).encode(part)[0].tolist() == want
+
+
+def plain_best_fit(lengths, capacities, cost):
+    """The same rules, bin by bin and item by item."""
+    bins, placed = [], []
+    for i, length in enumerate(lengths):
+        open_ = [b for b in bins if b["room"] >= length]
+        if open_:
+            b = min(open_, key=lambda b: b["room"])
+            same = [x for x in bins if x["room"] == b["room"]]
+            b = max(same, key=lambda x: x["at"])  # of equal room the one that came to it last
+        else:
+            def rate(c):
+                return cost(c) / min(c, length + sum(n for n in lengths[i + 1:] if n <= c - length))
+            c = min((c for c in sorted(capacities) if c >= length), key=rate)
+            b = {"number": len(bins), "room": c, "used": 0}
+            bins.append(b)
+        placed.append((b["number"], b["used"]))
+        b["used"] += length
+        b["room"] -= length
+        b["at"] = i
+    return placed, [min(c for c in capacities if c >= b["used"]) for b in bins]
+
+
+def test_packing_against_plain_rules():
+    rng = np.random.default_rng(9)
+    for _ in range(120):
+        capacities = tuple(sorted(rng.choice(np.arange(8, 70), 3, replace=False).tolist()))
+        lengths = np.sort(rng.integers(1, max(capacities) + 1, rng.integers(1, 60)))[::-1]
+        bins, offsets, fitted = packing.best_fit(lengths, capacities)
+        want, sizes = plain_best_fit(lengths.tolist(), capacities, packing.sequence_cost)
+        assert list(zip(bins.tolist(), offsets.tolist())) == want and fitted.tolist() == sizes
+
+
+def test_packing_is_the_same_for_any_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ITEMS", 40)
+    monkeypatch.setattr(packing, "RUN", 8)
+    rng = np.random.default_rng(10)
+    rows = [(int(k), int(n)) for k, n in enumerate(rng.integers(1, 5000, 200))] + [(7, 300)] * 100 + [(None, 20)] * 30 + [(3, 0), (4, None)]
+    items = spark.createDataFrame(rows, "doc_id long, n_tokens long")
+    key = lambda t: [(x is None, x) for x in t]
+    results = [sorted((tuple(r) for r in packing.pack(items.repartition(n), capacities=(256, 1024)).collect()), key=key) for n in (1, 2, 7)]
+    assert results[0] == results[1] == results[2]
+    assert sum(r[3] for r in results[0]) == sum(n for _, n in rows if n) and len({r[4] >> 24 for r in results[0] if r[0] == 7}) > 3
