@@ -130,13 +130,12 @@ def _close(a: str, b: str) -> str:
     return f"(bit_count(({a} ^ {b}) & {low}) <= {SKETCH_BITS} AND abs(shiftright({a}, 24) - shiftright({b}, 24)) <= {SIZE_STEPS})"
 
 
-def _hubs(crowded: DataFrame, classes: DataFrame, tables: Tables, scratch: Scratch) -> DataFrame:
+def _hubs(crowded: DataFrame, leaders: DataFrame, classes: DataFrame, tables: Tables, scratch: Scratch) -> DataFrame:
     """(rep, hub) of the members of crowded values that have a hub: of the values' leaders that their sketches are close
     to, the one with the most copies, or that one's own; never one with a fingerprint beyond HUB_SHARE.
 
     A hub only says which texts are compared together, so a poor choice costs time and no link.
     """
-    leaders = crowded.groupBy("key").agg(F.min(F.struct((-F.col("copies")).alias("c"), F.col("rep").alias("leader"), F.col("s").alias("ls"))).alias("l"))
     led = crowded.join(leaders.select("key", "l"), "key").withColumn("l", F.when(F.expr(_close("s", "l.ls")), F.col("l")))
     first = scratch.table(led.groupBy("rep").agg(F.min("l").alias("l")).where("l is not null").select("rep", F.col("l.leader").alias("h1")), "hubs")
     two = first.join(first.select(F.col("rep").alias("h1"), F.col("h1").alias("h2")), "h1", "left")
@@ -282,15 +281,16 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                filter(slice(m, i + 2, size(m)), y -> {_close("x.s", "y.s")}),
                y -> struct(least(x.rep, y.rep) AS src, greatest(x.rep, y.rep) AS dst))))""")).alias("p")).select("p.src", "p.dst"))
     crowded = shared.where(F.col("n") > crowd).select("key", "rep", "copies", "s")
-    hubs = scratch.table(_hubs(crowded, classes, tables, scratch), "hubs")
-
-    # members of one value at different hubs: each against those that aren't at the value's commonest hub
-    named = crowded.join(hubs, "rep", "left").select("key", "rep", "s", F.coalesce("hub", "rep").alias("hub"))
-    at = named.groupBy("key", "hub").agg(F.count("*").alias("n"))
-    main = at.groupBy("key").agg(F.max(F.struct("n", "hub")).alias("m"), F.count("*").alias("hubs")).where("hubs > 1").select("key", F.col("m.hub").alias("main"))
-    named = scratch.table(named.join(main, "key"), "named")
-    rest = named.where("hub != main").select("key", F.col("rep").alias("r2"), F.col("s").alias("s2"), F.col("hub").alias("h2"))
-    across = (named.join(rest, "key").where((F.col("hub") != F.col("h2")) & F.expr(_close("s", "s2")))
+    leaders = scratch.table(crowded.groupBy("key").agg(
+        F.min(F.struct((-F.col("copies")).alias("c"), F.col("rep").alias("leader"), F.col("s").alias("ls"))).alias("l")), "leaders")
+    hubs = scratch.table(_hubs(crowded, leaders, classes, tables, scratch), "hubs")
+
+    # members that are at another hub than their value's leader: against all members of the value
+    at = leaders.select("key", F.col("l.leader").alias("leader")).join(hubs.withColumnRenamed("rep", "leader"), "leader", "left").select(
+        "key", F.coalesce("hub", "leader").alias("hub"))
+    apart = crowded.join(at, "key").where("rep != hub").join(hubs, ["rep", "hub"], "left_anti").select(
+        "key", F.col("rep").alias("r2"), F.col("s").alias("s2"))
+    across = (crowded.join(scratch.table(apart, "apart"), "key").where((F.col("rep") != F.col("r2")) & F.expr(_close("s", "s2")))
               .select(F.least("rep", "r2").alias("src"), F.greatest("rep", "r2").alias("dst")))
 
     of = classes.select("rep", "fp").join(hubs, "rep", "left")
