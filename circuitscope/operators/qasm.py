@@ -13,13 +13,19 @@ from .. import schemas
 
 #: Names that are no gate: they count neither as gate nor as layer.
 NOT_GATES = ("barrier", "measure", "reset")
-_STATEMENT = r"(?s)^\s*([A-Za-z_][A-Za-z0-9_]*)\s*(?:\(([^)]*)\))?\s*(.*?)\s*$"
+#: What may stand between parentheses: parentheses in it are matched to this depth.
+DEPTH = 8
+_INSIDE = r"[^()]*+"
+for _ in range(DEPTH):
+    _INSIDE = rf"(?:[^()]++|\({_INSIDE}\))*+"
+_STATEMENT = rf"(?s)^\s*([A-Za-z_][A-Za-z0-9_]*)\s*(?:\(({_INSIDE})\))?\s*(.*?)\s*$"
+_PARAMETER = rf"((?:[^(),]++|\({_INSIDE}\))++)"
 
 
 def _statements(text: Column) -> Column:
     """Statements without comments, definitions, includes and guards."""
     plain = F.regexp_replace(F.regexp_replace(text, r"//[^\n]*", ""), r"(?s)\b(?:gate|opaque)\b[^{;]*(?:\{[^}]*\}|;)", "")
-    parts = F.transform(F.split(plain, ";"), lambda s: F.regexp_replace(F.trim(F.regexp_replace(s, r"\s+", " ")), r"^if ?\([^)]*\) ?", ""))
+    parts = F.transform(F.split(plain, ";"), lambda s: F.regexp_replace(F.trim(F.regexp_replace(s, r"\s+", " ")), rf"^if ?\({_INSIDE}\) ?", ""))
     return F.filter(parts, lambda s: (s != "") & ~s.rlike(r"^(OPENQASM|include)\b"))
 
 
@@ -52,7 +58,8 @@ def parse(circuits: DataFrame) -> DataFrame:
     """``circuits`` (with a text column ``qasm``) and num_qubits, num_clbits, ops, problem.
 
     ``ops``: pos, op, params, qubits, clbits, in order; wires are numbers over all registers. ``problem`` is null for a valid
-    text, else: blank, no_header, no_qubits, unknown_argument or bad_statement. Null texts are blank.
+    text, else: blank, no_header, no_qubits, unknown_argument or bad_statement. Null texts are blank. Parameters are whole expressions,
+    parted at commas outside their parentheses; more than DEPTH of these within each other make an unknown argument.
     """
     staged = (circuits.withColumn("__s", _statements(F.coalesce("qasm", F.lit(""))))
               .withColumn("__q", _registers(F.col("__s"), "qreg")).withColumn("__c", _registers(F.col("__s"), "creg")))
@@ -68,7 +75,7 @@ def parse(circuits: DataFrame) -> DataFrame:
         times = F.when(op == "barrier", F.lit(1)).otherwise(F.greatest(F.lit(1), F.array_max(F.transform(F.concat(q, c), lambda w: F.size(w)))))
         used = lambda wires, i: F.when(op == "barrier", F.flatten(wires)).otherwise(F.flatten(F.transform(
             wires, lambda w: F.when(F.size(w) == 1, w).when(F.size(w) > i, F.array(F.try_element_at(w, i + 1))).otherwise(F.array().cast("array<int>")))))
-        one = lambda i: F.struct(op.alias("op"), F.filter(F.transform(F.split(params, ","), lambda p: F.trim(p)), lambda p: p != "").alias("params"),
+        one = lambda i: F.struct(op.alias("op"), F.filter(F.transform(F.regexp_extract_all(params, F.lit(_PARAMETER)), lambda p: F.trim(p)), lambda p: p != "").alias("params"),
                                  used(q, i).alias("qubits"), used(c, i).alias("clbits"), known.alias("known"))
         return F.transform(F.sequence(F.lit(0), times - 1), one)
 

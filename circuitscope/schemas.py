@@ -10,7 +10,7 @@ DEVICE_INSTRUCTIONS = (
     "device_id string, name string, num_qubits int, qubits array<int>, error double, duration_seconds double")
 JOBS = "circuit string, device string, num_qubits int, key string, source string, output string"
 MANIFEST = (
-    "line_no bigint, timestamp string, key string, circuit string, device string, attempt bigint, status string, mode string, "
+    "line_no struct<modified:timestamp,file:string,block:bigint,row:bigint>, timestamp string, key string, circuit string, device string, attempt bigint, status string, mode string, "
     "phase string, pid bigint, duration_seconds double, passes array<string>, fallback_reason string, rl_status string, error string, traceback string")
 SCORES = "circuit string, device string, device_pos int, score double"
 TRAINING = "circuit string, features map<string,double>, label string"

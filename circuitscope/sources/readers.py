@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import schemas
 from ..functions import scalars as S
@@ -72,9 +72,14 @@ def scan_compiled(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
-    """``value`` with ``line_no``: the place in the log, by file and then by line. Ids grow within and over files in the
-    order in which they are listed; they order rows and need not be dense."""
-    return lines.select(F.monotonically_increasing_id().alias("line_no"), "value")
+    """``value`` with ``line_no``, which orders lines by their place in the log: older files first (by modification time, then path),
+    then by the block of the file and the line in it. It is a struct that compares in that order, whichever task reads a file.
+    ``lines`` are those of ``spark.read.text``. A log of several files must be appended, not rewritten."""
+    at = F.col("_metadata")
+    # row numbers grow within a task, so also within a block, but say nothing across tasks
+    place = F.struct(at["file_modification_time"].alias("modified"), at["file_path"].alias("file"), at["file_block_start"].alias("block"),
+                     F.monotonically_increasing_id().alias("row"))
+    return lines.select(place.alias("line_no"), "value")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -145,11 +150,12 @@ def device_overview(devices: DataFrame) -> DataFrame:
 
 
 def read_actions(spark: SparkSession, path: str) -> DataFrame:
-    """(key, step, action) from worker logs: lines that name a job and the pass chosen for it."""
+    """(key, step, action) from worker logs: lines that name a job and the pass chosen for it; steps count from 1 in log order."""
     line = F.col("value")
-    return (number_lines(spark.read.text(path)).select("line_no", F.regexp_extract(line, r"\bjob=(\S+)", 1).alias("key"),
-                                                       F.regexp_extract(line, r"\bazione_RL=(\S+)", 1).alias("action"))
-            .where("key != '' and action != ''"))
+    found = (number_lines(spark.read.text(path)).select("line_no", F.regexp_extract(line, r"\bjob=(\S+)", 1).alias("key"),
+                                                        F.regexp_extract(line, r"\bazione_RL=(\S+)", 1).alias("action"))
+             .where("key != '' and action != ''"))
+    return found.select("key", F.row_number().over(Window.partitionBy("key").orderBy("line_no")).alias("step"), "action")
 
 
 def read_monitor(spark: SparkSession, path: str) -> DataFrame:

@@ -139,3 +139,13 @@ def test_directory_archive_and_compiled_names(spark, tmp_path):
         z.writestr("../x.qasm", BELL)
     with pytest.raises(Exception, match="unsafe member"):
         readers.scan_archive(spark, str(tmp_path / "bad.zip")).collect()
+
+
+def test_nested_parentheses(spark):
+    deep = "(" * 7 + "1" + ")" * 7
+    text = f'OPENQASM 2.0; qreg q[1]; creg c[1]; rz(sin(pi/(2+1))) q[0]; u3(0.1,(1+2)*3,max(1,(2))) q[0]; if (c==1) rz(-(pi)) q[0]; rz(2*{deep}) q[0]; x q[0];'
+    ops = qasm.parse(spark.createDataFrame([("a", text)], "name string, qasm string")).first()
+    assert ops.problem is None
+    assert [o.params for o in ops.ops] == [["sin(pi/(2+1))"], ["0.1", "(1+2)*3", "max(1,(2))"], ["-(pi)"], [f"2*{deep}"], []]
+    long = 'OPENQASM 2.0; qreg q[1]; rz(' + "+".join(["(1)"] * 20_000) + ") q[0];"
+    assert qasm.parse(spark.createDataFrame([("a", long)], "name string, qasm string")).first().problem is None

@@ -260,7 +260,7 @@ def test_devices_and_documents(spark, tmp_path):
     (tmp_path / "m.csv").write_text("# {}\nr,l,t\n1.5,3,0.2\n")
     assert tuple(readers.read_monitor(spark, str(tmp_path / "m.csv")).first()) == (1.5, 3, 0.2)
     (tmp_path / "w.log").write_text("x job=a|d azione_RL=p1 y\nnothing\nx job=a|d azione_RL=terminate\n")
-    assert [(r.key, r.action) for r in readers.read_actions(spark, str(tmp_path / "w.log")).orderBy("line_no").collect()] == [("a|d", "p1"), ("a|d", "terminate")]
+    assert [tuple(r) for r in readers.read_actions(spark, str(tmp_path / "w.log")).orderBy("key", "step").collect()] == [("a|d", 1, "p1"), ("a|d", 2, "terminate")]
 
 
 def test_model_plan_and_small_fit(spark, tmp_path):
@@ -271,3 +271,15 @@ def test_model_plan_and_small_fit(spark, tmp_path):
     loaded = selector_model.save_checked(model, str(tmp_path / "model"), sampling.balanced_weights(rows, "label"))
     got = loaded.transform(sampling.balanced_weights(rows, "label"))
     assert got.where("prediction = label_index").count() == 24
+
+
+def test_a_small_old_file_comes_before_a_large_new_one(spark, tmp_path):
+    import os
+
+    line = lambda status, attempt: json.dumps({"key": "k", "status": status, "attempt": attempt}) + "\n"
+    (tmp_path / "a.jsonl").write_text(line("success", 2) * 5000 + line("success", 3))
+    (tmp_path / "b.jsonl").write_text(line("timeout", 1))
+    os.utime(tmp_path / "b.jsonl", (1_000_000_000, 1_000_000_000))
+    log = readers.read_manifest(spark, str(tmp_path))
+    assert [(r.status, r.attempt) for r in J.latest_records(log).collect()] == [("success", 3)]
+    assert [(r.attempts, r.status) for r in J.attempts_and_status(log).collect()] == [(3, "success")]
