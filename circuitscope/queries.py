@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import scalars as S
-from .operators import compatibility, devices as D, jobs as J, records as R, retrieval, sampling, scores as C, validation
+from .operators import compatibility, devices as D, jobs as J, qasm as Q, records as R, retrieval, sampling, scores as C, validation
 
 #: The three candidate devices and their qubits.
 DEVICES = (("ibm_falcon_127", 127), ("ibm_falcon_27", 27), ("quantinuum_h2_56", 56))
@@ -199,8 +199,10 @@ def copy_plan(spark, sf_dir):
     from .sources import writers
 
     d = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.sha2("text", 256).alias("sha256"), "doc_id")
-    target = d.where("doc_id % 3 <> 0").select("name", F.when(F.col("doc_id") % 5 == 0, F.lit("old")).otherwise(F.col("sha256")).alias("sha256"))
-    return writers.copy_plan(d.where("doc_id % 2 = 0"), target)
+    # every document is on both sides; at the target some have another name and some another content
+    target = d.select(F.when(F.col("doc_id") % 3 == 0, F.concat("name", F.lit("-moved"))).otherwise(F.col("name")).alias("name"),
+                      F.when(F.col("doc_id") % 5 == 0, F.lit("old")).otherwise(F.col("sha256")).alias("sha256"))
+    return writers.copy_plan(d, target)
 
 
 def validate_plans(spark, sf_dir):
@@ -216,17 +218,189 @@ def validate_plans(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.size("errors").alias("n_errors"), F.array_join("errors", "; ").alias("errors"), "is_valid")
 
 
+#: Wires of the circuits that stand for orders.
+_WIRES = 5
+
+
+def _circuits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as circuits of five qubits: a gate for each line, by line, part and supplier; returned lines couple two qubits, accepted
+    ones turn one by a nested expression, open ones measure."""
+    a = (F.col("l_partkey") % _WIRES).cast("int")
+    b = ((a + 1 + F.col("l_suppkey") % (_WIRES - 1)) % _WIRES).cast("int")
+    gate = F.when(F.col("l_returnflag") == "R", F.format_string("cx q[%d],q[%d];", a, b)).when(
+        F.col("l_returnflag") == "A", F.format_string("rz(pi/(%d+(1)),2) q[%d];", F.col("l_linenumber"), a)).otherwise(F.format_string("measure q[%d] -> c[%d];", a, a))
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("name"), F.struct("l_linenumber", "l_partkey", "l_suppkey", gate.alias("gate")).alias("g"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("g")), lambda g: g["gate"]), "\n")
+    head = F.lit(f'OPENQASM 2.0;\ninclude "qelib1.inc";\nqreg q[{_WIRES}];\ncreg c[{_WIRES}];\n')
+    return lines.groupBy("name").agg(F.concat(head, text, F.lit("\n")).alias("qasm"))
+
+
+def _catalog(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Devices, their edges and their instructions with errors."""
+    devices = spark.sql("""SELECT * FROM VALUES ('ring', 5, array('cx', 'rz', 'measure'), false, 0), ('full', 5, array('cx', 'measure'), true, 1)
+        AS t(device_id, num_qubits, operation_names, all_to_all, device_pos)""")
+    edges = spark.sql("SELECT 'ring' AS device_id, CAST(id AS INT) AS src, CAST((id + 1) % 5 AS INT) AS dst FROM range(5)")
+    one = spark.sql("""SELECT d.device_id, name, array(CAST(id AS INT)) AS qubits, 0.001D * (1 + id) AS error
+        FROM range(5), (VALUES ('ring'), ('full')) AS d(device_id), (VALUES ('rz'), ('measure')) AS n(name)""")
+    two = spark.sql("""SELECT 'full' AS device_id, 'cx' AS name, array(CAST(a.id AS INT), CAST(b.id AS INT)) AS qubits, 0.01D * (1 + a.id) AS error
+        FROM range(5) a JOIN range(5) b ON a.id <> b.id WHERE a.id < 4""")
+    return devices, edges, one.union(two)
+
+
+def _wires_text(column: str):
+    return F.array_join(F.col(column).cast("array<string>"), ",")
+
+
+def circuit_operations(spark, sf_dir):
+    found = Q.explode_ops(Q.parse(_circuits(spark, sf_dir)))
+    return found.select("name", "pos", "op", F.array_join("params", "|").alias("params"), _wires_text("qubits").alias("qubits"), _wires_text("clbits").alias("clbits"))
+
+
+def circuit_problems(spark, sf_dir):
+    """Circuits with what is wrong in them: by key, no header, a wire that is not there, no text, a register missing."""
+    k = F.col("name") % 5
+    broken = F.when(k == 0, F.regexp_replace("qasm", "OPENQASM 2.0;", "")).when(k == 1, F.concat("qasm", F.lit("x q[9];"))).when(k == 2, F.lit(" ")).when(
+        k == 3, F.regexp_replace("qasm", r"qreg q\[\d\];", "")).otherwise(F.col("qasm"))
+    return Q.parse(_circuits(spark, sf_dir).withColumn("qasm", broken)).select("name", "problem")
+
+
+def circuit_op_counts(spark, sf_dir):
+    return Q.op_counts(Q.parse(_circuits(spark, sf_dir)))
+
+
+def circuit_features(spark, sf_dir):
+    found = Q.features(Q.parse(_circuits(spark, sf_dir)))
+    return found.select("name", "depth", "size", *[F.round(c, 9).alias(c) for c in ("program_communication", "critical_depth", "entanglement_ratio", "parallelism", "liveness")])
+
+
+def circuit_gate_counts(spark, sf_dir):
+    return Q.gate_count_features(Q.parse(_circuits(spark, sf_dir)), ["cx", "rz", "h"])
+
+
+def circuit_summary(spark, sf_dir):
+    found = Q.summary(Q.parse(_circuits(spark, sf_dir)))
+    counts = F.array_join(F.transform(F.map_entries("op_counts"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    return found.select("name", "num_qubits", "num_clbits", "depth", "size", counts.alias("op_counts"))
+
+
+def circuit_text(spark, sf_dir):
+    found = Q.parse(_circuits(spark, sf_dir))
+    return found.select("name", Q.to_text(F.col("ops"), F.col("num_qubits"), F.col("num_clbits")).alias("text"))
+
+
+def compiled_checks(spark, sf_dir):
+    devices, edges, _ = _catalog(spark)
+    pairs = Q.parse(_circuits(spark, sf_dir)).select("*", F.explode(F.array(F.lit("ring"), F.lit("full"), F.lit("unknown"))).alias("device"))
+    found = Q.verify_compiled(pairs, devices, edges)
+    return found.select("name", "device", F.array_join("unsupported", ",").alias("unsupported"), "native_basis", "fits_coupling", "executable")
+
+
+def compiled_fidelity(spark, sf_dir):
+    pairs = Q.parse(_circuits(spark, sf_dir)).withColumn("device", F.lit("full"))
+    return Q.expected_fidelity(pairs, _catalog(spark)[2]).select("name", "device", F.round("score", 12).alias("score"))
+
+
+def depth_scores(spark, sf_dir):
+    return Q.critical_depth_score(Q.features(Q.parse(_circuits(spark, sf_dir)))).select("name", F.round("score", 9).alias("score"))
+
+
+def synthesis_limits(spark, sf_dir):
+    operations = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("device_id"), F.when(F.col("l_returnflag") == "N", "barrier").otherwise("ccx").alias("name"),
+                                                          F.when(F.col("l_quantity") == 3, 3).otherwise(2).alias("num_qubits"))
+    return Q.synthesis_limit(operations)
+
+
+def _records(spark, sf_dir):
+    """Parts as past examples: size and price as features, three devices by key; some lack an input or a feature."""
+    k = F.col("p_partkey")
+    by_name = F.when(k % 11 == 0, F.create_map(F.lit("width"), F.col("p_size").cast("double"))).otherwise(
+        F.create_map(F.lit("width"), F.col("p_size").cast("double"), F.lit("cost"), F.col("p_retailprice").cast("double")))
+    backend = lambda name, n: F.struct(F.lit(name).alias("id"), F.lit(n).alias("num_qubits"), F.array(F.lit("cx")).alias("operation_names"))
+    backends = F.when(k % 3 == 0, F.array(backend("a", 5), backend("b", 7))).otherwise(F.array(backend("c", 9)))
+    content = F.struct(F.struct(F.when(k % 2 == 0, "expected_fidelity").otherwise("critical_depth").alias("name"), F.lit("maximize").alias("direction")).alias("objective"),
+                       F.create_map(F.lit("max"), F.lit("1")).alias("user_constraints"),
+                       F.struct(k.cast("string").alias("name"), F.lit("text").alias("qasm2"), F.create_map(F.lit("depth"), F.col("p_size").cast("string")).alias("summary"),
+                                F.struct(by_name.alias("by_name")).alias("features")).alias("circuit"), backends.alias("compatible_backends"))
+    return _table(spark, sf_dir, "part").select(k.alias("record_id"), F.when(k % 13 > 0, content).alias("input"))
+
+
+def nearest_examples(spark, sf_dir):
+    features = F.create_map(F.lit("width"), (F.col("s_suppkey") % 50).cast("double"), F.lit("cost"), (1000 + F.col("s_suppkey")).cast("double"))
+    requests = _table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("request_id"), F.when(F.col("s_suppkey") % 2 == 0, "expected_fidelity").otherwise("critical_depth").alias("figure_of_merit"),
+        features.alias("features"), F.when(F.col("s_suppkey") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("c"), F.lit("x"))).alias("available"))
+    found = retrieval.nearest_examples(requests, _records(spark, sf_dir), 3)
+    return found.select("request_id", "rank", "record_id", F.round("distance", 9).alias("distance"), F.col("prompt_input.circuit.name").alias("shown_name"),
+                        F.size("prompt_input.compatible_backends").alias("shown_backends"))
+
+
+def trace_problems(spark, sf_dir):
+    """Lines as compiled cells with each defect that a learned trace can have."""
+    q = F.col("l_quantity").cast("int") % 7
+    passes = F.when(q == 3, F.array().cast("array<string>")).when(q == 4, F.array(F.lit("fallback:x"), F.lit("terminate"))).when(q == 5, F.array(F.lit("p"))).otherwise(F.array(F.lit("p"), F.lit("terminate")))
+    cell = F.struct(F.when(q == 1, "fallback").when(q == 6, F.lit(None)).otherwise("rl").alias("mode"), F.when(q == 2, "timeout").otherwise("success").alias("status"), passes.alias("passes"))
+    cells = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_linestatus") == "F", cell).alias("cell"))
+    return cells.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", R.trace_problem(F.col("cell")).alias("problem"))
+
+
+def strict_successes(spark, sf_dir):
+    e = F.col("event_id")
+    rows = _table(spark, sf_dir, "events").select(
+        "event_id", F.when(e % 5 == 0, "success_recovered_after_timeout").when(e % 5 == 1, "timeout").otherwise("success").alias("status"),
+        F.when(e % 3 == 0, "rl").when(e % 3 == 1, "fallback").alias("mode"), (e % 3 < 2).alias("has_mode"), (e % 6 == 2).alias("mode_is_null"),
+        F.when(e % 7 == 0, "rl").alias("phase"), (e % 4 == 0).alias("has_fallback"))
+    return rows.select("event_id", J.strict_success().alias("strict"))
+
+
+def log_lines(spark, sf_dir):
+    """Event properties as log lines: what is left out, and why."""
+    from .sources import readers
+
+    lines = _table(spark, sf_dir, "events").select(F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 4 == 0, F.col("props")).when(
+        F.col("event_id") % 4 == 1, F.lit("{broken")).when(F.col("event_id") % 4 == 2, F.lit("[1]")).otherwise(F.lit('{"key": "a", "status": "success"}')).alias("value"))
+    kept = readers.parse_manifest(lines).select("line_no", F.lit("kept").alias("reason"))
+    return kept.union(readers.malformed_lines(lines).select("line_no", "reason"))
+
+
+def cell_states(spark, sf_dir):
+    mode, status = R.cell_state(F.col("l_quantity").cast("int"), F.lit(40), F.when(F.col("l_returnflag") == "R", F.lit("success")),
+                                F.when(F.col("l_linenumber") == 1, F.lit("rl")), F.col("l_linestatus") == "F")
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", mode.alias("mode"), status.alias("status"))
+
+
 QUERIES = {f.__name__: f for f in (
     best_device_label, rank_margin, width_filter, build_jobs, width_reasons, compatibility_report, latest_by_key, attempts_status, mean_duration,
     finite_stats, seeded_cap, seeded_top, stratified_split, balanced_weights, record_ids, nearest_rows, nearest_rows_each, op_counts, unsupported_ops, json_field, coverage,
     pending, missing_by_device, device_queues, reason_examples, fidelity_product, label_counts, below_minimum, failure_counts, first_circuits,
-    one_job_per_device, copy_plan, validate_plans)}
+    one_job_per_device, copy_plan, validate_plans, circuit_operations, circuit_problems, circuit_op_counts, circuit_features, circuit_gate_counts, circuit_summary,
+    circuit_text, compiled_checks, compiled_fidelity, depth_scores, synthesis_limits, nearest_examples, trace_problems, strict_successes, log_lines, cell_states)}
 
 _LINES_SQL = """SELECT l_orderkey AS circuit, l_linenumber || ':' || l_partkey || ':' || l_suppkey AS device,
     CAST(l_linenumber AS BIGINT) * 1000000000000000 + l_partkey * 10000000 + l_suppkey AS device_pos, l_extendedprice AS score FROM lineitem"""
 _DEV = f"(VALUES {_DEVICES_SQL}) AS d(device_id, dq, device_pos)"
 _REQUEST_DEVICES = f"SELECT p_partkey AS request_id, p_size, device_id, dq, p_partkey % 3 = 0 AS listed FROM part CROSS JOIN {_DEV}"
 
+#: The gates of the circuits that stand for orders, from the lines themselves: pos, op, wires.
+_GATES = f"""SELECT l_orderkey AS name, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INTEGER) AS pos,
+    CASE l_returnflag WHEN 'R' THEN 'cx' WHEN 'A' THEN 'rz' ELSE 'measure' END AS op, l_linenumber AS line,
+    CAST(l_partkey % {_WIRES} AS INTEGER) AS a, CAST((l_partkey % {_WIRES} + 1 + l_suppkey % {_WIRES - 1}) % {_WIRES} AS INTEGER) AS b FROM lineitem"""
+#: With the longest paths: each step of the recursion applies the next gate of every circuit to the depths of its ten wires.
+_PATHS = f"""WITH RECURSIVE g AS ({_GATES}),
+    w AS (SELECT *, CASE op WHEN 'cx' THEN [a, b] WHEN 'rz' THEN [a] ELSE [a, a + {_WIRES}] END AS wires FROM g),
+    p AS (SELECT DISTINCT name, 0 AS next, list_transform(range({2 * _WIRES}), lambda x: 0) AS levels FROM g
+        UNION ALL SELECT p.name, p.next + 1, list_transform(range({2 * _WIRES}), lambda i: CASE WHEN list_contains(wires, i)
+            THEN list_max(list_transform(wires, lambda k: levels[k + 1])) + 1000 + CASE WHEN op = 'cx' THEN 1 ELSE 0 END ELSE levels[i + 1] END)
+        FROM p JOIN w ON p.name = w.name AND p.next = w.pos),
+    path AS (SELECT name, max(list_max(levels)) AS m FROM p GROUP BY name),
+    f AS (SELECT name, CAST(count(*) AS INTEGER) AS size, count(*) FILTER (op <> 'measure') AS gates, count(*) FILTER (op = 'cx') AS two,
+        count(DISTINCT CASE WHEN op = 'cx' THEN least(a, b) * 10 + greatest(a, b) END) AS edges, sum(CASE WHEN op = 'cx' THEN 2 ELSE 1 END) AS active FROM g GROUP BY name),
+    features AS (SELECT name, CAST(m // 1000 AS INTEGER) AS depth, size, round(2.0 * edges / {_WIRES * (_WIRES - 1)}, 9) AS program_communication,
+        round(CASE WHEN two > 0 THEN (m % 1000) / CAST(two AS DOUBLE) ELSE 0 END, 9) AS critical_depth,
+        round(CASE WHEN gates > 0 THEN two / CAST(gates AS DOUBLE) ELSE 0 END, 9) AS entanglement_ratio,
+        round(greatest(0, (gates / CAST(m // 1000 AS DOUBLE) - 1) / {_WIRES - 1}), 9) AS parallelism, round(active / CAST({_WIRES} * (m // 1000) AS DOUBLE), 9) AS liveness
+        FROM path JOIN f USING (name))"""
+_OP_COUNTS = f"SELECT name, op, count(*) AS n FROM ({_GATES}) GROUP BY name, op"
+
 ORACLE_SQL = {
     "best_device_label": f"""SELECT circuit, device AS label, score AS best_score FROM ({_LINES_SQL})
         QUALIFY row_number() OVER (PARTITION BY circuit ORDER BY score DESC, device_pos, device) = 1""",
@@ -286,8 +460,8 @@ ORACLE_SQL = {
         SELECT (l_quantity, l_orderkey) FROM (SELECT DISTINCT l_quantity, l_orderkey FROM lineitem ORDER BY 1, 2 LIMIT 40))""",
     "one_job_per_device": """SELECT o_orderpriority AS device, o_custkey % 5 AS num_qubits, o_orderkey AS circuit FROM orders
         QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey % 5, o_orderkey) = 1""",
-    "copy_plan": """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS name, sha256(text) AS h, doc_id FROM documents),
-        t AS (SELECT name, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE h END AS h FROM d WHERE doc_id % 3 <> 0), s AS (SELECT * FROM d WHERE doc_id % 2 = 0)
+    "copy_plan": """WITH s AS (SELECT CAST(doc_id AS VARCHAR) AS name, sha256(text) AS h, doc_id FROM documents),
+        t AS (SELECT CASE WHEN doc_id % 3 = 0 THEN name || '-moved' ELSE name END AS name, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE h END AS h FROM s)
         SELECT coalesce(s.name, t.name) AS name, CASE WHEN s.h IS NULL THEN 'extra' WHEN t.h IS NULL THEN 'copy' WHEN s.h = t.h THEN 'skip' ELSE 'conflict' END AS action
         FROM s FULL OUTER JOIN t ON s.name = t.name""",
     "validate_plans": f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, list_filter([
@@ -297,4 +471,38 @@ ORACLE_SQL = {
             CASE WHEN CAST(l_quantity AS INTEGER) % 6 > 2 THEN 'optimization_level exceeds the constraint' END,
             CASE WHEN l_linestatus <> 'F' THEN 'evidence must be a list of non-blank strings' END], lambda x: x IS NOT NULL) AS e FROM lineitem)
         SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(len(e) AS INTEGER) AS n_errors, array_to_string(e, '; ') AS errors, len(e) = 0 AS is_valid FROM r""",
+    "circuit_operations": f"""SELECT name, pos, op, CASE WHEN op = 'rz' THEN 'pi/(' || line || '+(1))|2' ELSE '' END AS params,
+        CASE WHEN op = 'cx' THEN a || ',' || b ELSE '' || a END AS qubits, CASE WHEN op = 'measure' THEN '' || a ELSE '' END AS clbits FROM ({_GATES})""",
+    "circuit_problems": """SELECT DISTINCT l_orderkey AS name, CASE l_orderkey % 5 WHEN 0 THEN 'no_header' WHEN 1 THEN 'unknown_argument' WHEN 2 THEN 'blank' WHEN 3 THEN 'no_qubits' END AS problem FROM lineitem""",
+    "circuit_op_counts": _OP_COUNTS,
+    "circuit_features": f"{_PATHS} SELECT * FROM features",
+    "circuit_gate_counts": f"""SELECT name, count(*) FILTER (op = 'cx') AS gate_count_cx, count(*) FILTER (op = 'rz') AS gate_count_rz, CAST(0 AS BIGINT) AS gate_count_h FROM ({_GATES}) GROUP BY name""",
+    "circuit_summary": f"""{_PATHS} SELECT name, {_WIRES} AS num_qubits, {_WIRES} AS num_clbits, depth, size, op_counts FROM features
+        JOIN (SELECT name, string_agg(op || ':' || n, ',' ORDER BY op) AS op_counts FROM ({_OP_COUNTS}) GROUP BY name) USING (name)""",
+    "circuit_text": f"""SELECT name, 'OPENQASM 2.0;' || chr(10) || 'include "qelib1.inc";' || chr(10) || 'qreg q[{_WIRES}];' || chr(10) || 'creg c[{_WIRES}];' || chr(10) ||
+        string_agg(CASE op WHEN 'cx' THEN 'cx q[' || a || '],q[' || b || '];' WHEN 'rz' THEN 'rz(pi/(' || line || '+(1)),2) q[' || a || '];'
+        ELSE 'measure q[' || a || '] -> c[' || a || '];' END, chr(10) ORDER BY pos) || chr(10) AS text FROM ({_GATES}) GROUP BY name""",
+    "compiled_checks": f"""WITH c AS (SELECT name, device, bool_or(op = 'rz') AS rz, string_agg(DISTINCT op, ',' ORDER BY op) AS used,
+            bool_and(op <> 'cx' OR device = 'full' OR (device = 'ring' AND ((a + 1) % {_WIRES} = b OR (b + 1) % {_WIRES} = a))) AS fits_coupling
+        FROM ({_GATES}), (VALUES ('ring'), ('full'), ('unknown')) AS d(device) GROUP BY name, device),
+        u AS (SELECT name, device, CASE WHEN device = 'unknown' THEN used WHEN device = 'full' AND rz THEN 'rz' ELSE '' END AS unsupported, fits_coupling FROM c)
+        SELECT name, device, unsupported, unsupported = '' AS native_basis, fits_coupling, unsupported = '' AND fits_coupling AS executable FROM u""",
+    "compiled_fidelity": f"""SELECT name, 'full' AS device, CASE WHEN bool_or(op = 'cx' AND a = 4) THEN NULL
+        ELSE round(list_reduce(list_prepend(CAST(1 AS DOUBLE), list_sort(list(1 - CASE WHEN op = 'cx' THEN CAST(0.01 AS DOUBLE) ELSE CAST(0.001 AS DOUBLE) END * (1 + a)))), lambda x, y: x * y), 12) END AS score
+        FROM ({_GATES}) GROUP BY name""",
+    "depth_scores": f"{_PATHS} SELECT name, round(1 - critical_depth, 9) AS score FROM features",
+    "synthesis_limits": """SELECT l_suppkey AS device_id, CAST(max(CASE WHEN l_returnflag <> 'N' AND l_quantity = 3 THEN 3 ELSE 2 END) AS INTEGER) AS "limit" FROM lineitem GROUP BY l_suppkey""",
+    "nearest_examples": """WITH d AS (SELECT s_suppkey AS request_id, p_partkey AS record_id, p_partkey % 3 = 0 AS ab,
+            (abs(s_suppkey % 50 - p_size) / (1 + greatest(s_suppkey % 50, p_size)) + abs(1000 + s_suppkey - CAST(p_retailprice AS DOUBLE)) / (1 + greatest(CAST(1000 + s_suppkey AS DOUBLE), CAST(p_retailprice AS DOUBLE)))) / 2 AS d
+        FROM supplier JOIN part ON s_suppkey % 2 = p_partkey % 2 AND (s_suppkey % 3 = 0) = (p_partkey % 3 = 0) WHERE p_partkey % 11 <> 0 AND p_partkey % 13 <> 0)
+        SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY d, record_id) AS INTEGER) AS rank, record_id, round(d, 9) AS distance, CAST(record_id AS VARCHAR) AS shown_name,
+        CAST(CASE WHEN ab THEN 2 ELSE 1 END AS INTEGER) AS shown_backends FROM d QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY d, record_id) <= 3""",
+    "trace_problems": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linestatus <> 'F' THEN 'missing_compilation' ELSE CASE CAST(l_quantity AS INTEGER) % 7 WHEN 1 THEN 'mode_fallback'
+        WHEN 2 THEN 'status_timeout' WHEN 3 THEN 'empty_pass_trace' WHEN 4 THEN 'fallback_pass_in_trace' WHEN 5 THEN 'trace_without_terminal_action' WHEN 6 THEN 'mode_none' END END AS problem FROM lineitem""",
+    "strict_successes": """SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_id % 3 = 0 OR event_id % 7 = 0 WHEN 1 THEN false
+        ELSE (event_id % 3 <> 1) AND event_id % 4 <> 0 END AS strict FROM events""",
+    "log_lines": """SELECT event_id AS line_no, CASE event_id % 4 WHEN 0 THEN CASE WHEN json_type(props, '$.key') = 'VARCHAR' THEN 'kept' ELSE 'key_not_a_string' END
+        WHEN 1 THEN 'not_json' WHEN 2 THEN 'not_an_object' ELSE 'kept' END AS reason FROM events""",
+    "cell_states": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_quantity > 40 THEN 'incompatible_num_qubits' WHEN l_linestatus <> 'F' THEN 'missing' WHEN l_linenumber = 1 THEN 'rl' ELSE 'unknown' END AS mode,
+        CASE WHEN l_quantity > 40 THEN 'incompatible_num_qubits' WHEN l_linestatus <> 'F' THEN 'missing' WHEN l_returnflag = 'R' THEN 'success' ELSE 'unknown' END AS status FROM lineitem""",
 }
