@@ -78,9 +78,11 @@ def hamming_links(fps: DataFrame, crowd: int = 64, scratch: Scratch | None = Non
     keys = [key.bitwiseOR(F.lit(s << width))
             for s in range(SEGMENTS)
             for key in ball(F.shiftrightunsigned("fp", s * width).bitwiseAND(F.lit((1 << width) - 1)), width)]
-    entered = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+    entered = fps.select("fp", F.explode(F.array(*keys)).alias("key")).repartition("key")
     scratch = scratch or Scratch(fps.sparkSession)
-    shared = scratch.table(entered.join(entered.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "hamming")
+    # the count takes in all columns, so that it reads the same shuffle as the join; copies are one row, so no value is hot
+    counted = entered.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
+    shared = scratch.table(entered.join(counted.hint("shuffle_hash"), "key"), "hamming")
     pairs = (shared.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list("fp").alias("fps"))
              .select(F.explode(F.expr(f"""flatten(transform(fps, (x, i) -> transform(
                  filter(slice(fps, i + 2, size(fps)), y -> bit_count(x ^ y) <= {MAX_BITS}),
