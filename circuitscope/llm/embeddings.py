@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialize
 from .components import connected_components
@@ -14,8 +14,9 @@ from .components import connected_components
 #: Tables, and sign bits of a table's key. A pair at cosine 0.98 agrees in a bit with probability 0.936, in a
 #: key with 0.27, and in one of 24 keys or more with 0.9995. More bits suit more vectors, with more tables.
 TABLES, BITS = 24, 20
-#: A bucket is compared in pairs of chunks of about so many vectors, so no task holds more than two.
-CHUNK = 256
+#: A bucket is compared in pairs of chunks of about so many vectors, so no task holds more than two; a vector of a bucket
+#: of n is sent n / CHUNK times.
+CHUNK = 1024
 SEED = 20_221
 
 
@@ -61,7 +62,8 @@ def _verify(threshold: float):
         table = part.column("t")[0].as_py()
         norms = np.linalg.norm(vectors, axis=1)
         near = (vectors @ vectors.T) / np.outer(norms, norms) >= threshold
-        near &= ~(keys[:, None, :table] == keys[None, :, :table]).any(2)  # an earlier table has this pair
+        for t in range(table):  # an earlier table has this pair
+            near &= keys[:, t, None] != keys[None, :, t]
         if part.column("cross")[0].as_py():  # two chunks: each has a part of its own for its own pairs
             near &= side[:, None] != side[None, :]
         np.fill_diagonal(near, False)
@@ -112,7 +114,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     entered = classes.select("rep", "label", F.size("vector").alias("dims"), F.posexplode("keys").alias("t", "key"))
     bucket = ["label", "dims", "t", "key"]
-    shared = entered.withColumn("size", F.count("*").over(Window.partitionBy(*bucket))).where("size > 1")
+    shared = entered.join(entered.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1"), bucket)
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit(1)), chunks).cast("int")
     # each chunk meets itself and every other chunk of its bucket in a part of its own

@@ -47,6 +47,48 @@ class Model:
     uses: np.ndarray
 
 
+def _letter_marks() -> tuple[np.ndarray, np.ndarray]:
+    """By the first two bytes of a character: whether it is no letter, and whether it stands for a word of its own."""
+    other, alone = np.zeros((256, 256), bool), np.zeros((256, 256), bool)
+    for block in range(0x80, 0xC0):  # U+0080 to U+00BF, but for three that are letters
+        other[0xC2, block] = block not in (0xAA, 0xB5, 0xBA)
+    other[0xC3, [0x97, 0xB7]] = True  # the signs of multiplication and division
+    other[0xE2, 0x80:0xB0] = True  # U+2000 to U+2BFF: punctuation, signs, arrows, boxes
+    other[0xE3, 0x80] = True  # U+3000 to U+303F: punctuation of East Asian scripts
+    other[0xF0, 0x9F] = True  # pictures
+    alone[0xE3, 0x81:0x84] = True  # kana
+    alone[0xE3, 0x90:0xC0] = alone[0xE4:0xEA] = True  # Han
+    alone[0xE0, 0xB8:0xBA] = True  # Thai
+    return other, alone
+
+
+_OTHER, _ALONE = _letter_marks()
+
+
+def find_letters(texts: Texts) -> Words:
+    """Runs of letters. Punctuation beyond ASCII parts words like any other; characters of scripts that are written without
+    spaces are words of their own, so that a span can begin at any of them."""
+    data = texts.data
+    lead = np.flatnonzero(data >= 0xC2)
+    if not len(lead):
+        return find_words(texts, IN_LETTERS)
+    padded = np.concatenate([data, np.zeros(4, "u1")])
+    first, second = padded[lead], padded[lead + 1]
+    length = np.where(first >= 0xF0, 4, np.where(first >= 0xE0, 3, 2))
+    inside, begins = IN_LETTERS[data], np.zeros(len(data) + 5, bool)
+    other = _OTHER[first, second]
+    for k in range(4):
+        inside[lead[other & (length > k)] + k] = False
+    own = _ALONE[first, second]
+    begins[lead[own]] = begins[lead[own] + length[own]] = True
+    begins[texts.offsets[:-1]] = True
+    begins = begins[:len(data)]
+    starts = np.flatnonzero(inside & (begins | ~np.concatenate([[False], inside[:-1]])))
+    ends = np.flatnonzero(inside & np.concatenate([begins[1:] | ~inside[1:], [True]])) + 1
+    counts = np.diff(np.searchsorted(starts, texts.offsets))
+    return Words(starts, ends, np.repeat(np.arange(len(texts)), counts), counts)
+
+
 def word_grams(texts: Texts, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and word of each byte 3-gram and 4-gram of the marked words."""
     if not len(words.starts):
@@ -112,7 +154,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for batch in batches:
             for first, texts in slices(batch.column(0), lower=True):
                 lang = np.array([langs.index(x) for x in batch.column(1).slice(first, len(texts)).to_pylist()])
-                words = find_words(texts, IN_LETTERS)
+                words = find_letters(texts)
                 bucket, word = word_grams(texts, words)
                 np.add.at(grams, (lang[words.text[word]], bucket), 1)
                 np.add.at(scripts, (lang[words.text], word_scripts(texts, words)), words.ends - words.starts)
@@ -178,9 +220,7 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> n
     return out
 
 
-def _has_letter(texts: Texts, i: int, words: int) -> bool:
-    if not words:
-        return False
+def _has_letter(texts: Texts, i: int) -> bool:
     raw = texts.raw(i)
     return any(65 <= b <= 90 or 97 <= b <= 122 for b in raw) or any(c.isalpha() for c in raw.decode())
 
@@ -189,9 +229,9 @@ def _identified(column: pa.Array, model: Model, switch: float = SWITCH) -> Itera
     """(index of the first text, texts, language, score, spans) for whole texts."""
     begin, held, parts = 0, 0, []
     for first, texts in slices(column, lower=True):
-        words = find_words(texts, IN_LETTERS)
+        words = find_letters(texts)
         parts.append((word_scores(texts, words, model) if model.langs else np.zeros((len(words.starts), 1), "f4"), words.counts,
-                      words.ends - words.starts, [_has_letter(texts, i, n) for i, n in enumerate(words.counts)]))
+                      words.ends - words.starts, [_has_letter(texts, i) for i in range(len(texts))]))
         held += len(words.starts)
         if held >= HELD_WORDS or first + len(texts) == len(column):
             yield begin, first + len(texts) - begin, *_label(parts, model, switch)
@@ -220,10 +260,10 @@ def _label(parts: list, model: Model, switch: float) -> tuple[np.ndarray, np.nda
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:
     """One row per row of ``docs``: id, lang_pred, score, spans.
 
-    ``spans``: in order, language and number of words (runs of letters) of each span. ``lang_pred``
+    ``spans``: in order, language and number of words (see :func:`find_letters`) of each span. ``lang_pred``
     is the language of most bytes of words (ties: the first by name), ``score`` its share of them.
     Null texts and texts without a letter, and all texts of a model without a language, get ``und``,
-    0.0 and no span. Repeated rows stay repeated; very long texts are labelled whole.
+    0.0 and no span; a text whose letters are signs only (as in formulas) gets the first language by name, 0.0 and no span. Repeated rows stay repeated; very long texts are labelled whole.
     """
     send = docs.sparkSession.sparkContext.broadcast(model)
     span = T.StructType([T.StructField("lang", T.StringType()), T.StructField("words", T.LongType())])

@@ -199,7 +199,8 @@ def test_wider_tables_find_the_same(spark):
     assert got == {k: k // 2 * 2 for k in range(60)}
 
 
-def test_embeddings_against_brute_force(spark):
+def test_embeddings_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CHUNK", 64)
     rng = np.random.default_rng(4)
     base = rng.standard_normal((40, 64)).astype("f4")
     rows = [(k, v.tolist(), k % 3) for k, v in enumerate(base)]

@@ -312,3 +312,17 @@ def test_quality_counts_of_such_words(spark):
     docs = spark.createDataFrame([(1, f"x {a} y x {b} y {other}"), (2, f"x {a} y x {a} y {other}")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert {r.doc_id: r.n_repeat_words for r in quality.quality(docs, labels).collect()} == {1: 0, 2: 6}
+
+
+def test_letters_of_other_scripts_and_punctuation(spark):
+    texts = ["Das ist\u2014gut \u201cso\u201d \u00fcber\u00bbx\u00ab", "\u65e5\u672c text\u6f22abc\u3002\u304b", "", None, "\u00b5m 5\u00d73 \u00e9t\u00e9", "\U0001f600smile \ud55c\uad6d\uc5b4", "ab"]
+    (_, part), = slices(pa.array(texts))
+    words = langid.find_letters(part)
+    got = [[part.data[a:b].tobytes().decode() for a, b, t in zip(words.starts, words.ends, words.text) if t == i] for i in range(len(texts))]
+    assert got == [["Das", "ist", "gut", "so", "\u00fcber", "x"], ["\u65e5", "\u672c", "text", "\u6f22", "abc", "\u304b"], [], [], ["\u00b5m", "\u00e9t\u00e9"],
+                   ["smile", "\ud55c\uad6d\uc5b4"], ["ab"]]
+    assert words.counts.tolist() == [len(x) for x in got]
+    docs = spark.createDataFrame([(k, "\u65e5\u672c\u8a9e" * 20, "ja") for k in range(40)] + [(100 + k, "the plain words of it " * 5, "en") for k in range(40)]
+                                 + [(200, "the plain words" + "\u65e5\u672c\u8a9e" * 5 + "of it and the words", None), (201, "\u2102", None), (202, "\u2014 5", None)], "doc_id long, text string, lang string")
+    rows = {r.doc_id: r for r in langid.predict(docs).collect()}
+    assert [s.lang for s in rows[200].spans] == ["en", "ja", "en"] and rows[202].lang_pred == "und" and (rows[201].lang_pred, rows[201].score) == ("en", 0.0)
