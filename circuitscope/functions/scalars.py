@@ -104,26 +104,37 @@ def field(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "variant")
 
 
+def text_value(value: Column) -> Column:
+    """A variant's string, or null where it is anything else."""
+    return F.when(kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
 def text_field(value: Column, path: str) -> Column:
     """A string, or null where the field is missing or anything but a string."""
-    return F.when(kind(field(value, path)) == "STRING", F.try_variant_get(value, path, "string"))
+    return text_value(field(value, path))
 
 
-def int_field(value: Column, path: str, bool_as_int: bool = False) -> Column:
-    """An integer; booleans and fractions are null unless ``bool_as_int`` lets booleans be 1 and 0."""
-    found = F.when(kind(field(value, path)) == "BIGINT", F.try_variant_get(value, path, "bigint"))
+def int_value(value: Column, bool_as_int: bool = False) -> Column:
+    """A variant's integer; booleans and fractions are null unless ``bool_as_int`` lets booleans be 1 and 0."""
+    found = F.when(kind(value) == "BIGINT", F.try_variant_get(value, "$", "bigint"))
     if bool_as_int:
-        found = F.coalesce(found, F.when(kind(field(value, path)) == "BOOLEAN", F.try_variant_get(value, path, "boolean").cast("bigint")))
+        found = F.coalesce(found, F.when(kind(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("bigint")))
     return found
 
 
+def int_field(value: Column, path: str, bool_as_int: bool = False) -> Column:
+    """As :func:`int_value`, of the field under a path; null where it is missing."""
+    return int_value(field(value, path), bool_as_int)
+
+
 def has_key(value: Column, path: str) -> Column:
     """True for any value under the path, a JSON null included."""
     return F.coalesce(field(value, path).isNotNull(), F.lit(False))
 
 
 def is_object(value: Column) -> Column:
-    return F.coalesce(kind(value).startswith("OBJECT"), F.lit(False))
+    """True for a variant that is an object; its values are not walked."""
+    return F.try_variant_get(value, "$", "struct<_:variant>").isNotNull()
 
 
 # -- arrays and maps

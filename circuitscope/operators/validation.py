@@ -12,18 +12,26 @@ ROUTING_METHODS = ("basic", "lookahead", "stochastic", "sabre", "none")
 MAX_SEED = 2**32 - 1
 
 
-def _one_of(v: Column, path: str, allowed: tuple[str, ...]) -> Column:
+#: The fields that are looked at, taken out of the response and of its plan in one pass each; null where one is missing.
+_RESPONSE = ("selected_device", "figure_of_merit", "compiler", "qiskit_plan", "explanation", "evidence", "warnings")
+_PLAN = ("optimization_level", "seed_transpiler", "layout_method", "routing_method")
+
+
+def _fields(v: Column, names: tuple[str, ...]) -> Column:
+    """The named fields of an object as variants; null for what is no object."""
+    return F.try_variant_get(v, "$", f"struct<{', '.join(f'{n}:variant' for n in names)}>")
+
+
+def _one_of(v: Column, allowed: tuple[str, ...]) -> Column:
     """A permitted string, a JSON null or nothing. A list or number is an error, not a crash."""
-    missing = ~S.has_key(v, path) | F.coalesce(S.kind(S.field(v, path)) == "VOID", F.lit(False))
-    return missing | F.coalesce(S.text_field(v, path).isin(*allowed), F.lit(False))
+    return v.isNull() | F.coalesce(S.kind(v) == "VOID", F.lit(False)) | F.coalesce(S.text_value(v).isin(*allowed), F.lit(False))
 
 
-def _strings(v: Column, path: str) -> Column:
+def _strings(v: Column) -> Column:
     """The trimmed strings of a list, or null where it is no list of non-blank strings."""
-    items = F.try_variant_get(v, path, "array<variant>")
-    good = F.coalesce(F.forall(items, lambda x: F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False))
-                               & ~F.coalesce(S.is_blank(F.try_variant_get(x, "$", "string")), F.lit(True))), F.lit(False))
-    return F.when(good, F.transform(items, lambda x: S.strip(F.try_variant_get(x, "$", "string"))))
+    items = F.try_variant_get(v, "$", "array<variant>")
+    texts = F.transform(items, lambda x: S.strip(S.text_value(x)))
+    return F.when(F.forall(texts, lambda x: F.coalesce(x != "", F.lit(False))), texts)
 
 
 def validate(responses: DataFrame, response: str = "response") -> DataFrame:
@@ -35,22 +43,20 @@ def validate(responses: DataFrame, response: str = "response") -> DataFrame:
     """
     v, p = F.col("__v"), F.col("__p")
     names = set(responses.columns)
-    plan = F.when(S.is_object(S.field(v, "$.qiskit_plan")), S.field(v, "$.qiskit_plan"))
     # Each field is taken out once, step by step: one expression over all of them would be too large to compile
-    read = (responses.withColumn("__raw", F.try_parse_json(response)).withColumn("__v", F.when(S.is_object(F.col("__raw")), F.col("__raw")))
-            .withColumn("__plan", plan).withColumn("__p", F.coalesce("__plan", F.parse_json(F.lit("{}"))))  # a plan that is no object counts as empty
-            .withColumns({"__device": S.text_field(v, "$.selected_device"), "__merit": S.text_field(v, "$.figure_of_merit"), "__compiler": S.text_field(v, "$.compiler"),
-                          "__explanation": S.strip(S.text_field(v, "$.explanation")), "__evidence": _strings(v, "$.evidence"),
-                          "__warnings": F.when(S.has_key(v, "$.warnings"), _strings(v, "$.warnings")).otherwise(F.array().cast("array<string>"))})
-            .withColumns({"__level": S.int_field(p, "$.optimization_level"), "__seed": S.int_field(p, "$.seed_transpiler"),
-                          "__layout": _one_of(p, "$.layout_method", LAYOUT_METHODS), "__routing": _one_of(p, "$.routing_method", ROUTING_METHODS),
+    read = (responses.withColumn("__v", _fields(F.try_parse_json(response), _RESPONSE)).withColumn("__p", _fields(v["qiskit_plan"], _PLAN))
+            .withColumns({"__device": S.text_value(v["selected_device"]), "__merit": S.text_value(v["figure_of_merit"]), "__compiler": S.text_value(v["compiler"]),
+                          "__explanation": S.strip(S.text_value(v["explanation"])), "__evidence": _strings(v["evidence"]),
+                          "__warnings": F.when(v["warnings"].isNotNull(), _strings(v["warnings"])).otherwise(F.array().cast("array<string>")),
+                          "__level": S.int_value(p["optimization_level"]), "__seed": S.int_value(p["seed_transpiler"]),
+                          "__layout": _one_of(p["layout_method"], LAYOUT_METHODS), "__routing": _one_of(p["routing_method"], ROUTING_METHODS),
                           "__limit": S.int_field(F.try_parse_json(F.coalesce("constraints", F.lit("{}"))), "$.max_optimization_level", bool_as_int=True)}))
     broken = lambda ok, message: F.when(~F.coalesce(ok, F.lit(False)), F.lit(message))
     rules = F.array_compact(F.array(
         broken(F.array_contains("available", F.col("__device")), "selected_device is not an available device"),
         broken(F.col("__merit") == F.col("figure_of_merit"), "figure_of_merit differs from the request"),
         broken(F.col("__compiler") == "qiskit", "compiler must be qiskit"),
-        broken(F.col("__plan").isNotNull(), "qiskit_plan must be an object"),
+        broken(p.isNotNull(), "qiskit_plan must be an object"),
         broken(F.col("__level").between(0, 3), "optimization_level must be an integer from 0 to 3"),
         broken(F.col("__seed").between(0, MAX_SEED), "seed_transpiler must be an unsigned 32-bit integer"),
         broken(F.col("__layout"), "layout_method is not permitted"),
@@ -62,7 +68,7 @@ def validate(responses: DataFrame, response: str = "response") -> DataFrame:
     typed = F.struct(
         F.col("__device").alias("selected_device"), F.col("__merit").alias("figure_of_merit"),
         F.struct(F.col("__level").alias("optimization_level"), F.col("__seed").alias("seed_transpiler"),
-                 S.text_field(p, "$.layout_method").alias("layout_method"), S.text_field(p, "$.routing_method").alias("routing_method")).alias("plan"),
+                 S.text_value(p["layout_method"]).alias("layout_method"), S.text_value(p["routing_method"]).alias("routing_method")).alias("plan"),
         F.col("__explanation").alias("explanation"), F.col("__evidence").alias("evidence"), F.col("__warnings").alias("warnings"))
     judged = (read.withColumn("errors", F.when(v.isNotNull(), rules).otherwise(F.array(F.lit("response must be a JSON object"))))
               .withColumn("is_valid", F.size("errors") == 0).withColumn("recommendation", F.when(F.col("is_valid"), typed)))

@@ -206,14 +206,19 @@ def copy_plan(spark, sf_dir):
 
 
 def validate_plans(spark, sf_dir):
-    """Responses made from lines: quantity as level, returns break the device, open lines lack evidence."""
-    q = F.col("l_quantity").cast("int")
+    """Responses made from lines; the part's key says which of the rules is broken, besides level, device, layout and evidence."""
+    q, k = F.col("l_quantity").cast("int"), F.col("l_partkey") % 17
     device = F.when(F.col("l_returnflag") == "R", F.lit("unknown")).otherwise(F.lit("ibm_falcon_27"))
-    plan = F.struct((q % 6).alias("optimization_level"), F.col("l_partkey").alias("seed_transpiler"), F.when(q % 7 == 0, F.lit("other")).alias("layout_method"))
-    response = F.to_json(F.struct(device.alias("selected_device"), F.lit("expected_fidelity").alias("figure_of_merit"), F.lit("qiskit").alias("compiler"), plan.alias("qiskit_plan"),
-                                  F.lit("because").alias("explanation"), F.when(F.col("l_linestatus") == "F", F.array(F.lit("score"))).alias("evidence")))
-    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", response.alias("response"), F.array(F.lit("ibm_falcon_27")).alias("available"),
-                                                    F.lit("expected_fidelity").alias("figure_of_merit"), F.lit('{"max_optimization_level": 2}').alias("constraints"))
+    plan = F.struct((q % 6).alias("optimization_level"), F.when(k == 4, -1).otherwise(F.col("l_partkey")).alias("seed_transpiler"), F.when(q % 7 == 0, F.lit("other")).alias("layout_method"),
+                    F.when(k == 5, F.lit("teleport")).when(k == 6, F.lit("sabre")).alias("routing_method"))
+    response = F.to_json(F.struct(
+        device.alias("selected_device"), F.when(k == 1, "other").otherwise("expected_fidelity").alias("figure_of_merit"), F.when(k == 2, "other").otherwise("qiskit").alias("compiler"),
+        F.when(k != 3, plan).alias("qiskit_plan"), F.when(k == 7, "  ").when(k != 8, "because").alias("explanation"),
+        F.when(k == 9, F.array(F.lit("ok"), F.lit(" "))).when(F.col("l_linestatus") == "F", F.array(F.lit("score"))).alias("evidence"),
+        F.when(k == 10, F.array(F.lit(""))).when(k == 11, F.array(F.lit("w"))).alias("warnings")))
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(k == 0, "[1]").otherwise(response).alias("response"),
+                                                    F.array(F.lit("ibm_falcon_27")).alias("available"), F.lit("expected_fidelity").alias("figure_of_merit"),
+                                                    F.lit('{"max_optimization_level": 2}').alias("constraints"))
     out = validation.validate(rows)
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.size("errors").alias("n_errors"), F.array_join("errors", "; ").alias("errors"), "is_valid")
 
@@ -464,12 +469,20 @@ ORACLE_SQL = {
         t AS (SELECT CASE WHEN doc_id % 3 = 0 THEN name || '-moved' ELSE name END AS name, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE h END AS h FROM s)
         SELECT coalesce(s.name, t.name) AS name, CASE WHEN s.h IS NULL THEN 'extra' WHEN t.h IS NULL THEN 'copy' WHEN s.h = t.h THEN 'skip' ELSE 'conflict' END AS action
         FROM s FULL OUTER JOIN t ON s.name = t.name""",
-    "validate_plans": f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, list_filter([
+    "validate_plans": f"""WITH l AS (SELECT *, l_partkey % 17 AS k, CAST(l_quantity AS INTEGER) AS q FROM lineitem),
+        r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN k = 0 THEN ['response must be a JSON object'] ELSE list_filter([
             CASE WHEN l_returnflag = 'R' THEN 'selected_device is not an available device' END,
-            CASE WHEN CAST(l_quantity AS INTEGER) % 6 > 3 THEN 'optimization_level must be an integer from 0 to 3' END,
-            CASE WHEN CAST(l_quantity AS INTEGER) % 7 = 0 THEN 'layout_method is not permitted' END,
-            CASE WHEN CAST(l_quantity AS INTEGER) % 6 > 2 THEN 'optimization_level exceeds the constraint' END,
-            CASE WHEN l_linestatus <> 'F' THEN 'evidence must be a list of non-blank strings' END], lambda x: x IS NOT NULL) AS e FROM lineitem)
+            CASE WHEN k = 1 THEN 'figure_of_merit differs from the request' END,
+            CASE WHEN k = 2 THEN 'compiler must be qiskit' END,
+            CASE WHEN k = 3 THEN 'qiskit_plan must be an object' END,
+            CASE WHEN k = 3 OR q % 6 > 3 THEN 'optimization_level must be an integer from 0 to 3' END,
+            CASE WHEN k = 3 OR k = 4 THEN 'seed_transpiler must be an unsigned 32-bit integer' END,
+            CASE WHEN k <> 3 AND q % 7 = 0 THEN 'layout_method is not permitted' END,
+            CASE WHEN k = 5 THEN 'routing_method is not permitted' END,
+            CASE WHEN k <> 3 AND q % 6 > 2 THEN 'optimization_level exceeds the constraint' END,
+            CASE WHEN k = 7 OR k = 8 THEN 'explanation must be a non-blank string' END,
+            CASE WHEN k = 9 OR l_linestatus <> 'F' THEN 'evidence must be a list of non-blank strings' END,
+            CASE WHEN k = 10 THEN 'warnings must be a list of non-blank strings' END], lambda x: x IS NOT NULL) END AS e FROM l)
         SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(len(e) AS INTEGER) AS n_errors, array_to_string(e, '; ') AS errors, len(e) = 0 AS is_valid FROM r""",
     "circuit_operations": f"""SELECT name, pos, op, CASE WHEN op = 'rz' THEN 'pi/(' || line || '+(1))|2' ELSE '' END AS params,
         CASE WHEN op = 'cx' THEN a || ',' || b ELSE '' || a END AS qubits, CASE WHEN op = 'measure' THEN '' || a ELSE '' END AS clbits FROM ({_GATES})""",
