@@ -23,7 +23,7 @@ ALPHA = 0.5
 SCRIPT_SHARE = 0.02
 EXCLUDED = -60.0
 #: Words whose scores are held until their texts are labelled together.
-HELD_WORDS = 1_000_000
+HELD_WORDS = 500_000
 #: Fixed values of the Unicode standard: first code point of each range, and the range's script.
 SCRIPTS = [
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"),
