@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from . import jobs
+
 
 def classify(requests: DataFrame, devices: DataFrame) -> DataFrame:
-    """(request_id, device_id, reasons, available): each request with each device of the catalog, which is small and broadcast.
+    """(request_id, device_id, reasons, available): each request with each device of the catalog, as the result wants.
 
     Reasons in order: ``excluded_by_user`` where the request lists allowed devices and not this one;
     ``insufficient_qubits:needed>has``. An empty or null list allows all.
     """
-    catalog = F.broadcast(devices.select("device_id", F.col("num_qubits").alias("__has")))
+    catalog = jobs.broadcast_if_small(devices.select("device_id", F.col("num_qubits").alias("__has")))
     listed = F.size(F.coalesce("allowed_devices", F.array().cast("array<string>"))) > 0
     reasons = F.array_compact(F.array(
         F.when(listed & ~F.array_contains("allowed_devices", F.col("device_id")), F.lit("excluded_by_user")),

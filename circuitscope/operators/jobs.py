@@ -10,6 +10,11 @@ from ..functions import scalars as S
 MAX_BROADCAST_DEVICES = 10_000
 
 
+def broadcast_if_small(devices: DataFrame) -> DataFrame:
+    """The device catalog, broadcast only after a count has shown that it is small."""
+    return F.broadcast(devices) if devices.limit(MAX_BROADCAST_DEVICES + 1).count() <= MAX_BROADCAST_DEVICES else devices
+
+
 def fitting_pairs(circuits: DataFrame, devices: DataFrame, width: str = "num_qubits", capacity: str = "device_qubits") -> DataFrame:
     """Every circuit with every device that has as many qubits: a theta join with the catalog broadcast.
 
@@ -90,8 +95,24 @@ def pending_jobs(jobs: DataFrame, valid_keys: DataFrame, attempts: DataFrame, ma
 
 
 def device_queues(pending: DataFrame) -> DataFrame:
-    """(device, position, key): each device's queue in job order."""
-    return pending.select("device", F.row_number().over(Window.partitionBy("device").orderBy("num_qubits", "circuit")).alias("position"), "key")
+    """(device, position, key): each device's queue in job order, numbered without any task seeing all jobs of a device."""
+    ranked = ranked_within(pending.select("device", "num_qubits", "circuit", "key"), "device", ["num_qubits", "circuit"], F.col("num_qubits"), "position")
+    return ranked.select("device", F.col("position").cast("int").alias("position"), "key")
+
+
+def ranked_within(rows: DataFrame, group: str, order: list[str], part: Column, name: str) -> DataFrame:
+    """``rows`` with consecutive numbers from 1 within each value of ``group``, in the order of columns.
+
+    ``part`` cuts groups into pieces and must grow with the order (as its first column does, or a prefix of it). Each piece is numbered on
+    its own, then shifted by the sizes of those before it, so a group is no single task's work. Rows of equal order are numbered in any order.
+    """
+    cut = rows.withColumn("__part", part)
+    at = F.row_number().over(Window.partitionBy(group, "__part").orderBy(*order))
+    before = Window.partitionBy("__group").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (cut.groupBy(F.col(group).alias("__group"), F.col("__part").alias("__p")).agg(F.count("*").alias("__n"))
+              .withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))))
+    return (cut.withColumn("__at", at).join(shifts, F.col(group).eqNullSafe(F.col("__group")) & F.col("__part").eqNullSafe(F.col("__p")))
+            .select(*rows.columns, (F.col("__at") + F.col("__before")).alias(name)))
 
 
 def coverage(jobs: DataFrame, valid_keys: DataFrame) -> DataFrame:

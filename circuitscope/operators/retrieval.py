@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars as S
 
+#: More requests than this are dealt out in blocks instead of being broadcast whole.
+MAX_REQUESTS = 20_000
+
 
 def prompt_safe(record_input: Column) -> Column:
     """What of a past record's input may be shown: named fields only, so targets, evaluations and circuit text stay behind."""
@@ -13,7 +16,8 @@ def prompt_safe(record_input: Column) -> Column:
     return F.struct(
         record_input["objective"].alias("objective"), record_input["user_constraints"].alias("user_constraints"),
         F.struct(circuit["name"].alias("name"), circuit["summary"].alias("summary"), circuit["features"]["by_name"].alias("features")).alias("circuit"),
-        F.transform(record_input["compatible_backends"], lambda b: F.struct(b["id"].alias("id"), b["num_qubits"].alias("num_qubits"))).alias("compatible_backends"))
+        F.transform(record_input["compatible_backends"], lambda b: F.struct(
+            b["id"].alias("id"), b["num_qubits"].alias("num_qubits"), b["operation_names"].alias("operation_names"))).alias("compatible_backends"))
 
 
 def nearest_examples(requests: DataFrame, records: DataFrame, k: int) -> DataFrame:
@@ -21,16 +25,21 @@ def nearest_examples(requests: DataFrame, records: DataFrame, k: int) -> DataFra
 
     ``requests``: request_id, figure_of_merit, features, available (device ids). A record is eligible if its input is there,
     its objective is the request's, it has every feature of the request, finite, and one of its devices is available. Ties go to
-    the smaller record id; ``k`` of 0 or less gives nothing. Records meet requests by objective and device, not all with all, and
-    each task passes on at most ``k`` records of a request.
+    the smaller record id; ``k`` of 0 or less gives nothing. Every request is held against every record of its objective: requests
+    meet the records where these lie, in blocks of at most MAX_REQUESTS, and each task passes on no more than ``k`` records of a request.
     """
     past = records.where(F.col("input").isNotNull()).select(
         "record_id", F.col("input.objective.name").alias("figure_of_merit"), F.col("input.circuit.features.by_name").alias("__features"),
-        F.explode(F.array_distinct(F.transform("input.compatible_backends", lambda b: b["id"]))).alias("device"))
-    asked = requests.select("request_id", "figure_of_merit", F.col("features").alias("__query"), F.explode(F.array_distinct("available")).alias("device"))
-    near = (asked.join(past, ["figure_of_merit", "device"])
-            .select("request_id", "record_id", S.feature_distance(F.col("__query"), F.col("__features")).alias("distance"))
-            .where("distance is not null").groupBy("request_id", "record_id").agg(F.first("distance").alias("distance")))
+        F.transform("input.compatible_backends", lambda b: b["id"]).alias("__devices"))
+    asked = requests.select("request_id", "figure_of_merit", F.col("features").alias("__query"), F.col("available").alias("__available"))
+    blocks = -(-asked.count() // MAX_REQUESTS)
+    if blocks <= 1:
+        met = past.join(F.broadcast(asked), "figure_of_merit")  # of a counted size
+    else:  # each block meets all records in tasks of its own; these can be split, as a block is small
+        asked = asked.withColumn("__block", F.pmod(F.xxhash64("request_id"), F.lit(blocks)))
+        met = past.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(asked, ["figure_of_merit", "__block"])
+    near = (met.where(S.share_element(F.col("__devices"), F.col("__available")))
+            .select("request_id", "record_id", S.feature_distance(F.col("__query"), F.col("__features")).alias("distance")).where("distance is not null"))
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy("distance", "record_id"))
     top = near.withColumn("rank", rank).where(F.col("rank") <= max(k, 0))
     return top.join(records.select("record_id", prompt_safe(F.col("input")).alias("prompt_input")), "record_id").select(

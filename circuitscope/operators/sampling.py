@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import scalars as S
+from .jobs import ranked_within
 
 
 def cap_classes(rows: DataFrame, label: str, identity: str, ratio: float, seed: int = 0) -> DataFrame:
@@ -31,10 +32,12 @@ def cap_rows(rows: DataFrame, identity: str, limit: int, seed: int = 0, order: s
 
 
 def stratified_split(rows: DataFrame, label: str, identity: str, train_share: float = 0.7, seed: int = 5) -> DataFrame:
-    """``rows`` with ``is_train``: of each class the share of the smallest seeded hashes."""
-    w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(S.stable_key(seed, F.col(identity)), identity))
-    return rows.withColumn("is_train", rank <= F.round(F.count("*").over(w) * train_share))
+    """``rows`` with ``is_train``: of each class the share of the smallest seeded hashes. A class is ranked over many tasks."""
+    keyed = rows.withColumn("__key", S.stable_key(seed, F.col(identity)))
+    ranked = ranked_within(keyed, label, ["__key", identity], F.substring("__key", 1, 2), "__rank")
+    sizes = rows.groupBy(label).agg(F.count("*").alias("__n")).withColumnRenamed(label, "__label")
+    return ranked.join(sizes, ranked[label].eqNullSafe(sizes["__label"])).withColumn("is_train", F.col("__rank") <= F.round(F.col("__n") * train_share)).select(
+        *rows.columns, "is_train")
 
 
 def balanced_weights(rows: DataFrame, label: str) -> DataFrame:
@@ -46,6 +49,18 @@ def balanced_weights(rows: DataFrame, label: str) -> DataFrame:
 
 
 def fold_column(rows: DataFrame, label: str, identity: str, folds: int, seed: int = 5) -> DataFrame:
-    """``rows`` with ``fold``: classes dealt evenly over the folds in seeded order."""
-    w = Window.partitionBy(label).orderBy(S.stable_key(seed, F.col(identity)), identity)
-    return rows.withColumn("fold", ((F.row_number().over(w) - 1) % folds).cast("int"))
+    """``rows`` with ``fold``: classes dealt evenly over the folds in seeded order. A class is ranked over many tasks."""
+    keyed = rows.withColumn("__key", S.stable_key(seed, F.col(identity)))
+    ranked = ranked_within(keyed, label, ["__key", identity], F.substring("__key", 1, 2), "__rank")
+    return ranked.withColumn("fold", ((F.col("__rank") - 1) % folds).cast("int")).select(*rows.columns, "fold")
+
+
+def balance(rows: DataFrame, label: str, identity: str, strategy: str = "cap-ratio", ratio: float = 3.0, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """``rows`` after balancing, and a report (label, before, after). ``none`` keeps all, ``undersample`` cuts each class to the
+    smallest, ``cap-ratio`` to ``ratio`` times that; nothing is drawn twice."""
+    if strategy not in ("none", "undersample", "cap-ratio"):
+        raise ValueError(f"no such strategy: {strategy}")
+    kept = rows if strategy == "none" else cap_classes(rows, label, identity, 1.0 if strategy == "undersample" else ratio, seed)
+    count = lambda t, name: t.groupBy(label).agg(F.count("*").alias(name))
+    report = count(rows, "before").join(count(kept, "after"), label, "left").select(F.col(label).alias("label"), "before", F.coalesce("after", F.lit(0)).alias("after"))
+    return kept, report

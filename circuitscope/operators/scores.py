@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import scalars as S
+from .jobs import broadcast_if_small
 
 
 def best_device(scores: DataFrame, keys: list[str] | None = None, device: str = "device", position: str = "device_pos", score: str = "score") -> DataFrame:
@@ -45,15 +46,29 @@ def failure_counts(scores: DataFrame) -> DataFrame:
     return per.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("failed_cells"), F.count_if(F.col("bad") == F.col("n")).alias("failed_circuits"))
 
 
+def all_failed(scores: DataFrame) -> DataFrame:
+    """(n_circuits, n_dropped): circuits, and those without a valid score on any device."""
+    per = scores.groupBy("circuit").agg(F.bool_or(F.coalesce(S.valid_score(F.col("score")), F.lit(False))).alias("ok"))
+    return per.agg(F.count("*").alias("n_circuits"), F.count_if(~F.col("ok")).alias("n_dropped"))
+
+
+def require_labels(scores: DataFrame) -> int:
+    """How many circuits have no label; an error where none has one."""
+    n, dropped = all_failed(scores).first()
+    if n and n == dropped:
+        raise ValueError(f"all {n} circuits failed on every device")
+    return dropped
+
+
 def labelled_samples(scores: DataFrame, features: DataFrame) -> DataFrame:
-    """Training rows: circuits with a winner, their features and all scores by device. All failing is an error for the caller."""
+    """Training rows: circuits with a winner, their features and all scores by device. See :func:`require_labels` for those without."""
     table = scores.groupBy("circuit").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("device", "score")))).alias("scores"))
     return best_device(scores).where("label is not null").join(features, "circuit").join(table, "circuit").select("circuit", "features", "label", "scores")
 
 
 def dense_scores(jobs: DataFrame, circuits: DataFrame, devices: DataFrame, scores: DataFrame) -> DataFrame:
     """The complete matrix, long: every circuit and device, failures and missing cells at the worst score."""
-    cells = circuits.select(F.col("name").alias("circuit")).crossJoin(F.broadcast(devices.select(F.col("device_id").alias("device"), "device_pos")))  # the catalog is small
+    cells = circuits.select(F.col("name").alias("circuit")).crossJoin(broadcast_if_small(devices.select(F.col("device_id").alias("device"), "device_pos")))
     return cells.join(scores.select("circuit", "device", "score"), ["circuit", "device"], "left").withColumn(
         "score", F.when(S.valid_score(F.col("score")), F.col("score")).otherwise(F.lit(S.WORST_SCORE)))
 

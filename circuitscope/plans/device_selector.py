@@ -30,7 +30,7 @@ def build(circuits: DataFrame, devices: DataFrame, manifest: DataFrame, compiled
     dense = C.dense_scores(jobs, circuits, devices, own)
     mode, status = R.cell_state(F.col("num_qubits"), F.col("capacity"), F.col("status"), F.col("mode"), F.col("valid"))
     cells = (dense.join(circuits.select(F.col("name").alias("circuit"), "num_qubits"), "circuit")
-             .join(F.broadcast(devices.select(F.col("device_id").alias("device"), F.col("num_qubits").alias("capacity"))), "device")  # the catalog is small
+             .join(J.broadcast_if_small(devices.select(F.col("device_id").alias("device"), F.col("num_qubits").alias("capacity"))), "device")
              .withColumn("key", S.job_key(F.col("circuit"), F.col("device")))
              .join(latest.select("key", "status", "mode", "passes", "error"), "key", "left").join(compiled.select("key", "qasm", "valid"), "key", "left")
              .select("circuit", "device", "device_pos", "score", mode.alias("mode"), status.alias("status"), "qasm", "passes", "error",
@@ -55,13 +55,12 @@ def export_records(cells: DataFrame, samples: DataFrame) -> DataFrame:
     return with_index(rows, "circuit", "index")
 
 
-def with_index(rows: DataFrame, order: str, name: str) -> DataFrame:
-    """Consecutive numbers in the order of a column, without one task seeing all rows: a range shuffle, then each partition's
-    numbers are shifted by the sizes of those before it (a table of one row for each partition)."""
-    from pyspark.sql import Window
-
-    ranged = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__id", F.monotonically_increasing_id())
-    ranged = ranged.withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return ranged.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__id", "__part", "__at", "__before")
+def with_index(rows: DataFrame, order: str, name: str, parts: int = 64) -> DataFrame:
+    """Consecutive numbers from 0 in the order of a column, without one task seeing all rows: a bounded sample of the column gives
+    fixed cut points, each part is numbered on its own and shifted by the sizes of those before it."""
+    share = min(1.0, 100 * parts / max(1, rows.count()))
+    seen = sorted(r[0] for r in rows.select(order).where(F.col(order).isNotNull()).sample(share, seed=1).limit(200 * parts).collect())
+    points = [seen[k * len(seen) // parts] for k in range(1, parts)] if seen else []
+    part = F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda p: p <= F.col(order))) if points else F.lit(0)
+    numbered = J.ranked_within(rows.withColumn("__all", F.lit(0)), "__all", [order], F.when(F.col(order).isNotNull(), part).otherwise(F.lit(-1)), name)
+    return numbered.drop("__all").withColumn(name, F.col(name) - 1)

@@ -147,7 +147,13 @@ def test_retrieval_order_eligibility_and_leaks(spark):
     asked = spark.createDataFrame([("r", "m", {"x": 1.0}, ["d"])], "request_id string, figure_of_merit string, features map<string,double>, available array<string>")
     got = retrieval.nearest_examples(asked, records, 3).orderBy("rank").collect()
     assert [(r.record_id, r.distance) for r in got] == [("a", 0.0), ("b", 0.0), ("far", 0.8)]
-    assert "SECRET" not in str(got) and "operation_names" not in str(got)
+    assert "SECRET" not in str(got) and got[0].prompt_input.compatible_backends[0].operation_names == ["h"]
+    retrieval.MAX_REQUESTS, most = 1, retrieval.MAX_REQUESTS
+    try:
+        many = asked.union(asked.withColumn("request_id", F.lit("s")))
+        assert [(r.request_id, r.record_id) for r in retrieval.nearest_examples(many, records, 3).orderBy("request_id", "rank").collect()] == [(x, y) for x in "rs" for y in ("a", "b", "far")]
+    finally:
+        retrieval.MAX_REQUESTS = most
     assert retrieval.nearest_examples(asked, records, 0).count() == 0
 
 
@@ -283,3 +289,25 @@ def test_a_small_old_file_comes_before_a_large_new_one(spark, tmp_path):
     log = readers.read_manifest(spark, str(tmp_path))
     assert [(r.status, r.attempt) for r in J.latest_records(log).collect()] == [("success", 3)]
     assert [(r.attempts, r.status) for r in J.attempts_and_status(log).collect()] == [(3, "success")]
+
+
+def test_ranks_over_many_tasks(spark):
+    rows = spark.createDataFrame([("a" if k % 10 else None if k % 20 else "b", k * 37 % 1000) for k in range(600)], "g string, v int").repartition(7)
+    got = J.ranked_within(rows, "g", ["v"], F.floor(F.col("v") / 50), "r").collect()
+    for g in ("a", "b", None):
+        own = sorted((r.v, r.r) for r in got if r.g == g)
+        assert [r for _, r in own] == list(range(1, len(own) + 1))
+
+
+def test_balance_strategies_and_failures(spark):
+    rows = spark.createDataFrame([("a", k) for k in range(9)] + [("b", 100 + k) for k in range(2)], "label string, id int")
+    counts = lambda t: {r.label: (r.before, r.after) for r in t.collect()}
+    assert counts(sampling.balance(rows, "label", "id", "none")[1]) == {"a": (9, 9), "b": (2, 2)}
+    assert counts(sampling.balance(rows, "label", "id", "undersample")[1]) == {"a": (9, 2), "b": (2, 2)}
+    assert counts(sampling.balance(rows, "label", "id", "cap-ratio", 3.0)[1]) == {"a": (9, 6), "b": (2, 2)}
+    with pytest.raises(ValueError):
+        sampling.balance(rows, "label", "id", "other")
+    scores = spark.createDataFrame([("x", 0.5), ("x", -1.0), ("y", -1.0)], "circuit string, score double")
+    assert C.require_labels(scores) == 1
+    with pytest.raises(ValueError):
+        C.require_labels(scores.where("circuit = 'y'"))
