@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .common import Scratch, materialize
 from .components import connected_components
@@ -274,11 +274,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                                                  F.first("segments").alias("segments"), F.min("sketch").alias("s")), "classes")
     keys = F.flatten(F.transform("segments", lambda x, i: F.array(
         *[k.bitwiseOR(F.shiftleft(i.cast("long"), tables.width)) for k in ball(x, tables.width)])))
-    # Copies are one row and a text has hundreds of values, so no value holds a large share of these rows. They are dealt out
-    # once: the count takes in all columns, so that it reads the same shuffle as the join.
-    entered = classes.select("rep", "copies", "s", F.explode(keys).alias("key")).repartition("key")
-    counted = entered.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.max("copies").alias("most"), F.min("s").alias("small")).where("n > 1")
-    shared = scratch.table(entered.join(counted.hint("shuffle_hash"), "key"), "shared")
+    # Copies are one row and a text has hundreds of values, so no value holds a large share of these rows: one shuffle and a
+    # sort, which spills, count them in less memory than a hash join does
+    entered = classes.select("rep", "copies", "s", F.explode(keys).alias("key"))
+    shared = scratch.table(entered.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "shared")
     few = (shared.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list(F.struct("rep", "s")).alias("m"))
            .select(F.explode(F.expr(f"""flatten(transform(m, (x, i) -> transform(
                filter(slice(m, i + 2, size(m)), y -> {_close("x.s", "y.s")}),
