@@ -13,6 +13,13 @@ from .. import schemas
 
 #: Names that are no gate: they count neither as gate nor as layer.
 NOT_GATES = ("barrier", "measure", "reset")
+#: The gates of the public OpenQASM 2 library that the feature vector counts, and the features behind them.
+GATES = ("u3", "u2", "u1", "cx", "id", "u0", "u", "p", "x", "y", "z", "h", "s", "sdg", "t", "tdg", "rx", "ry", "rz", "sx", "sxdg",
+         "cz", "cy", "swap", "ch", "ccx", "cswap", "crx", "cry", "crz", "cu1", "cp", "cu3", "csx", "cu", "rxx", "rzz", "rccx", "rc3x", "c3x", "c3sqrtx", "c4x")
+SHAPE_FEATURES = ("num_qubits", "depth", "program_communication", "critical_depth", "entanglement_ratio", "parallelism", "liveness")
+FEATURE_NAMES = (*(f"gate_count_{g}" for g in GATES), *SHAPE_FEATURES)
+#: Names in parameters that are no free parameter.
+_KNOWN_NAMES = ("pi", "sin", "cos", "tan", "exp", "ln", "sqrt")
 #: What may stand between parentheses: parentheses in it are matched to this depth.
 DEPTH = 8
 _INSIDE = r"[^()]*+"
@@ -151,10 +158,24 @@ def gate_count_features(parsed: DataFrame, gates: list[str], key: str = "name")
     return parsed.select(key).join(wide, key, "left").fillna(0)
 
 
+def feature_map(with_features: DataFrame) -> DataFrame:
+    """The result of :func:`features` with ``features``: FEATURE_NAMES to numbers, gates that don't occur at 0."""
+    names = F.transform("ops", lambda o: o["op"])
+    gates = F.transform(F.array(*[F.lit(g) for g in GATES]), lambda g: F.size(F.filter(names, lambda n: n == g)).cast("double"))
+    values = F.concat(gates, F.array(*[F.col(c).cast("double") for c in SHAPE_FEATURES]))
+    return with_features.withColumn("features", F.map_from_arrays(F.array(*[F.lit(n) for n in FEATURE_NAMES]), values))
+
+
+def n_parameters(ops: Column) -> Column:
+    """How many free parameters operations have: names that stand for no function or constant."""
+    named = F.flatten(F.transform(ops, lambda o: F.flatten(F.transform(o["params"], lambda p: F.regexp_extract_all(p, F.lit(r"([A-Za-z_]\w*)"))))))
+    return F.size(F.array_except(F.filter(named, lambda n: ~n.rlike(r"^[eE]\d*$")), F.array(*[F.lit(n) for n in _KNOWN_NAMES])))
+
+
 def summary(parsed: DataFrame, key: str = "name") -> DataFrame:
-    """(key, num_qubits, num_clbits, depth, size, op_counts sorted by name)."""
+    """(key, num_qubits, num_clbits, depth, size, num_parameters, op_counts sorted by name)."""
     counts = op_counts(parsed, key).groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("op", "n")))).alias("op_counts"))
-    return features(parsed).select(key, "num_qubits", "num_clbits", "depth", "size").join(counts, key, "left")
+    return features(parsed).select(key, "num_qubits", "num_clbits", "depth", "size", n_parameters(F.col("ops")).alias("num_parameters")).join(counts, key, "left")
 
 
 def to_text(ops: Column, num_qubits: Column, num_clbits: Column) -> Column:

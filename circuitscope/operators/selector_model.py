@@ -18,6 +18,10 @@ GRID = {"numTrees": (100, 200, 500), "maxDepth": (8, 14, 20, 30), "minInstancesP
 FEW_ROWS, FEW_OF_A_CLASS, SMALL_TREES, PLAIN_TREES, MAX_FOLDS, SEED = 20, 2, 200, 500, 5, 5
 
 
+#: Fits of the search that run at the same time.
+PARALLEL_FITS = 4
+
+
 def grid(options: dict[str, tuple] = GRID) -> list[dict]:
     return [dict(zip(options, values)) for values in product(*options.values())]
 
@@ -47,14 +51,31 @@ def train(samples: DataFrame, feature_names: list[str], label: str = "label", id
     for name, values in options.items():
         builder = builder.addGrid(forest.getParam(name), list(values))
     folded = sampling.fold_column(weighted, label, identity, size, SEED)
-    search = CrossValidator(estimator=pipeline, estimatorParamMaps=builder.build(), numFolds=size, foldCol="fold", seed=SEED,
+    search = CrossValidator(estimator=pipeline, estimatorParamMaps=builder.build(), numFolds=size, foldCol="fold", seed=SEED, parallelism=PARALLEL_FITS,
                             evaluator=MulticlassClassificationEvaluator(labelCol="label_index", metricName="accuracy"))
     return search.fit(folded).bestModel
 
 
+def load(path: str) -> PipelineModel:
+    """A saved model, or an error that says which folder holds none."""
+    try:
+        return PipelineModel.load(path)
+    except Exception as error:
+        raise ValueError(f"no usable selector model in {path}: {str(error).splitlines()[0]}") from error
+
+
 def save_checked(model: PipelineModel, path: str, sample: DataFrame) -> PipelineModel:
-    """Save, load again and predict one row, so a broken file is found at once."""
-    model.write().overwrite().save(path)
-    loaded = PipelineModel.load(path)
-    loaded.transform(sample.limit(1)).select("prediction").collect()
-    return loaded
+    """Save beside ``path``, load again and predict one row; only then does the new model take the old one's place, which stays at
+    ``path``-before until the next save."""
+    spark = sample.sparkSession
+    beside, before = f"{path}-new", f"{path}-before"
+    model.write().overwrite().save(beside)
+    load(beside).transform(sample.limit(1)).select("prediction").collect()
+    hadoop = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(hadoop(path)):
+        files.delete(hadoop(before), True)
+        files.rename(hadoop(path), hadoop(before))
+    if not files.rename(hadoop(beside), hadoop(path)):
+        raise OSError(f"{beside} could not be moved to {path}")
+    return load(path)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import compatibility, qasm, records as R, retrieval, validation
+from ..operators import compatibility, jobs, qasm, records as R, retrieval, validation
 
 Frame = Callable[[DataFrame], DataFrame]
 
@@ -59,6 +60,7 @@ class Service:
     gateway: Gateway = field(default_factory=UnconfiguredGateway)
     max_attempts: int = 2
     n_examples: int = 3
+    answers: str | None = None
     parse: Frame = qasm.parse
     validate: Frame = validation.validate
 
@@ -68,15 +70,28 @@ class Service:
 
     def prepare(self, requests: DataFrame) -> DataFrame:
         """Requests with features, available devices and examples. Bad circuits keep their problem."""
-        parsed = qasm.features(self.parse(requests.withColumnRenamed("qasm2", "qasm")))
-        names = ["depth", "program_communication", "critical_depth", "entanglement_ratio", "parallelism", "liveness"]
-        parsed = parsed.withColumn("features", F.map_from_arrays(F.array(*[F.lit(n) for n in ["num_qubits", *names]]),
-                                                                 F.array(F.col("num_qubits").cast("double"), *[F.col(n).cast("double") for n in names])))
-        ready = parsed.join(compatibility.report(parsed, self.devices), "request_id", "left")
+        parsed = qasm.feature_map(qasm.features(self.parse(requests.withColumnRenamed("qasm2", "qasm"))))
+        parsed = parsed.withColumn("operation_names", F.array_sort(F.array_distinct(F.transform("ops", lambda o: o["op"]))))
+        report = compatibility.report(parsed, self.devices)
+        profile = F.struct(F.col("device_id").alias("id"), *[c for c in ("num_qubits", "operation_names", "coupling_edges", "metadata") if c in self.devices.columns])
+        hardware = (report.select("request_id", F.explode("available").alias("device_id"))
+                    .join(jobs.broadcast_if_small(self.devices.select("device_id", profile.alias("__profile"))), "device_id")
+                    .groupBy("request_id").agg(F.array_sort(F.collect_list("__profile")).alias("hardware")))
+        ready = parsed.join(report, "request_id", "left").join(hardware, "request_id", "left")
         near = retrieval.nearest_examples(ready, self.examples, self.n_examples).groupBy("request_id").agg(
             F.array_sort(F.collect_list(F.struct("rank", "record_id", "distance", "prompt_input")), lambda a, b: a["rank"] - b["rank"]).alias("examples"))
         return ready.join(near, "request_id", "left")
 
+    def _kept(self, answers: DataFrame, attempt: int) -> DataFrame:
+        """The answers as a written table: a lost executor reads them again and asks nobody twice."""
+        spark = answers.sparkSession
+        folder = self.answers or spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("name a shared folder for the answers, or set spark.checkpoint.dir")
+        path = f"{folder.rstrip('/')}/answers-{uuid.uuid4().hex}-{attempt}"
+        answers.write.parquet(path)
+        return spark.read.schema(answers.schema).parquet(path)
+
     def recommend(self, requests: DataFrame) -> DataFrame:
         """(request_id, attempt, recommendation) of every request, or an error that carries the failures.
 
@@ -88,9 +103,10 @@ class Service:
             raise NoCompatibleDevice("requests without a device or with a bad circuit")
         done, pending = None, ready
         for attempt in range(1, self.max_attempts + 1):
-            request = F.struct("request_id", "user_text", "circuit_name", "figure_of_merit", "num_qubits", "depth", "features", "constraints")
-            prompts = pending.withColumn("prompt", R.prompt_payload(request, F.col("available"), F.col("examples"), F.col("__errors")))
-            answered = self.validate(self.gateway.generate(prompts)).withColumn("attempt", F.lit(attempt)).cache()
+            circuit = F.struct(F.col("circuit_name").alias("name"), F.lit("OpenQASM 2").alias("format"), F.col("qasm").alias("qasm2"), "num_qubits", "depth", "operation_names", "features")
+            request = F.struct("request_id", "user_text", "figure_of_merit", "constraints", circuit.alias("circuit"))
+            prompts = pending.withColumn("prompt", R.prompt_payload(request, F.col("hardware"), F.col("unavailable"), F.col("examples"), F.col("__errors"), F.col("figure_of_merit")))
+            answered = self.validate(self._kept(self.gateway.generate(prompts), attempt)).withColumn("attempt", F.lit(attempt))
             good = answered.where("is_valid").select("request_id", "attempt", "recommendation")
             done = good if done is None else done.unionByName(good)
             bad = answered.where("not is_valid")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars as S
-from ..operators import records as R, sampling, scores as C
+from ..operators import jobs as J, records as R, sampling, scores as C
 
 
 def cell_problems(cells: DataFrame, legacy_score_rule: bool = False) -> DataFrame:
@@ -29,7 +29,8 @@ def build(circuits: DataFrame, cells: DataFrame, labels: DataFrame, feature_name
     rated = cell_problems(cells, legacy_score_rule)
     first = rated.groupBy("circuit").agg(
         F.min_by("problem", F.when(F.col("problem").isNotNull(), F.col("device_pos"))).alias("cell_problem"),
-        F.array_sort(F.collect_list(F.when(F.col("problem").isNull(), F.col("outcome")))).alias("outcomes"), F.count("*").alias("n_candidates"))
+        F.array_sort(F.collect_list(F.when(F.col("problem").isNull(), F.col("outcome")))).alias("outcomes"), F.count("*").alias("n_candidates"),
+        F.transform(F.array_sort(F.collect_list(F.struct("device_pos", "device"))), lambda c: c["device"]).alias("candidates"))
     ranked = C.rank_devices(rated.where("problem is null"))
     ranking = ranked.groupBy("circuit").agg(F.array_sort(F.collect_list(F.struct("rank", "device", "score"))).alias("ranking"))
     margin = ranked.where("rank = 1").select("circuit", F.col("device").alias("best"), (F.col("score") - F.col("next_score")).alias("margin"))
@@ -43,7 +44,7 @@ def build(circuits: DataFrame, cells: DataFrame, labels: DataFrame, feature_name
               .when(F.col("n_candidates").isNull(), "no_compatible_device").when(F.col("cell_problem").isNotNull(), F.col("cell_problem"))
               .when(~F.col("label").eqNullSafe(F.col("best")), "label_argmax_mismatch"))
     return joined.select("idx", "circuit", "num_qubits", reason.alias("reason"), S.record_id(F.lit(metric), F.col("circuit"), F.col("qasm")).alias("record_id"),
-                         "label", "ranking", "margin", "outcomes", F.sha2("qasm", 256).alias("sha256"), "features")
+                         "label", "ranking", "margin", "outcomes", F.sha2("qasm", 256).alias("sha256"), "features", "qasm", "candidates")
 
 
 def select_records(built: DataFrame, ratio: float, seed: int = 0, max_records: int | None = None) -> DataFrame:
@@ -52,10 +53,65 @@ def select_records(built: DataFrame, ratio: float, seed: int = 0, max_records: i
     return sampling.cap_rows(chosen, "record_id", max_records, seed, "idx") if max_records is not None else chosen.orderBy("idx")
 
 
-def to_records(selected: DataFrame) -> DataFrame:
-    """Three separate sections: what is asked, what is expected, and the facts behind it."""
-    return selected.select("record_id", F.struct(F.struct("circuit", "sha256", "num_qubits", "features").alias("circuit")).alias("input"),
-                           F.struct(F.col("label").alias("selected_device"), F.lit("qiskit").alias("compiler"), F.try_element_at(F.filter(
-                               "outcomes", lambda o: o["device"] == F.col("label")), F.lit(1))["compilation_passes"].alias("compilation_passes")).alias("expected_output"),
-                           F.struct(F.col("ranking").alias("device_ranking"), F.col("margin").alias("selection_margin"),
-                                    F.col("outcomes").alias("candidate_outcomes")).alias("deterministic_ground_truth"))
+#: What a figure of merit is called, which way is better, and what it means.
+METRICS = {"expected_fidelity": ("maximize", "Estimated product of instruction and readout fidelities; not a measurement on hardware."),
+           "critical_depth": ("maximize", "1 - critical_depth; higher is better.")}
+#: The sections' promises to a reader.
+USAGE_RULE = "Only record.input is prompt input; expected_output is the target and deterministic_ground_truth is for evaluation."
+ELIGIBILITY_RULE = "Every compatible device has a successful learned trace that ends in terminate, a text valid for the device, and a score that can be reproduced."
+
+
+def to_records(selected: DataFrame, summaries: DataFrame, devices: DataFrame, feature_names: list[str], metric: str = "expected_fidelity") -> DataFrame:
+    """(record_id, input, expected_output, deterministic_ground_truth): three separate sections, of which only ``input`` may be shown.
+
+    ``summaries``: of :func:`circuitscope.operators.qasm.summary`. ``devices``: device_id, num_qubits, operation_names and, where known, the
+    columns coupling_map, instruction_error_summary, instruction_duration_summary, allowed_compilation_actions. Written as
+    JSON lines, the result is read back by :func:`circuitscope.sources.readers.read_context_records`.
+    """
+    optional = [c for c in ("coupling_map", "instruction_error_summary", "instruction_duration_summary", "allowed_compilation_actions") if c in devices.columns]
+    profile = F.struct(F.col("device_id").alias("id"), "num_qubits", "operation_names", *optional)
+    catalog = devices.select(F.col("device_id").alias("__device"), profile.alias("__profile"))
+    backends = (selected.select("circuit", F.posexplode("candidates").alias("__pos", "__device")).join(J.broadcast_if_small(catalog), "__device")
+                .groupBy("circuit").agg(F.array_sort(F.collect_list(F.struct("__pos", "__profile"))).alias("__b"))
+                .select("circuit", F.transform("__b", lambda b: b["__profile"]).alias("backends")))
+    facts = summaries.select(F.col("name").alias("circuit"), F.struct("num_qubits", "num_clbits", "depth", "size", F.col("op_counts").alias("operation_counts"), "num_parameters").alias("summary"))
+    rows = selected.join(backends, "circuit", "left").join(facts, "circuit", "left")
+    names = F.array(*[F.lit(n) for n in feature_names])
+    direction, meaning = METRICS.get(metric, ("maximize", ""))
+    own = F.try_element_at(F.filter("outcomes", lambda o: o["device"] == F.col("label")), F.lit(1))
+    reason = lambda claim, *evidence: F.struct(F.lit(claim).alias("claim"), F.array(*evidence).alias("evidence"))
+    at_label = lambda head, tail: F.concat(F.lit(head), F.col("label"), F.lit(tail))
+    return rows.select(
+        "record_id",
+        F.struct(
+            F.struct(F.lit(metric).alias("name"), F.lit(direction).alias("direction")).alias("objective"),
+            F.create_map().cast("map<string,string>").alias("user_constraints"),
+            F.struct(F.col("circuit").alias("name"), F.lit("OpenQASM 2").alias("format"), "sha256", F.col("qasm").alias("qasm2"), "summary",
+                     F.struct(F.lit(len(feature_names)).alias("feature_count"), names.alias("ordered_names"), F.transform(names, lambda n: F.try_element_at("features", n)).alias("ordered_values"),
+                              F.col("features").alias("by_name")).alias("features")).alias("circuit"),
+            F.col("backends").alias("compatible_backends"),
+            F.struct(F.lit("the id of one of compatible_backends").alias("selected_device"), F.lit("passes that the device allows, in order").alias("compilation_passes"),
+                     F.lit("pairs of claim and evidence").alias("reasons"), F.lit("limits of the recommendation").alias("warnings")).alias("response_contract")).alias("input"),
+        F.struct(
+            F.col("label").alias("selected_device"), F.lit("qiskit").alias("compiler"), own["compilation_passes"].alias("compilation_passes"),
+            F.array(reason("The device has as many qubits as the circuit.", F.lit("input.circuit.summary.num_qubits"), at_label("input.compatible_backends[id=", "].num_qubits")),
+                    reason("Its score is the greatest of all candidates.", F.lit("deterministic_ground_truth.device_ranking"), F.lit("deterministic_ground_truth.selection_margin")),
+                    reason("The passes are those of a learned trace.", at_label("deterministic_ground_truth.candidate_outcomes[device=", "]"))).alias("reasons"),
+            F.array(F.lit(meaning)).alias("warnings")).alias("expected_output"),
+        F.struct(F.lit(f"argmax({metric}) over width-compatible devices").alias("selection_rule"), F.col("ranking").alias("device_ranking"), F.col("margin").alias("selection_margin"),
+                 F.col("outcomes").alias("candidate_outcomes"), F.lit(False).alias("fallback_examples_included")).alias("deterministic_ground_truth"))
+
+
+def header(built: DataFrame, selected: DataFrame, balance_report: DataFrame, strategy: str, feature_names: list[str], metric: str = "expected_fidelity") -> DataFrame:
+    """One row about an export: counts, how it was balanced, its labels, and why circuits were rejected, with examples."""
+    counts = built.agg(F.count("*").alias("source_sample_count"), F.count_if(F.col("reason").isNull()).alias("strict_eligible_count"))
+    labels = selected.groupBy("label").agg(F.count("*").alias("n")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("exported_record_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("label_distribution"))
+    as_map = lambda value: F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", value))))
+    balanced = balance_report.agg(F.struct(F.lit(strategy).alias("strategy"), as_map("before").alias("before"), as_map("after").alias("after"),
+                                           F.coalesce(F.sum(F.col("before") - F.col("after")), F.lit(0)).alias("discarded_for_balance")).alias("balance"))
+    rejected = R.rejection_report(built, "reason", "circuit", "idx").agg(
+        F.map_from_entries(F.collect_list(F.struct("reason", "n"))).alias("rejection_counts"), F.map_from_entries(F.collect_list(F.struct("reason", "examples"))).alias("rejection_examples"))
+    one = counts.crossJoin(labels).crossJoin(balanced).crossJoin(rejected)  # a row each
+    return one.select("*", F.lit(metric).alias("figure_of_merit"), F.lit(len(feature_names)).alias("feature_count"), F.array(*[F.lit(n) for n in feature_names]).alias("ordered_names"),
+                      F.lit(ELIGIBILITY_RULE).alias("eligibility_rule"), F.lit(USAGE_RULE).alias("usage_rule"))

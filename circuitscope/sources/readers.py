@@ -133,6 +133,11 @@ def read_context_dataset(spark: SparkSession, path: str, required: bool = False)
     return doc.select(F.explode("records").alias("r")).select("r.*")
 
 
+def read_context_records(spark: SparkSession, path: str) -> DataFrame:
+    """As :func:`read_context_dataset`, for records that are written as JSON lines: read in as many tasks as there are blocks."""
+    return spark.read.schema(spark.createDataFrame([], schemas.CONTEXT_RECORD).schema).json(path)
+
+
 def list_devices(devices: DataFrame, names: list[str]) -> DataFrame:
     """The named devices of a catalog, each once, by name. No name, or one the catalog lacks, is an error."""
     if not names:

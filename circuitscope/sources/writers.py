@@ -70,6 +70,31 @@ def copy_plan(source: DataFrame, target: DataFrame, overwrite: bool = False) ->
         "replace" if overwrite else "conflict").alias("action"))
 
 
+def publish(spark, source: str, target: str, *patterns: str, overwrite: bool = False, dry_run: bool = False) -> DataFrame:
+    """Copies the files of a folder that match a pattern to another, and returns the plan (name, action).
+
+    A file of the same name and other content is an error unless ``overwrite``; then nothing is copied. A file is copied
+    under a temporary name and renamed, so a reader never sees half of it. ``dry_run`` only plans.
+    """
+    plan = copy_plan(file_inventory(spark, source, *patterns), file_inventory(spark, target, *patterns), overwrite)
+    conflicts = [r.name for r in plan.where("action = 'conflict'").orderBy("name").limit(5).collect()]
+    if conflicts and not dry_run:
+        raise FileExistsError(f"other content is there already: {', '.join(conflicts)}")
+    if dry_run:
+        return plan
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = lambda folder, name: jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+    wanted = [r.name for r in plan.where("action in ('copy', 'replace')").select("name").toLocalIterator()]
+    files = at(target, "x").getFileSystem(conf)
+    for name in wanted:  # whole files, moved by the file system; the driver holds their names only
+        beside = at(target, f".{name}.tmp")
+        jvm.org.apache.hadoop.fs.FileUtil.copy(at(source, name).getFileSystem(conf), at(source, name), files, beside, False, True, conf)
+        files.delete(at(target, name), False)
+        if not files.rename(beside, at(target, name)):
+            raise OSError(f"{name} could not be published")
+    return spark.createDataFrame([(name, "copied") for name in wanted], "name string, action string")
+
+
 def file_inventory(spark, path: str, *patterns: str) -> DataFrame:
     """(name, sha256) of the files that match a pattern, each once."""
     found = None

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Row, functions as F
 
 from circuitscope.functions import scalars as S
-from circuitscope.operators import compatibility, devices as D, jobs as J, records as R, retrieval, sampling, scores as C, selector_model, validation
+from circuitscope.operators import compatibility, devices as D, jobs as J, qasm, records as R, retrieval, sampling, scores as C, selector_model, validation
 from circuitscope.plans import device_selector, recommend, strict_export
 from circuitscope.sources import readers, writers
 
@@ -208,7 +208,7 @@ def test_index_is_dense(spark):
     assert [r.i for r in rows] == list(range(500)) and [r.v for r in rows] == sorted(r.v for r in rows)
 
 
-def test_strict_export(spark):
+def test_strict_export(spark, tmp_path):
     circuits = spark.createDataFrame([(0, "ok", "t", 2, {"num_qubits": 2.0}), (1, "bad", "t", 2, {"num_qubits": 2.0}), (2, "odd", "t", 3, {"num_qubits": 2.0}), (3, "lost", None, 2, {"num_qubits": 2.0})],
                                      "idx int, name string, qasm string, num_qubits int, features map<string,double>")
     cell = ("rl", "success", "q", ["a", "terminate"])
@@ -219,8 +219,43 @@ def test_strict_export(spark):
     built = strict_export.build(circuits, cells, labels, ["num_qubits"])
     assert {r.circuit: r.reason for r in built.collect()} == {"ok": None, "bad": "score_mismatch", "odd": "width_mismatch", "lost": "source_missing"}
     assert strict_export.build(circuits, cells, labels, ["num_qubits"], legacy_score_rule=True).where("circuit = 'ok'").first().reason == "missing_compilation"
-    out = strict_export.to_records(strict_export.select_records(built, 3.0, max_records=5)).first()
+    kept = strict_export.select_records(built, 3.0, max_records=5)
+    parsed = qasm.parse(spark.createDataFrame([("ok", 'OPENQASM 2.0; qreg q[2]; h q[0]; rz(2*theta) q[0]; cx q[0],q[1];')], "name string, qasm string"))
+    catalog = spark.createDataFrame([("d1", 3, ["cx", "h"]), ("d2", 5, ["cx"]), ("d3", 1, ["x"])], "device_id string, num_qubits int, operation_names array<string>")
+    records = strict_export.to_records(kept, qasm.summary(parsed), catalog, ["num_qubits"])
+    out = records.first()
     assert out.expected_output.selected_device == "d2" and out.deterministic_ground_truth.selection_margin == pytest.approx(0.2)
+    assert [b.id for b in out.input.compatible_backends] == ["d1", "d2"] and out.input.circuit.summary.num_parameters == 1
+    _, report = sampling.balance(built.where("reason is null"), "label", "record_id")
+    head = strict_export.header(built, kept, report, "cap-ratio", ["num_qubits"]).first()
+    assert (head.source_sample_count, head.strict_eligible_count, head.exported_record_count) == (4, 1, 1) and head.label_distribution == {"d2": 1}
+    assert head.rejection_counts == {"score_mismatch": 1, "width_mismatch": 1, "source_missing": 1} and head.balance.before == {"d2": 1}
+    # what is exported can be read back and retrieved, and shows no target
+    writers.write_records(records, str(tmp_path / "records"))
+    back = readers.read_context_records(spark, str(tmp_path / "records"))
+    asked = spark.createDataFrame([("r", "expected_fidelity", {"num_qubits": 3.0}, ["d1"])], "request_id string, figure_of_merit string, features map<string,double>, available array<string>")
+    found = retrieval.nearest_examples(asked, back, 3).collect()
+    assert [(r.record_id, r.distance) for r in found] == [(out.record_id, 0.25)] and found[0].prompt_input.circuit.summary["depth"] == "3"
+    assert not any(word in str(found) for word in ("candidate_outcomes", "selection_margin", "expected_output", "terminate"))
+
+
+def test_feature_vector_names_and_counts(spark):
+    row = qasm.feature_map(qasm.features(qasm.parse(spark.createDataFrame([("a", 'OPENQASM 2.0; qreg q[2]; h q; cx q[0],q[1]; barrier q;')], "name string, qasm string")))).first()
+    assert len(qasm.FEATURE_NAMES) == len(set(qasm.FEATURE_NAMES)) == 49 and set(row.features) == set(qasm.FEATURE_NAMES)
+    assert {k: v for k, v in row.features.items() if v and k.startswith("gate")} == {"gate_count_h": 2.0, "gate_count_cx": 1.0} and row.features["num_qubits"] == 2.0
+
+
+def test_publishing(spark, tmp_path):
+    source, target = tmp_path / "a", tmp_path / "b"
+    source.mkdir(), target.mkdir()
+    (source / "x.zip").write_text("1"), (source / "y.zip").write_text("2"), (source / "z.txt").write_text("3"), (target / "y.zip").write_text("other")
+    plan = {r.name: r.action for r in writers.publish(spark, str(source), str(target), "*.zip", dry_run=True).collect()}
+    assert plan == {"x.zip": "copy", "y.zip": "conflict"} and not (target / "x.zip").exists()
+    with pytest.raises(FileExistsError):
+        writers.publish(spark, str(source), str(target), "*.zip")
+    assert not (target / "x.zip").exists()
+    assert {r.name for r in writers.publish(spark, str(source), str(target), "*.zip", overwrite=True).collect()} == {"x.zip", "y.zip"}
+    assert (target / "y.zip").read_text() == "2" and sorted(p.name for p in target.iterdir() if p.suffix == ".zip") == ["x.zip", "y.zip"]
 
 
 def test_recommendation_retries_then_needs_confirmation(spark):
@@ -236,7 +271,10 @@ def test_recommendation_retries_then_needs_confirmation(spark):
 
     service = recommend.Service(catalog, examples, recommend.CallableGateway(answer))
     found = service.recommend(request)
-    assert found.first().attempt == 2 and "selected_device is not" in json.loads(seen[1])["previous_errors"][0]
+    prompt = json.loads(seen[0])
+    assert prompt["live_request"]["request"]["circuit"]["operation_names"] == ["cx", "h"] and prompt["live_request"]["request"]["circuit"]["features"]["gate_count_cx"] == 1.0
+    assert [d["id"] for d in prompt["live_request"]["compatible_hardware"]] == ["d"] and prompt["rules"] and "sabre" in prompt["response_contract"]["qiskit_plan"]["layout_method"]
+    assert found.first().attempt == 2 and "selected_device is not" in json.loads(seen[1])["previous_validation_errors"][0]
     approvals = spark.createDataFrame([("r", False)], "request_id string, confirmed boolean")
     with pytest.raises(recommend.ConfirmationRequired):
         recommend.approved(found, approvals)
