@@ -260,8 +260,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Values that more than ``crowd`` fingerprints share come from large groups of near copies, whose pairs grow with the
     square of the group. Their members are gathered at a hub, commonly the most copied text of the group. Each
     member is compared with its hub; then those that are not linked to it are compared with all of the hub's
-    members, in tasks that hold two chunks of them and give out links only. Pairs are made only in small values and between members of
-    different hubs.
+    members, in tasks that hold two chunks of them and give out links only. A member of several groups is a guest at the others'
+    hubs, so all members of a crowded value meet. Pairs are made only in small values.
 
     Documents with equal fingerprints are one class from the start, as are all without a word. Null ids link with nothing.
     A repeated id is one document with all its texts. Other columns of ``docs`` are not read; an empty table gives an empty one.
@@ -287,21 +287,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.min(F.struct((-F.col("copies")).alias("c"), F.col("rep").alias("leader"), F.col("s").alias("ls"))).alias("l")), "leaders")
     hubs = scratch.table(_hubs(crowded, leaders, classes, tables, scratch), "hubs")
 
-    # members that are at another hub than their value's leader: against all members of the value
+    # members that are at another hub than their value's leader are guests at that one, so all of a value's members meet there
     at = leaders.select("key", F.col("l.leader").alias("leader")).join(hubs.withColumnRenamed("rep", "leader"), "leader", "left").select(
         "key", F.coalesce("hub", "leader").alias("hub"))
-    apart = crowded.join(at, "key").where("rep != hub").join(hubs, ["rep", "hub"], "left_anti").select(
-        "key", F.col("rep").alias("r2"), F.col("s").alias("s2"))
-    across = (crowded.join(scratch.table(apart, "apart"), "key").where((F.col("rep") != F.col("r2")) & F.expr(_close("s", "s2")))
-              .select(F.least("rep", "r2").alias("src"), F.greatest("rep", "r2").alias("dst")))
+    guests = crowded.join(at, "key").where("rep != hub").join(hubs, ["rep", "hub"], "left_anti").select("hub", "rep").distinct()
 
     of = classes.select("rep", "fp").join(hubs, "rep", "left")
-    pairs = (few.union(across).distinct()
+    pairs = (few.distinct()
              .join(of.select(F.col("rep").alias("src"), F.col("fp").alias("a"), F.col("hub").alias("ha")), "src")
              .join(of.select(F.col("rep").alias("dst"), F.col("fp").alias("b"), F.col("hub").alias("hb")), "dst")
              .where((_differing("a", "b", tables) <= tables.limit) & ~F.coalesce(F.coalesce("ha", "src") == F.coalesce("hb", "dst"), F.lit(False)))
              .select("src", "dst"))
-    spokes = hubs.where("hub != rep").select(F.col("hub").alias("src"), F.col("rep").alias("dst"))
+    spokes = scratch.table(hubs.where("hub != rep").select("hub", "rep").union(guests).select(F.col("hub").alias("src"), F.col("rep").alias("dst")), "spokes")
     pairs = scratch.table(pairs.union(spokes).distinct(), "pairs")
     sets = scratch.table(_sets(pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct(), docs, id_col, text_col, shingle_words), "sets")
     links = scratch.table(_verified(pairs, sets), "links")

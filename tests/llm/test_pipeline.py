@@ -45,3 +45,28 @@ def test_stages_take_effect(spark, tmp_path):
     assert ids[2] == ids[1] - {600, 601}
     assert ids[3] == ids[2]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} == ids[3]
+
+
+def test_odd_rows_and_columns(spark, tmp_path):
+    text = " ".join(f"the word{k % 50} of it" for k in range(40))
+    rows = [(k, f"{text} number{k} and{k} more{k} words{k} here{k} " * 2, "en") for k in range(30)]
+    odd = [(None, text, "en"), (None, None, None), (3, rows[3][1], "en"), (3, "another text of a repeated id " + text, None), (500, "", None), (501, None, "en"), (502, "5 6 7", "en"),
+           (503, "long words of a text " * 60_000, "en"), (504, "long words of a text " * 60_000, "en")]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    for name in ("rep", "key", "fp", "score", "n_tokens", "__text", "component_id"):  # names that the operators use themselves
+        docs = docs.withColumn(name, F.lit("x"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1, 0) for k in range(30)] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    left = docs
+    for (name, stage), want in zip(corpus_pipeline.STAGES, (39, 35, None, None)):
+        left = stage(spark, left, str(tmp_path))
+        if want:
+            assert left.count() == want and left.columns == docs.columns
+    ids = [r.doc_id for r in left.select("doc_id", "piece").where("piece = 0").collect()]
+    assert 503 in ids and 504 not in ids and None in ids and not {500, 501, 502} & set(ids)
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
