@@ -15,7 +15,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch to or from a Python worker, at most. Spark's own limit lets each task hold several times 64 MB outside the heap.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of Arrow batches to BATCH_BYTES, which no result depends on; a lower one stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get(name).lower()).groups()
+    if int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit] > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in slices of about so many bytes, or of one text that is longer.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Bytes that are in a word: all but \x20 and \x09-\x0D; or letters: a-z, A-Z and all of non-ASCII text.
 IN_WORD = np.ones(256, bool)
 IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
