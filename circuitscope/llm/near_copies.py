@@ -24,7 +24,7 @@ SHARE = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
 #: bits with a chance of 0.0001, and never by more than SIZE_STEPS in size.
 SKETCH_BITS, SIZE_STEPS = 10, 3
 #: Members of a crowded value are gathered at a hub whose fingerprint differs in this share of bits or less.
-HUB_SHARE = 0.35
+HUB_SHARE = 0.4
 #: The rows of a hub are compared in pairs of chunks of so many texts or bytes of shingles.
 CHUNK, CHUNK_BYTES = 512, 4 << 20
 
@@ -130,20 +130,23 @@ def _close(a: str, b: str) -> str:
     return f"(bit_count(({a} ^ {b}) & {low}) <= {SKETCH_BITS} AND abs(shiftright({a}, 24) - shiftright({b}, 24)) <= {SIZE_STEPS})"
 
 
-def _hubs(crowded: DataFrame, leaders: DataFrame, classes: DataFrame, tables: Tables, scratch: Scratch) -> DataFrame:
+def _hubs(crowded: DataFrame, classes: DataFrame, tables: Tables, scratch: Scratch) -> DataFrame:
     """(rep, hub) of the members of crowded values that have a hub: of the values' leaders that their sketches are close
-    to, the one with the most copies, or that one's own; never one with a fingerprint beyond HUB_SHARE.
+    to, the one with the most copies, or that one's own, or that one's; never one with a fingerprint beyond HUB_SHARE.
 
     A hub only says which texts are compared together, so a poor choice costs time and no link.
     """
-    led = crowded.join(leaders.select("key", "l"), "key").withColumn("l", F.when(F.expr(_close("s", "l.ls")), F.col("l")))
-    first = scratch.table(led.groupBy("rep").agg(F.min("l").alias("l")).where("l is not null").select("rep", F.col("l.leader").alias("h1")), "hubs")
-    two = first.join(first.select(F.col("rep").alias("h1"), F.col("h1").alias("h2")), "h1", "left")
-    for side in ("rep", "h1", "h2"):
-        two = two.join(classes.select(F.col("rep").alias(side), F.col("fp").alias(f"fp_{side}")), side, "left")
-    most = int(HUB_SHARE * 64 * tables.words)
-    hub = F.when(_differing("fp_rep", "fp_h2", tables) <= most, F.col("h2")).when(_differing("fp_rep", "fp_h1", tables) <= most, F.col("h1"))
-    return two.select("rep", hub.alias("hub")).where("hub is not null")
+    near = F.when(F.expr(_close("s", "l.s")), F.col("l"))
+    own = scratch.table(crowded.groupBy("rep").agg(F.min(near).alias("l")).where("l is not null").select("rep", F.col("l.rep").alias("h1")), "hubs")
+    chain = own
+    for k in (1, 2):
+        chain = chain.join(own.select(F.col("rep").alias(f"h{k}"), F.col("h1").alias(f"h{k + 1}")), f"h{k}", "left")
+    for side in ("rep", "h1", "h2", "h3"):
+        chain = chain.join(classes.select(F.col("rep").alias(side), F.col("fp").alias(f"fp_{side}")), side, "left")
+    most, hub = int(HUB_SHARE * 64 * tables.words), F.lit(None).cast(classes.schema["rep"].dataType)
+    for side in ("h1", "h2", "h3"):
+        hub = F.when(_differing("fp_rep", f"fp_{side}", tables) <= most, F.col(side)).otherwise(hub)
+    return chain.select("rep", hub.alias("hub")).where("hub is not null")
 
 
 def _sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
@@ -260,8 +263,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Values that more than ``crowd`` fingerprints share come from large groups of near copies, whose pairs grow with the
     square of the group. Their members are gathered at a hub, commonly the most copied text of the group. Each
     member is compared with its hub; then those that are not linked to it are compared with all of the hub's
-    members, in tasks that hold two chunks of them and give out links only. A member of several groups is a guest at the others'
-    hubs, so all members of a crowded value meet. Pairs are made only in small values.
+    members, in tasks that hold two chunks of them and give out links only. Pairs are made only in small values, and by the few members
+    that are at another hub than the value's leader.
 
     Documents with equal fingerprints are one class from the start, as are all without a word. Null ids link with nothing.
     A repeated id is one document with all its texts. Other columns of ``docs`` are not read; an empty table gives an empty one.
@@ -277,28 +280,36 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # Copies are one row and a text has hundreds of values, so no value holds a large share of these rows: one shuffle and a
     # sort, which spills, count them in less memory than a hash join does
     entered = classes.select("rep", "copies", "s", F.explode(keys).alias("key"))
-    shared = scratch.table(entered.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "shared")
+    value = Window.partitionBy("key")
+    shared = scratch.table(entered.withColumn("n", F.count("*").over(value)).withColumn(
+        "l", F.min(F.struct((-F.col("copies")).alias("c"), "rep", "s")).over(value)).where("n > 1"), "shared")
     few = (shared.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list(F.struct("rep", "s")).alias("m"))
            .select(F.explode(F.expr(f"""flatten(transform(m, (x, i) -> transform(
                filter(slice(m, i + 2, size(m)), y -> {_close("x.s", "y.s")}),
                y -> struct(least(x.rep, y.rep) AS src, greatest(x.rep, y.rep) AS dst))))""")).alias("p")).select("p.src", "p.dst"))
-    crowded = shared.where(F.col("n") > crowd).select("key", "rep", "copies", "s")
-    leaders = scratch.table(crowded.groupBy("key").agg(
-        F.min(F.struct((-F.col("copies")).alias("c"), F.col("rep").alias("leader"), F.col("s").alias("ls"))).alias("l")), "leaders")
-    hubs = scratch.table(_hubs(crowded, leaders, classes, tables, scratch), "hubs")
-
-    # members that are at another hub than their value's leader are guests at that one, so all of a value's members meet there
-    at = leaders.select("key", F.col("l.leader").alias("leader")).join(hubs.withColumnRenamed("rep", "leader"), "leader", "left").select(
-        "key", F.coalesce("hub", "leader").alias("hub"))
-    guests = crowded.join(at, "key").where("rep != hub").join(hubs, ["rep", "hub"], "left_anti").select("hub", "rep").distinct()
+    crowded = shared.where(F.col("n") > crowd)
+    hubs = scratch.table(_hubs(crowded, classes, tables, scratch), "hubs")
+
+    # Members that are at another hub than their value's leader, against the value's other members, unless these are at
+    # their own hub. Which entries these are is marked by a union and an aggregate; all others are at the leader's hub.
+    led = crowded.select("rep", F.col("l.rep").alias("leader")).distinct()
+    at = led.join(hubs.withColumnRenamed("rep", "leader"), "leader", "left").withColumn("hub", F.coalesce("hub", "leader")).where("rep != hub")
+    away = at.join(hubs, ["rep", "hub"], "left_anti").select("rep", "leader").join(hubs, "rep", "left").select("rep", "leader", F.coalesce("hub", "rep").alias("hub"))
+    apart = scratch.table(crowded.select("key", "rep", "s", F.col("l.rep").alias("leader")).join(scratch.table(away, "away"), ["rep", "leader"])
+                          .select("key", F.col("rep").alias("r2"), F.col("s").alias("s2"), F.col("hub").alias("h2")), "apart")
+    marked = (crowded.select("key", "rep", "s", F.lit(None).cast(classes.schema["rep"].dataType).alias("hub")).union(apart)
+              .groupBy("key", "rep", "s").agg(F.max("hub").alias("hub")))
+    others = F.col("hub").isNull() | ((F.col("hub") != F.col("h2")) & (F.col("rep") < F.col("r2")))
+    across = (marked.join(apart, "key").where(others & (F.col("rep") != F.col("r2")) & F.expr(_close("s", "s2")))
+              .select(F.least("rep", "r2").alias("src"), F.greatest("rep", "r2").alias("dst")))
 
     of = classes.select("rep", "fp").join(hubs, "rep", "left")
-    pairs = (few.distinct()
+    pairs = (few.union(across).distinct()
              .join(of.select(F.col("rep").alias("src"), F.col("fp").alias("a"), F.col("hub").alias("ha")), "src")
              .join(of.select(F.col("rep").alias("dst"), F.col("fp").alias("b"), F.col("hub").alias("hb")), "dst")
              .where((_differing("a", "b", tables) <= tables.limit) & ~F.coalesce(F.coalesce("ha", "src") == F.coalesce("hb", "dst"), F.lit(False)))
              .select("src", "dst"))
-    spokes = scratch.table(hubs.where("hub != rep").select("hub", "rep").union(guests).select(F.col("hub").alias("src"), F.col("rep").alias("dst")), "spokes")
+    spokes = hubs.where("hub != rep").select(F.col("hub").alias("src"), F.col("rep").alias("dst"))
     pairs = scratch.table(pairs.union(spokes).distinct(), "pairs")
     sets = scratch.table(_sets(pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct(), docs, id_col, text_col, shingle_words), "sets")
     links = scratch.table(_verified(pairs, sets), "links")
