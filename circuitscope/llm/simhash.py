@@ -7,7 +7,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import Scratch, materialize
 from .components import connected_components
@@ -78,11 +78,10 @@ def hamming_links(fps: DataFrame, crowd: int = 64, scratch: Scratch | None = Non
     keys = [key.bitwiseOR(F.lit(s << width))
             for s in range(SEGMENTS)
             for key in ball(F.shiftrightunsigned("fp", s * width).bitwiseAND(F.lit((1 << width) - 1)), width)]
-    entered = fps.select("fp", F.explode(F.array(*keys)).alias("key")).repartition("key")
+    entered = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
     scratch = scratch or Scratch(fps.sparkSession)
-    # the count takes in all columns, so that it reads the same shuffle as the join; copies are one row, so no value is hot
-    counted = entered.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
-    shared = scratch.table(entered.join(counted.hint("shuffle_hash"), "key"), "hamming")
+    # copies are one row and a fingerprint has 66 values, so no value holds a large share: one shuffle and a sort count them
+    shared = scratch.table(entered.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "hamming")
     pairs = (shared.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list("fp").alias("fps"))
              .select(F.explode(F.expr(f"""flatten(transform(fps, (x, i) -> transform(
                  filter(slice(fps, i + 2, size(fps)), y -> bit_count(x ^ y) <= {MAX_BITS}),
@@ -93,7 +92,7 @@ def hamming_links(fps: DataFrame, crowd: int = 64, scratch: Scratch | None = Non
     near = (crowded.withColumn("m", masks)
             .select("fp", F.explode(F.expr("""concat(array(fp), flatten(transform(sequence(0, 63), i ->
                  transform(sequence(i + 1, 64), j -> fp ^ m[i] ^ m[j]))))""")).alias("z")))
-    stars = (near.select(F.col("fp").alias("dst"), "z").join(near.groupBy("z").agg(F.min("fp").alias("src")), "z")
+    stars = (near.select(F.col("fp").alias("dst"), F.min("fp").over(Window.partitionBy("z")).alias("src"))
              .where("src != dst").select("src", "dst").distinct())
     return pairs.union(stars)
 
