@@ -1,8 +1,10 @@
 """OpenQASM 2 text as ordered operations, by column functions only, and folds over the operations.
 
-The grammar is our own reading of the OpenQASM 2 paper: statements end with a semicolon; ``//`` starts a comment; registers
-are declared before use; gate definitions are skipped; ``if (c==n)`` guards are dropped from a statement. A statement over whole
-registers stands for one operation for each index, except ``barrier``, which is one operation over all wires.
+The grammar is that of the OpenQASM 2 paper: statements end with a semicolon or with the body of a definition; ``//`` starts a
+comment; registers and gates are declared before use; ``if (c==n)`` guards are checked and dropped from a statement. The gates of the
+public library count as declared. A statement over whole registers of one size stands for one operation for each index, except
+``barrier``, which is one operation over all wires. Calls of gates that the text defines are operations of that
+name; :func:`expand_definitions` puts their bodies in their place.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schemas
+from . import expressions as E
+from .expressions import bind
 
 #: Names that are no gate: they count neither as gate nor as layer.
 NOT_GATES = ("barrier", "measure", "reset")
@@ -18,88 +22,246 @@ GATES = ("u3", "u2", "u1", "cx", "id", "u0", "u", "p", "x", "y", "z", "h", "s",
          "cz", "cy", "swap", "ch", "ccx", "cswap", "crx", "cry", "crz", "cu1", "cp", "cu3", "csx", "cu", "rxx", "rzz", "rccx", "rc3x", "c3x", "c3sqrtx", "c4x")
 SHAPE_FEATURES = ("num_qubits", "depth", "program_communication", "critical_depth", "entanglement_ratio", "parallelism", "liveness")
 FEATURE_NAMES = (*(f"gate_count_{g}" for g in GATES), *SHAPE_FEATURES)
-#: Names in parameters that are no free parameter.
-_KNOWN_NAMES = ("pi", "sin", "cos", "tan", "exp", "ln", "sqrt")
-#: What may stand between parentheses: parentheses in it are matched to this depth.
-DEPTH = 8
-_INSIDE = r"[^()]*+"
-for _ in range(DEPTH):
-    _INSIDE = rf"(?:[^()]++|\({_INSIDE}\))*+"
-_STATEMENT = rf"(?s)^\s*([A-Za-z_][A-Za-z0-9_]*)\s*(?:\(({_INSIDE})\))?\s*(.*?)\s*$"
-_PARAMETER = rf"((?:[^(),]++|\({_INSIDE}\))++)"
+#: Parameters and qubits of the library's gates and of the two that the language has without it.
+SIGNATURES = {
+    "U": (3, 1), "CX": (0, 2), "u3": (3, 1), "u2": (2, 1), "u1": (1, 1), "cx": (0, 2), "id": (0, 1), "u0": (1, 1), "u": (3, 1), "p": (1, 1),
+    "x": (0, 1), "y": (0, 1), "z": (0, 1), "h": (0, 1), "s": (0, 1), "sdg": (0, 1), "t": (0, 1), "tdg": (0, 1), "rx": (1, 1), "ry": (1, 1), "rz": (1, 1),
+    "sx": (0, 1), "sxdg": (0, 1), "cz": (0, 2), "cy": (0, 2), "swap": (0, 2), "ch": (0, 2), "ccx": (0, 3), "cswap": (0, 3), "crx": (1, 2), "cry": (1, 2),
+    "crz": (1, 2), "cu1": (1, 2), "cp": (1, 2), "cu3": (3, 2), "csx": (0, 2), "cu": (4, 2), "rxx": (1, 2), "rzz": (1, 2), "rccx": (0, 3), "rc3x": (0, 4),
+    "c3x": (0, 4), "c3sqrtx": (0, 4), "c4x": (0, 5)}
+#: A call: name, parameters up to the last parenthesis, arguments, which hold none.
+_CALL = r"(?s)^([A-Za-z_]\w*) ?(?:\((.*)\))? ?([^()]*)$"
+_ARGUMENT = r"^([A-Za-z_]\w*) ?(?:\[ ?(\d+) ?\])?$"
+_REGISTER = r"^(qreg|creg) ([A-Za-z_]\w*) ?\[ ?(\d+) ?\]$"
+_DEFINITION = r"(?s)^(gate|opaque) ([A-Za-z_]\w*) ?(?:\(([^()]*)\))? ?([^(){};]*?) ?(?:\{(.*)\})?$"
+_GUARD = r"^if ?\( ?([A-Za-z_]\w*) ?== ?\d+ ?\) ?"
+_NAME = r"^[A-Za-z_]\w*$"
+_REGISTERS = "array<struct<name:string,size:int,first:int,kind:string,at:int>>"
+_DEFINITIONS = "array<struct<name:string,params:array<string>,wires:array<string>,body:array<struct<op:string,params:array<string>,args:array<string>>>,opaque:boolean,valid:boolean,at:int>>"
+_FLAT = "array<struct<name:string,params:array<string>,body:array<struct<op:string,params:array<string>,wires:array<int>>>>>"
+
+
+def _plain(text: Column) -> Column:
+    return F.regexp_replace(text, r"//[^\n]*", "")
+
+
+def _tidy(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
 def _statements(text: Column) -> Column:
-    """Statements without comments, definitions, includes and guards."""
-    plain = F.regexp_replace(F.regexp_replace(text, r"//[^\n]*", ""), r"(?s)\b(?:gate|opaque)\b[^{;]*(?:\{[^}]*\}|;)", "")
-    parts = F.transform(F.split(plain, ";"), lambda s: F.regexp_replace(F.trim(F.regexp_replace(s, r"\s+", " ")), rf"^if ?\({_INSIDE}\) ?", ""))
-    return F.filter(parts, lambda s: (s != "") & ~s.rlike(r"^(OPENQASM|include)\b"))
+    """(text, guard, at) of every statement but header and includes, without comments; definitions are one statement each.
+
+    A piece that neither a semicolon nor a body ends keeps a mark that no grammar allows.
+    """
+    pieces = F.regexp_extract_all(_plain(text), F.lit(r"[^;{}]*+(?:\{[^{}]*+\}|;)|[^;{}]++|[{}]"), F.lit(0))
+
+    def one(piece: Column, i: Column) -> Column:
+        tidy = F.when(piece.endswith(";"), _tidy(F.substring(piece, F.lit(1), F.length(piece) - 1))).when(
+            piece.endswith("}"), _tidy(piece)).when(_tidy(piece) == "", F.lit("")).otherwise(F.concat(F.lit("\\"), piece))
+        return bind(tidy, lambda s: F.struct(F.regexp_replace(s, _GUARD, "").alias("text"), F.regexp_extract(s, _GUARD, 1).alias("guard"), i.cast("int").alias("at")))
+
+    return F.filter(F.transform(pieces, one), lambda s: (s["text"] != "") & ~s["text"].rlike(r"^(OPENQASM|include)\b"))
+
+
+def _registers(statements: Column) -> Column:
+    """Registers in order; ``first`` counts the wires of their kind before. A size beyond an int is none."""
+    declared = F.transform(F.filter(statements, lambda s: s["text"].rlike(_REGISTER)), lambda s: F.struct(
+        F.regexp_extract(s["text"], _REGISTER, 2).alias("name"), F.coalesce(F.regexp_extract(s["text"], _REGISTER, 3).try_cast("int"), F.lit(0)).alias("size"),
+        F.regexp_extract(s["text"], _REGISTER, 1).alias("kind"), s["at"].alias("at")))
+    return F.aggregate(declared, F.array().cast(_REGISTERS), lambda acc, r: F.concat(acc, F.array(F.struct(
+        r["name"].alias("name"), r["size"].alias("size"), F.aggregate(acc, F.lit(0), lambda t, x: t + F.when(x["kind"] == r["kind"], x["size"]).otherwise(0)).alias("first"),
+        r["kind"].alias("kind"), r["at"].alias("at")))))
+
+
+def _total(registers: Column, kind: str) -> Column:
+    return F.aggregate(registers, F.lit(0), lambda t, r: t + F.when(r["kind"] == kind, r["size"]).otherwise(0))
+
+
+def _call(text: Column) -> Column:
+    """(op, params, args) of a statement; no name if it has not the form of a call."""
+    args = F.regexp_extract(text, _CALL, 3)
+    return F.struct(F.regexp_extract(text, _CALL, 1).alias("op"), E.parts(F.regexp_extract(text, _CALL, 2)).alias("params"),
+                    F.when(F.trim(args) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(args, ","), lambda a: F.trim(a))).alias("args"))
+
+
+def _signature(op: Column, definitions: Column, at: Column) -> Column:
+    """(params, wires) of a gate that is known where it is called: an earlier definition of the text, else the library's."""
+    own = F.get(F.filter(definitions, lambda d: (d["name"] == op) & (d["at"] < at)), 0)
+    table = F.expr("map(" + ", ".join(f"'{name}', named_struct('params', {p}, 'wires', {w})" for name, (p, w) in SIGNATURES.items()) + ")")
+    library = F.try_element_at(table, op)
+    return F.when(own.isNotNull(), F.struct(F.size(own["params"]).alias("params"), F.size(own["wires"]).alias("wires"))).otherwise(library)
+
+
+def _definitions(statements: Column) -> Column:
+    """Definitions in order, as they stand."""
+    names = lambda s: F.when(F.trim(s) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(s, ","), lambda n: F.trim(n)))
+
+    def one(s: Column) -> Column:
+        at = lambda k: F.regexp_extract(s["text"], _DEFINITION, k)
+        calls = F.transform(F.filter(F.split(at(5), ";"), lambda c: F.trim(c) != ""), lambda c: _call(F.trim(c)))
+        return F.struct(at(2).alias("name"), names(at(3)).alias("params"), names(at(4)).alias("wires"), calls.alias("body"), (at(1) == "opaque").alias("opaque"), s["at"].alias("at"))
+
+    return F.transform(F.filter(statements, lambda s: s["text"].rlike(r"^(gate|opaque)\b")), one)
+
+
+def _checked(definitions: Column, bad_params: Column) -> Column:
+    """The definitions, each with ``valid``: its names are names, none comes twice, and its body calls gates that are
+    known before it, with their numbers of parameters and wires, over its own wires and parameters only."""
+    distinct = lambda a: F.size(F.array_distinct(a)) == F.size(a)
+
+    def checked(acc: Column, d: Column) -> Column:
+        def fine(c: Column) -> Column:
+            over_own = (F.size(F.array_except(c["args"], d["wires"])) == 0) & distinct(c["args"]) & (F.size(c["args"]) > 0)
+            values = ~F.arrays_overlap(c["params"], bad_params) & (F.size(F.array_except(F.flatten(F.transform(c["params"], E.free_names)), d["params"])) == 0)
+            known = bind(_signature(c["op"], acc, d["at"]), lambda g: (g["params"] == F.size(c["params"])) & (g["wires"] == F.size(c["args"])))
+            return over_own & F.when(c["op"] == "barrier", F.size(c["params"]) == 0).otherwise(F.coalesce(known & values, F.lit(False)))
+
+        named = (d["name"] != "") & F.forall(F.concat(d["params"], d["wires"]), lambda n: n.rlike(_NAME)) & distinct(F.concat(d["params"], d["wires"])) & (F.size(d["wires"]) > 0)
+        new = ~F.exists(acc, lambda x: x["name"] == d["name"])
+        valid = named & new & F.when(d["opaque"], F.size(d["body"]) == 0).otherwise(F.forall(d["body"], fine))
+        return F.concat(acc, F.array(F.struct(d["name"].alias("name"), d["params"].alias("params"), d["wires"].alias("wires"), d["body"].alias("body"),
+                                              d["opaque"].alias("opaque"), valid.alias("valid"), d["at"].alias("at"))).cast(_DEFINITIONS))
+
+    return F.aggregate(definitions, F.expr(f"cast(array() as {_DEFINITIONS})"), checked)
+
+
+def _argument(argument: Column, registers: Column, at: Column) -> Column:
+    """(kind, wires, whole): one wire for ``r[i]``, all of the register for ``r``; no kind and no wire if it is none that is declared before."""
+    name, index = F.regexp_extract(argument, _ARGUMENT, 1), F.regexp_extract(argument, _ARGUMENT, 2)
+    none = F.struct(F.lit(None).cast("string").alias("kind"), F.array().cast("array<int>").alias("wires"), F.lit(False).alias("whole"))
+
+    def of(r: Column) -> Column:
+        number = index.try_cast("int")
+        wires = F.when((index == "") & (r["size"] > 0), F.sequence(r["first"], r["first"] + r["size"] - 1)).when(
+            number < r["size"], F.array(r["first"] + number)).otherwise(F.array().cast("array<int>"))
+        return F.struct(r["kind"].alias("kind"), wires.alias("wires"), (index == "").alias("whole"))
 
+    found = F.get(F.filter(registers, lambda r: (r["name"] == name) & (r["at"] < at)), 0)
+    return F.when(found.isNull(), none).otherwise(bind(found, of))
 
-def _registers(statements: Column, word: str) -> Column:
-    """(name, size, first) of the registers of a kind, in order; first counts the wires before."""
-    sizes = F.transform(F.filter(statements, lambda s: s.rlike(rf"^{word}\b")), lambda s: F.struct(
-        F.regexp_extract(s, rf"^{word} (\w+) ?\[", 1).alias("name"),
-        F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(s, r"\[ ?(\d{1,6}) ?\]$", 1), F.lit("")), F.lit("999999")).cast("int"), F.lit(0)).alias("size")))
-    start = F.array().cast("array<struct<name:string,size:int,first:int>>")
-    return F.aggregate(sizes, start, lambda acc, r: F.concat(acc, F.array(F.struct(
-        r["name"].alias("name"), r["size"].alias("size"),
-        F.aggregate(acc, F.lit(0), lambda t, x: t + x["size"]).alias("first")))))
 
+# Columns that a lambda uses are bound first: Catalyst may put a column's expression in its place, and there it would run for every item.
 
-def _total(registers: Column) -> Column:
-    return F.aggregate(registers, F.lit(0), lambda t, r: t + r["size"])
 
+def _with_call(s: Column) -> Column:
+    """A statement with its call: (text, guard, at, arrow, call). Measurement has its own arrow; as a comma it is a call of two arguments."""
+    head = F.regexp_extract(s["text"], r"^measure (.*)$", 1)
+    arrow = head.rlike("^[^,>]*->[^,>]*$")
+    call = _call(F.when(arrow, F.concat(F.lit("measure "), F.replace(head, F.lit("->"), F.lit(",")))).otherwise(s["text"]))
+    return F.struct(s["text"].alias("text"), s["guard"].alias("guard"), s["at"].alias("at"), arrow.alias("arrow"), call.alias("call"))
 
-def _wires(argument: Column, registers: Column) -> Column:
-    """Wire numbers of one argument: one for ``r[i]``, all of the register for ``r``; none if it is unknown."""
-    name = F.regexp_extract(argument, r"^(\w+)", 1)
-    index = F.nullif(F.regexp_extract(argument, r"\[ ?(\d{1,6}) ?\]$", 1), F.lit("")).cast("int")
-    found = F.filter(registers, lambda r: r["name"] == name)
-    inside = lambda r: F.when(index.isNull() & (r["size"] > 0), F.sequence(r["first"], r["first"] + r["size"] - 1)).when(
-        index < r["size"], F.array(r["first"] + index)).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.transform(found, inside))
 
+def _rows(s: Column, registers: Column, definitions: Column, bad_params: Column) -> Column:
+    """(op, params, qubits, clbits, problem) of a statement, a row for each index of whole registers; without arguments one row all the same."""
+    c = s["call"]
 
-def parse(circuits: DataFrame) -> DataFrame:
-    """``circuits`` (with a text column ``qasm``) and num_qubits, num_clbits, ops, problem.
+    def placed(args: Column) -> Column:
+        sizes = F.array_distinct(F.transform(F.filter(args, lambda a: a["whole"]), lambda a: F.size(a["wires"])))
+        n_args, n_params = F.size(args), F.size(c["params"])
+        kinds = F.array_join(F.transform(args, lambda a: F.coalesce(F.substring(a["kind"], 1, 1), F.lit("?"))), "")
+        longest = F.coalesce(F.array_max(F.transform(args, lambda a: F.size(a["wires"]))), F.lit(1))
+        times = F.when(c["op"] == "barrier", F.lit(1)).otherwise(F.greatest(F.lit(1), longest))
+        used = lambda kind, i: F.flatten(F.transform(F.filter(args, lambda a: a["kind"] == kind), lambda a: F.when(
+            (c["op"] == "barrier") | ~a["whole"], a["wires"]).otherwise(F.slice(a["wires"], i + 1, 1))))
+        unguarded = (s["guard"] != "") & ~F.exists(registers, lambda r: (r["name"] == s["guard"]) & (r["kind"] == "creg") & (r["at"] < s["at"]))
+        # a signature of null arguments is any number of them
+        special = F.expr("map('measure', named_struct('params', 0, 'wires', 2, 'kinds', '^qc$'), 'reset', named_struct('params', 0, 'wires', 1, 'kinds', '^q$'), "
+                         "'barrier', named_struct('params', 0, 'wires', cast(null as int), 'kinds', '^q+$'))")
+        of_gate = bind(_signature(c["op"], definitions, s["at"]), lambda g: F.when(
+            g.isNotNull(), F.struct(g["params"].alias("params"), g["wires"].alias("wires"), F.lit("^q*$").alias("kinds"))))
 
-    ``ops``: pos, op, params, qubits, clbits, in order; wires are numbers over all registers. ``problem`` is null for a valid
-    text, else: blank, no_header, no_qubits, unknown_argument or bad_statement. Null texts are blank. Parameters are whole expressions,
-    parted at commas outside their parentheses; more than DEPTH of these within each other make an unknown argument.
+        def judged(g: Column) -> Column:
+            return (F.when(s["text"].rlike(r"^(qreg|creg|gate|opaque|if)\b") | (c["op"] == "") | ((c["op"] == "measure") & ~s["arrow"] & ((n_args != 1) | s["text"].contains("->"))), "bad_statement")
+                    .when(unguarded, "unknown_argument").when(g.isNull(), "unknown_gate").when((g["params"] != n_params) | (F.coalesce(g["wires"], n_args) != n_args) | (n_args == 0), "wrong_arity")
+                    .when(~F.regexp_like(kinds, g["kinds"]) | F.exists(args, lambda a: F.size(a["wires"]) == 0), "unknown_argument")
+                    .when((F.size(sizes) > 1) & (c["op"] != "barrier"), "size_mismatch").when(F.arrays_overlap(c["params"], bad_params), "bad_parameter"))
+
+        def one(problem: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), times - 1), lambda i: bind(used("qreg", i), lambda q: F.struct(
+                c["op"].alias("op"), c["params"].alias("params"), q.alias("qubits"), used("creg", i).alias("clbits"),
+                F.coalesce(problem, F.when(F.size(F.array_distinct(q)) < F.size(q), "unknown_argument")).alias("problem"))))
+
+        return bind(bind(F.coalesce(F.try_element_at(special, c["op"]), of_gate), judged), one)
+
+    return bind(F.transform(c["args"], lambda a: _argument(a, registers, s["at"])), placed)
+
+
+def parse(circuits: DataFrame, definitions: bool = False) -> DataFrame:
+    """``circuits`` (with a text column ``qasm``) and num_qubits, num_clbits, ops, problem; with ``definitions`` also the gates that the text defines.
+
+    ``ops``: pos, op, params, qubits, clbits, in order; wires are numbers over all registers of a kind. ``problem`` is null for a valid
+    text, else blank, no_header, no_qubits, or what is wrong with its first bad statement: bad_statement (not of the grammar), duplicate_name,
+    bad_definition, unknown_gate, wrong_arity (parameters or arguments), unknown_argument (not declared before, of the wrong kind, beyond its register, or
+    a qubit twice), size_mismatch (whole registers of different sizes) or bad_parameter. Null texts are blank. Parameters are whole
+    expressions with parentheses to any depth, parted at the commas outside of these; names in them that nothing defines are free parameters.
+    """
+    text = F.coalesce("qasm", F.lit(""))
+    body = F.filter("__s", lambda s: ~s["text"].rlike(_REGISTER) & ~s["text"].rlike(_DEFINITION))
+    calls = F.concat(F.transform("__c", lambda s: s["call"]["params"]), F.flatten(F.transform("__f", lambda d: F.transform(d["body"], lambda c: c["params"]))))
+    staged = (circuits.withColumn("__s", _statements(text))
+              .withColumns({"__r": _registers(F.col("__s")), "__f": _definitions(F.col("__s")), "__c": F.transform(body, _with_call)})
+              .withColumn("__bad", F.filter(F.array_distinct(F.flatten(calls)), lambda p: ~E.evaluate(p)["valid"]))
+              .withColumn("__d", bind(F.col("__bad"), lambda bad: _checked(F.col("__f"), bad)))
+              .withColumn("__ops", bind(F.struct("__r", "__d", "__bad"), lambda k: F.transform("__c", lambda s: F.struct(
+                  s["at"].alias("at"), _rows(s, k["__r"], k["__d"], k["__bad"]).alias("rows"))))))
+    # calls that have neither a name nor a wire are no operation
+    rows = F.filter(F.flatten(F.transform("__ops", lambda o: o["rows"])), lambda o: (o["op"] != "") & (F.size(o["qubits"]) + F.size(o["clbits"]) > 0))
+    ops = F.transform(rows, lambda o, i: F.struct(i.cast("int").alias("pos"), o["op"].alias("op"), o["params"].alias("params"),
+                                                  o["qubits"].alias("qubits"), o["clbits"].alias("clbits"))).cast(schemas.OPERATIONS)
+    found = lambda at, what: F.struct(at.alias("at"), what.alias("what"))
+    in_calls = F.transform(F.filter("__ops", lambda o: F.exists(o["rows"], lambda r: r["problem"].isNotNull())), lambda o: found(
+        o["at"], F.get(F.filter(F.transform(o["rows"], lambda r: r["problem"]), lambda p: p.isNotNull()), 0)))
+    in_definitions = F.transform(F.filter("__d", lambda d: ~d["valid"]), lambda d: found(d["at"], F.lit("bad_definition")))
+    name = lambda d: F.struct(d["name"].alias("name"), d["at"].alias("at"))
+    taken = lambda names: F.transform(F.filter(names, lambda d: F.exists(names, lambda e: (e["name"] == d["name"]) & (e["at"] < d["at"]))), lambda d: found(d["at"], F.lit("duplicate_name")))
+    none = F.transform(F.filter("__r", lambda r: r["size"] == 0), lambda r: found(r["at"], F.lit("bad_statement")))
+    first = F.array_min(F.concat(in_calls, in_definitions, bind(F.concat(F.transform("__r", name), F.transform("__d", name)), taken), none))["what"]
+    problem = (F.when(_tidy(text) == "", "blank").when(~text.rlike(r"(?s)^(?:\s|//[^\n]*\n)*+OPENQASM\s+2\.0\s*;"), "no_header")
+               .when(_total(F.col("__r"), "qreg") == 0, "no_qubits").otherwise(first))
+    return (staged.withColumns({"num_qubits": _total(F.col("__r"), "qreg"), "num_clbits": _total(F.col("__r"), "creg"), "ops": ops, "problem": problem}
+                               | ({"definitions": F.col("__d")} if definitions else {})).drop("__s", "__r", "__f", "__c", "__bad", "__d", "__ops"))
+
+
+def expand_definitions(parsed: DataFrame) -> DataFrame:
+    """The result of ``parse(definitions=True)`` with every call of a defined gate replaced by its body, until only gates without a body are left.
+
+    A body calls earlier definitions only, so the definitions are expanded in their order, one fold, and each call is then
+    replaced once. Parameters are put into the body's expressions as text, in parentheses where needed. Opaque gates stay; an invalid
+    definition is not expanded. The result is as long as the circuit that the definitions stand for.
     """
-    staged = (circuits.withColumn("__s", _statements(F.coalesce("qasm", F.lit(""))))
-              .withColumn("__q", _registers(F.col("__s"), "qreg")).withColumn("__c", _registers(F.col("__s"), "creg")))
-    body = F.filter("__s", lambda s: ~s.rlike(r"^(qreg|creg)\b"))
-
-    def calls(s: Column) -> Column:
-        op = F.regexp_extract(s, _STATEMENT, 1)
-        params = F.regexp_extract(s, _STATEMENT, 2)
-        names = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_extract(s, _STATEMENT, 3), "->", ","), ","), lambda a: F.trim(a)), lambda a: a != "")
-        q = F.transform(names, lambda a: _wires(a, F.col("__q")))
-        c = F.transform(names, lambda a: _wires(a, F.col("__c")))
-        known = (F.size(names) > 0) & F.forall(F.zip_with(q, c, lambda x, y: F.size(x) + F.size(y)), lambda n: n > 0)
-        times = F.when(op == "barrier", F.lit(1)).otherwise(F.greatest(F.lit(1), F.array_max(F.transform(F.concat(q, c), lambda w: F.size(w)))))
-        used = lambda wires, i: F.when(op == "barrier", F.flatten(wires)).otherwise(F.flatten(F.transform(
-            wires, lambda w: F.when(F.size(w) == 1, w).when(F.size(w) > i, F.array(F.try_element_at(w, i + 1))).otherwise(F.array().cast("array<int>")))))
-        one = lambda i: F.struct(op.alias("op"), F.filter(F.transform(F.regexp_extract_all(params, F.lit(_PARAMETER)), lambda p: F.trim(p)), lambda p: p != "").alias("params"),
-                                 used(q, i).alias("qubits"), used(c, i).alias("clbits"), known.alias("known"))
-        return F.transform(F.sequence(F.lit(0), times - 1), one)
-
-    numbered = staged.withColumn("__ops", F.flatten(F.transform(body, calls)))
-    ops = F.transform("__ops", lambda o, i: F.struct(i.cast("int").alias("pos"), o["op"].alias("op"), o["params"].alias("params"),
-                                                     o["qubits"].alias("qubits"), o["clbits"].alias("clbits"))).cast(schemas.OPERATIONS)
-    text = F.coalesce(F.col("qasm"), F.lit(""))
-    problem = (F.when(F.trim(F.regexp_replace(text, r"\s+", " ")) == "", "blank").when(~text.rlike(r"(?s)^(?:\s|//[^\n]*\n)*OPENQASM\s+2\.0\s*;"), "no_header")
-               .when(_total(F.col("__q")) == 0, "no_qubits").when(F.exists("__ops", lambda o: o["op"] == ""), "bad_statement")
-               .when(F.exists("__ops", lambda o: ~o["known"] | (F.size(o["qubits"]) == 0) | (F.size(F.array_distinct(o["qubits"])) < F.size(o["qubits"]))),
-                     "unknown_argument"))
-    return (numbered.withColumns({"num_qubits": _total(F.col("__q")), "num_clbits": _total(F.col("__c")), "ops": ops, "problem": problem})
-            .drop("__s", "__q", "__c", "__ops"))
+    def replaced(op: Column, params: Column, wires: Column, known: Column) -> Column:
+        as_is = F.array(F.struct(op.alias("op"), params.alias("params"), wires.alias("wires")))
+        hit = F.get(F.filter(known, lambda d: d["name"] == op), 0)
+        return bind(hit, lambda d: F.when(d.isNull(), as_is).otherwise(F.transform(d["body"], lambda b: F.struct(
+            b["op"].alias("op"), F.transform(b["params"], lambda p: E.substituted(p, d["params"], params)).alias("params"),
+            F.transform(b["wires"], lambda w: F.get(wires, w)).alias("wires")))))
+
+    def flat(acc: Column, d: Column) -> Column:
+        number = lambda a: (F.array_position(d["wires"], a) - 1).cast("int")
+        body = F.flatten(F.transform(d["body"], lambda c: replaced(c["op"], c["params"], F.transform(c["args"], number), acc)))
+        return F.concat(acc, F.array(F.struct(d["name"].alias("name"), d["params"].alias("params"), body.alias("body"))).cast(_FLAT))
+
+    usable = F.filter("definitions", lambda d: d["valid"] & ~d["opaque"])
+    known = F.aggregate(usable, F.array().cast(_FLAT), flat)
+    calls = bind(known, lambda k: F.flatten(F.transform("ops", lambda o: F.transform(replaced(o["op"], o["params"], o["qubits"], k), lambda r: F.struct(
+        r["op"].alias("op"), r["params"].alias("params"), r["wires"].alias("qubits"), o["clbits"].alias("clbits"))))))
+    ops = F.transform(calls, lambda o, i: F.struct(i.cast("int").alias("pos"), o["op"].alias("op"), o["params"].alias("params"), o["qubits"].alias("qubits"), o["clbits"].alias("clbits")))
+    return parsed.withColumn("ops", ops.cast(schemas.OPERATIONS))
+
+
+def parameter_values(ops: Column | str = "ops") -> Column:
+    """For each operation the values of its parameters; null for free ones. Two spellings of one angle have one value."""
+    return F.transform(ops, lambda o: F.transform(o["params"], E.value))
 
 
 def explode_ops(parsed: DataFrame, key: str = "name") -> DataFrame:
-    return parsed.select(key, F.explode("ops").alias("o")).select(key, "o.*")
+    return _one_each(parsed, key).select(key, "o.*")
+
+
+def _one_each(parsed: DataFrame, *keep: str) -> DataFrame:
+    """(keep, o), a row for each operation. An outer explode: before a plain one Spark would filter by the array's size, i.e. parse twice."""
+    return parsed.select(*keep, F.explode_outer("ops").alias("o")).where("o IS NOT NULL")
 
 
 def op_counts(parsed: DataFrame, key: str = "name") -> DataFrame:
@@ -133,9 +295,9 @@ def features(parsed: DataFrame) -> DataFrame:
     parallelism: (gates / depth - 1) / (n - 1). liveness: share of qubit-layers in which a gate, measurement or reset acts.
     Depth counts every operation but barriers; gates leave out measure and reset.
     """
-    wires = F.transform("ops", lambda o: F.struct(
-        F.concat(o["qubits"], F.transform(o["clbits"], lambda c: c + F.col("num_qubits"))).alias("wires"),
-        F.when(o["op"] == "barrier", 0).otherwise(1).alias("layer"), F.when(_two_qubit(o), 1).otherwise(0).alias("pair")))
+    wires = bind(F.col("num_qubits"), lambda n: F.transform("ops", lambda o: F.struct(
+        F.concat(o["qubits"], F.transform(o["clbits"], lambda c: c + n)).alias("wires"),
+        F.when(o["op"] == "barrier", 0).otherwise(1).alias("layer"), F.when(_two_qubit(o), 1).otherwise(0).alias("pair"))))
     path = critical_path(wires, F.col("num_qubits") + F.col("num_clbits"))
     n = F.col("num_qubits").cast("double")
     gates = F.size(F.filter("ops", lambda o: ~o["op"].isin(*NOT_GATES))).cast("double")
@@ -168,8 +330,7 @@ def feature_map(with_features: DataFrame) -> DataFrame:
 
 def n_parameters(ops: Column) -> Column:
     """How many free parameters operations have: names that stand for no function or constant."""
-    named = F.flatten(F.transform(ops, lambda o: F.flatten(F.transform(o["params"], lambda p: F.regexp_extract_all(p, F.lit(r"([A-Za-z_]\w*)"))))))
-    return F.size(F.array_except(F.filter(named, lambda n: ~n.rlike(r"^[eE]\d*$")), F.array(*[F.lit(n) for n in _KNOWN_NAMES])))
+    return F.size(F.array_distinct(F.flatten(F.transform(ops, lambda o: F.flatten(F.transform(o["params"], E.free_names))))))
 
 
 def summary(parsed: DataFrame, key: str = "name") -> DataFrame:
@@ -215,18 +376,75 @@ def synthesis_limit(operations: DataFrame, key: str = "device_id") -> DataFrame:
     return operations.groupBy(key).agg((wide + 2).alias("limit"))
 
 
+def _distinct_instructions(instructions: DataFrame, device: str, *values: str) -> DataFrame:
+    """One row for each (device, name, qubits): rows that repeat one are taken once; of differing ones the greatest values hold, null before any."""
+    worst = lambda c: F.when(F.count(c) == F.count("*"), F.max(c)).alias(c)
+    return instructions.groupBy(F.col("device_id").alias(device), F.col("name").alias("name_"), "qubits").agg(*[worst(c) for c in values])
+
+
 def expected_fidelity(compiled: DataFrame, instructions: DataFrame, device: str = "device", key: str = "name") -> DataFrame:
     """(key, device, score): product of 1 - error over the operations, by name and qubits; barriers count nothing.
 
-    An operation without a known error makes the score null. Factors are multiplied in sorted order.
+    An operation without a known error makes the score null. Instruction rows that repeat count once. Factors are multiplied in sorted order.
     """
-    ops = compiled.select(key, device, F.explode("ops").alias("o")).where("o.op != 'barrier'").select(
+    ops = _one_each(compiled, key, device).where("o.op != 'barrier'").select(
         key, device, F.col("o.op").alias("name_"), F.col("o.qubits").alias("qubits"))
-    errors = instructions.select(F.col("device_id").alias(device), F.col("name").alias("name_"), "qubits", "error")
+    errors = _distinct_instructions(instructions, device, "error")
     factors = ops.join(errors, [device, "name_", "qubits"], "left").groupBy(key, device).agg(
         F.array_sort(F.collect_list(1 - F.col("error"))).alias("f"), F.count("*").alias("n"))
     return factors.select(key, device, F.when(F.size("f") == F.col("n"), F.aggregate("f", F.lit(1.0), lambda a, x: a * x)).alias("score"))
 
 
+def schedule(timed: Column, num_qubits: Column) -> Column:
+    """(length, idle) of operations (op, qubits, duration) in order, each started as soon as all its qubits are free.
+
+    A barrier takes no time and holds its qubits until the last of them is free. ``idle``: for each qubit the time between its
+    operations in which none acts on it; before its first and behind its last it is in no superposition that could decay.
+    """
+    start = F.transform(F.sequence(F.lit(1), F.greatest(num_qubits, F.lit(1))), lambda _: F.expr(
+        "named_struct('free', 0.0D, 'ended', cast(null as double), 'idle', 0.0D)"))
+
+    def step(clocks: Column, o: Column) -> Column:
+        begin = F.aggregate(o["qubits"], F.lit(0.0), lambda t, w: F.greatest(t, F.get(clocks, w)["free"]))
+        acts = o["op"] != "barrier"
+
+        def after(b: Column) -> Column:
+            end = b + F.when(acts, o["duration"]).otherwise(F.lit(0.0))
+            return F.transform(clocks, lambda c, w: F.when(F.array_contains(o["qubits"], w), F.struct(
+                end.alias("free"), F.when(acts, end).otherwise(c["ended"]).alias("ended"),
+                (c["idle"] + F.when(acts & c["ended"].isNotNull(), b - c["ended"]).otherwise(F.lit(0.0))).alias("idle"))).otherwise(c))
+
+        return bind(begin, after)
+
+    return F.aggregate(timed, start, step, lambda clocks: F.struct(
+        F.array_max(F.transform(clocks, lambda c: F.coalesce(c["ended"], F.lit(0.0)))).alias("length"), F.transform(clocks, lambda c: c["idle"]).alias("idle")))
+
+
+def estimated_success_probability(compiled: DataFrame, instructions: DataFrame, qubits: DataFrame, device: str = "device", key: str = "name") -> DataFrame:
+    """(key, device, length, idle, score): product of 1 - error over the operations, times exp(-idle / min(t1, t2)) of every qubit.
+
+    ``compiled``: a row for each circuit and device with ops and num_qubits; ``instructions``: error and duration_seconds by device, name and qubits;
+    ``qubits``: device_id, qubit, t1, t2 in seconds. The schedule is :func:`schedule`'s. Barriers have no error. An operation without a known error or
+    duration makes length, idle and score null; a qubit that idles without a known t1 or t2 makes the score null. Rows that
+    repeat an instruction count once. A circuit's operations meet in one task twice, to be timed and to be scheduled; instructions are
+    joined by device, name and qubits.
+    """
+    timing = _distinct_instructions(instructions, device, "error", "duration_seconds")
+    o = _one_each(compiled, key, device, "num_qubits").select(
+        key, device, "num_qubits", F.col("o.pos").alias("pos"), F.col("o.op").alias("name_"), F.col("o.qubits").alias("qubits"))
+    one = F.struct("pos", F.col("name_").alias("op"), "qubits", F.col("duration_seconds").alias("duration"), (1 - F.col("error")).alias("factor"))
+    timed = (o.join(timing, [device, "name_", "qubits"], "left").groupBy(key, device).agg(F.max("num_qubits").alias("n"), F.array_sort(F.collect_list(one)).alias("timed")))
+    acting = F.filter("timed", lambda x: x["op"] != "barrier")
+    known = F.forall(acting, lambda x: x["duration"].isNotNull() & x["factor"].isNotNull())
+    both = F.when(F.count("t1") + F.count("t2") == 2 * F.count("*"), F.min(F.least("t1", "t2"))).alias("t")  # of rows that repeat a qubit the shortest
+    decay = (qubits.groupBy("device_id", "qubit").agg(both).groupBy(F.col("device_id").alias(device))
+             .agg(F.map_from_entries(F.collect_list(F.struct(F.col("qubit").cast("int"), "t"))).alias("__t")))
+    planned = timed.withColumn("s", F.when(known, schedule(F.col("timed"), F.col("n")))).join(decay, device, "left")
+    factors = F.aggregate(F.array_sort(F.transform(acting, lambda x: x["factor"])), F.lit(1.0), lambda a, x: a * x)
+    waits = F.transform("s.idle", lambda t, w: F.when(t > 0, t / F.try_element_at("__t", w)).otherwise(F.lit(0.0)))
+    lost = F.aggregate(waits, F.lit(0.0), lambda a, x: a + x)
+    return planned.select(key, device, F.col("s.length").alias("length"), F.col("s.idle").alias("idle"), (factors * F.exp(-lost)).alias("score"))
+
+
 def critical_depth_score(features_: DataFrame) -> DataFrame:
     return features_.withColumn("score", 1 - F.col("critical_depth"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import scalars as S
-from .operators import compatibility, devices as D, jobs as J, qasm as Q, records as R, retrieval, sampling, scores as C, validation
+from .operators import compatibility, devices as D, expressions as E, jobs as J, qasm as Q, records as R, retrieval, sampling, scores as C, validation
 
 #: The three candidate devices and their qubits.
 DEVICES = (("ibm_falcon_127", 127), ("ibm_falcon_27", 27), ("quantinuum_h2_56", 56))
@@ -233,7 +233,7 @@ def _circuits(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = (F.col("l_partkey") % _WIRES).cast("int")
     b = ((a + 1 + F.col("l_suppkey") % (_WIRES - 1)) % _WIRES).cast("int")
     gate = F.when(F.col("l_returnflag") == "R", F.format_string("cx q[%d],q[%d];", a, b)).when(
-        F.col("l_returnflag") == "A", F.format_string("rz(pi/(%d+(1)),2) q[%d];", F.col("l_linenumber"), a)).otherwise(F.format_string("measure q[%d] -> c[%d];", a, a))
+        F.col("l_returnflag") == "A", F.format_string("rz(pi/(%d+(1))) q[%d];", F.col("l_linenumber"), a)).otherwise(F.format_string("measure q[%d] -> c[%d];", a, a))
     lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("name"), F.struct("l_linenumber", "l_partkey", "l_suppkey", gate.alias("gate")).alias("g"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list("g")), lambda g: g["gate"]), "\n")
     head = F.lit(f'OPENQASM 2.0;\ninclude "qelib1.inc";\nqreg q[{_WIRES}];\ncreg c[{_WIRES}];\n')
@@ -309,6 +309,75 @@ def depth_scores(spark, sf_dir):
     return Q.critical_depth_score(Q.features(Q.parse(_circuits(spark, sf_dir)))).select("name", F.round("score", 9).alias("score"))
 
 
+#: A definition, two registers of qubits and one of bits.
+_TWO_REGISTERS = """OPENQASM 2.0;
+include "qelib1.inc";
+gate kick(t,u) x,y { rz(t/2) x; cx x,y; rz(-(u)) y; }
+qreg a[3];
+qreg b[2];
+creg c[3];
+"""
+
+
+def _two_register_circuits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as circuits over two registers: a statement for each line, by its part a call of the definition, a barrier, a gate over a whole
+    register, a pair, a measurement of a whole register or a gate of three parameters."""
+    i, j, line, kind = F.col("l_partkey") % 3, F.col("l_suppkey") % 2, F.col("l_linenumber"), F.col("l_partkey") % 6
+    gate = (F.when(kind == 0, F.format_string("kick(%d,pi) a[%d],b[%d];", line, i, j)).when(kind == 1, F.format_string("barrier a,b[%d];", j)).when(kind == 2, F.lit("h b;"))
+            .when(kind == 3, F.format_string("cx a[%d],b[%d];", i, j)).when(kind == 4, F.lit("measure a -> c;")).otherwise(F.format_string("u3(pi/%d,0.5,-1) a[%d];", line, i)))
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("name"), F.struct("l_linenumber", "l_partkey", "l_suppkey", gate.alias("gate")).alias("g"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("g")), lambda g: g["gate"]), "\n")
+    return lines.groupBy("name").agg(F.concat(F.lit(_TWO_REGISTERS), text, F.lit("\n")).alias("qasm"))
+
+
+def circuit_expansions(spark, sf_dir):
+    """Every operation that definitions, whole registers and barriers stand for, with the values of its parameters."""
+    found = Q.expand_definitions(Q.parse(_two_register_circuits(spark, sf_dir), definitions=True)).withColumn("values", Q.parameter_values())
+    rows = found.select("name", "problem", F.explode_outer(F.arrays_zip("ops", "values")).alias("z")).where("z IS NOT NULL").select("name", "problem", "z.ops.*", "z.values")
+    return rows.select("name", "pos", "op", _wires_text("qubits").alias("qubits"), _wires_text("clbits").alias("clbits"),
+                       *[F.round(F.get("values", k), 9).alias(f"value_{k}") for k in range(3)], "problem")
+
+
+def circuit_calls(spark, sf_dir):
+    """Operations by name where definitions stay calls."""
+    return Q.op_counts(Q.parse(_two_register_circuits(spark, sf_dir)))
+
+
+#: A bad statement for each remainder of the key, and what is wrong with it.
+_DEFECTS = [("x a[i];", "unknown_argument"), ("x a[-1];", "unknown_argument"), ("x a[];", "unknown_argument"), ("x a[1234567];", "unknown_argument"), ("cx a[0];", "wrong_arity"),
+            ("h a[0],a[1];", "wrong_arity"), ("foo a[0];", "unknown_gate"), ("rz a[0];", "wrong_arity"), ("h(pi) a[0];", "wrong_arity"), ("cx a,b;", "size_mismatch"),
+            ("measure a -> b;", "unknown_argument"), ("measure a[0] -> a[1];", "unknown_argument"), ("rz(2+) a[0];", "bad_parameter"), ("kick(1) a[0],b[0];", "wrong_arity"),
+            ("gate kick a { x a; }", "bad_definition"), ("x a[0]", "bad_statement"), ("if (d==1) x a[0];", "unknown_argument"), ("qreg c[1];", "duplicate_name"), ("cx a[1],a[1];", "unknown_argument"), ("", None)]
+
+
+def circuit_refusals(spark, sf_dir):
+    """Circuits that end with one of the defects, and what the parser says of them."""
+    text = F.element_at(F.array(*[F.lit(d) for d, _ in _DEFECTS]), (F.col("name") % len(_DEFECTS) + 1).cast("int"))
+    return Q.parse(_two_register_circuits(spark, sf_dir).withColumn("qasm", F.concat("qasm", text))).select("name", "problem")
+
+
+def parameter_values(spark, sf_dir):
+    """Expressions from lines, by a precedence parser: powers, signs, functions, nested parentheses, free names."""
+    n = {c: F.col(c).cast("int") for c in ("l_linenumber", "l_quantity")} | {"s": F.col("l_suppkey") % 7}
+    line, quantity, s = n.values()
+    text = (F.when(quantity % 4 == 0, F.format_string("-pi/(%d+((%d)))*2^-%d", line, s, s)).when(quantity % 4 == 1, F.format_string("sin(%d)^2+cos(%d)^2-%d*1e-1/-4", quantity, quantity, line))
+            .when(quantity % 4 == 2, F.format_string("sqrt(%d)-ln(%d)*(1-(2-(3-%d)))", quantity, line, s)).otherwise(F.format_string("%d*theta", line)))
+    found = E.evaluate(text)
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(found["value"], 9).alias("value"), found["valid"].alias("valid"))
+
+
+def success_probabilities(spark, sf_dir):
+    """Circuits of two registers with definitions expanded, scheduled on a device whose pairs, bits and qubits all differ."""
+    one = spark.sql("""SELECT 'five' AS device_id, name, array(CAST(id AS INT)) AS qubits, error * (1 + id) AS error, duration + id * step AS duration_seconds FROM range(5),
+        (VALUES ('h', 0.001D, 30D, 0D), ('u3', 0.002D, 50D, 0D), ('rz', 0D, 0D, 0D), ('measure', 0.004D, 700D, 1D)) AS n(name, error, duration, step)""")
+    two = spark.sql("""SELECT 'five' AS device_id, 'cx' AS name, array(CAST(a.id AS INT), CAST(b.id AS INT)) AS qubits, 0.01D * (1 + a.id) AS error, 200D + 10 * b.id AS duration_seconds
+        FROM range(5) a JOIN range(5) b ON a.id <> b.id""")
+    qubits = spark.sql("SELECT 'five' AS device_id, CAST(id AS INT) AS qubit, 50000D + 1000 * id AS t1, 47000D + 2000 * id AS t2 FROM range(5)")
+    circuits = Q.expand_definitions(Q.parse(_two_register_circuits(spark, sf_dir), definitions=True)).withColumn("device", F.lit("five"))
+    found = Q.estimated_success_probability(circuits, one.union(two), qubits)
+    return found.select("name", F.round("length", 6).alias("length"), F.round(F.aggregate("idle", F.lit(0.0), lambda a, x: a + x), 6).alias("idle"), F.round("score", 9).alias("score"))
+
+
 def synthesis_limits(spark, sf_dir):
     operations = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("device_id"), F.when(F.col("l_returnflag") == "N", "barrier").otherwise("ccx").alias("name"),
                                                           F.when(F.col("l_quantity") == 3, 3).otherwise(2).alias("num_qubits"))
@@ -378,7 +447,7 @@ QUERIES = {f.__name__: f for f in (
     finite_stats, seeded_cap, seeded_top, stratified_split, balanced_weights, record_ids, nearest_rows, nearest_rows_each, op_counts, unsupported_ops, json_field, coverage,
     pending, missing_by_device, device_queues, reason_examples, fidelity_product, label_counts, below_minimum, failure_counts, first_circuits,
     one_job_per_device, copy_plan, validate_plans, circuit_operations, circuit_problems, circuit_op_counts, circuit_features, circuit_gate_counts, circuit_summary,
-    circuit_text, compiled_checks, compiled_fidelity, depth_scores, synthesis_limits, nearest_examples, trace_problems, strict_successes, log_lines, cell_states)}
+    circuit_text, circuit_expansions, circuit_calls, circuit_refusals, parameter_values, success_probabilities, compiled_checks, compiled_fidelity, depth_scores, synthesis_limits, nearest_examples, trace_problems, strict_successes, log_lines, cell_states)}
 
 _LINES_SQL = """SELECT l_orderkey AS circuit, l_linenumber || ':' || l_partkey || ':' || l_suppkey AS device,
     CAST(l_linenumber AS BIGINT) * 1000000000000000 + l_partkey * 10000000 + l_suppkey AS device_pos, l_extendedprice AS score FROM lineitem"""
@@ -406,6 +475,18 @@ _PATHS = f"""WITH RECURSIVE g AS ({_GATES}),
         FROM path JOIN f USING (name))"""
 _OP_COUNTS = f"SELECT name, op, count(*) AS n FROM ({_GATES}) GROUP BY name, op"
 
+#: The operations of the circuits over two registers: kind 0 to 5 by part, wires of the second register behind the first.
+_EXPANDED = """WITH l AS (SELECT l_orderkey AS name, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r, l_linenumber AS line,
+        CAST(l_partkey % 3 AS INTEGER) AS i, CAST(3 + l_suppkey % 2 AS INTEGER) AS j, l_partkey % 6 AS kind FROM lineitem),
+    e AS (SELECT name, r, 0 AS sub, 'rz' AS op, [i] AS q, CAST([] AS INTEGER[]) AS c, line / CAST(2 AS DOUBLE) AS v0, CAST(NULL AS DOUBLE) AS v1, CAST(NULL AS DOUBLE) AS v2 FROM l WHERE kind = 0
+        UNION ALL SELECT name, r, 1, 'cx', [i, j], [], NULL, NULL, NULL FROM l WHERE kind = 0 UNION ALL SELECT name, r, 2, 'rz', [j], [], -pi(), NULL, NULL FROM l WHERE kind = 0
+        UNION ALL SELECT name, r, 0, 'barrier', [0, 1, 2, j], [], NULL, NULL, NULL FROM l WHERE kind = 1
+        UNION ALL SELECT name, r, k, 'h', [CAST(3 + k AS INTEGER)], [], NULL, NULL, NULL FROM l, range(2) AS t(k) WHERE kind = 2
+        UNION ALL SELECT name, r, 0, 'cx', [i, j], [], NULL, NULL, NULL FROM l WHERE kind = 3
+        UNION ALL SELECT name, r, k, 'measure', [CAST(k AS INTEGER)], [CAST(k AS INTEGER)], NULL, NULL, NULL FROM l, range(3) AS t(k) WHERE kind = 4
+        UNION ALL SELECT name, r, 0, 'u3', [i], [], pi() / line, 0.5, -1 FROM l WHERE kind = 5),
+    o AS (SELECT name, CAST(row_number() OVER (PARTITION BY name ORDER BY r, sub) - 1 AS INTEGER) AS pos, op, q, c, v0, v1, v2 FROM e)"""
+
 ORACLE_SQL = {
     "best_device_label": f"""SELECT circuit, device AS label, score AS best_score FROM ({_LINES_SQL})
         QUALIFY row_number() OVER (PARTITION BY circuit ORDER BY score DESC, device_pos, device) = 1""",
@@ -484,7 +565,7 @@ ORACLE_SQL = {
             CASE WHEN k = 9 OR l_linestatus <> 'F' THEN 'evidence must be a list of non-blank strings' END,
             CASE WHEN k = 10 THEN 'warnings must be a list of non-blank strings' END], lambda x: x IS NOT NULL) END AS e FROM l)
         SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(len(e) AS INTEGER) AS n_errors, array_to_string(e, '; ') AS errors, len(e) = 0 AS is_valid FROM r""",
-    "circuit_operations": f"""SELECT name, pos, op, CASE WHEN op = 'rz' THEN 'pi/(' || line || '+(1))|2' ELSE '' END AS params,
+    "circuit_operations": f"""SELECT name, pos, op, CASE WHEN op = 'rz' THEN 'pi/(' || line || '+(1))' ELSE '' END AS params,
         CASE WHEN op = 'cx' THEN a || ',' || b ELSE '' || a END AS qubits, CASE WHEN op = 'measure' THEN '' || a ELSE '' END AS clbits FROM ({_GATES})""",
     "circuit_problems": """SELECT DISTINCT l_orderkey AS name, CASE l_orderkey % 5 WHEN 0 THEN 'no_header' WHEN 1 THEN 'unknown_argument' WHEN 2 THEN 'blank' WHEN 3 THEN 'no_qubits' END AS problem FROM lineitem""",
     "circuit_op_counts": _OP_COUNTS,
@@ -493,8 +574,29 @@ ORACLE_SQL = {
     "circuit_summary": f"""{_PATHS} SELECT name, {_WIRES} AS num_qubits, {_WIRES} AS num_clbits, depth, size, op_counts FROM features
         JOIN (SELECT name, string_agg(op || ':' || n, ',' ORDER BY op) AS op_counts FROM ({_OP_COUNTS}) GROUP BY name) USING (name)""",
     "circuit_text": f"""SELECT name, 'OPENQASM 2.0;' || chr(10) || 'include "qelib1.inc";' || chr(10) || 'qreg q[{_WIRES}];' || chr(10) || 'creg c[{_WIRES}];' || chr(10) ||
-        string_agg(CASE op WHEN 'cx' THEN 'cx q[' || a || '],q[' || b || '];' WHEN 'rz' THEN 'rz(pi/(' || line || '+(1)),2) q[' || a || '];'
+        string_agg(CASE op WHEN 'cx' THEN 'cx q[' || a || '],q[' || b || '];' WHEN 'rz' THEN 'rz(pi/(' || line || '+(1))) q[' || a || '];'
         ELSE 'measure q[' || a || '] -> c[' || a || '];' END, chr(10) ORDER BY pos) || chr(10) AS text FROM ({_GATES}) GROUP BY name""",
+    "circuit_expansions": f"""{_EXPANDED} SELECT name, pos, op, array_to_string(q, ',') AS qubits, array_to_string(c, ',') AS clbits,
+        round(v0, 9) AS value_0, round(v1, 9) AS value_1, round(v2, 9) AS value_2, CAST(NULL AS VARCHAR) AS problem FROM o""",
+    "circuit_calls": """SELECT name, op, CAST(sum(n) AS BIGINT) AS n FROM (SELECT l_orderkey AS name, CASE l_partkey % 6 WHEN 0 THEN 'kick' WHEN 1 THEN 'barrier' WHEN 2 THEN 'h' WHEN 3 THEN 'cx' WHEN 4 THEN 'measure' ELSE 'u3' END AS op,
+        CASE l_partkey % 6 WHEN 2 THEN 2 WHEN 4 THEN 3 ELSE 1 END AS n FROM lineitem) GROUP BY name, op""",
+    "circuit_refusals": f"""SELECT DISTINCT l_orderkey AS name, CASE l_orderkey % {len(_DEFECTS)} {" ".join(f"WHEN {k} THEN '{what}'" for k, (_, what) in enumerate(_DEFECTS) if what)} END AS problem FROM lineitem""",
+    "parameter_values": """WITH n AS (SELECT *, CAST(l_linenumber AS DOUBLE) AS line, CAST(l_quantity AS DOUBLE) AS q, CAST(l_suppkey % 7 AS DOUBLE) AS s FROM lineitem)
+        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CASE CAST(q AS INTEGER) % 4 WHEN 0 THEN -pi() / (line + s) * pow(2, -s)
+            WHEN 1 THEN pow(sin(q), 2) + pow(cos(q), 2) - line * CAST(0.1 AS DOUBLE) / -4 WHEN 2 THEN sqrt(q) - ln(line) * (1 - (2 - (3 - s))) END, 9) AS value, true AS valid FROM n""",
+    "success_probabilities": f"""{_EXPANDED.replace("WITH l", "WITH RECURSIVE l", 1)},
+        g AS (SELECT name, pos, op, q, CASE op WHEN 'h' THEN 30 WHEN 'u3' THEN 50 WHEN 'cx' THEN 200 + 10 * q[2] WHEN 'measure' THEN 700 + q[1] ELSE 0 END AS duration,
+            1 - CASE op WHEN 'h' THEN CAST(0.001 AS DOUBLE) * (1 + q[1]) WHEN 'u3' THEN CAST(0.002 AS DOUBLE) * (1 + q[1]) WHEN 'cx' THEN CAST(0.01 AS DOUBLE) * (1 + q[1])
+                WHEN 'measure' THEN CAST(0.004 AS DOUBLE) * (1 + q[1]) ELSE 0 END AS factor FROM o),
+        p AS (SELECT DISTINCT name, 0 AS next, [0, 0, 0, 0, 0] AS free, [-1, -1, -1, -1, -1] AS ended, [0, 0, 0, 0, 0] AS idle FROM g
+            UNION ALL SELECT name, next, list_transform(range(5), lambda w: CASE WHEN list_contains(q, w) THEN b + duration ELSE free[w + 1] END),
+                list_transform(range(5), lambda w: CASE WHEN list_contains(q, w) AND op <> 'barrier' THEN b + duration ELSE ended[w + 1] END),
+                list_transform(range(5), lambda w: idle[w + 1] + CASE WHEN list_contains(q, w) AND op <> 'barrier' AND ended[w + 1] >= 0 THEN b - ended[w + 1] ELSE 0 END)
+            FROM (SELECT p.name, p.next + 1 AS next, free, ended, idle, q, op, duration, list_max(list_transform(q, lambda w: free[w + 1])) AS b FROM p JOIN g ON p.name = g.name AND p.next = g.pos)),
+        last AS (SELECT name, greatest(list_max(ended), 0) AS length, idle FROM p QUALIFY row_number() OVER (PARTITION BY name ORDER BY next DESC) = 1),
+        f AS (SELECT name, list_reduce(list_prepend(CAST(1 AS DOUBLE), list_sort(list(factor) FILTER (op <> 'barrier'))), lambda x, y: x * y) AS product FROM g GROUP BY name)
+        SELECT name, CAST(length AS DOUBLE) AS length, CAST(list_sum(idle) AS DOUBLE) AS idle, round(coalesce(product, 1)
+            * exp(-list_sum(list_transform(range(5), lambda w: idle[w + 1] / CAST(least(50000 + 1000 * w, 47000 + 2000 * w) AS DOUBLE)))), 9) AS score FROM last JOIN f USING (name)""",
     "compiled_checks": f"""WITH c AS (SELECT name, device, bool_or(op = 'rz') AS rz, string_agg(DISTINCT op, ',' ORDER BY op) AS used,
             bool_and(op <> 'cx' OR device = 'full' OR (device = 'ring' AND ((a + 1) % {_WIRES} = b OR (b + 1) % {_WIRES} = a))) AS fits_coupling
         FROM ({_GATES}), (VALUES ('ring'), ('full'), ('unknown')) AS d(device) GROUP BY name, device),

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from circuitscope.operators import qasm
+from circuitscope.operators import expressions, qasm
 from circuitscope.sources import readers
 
 BELL = 'OPENQASM 2.0;\ninclude "qelib1.inc";\nqreg q[2];\ncreg c[2];\nh q[0];\ncx q[0],q[1];\nmeasure q -> c;\n'
@@ -149,3 +149,208 @@ def test_nested_parentheses(spark):
     assert [o.params for o in ops.ops] == [["sin(pi/(2+1))"], ["0.1", "(1+2)*3", "max(1,(2))"], ["-(pi)"], [f"2*{deep}"], []]
     long = 'OPENQASM 2.0; qreg q[1]; rz(' + "+".join(["(1)"] * 20_000) + ") q[0];"
     assert qasm.parse(spark.createDataFrame([("a", long)], "name string, qasm string")).first().problem is None
+
+
+HEAD = 'OPENQASM 2.0; include "qelib1.inc"; qreg q[3]; qreg r[2]; creg c[3]; '
+REFUSED = {
+    "x q[i];": "unknown_argument", "x q[-1];": "unknown_argument", "x q[];": "unknown_argument", "x q[1234567];": "unknown_argument", "x q[99999999999999999999];": "unknown_argument",
+    "cx q[0];": "wrong_arity", "h q[0],q[1];": "wrong_arity", "foo q[0];": "unknown_gate", "rz q[0];": "wrong_arity", "h(pi) q[0];": "wrong_arity", "cx q,r;": "size_mismatch",
+    "measure q -> r;": "unknown_argument", "measure q[0] -> q[1];": "unknown_argument", "measure c[0] -> c[1];": "unknown_argument", "measure r -> c;": "size_mismatch",
+    "measure q[0];": "wrong_arity", "measure q[0],c[0];": "bad_statement", "measure q -> c -> c;": "bad_statement", "x c[0];": "unknown_argument", "x s[0]; qreg s[1];": "unknown_argument",
+    "barrier;": "wrong_arity", "barrier c;": "unknown_argument", "barrier q,q[0];": "unknown_argument", "reset c[0];": "unknown_argument", "x;": "wrong_arity", "x q[0],;": "wrong_arity",
+    "rz(2+) q[0];": "bad_parameter", "rz(1,2) q[0];": "wrong_arity", "rz((1) q[0];": "bad_parameter", "rz(1)+(2) q[0];": "bad_parameter", "rz() q[0];": "wrong_arity",
+    "qreg q[1];": "duplicate_name", "creg q[1];": "duplicate_name", "qreg t[0];": "bad_statement", "qreg t;": "bad_statement", "x q[0]": "bad_statement", "x q[0]; }": "bad_statement",
+    "if (d==1) x q[0];": "unknown_argument", "if (q==1) x q[0];": "unknown_argument", "if (c=1) x q[0];": "bad_statement", "x -> q[0];": "unknown_argument",
+    "gate g a { h b; }": "bad_definition", "gate g a { foo a; }": "bad_definition", "gate g a { g a; }": "bad_definition", "gate g a { cx a,a; }": "bad_definition",
+    "gate g(t) a { rz(u) a; }": "bad_definition", "gate g a,a { }": "bad_definition", "gate g a { } gate g a { }": "bad_definition", "gate g a { x a; } g q[0],q[1];": "wrong_arity",
+    "g q[0]; gate g a { x a; }": "unknown_gate", "opaque g a { x a; }": "bad_definition"}
+ACCEPTED = ["cx q[0],q[1];", "cx q[0],q;".replace("q;", "r;"), "cx r,r;".replace("r,r", "r[0],r[1]"), "measure q -> c;", "measure q[1]->c[2];", "barrier q,r[0];", "if(c==5)x r;", "u3(0.1,-pi/2,2*pi) q;",
+            "gate g(t,u) a,b { rz(t+u) a; cx a,b; barrier a,b; } g(1,2) q[0],r;", "opaque o(t) a; o(1) q;", "rz(2*theta) q[0];", "reset q;", "CX q[0],q[1]; U(0,0,pi) r;", "x\tq [ 0 ]\n;", ""]
+
+
+def test_what_the_grammar_refuses(spark):
+    rows = [(k, HEAD + k) for k in REFUSED]
+    got = {r.name: r.problem for r in qasm.parse(spark.createDataFrame(rows, "name string, qasm string")).collect()}
+    assert got == REFUSED
+
+
+def test_what_the_grammar_accepts(spark):
+    rows = [(k, HEAD + k) for k in ACCEPTED]
+    assert {r.name: r.problem for r in qasm.parse(spark.createDataFrame(rows, "name string, qasm string")).collect()} == dict.fromkeys(ACCEPTED)
+
+
+def test_first_problem_by_place_in_the_text(spark):
+    rows = parsed(spark, HEAD + "cx q[0]; foo q[0];", HEAD + "foo q[0]; cx q[0];", HEAD + "gate g a { h b; } foo q[0];")
+    assert [r.problem for r in rows.orderBy("name").collect()] == ["wrong_arity", "unknown_gate", "bad_definition"]
+
+
+def plain_value(text):
+    """A recursive descent parser: sums of products of signed powers."""
+    import math
+    import re
+
+    tokens = re.findall(r"(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[A-Za-z_]\w*|\S", text) + [""]
+    at = 0
+
+    def take():
+        nonlocal at
+        at += 1
+        return tokens[at - 1]
+
+    def total():
+        x = product()
+        while tokens[at] in "+-" and tokens[at]:
+            x = x + product() if take() == "+" else x - product()
+        return x
+
+    def product():
+        x = signed()
+        while tokens[at] in "*/" and tokens[at]:
+            x = x * signed() if take() == "*" else x / signed()
+        return x
+
+    def signed():
+        if tokens[at] in ("-", "+"):
+            return -signed() if take() == "-" else signed()
+        x = atom()
+        return x ** signed() if tokens[at] == "^" and take() else x
+
+    def atom():
+        t = take()
+        if t == "(":
+            x = total()
+            assert take() == ")"
+            return x
+        if t == "pi":
+            return math.pi
+        if t in ("sin", "cos", "tan", "exp", "ln", "sqrt"):
+            assert take() == "("
+            x = total()
+            assert take() == ")"
+            return {"ln": math.log}.get(t, getattr(math, t, None))(x)
+        return float(t)
+
+    return total()
+
+
+def test_values_of_expressions(spark):
+    import math
+    import random
+
+    rng = random.Random(11)
+
+    def some(depth):
+        kind = rng.randrange(9 if depth else 3)
+        if kind < 3:
+            return rng.choice(["pi", "2", "0.5", "3e-1", ".25", "7", "1.", "1E1"])
+        if kind == 3:
+            return f"({some(depth - 1)})"
+        if kind == 4:
+            return rng.choice(["-", "+", "--"]) + some(depth - 1)
+        if kind == 5:
+            return f"{rng.choice(['sin', 'cos', 'exp'])} ({some(depth - 1)})"
+        return some(depth - 1) + rng.choice([" + ", "-", "*", " / ", "^"]) + some(depth - 1)
+
+    texts = {"pi/2", "1.5707963267948966", "-pi/4", "2^3^2", "-2^2", "2^-1", "2^-3*4", "8/4/2", "1-2-3", "-(-(1))", "((((((((((((1))))))))))))+1", "sqrt(2)*ln(10)"} | {some(4) for _ in range(300)}
+    rows = spark.createDataFrame([(t,) for t in sorted(texts)], "e string").select("e", expressions.evaluate(F.col("e")).alias("r")).collect()
+    checked = 0
+    for row in rows:
+        try:
+            want = plain_value(row.e)
+        except (OverflowError, ZeroDivisionError):
+            want = None
+        if isinstance(want, complex) or want is not None and not math.isfinite(want):
+            want = None
+        assert row.r.valid, row.e
+        assert row.r.value == (None if want is None else pytest.approx(want, rel=1e-12)), row.e
+        checked += want is not None
+    assert checked > 200
+    bad = ["", "1 2", "2+", "*2", "(", ")", "(1", "1)", "()", "(1)+(2))", "1)+(2", "sin", "sin(1,2)", "1,2", "1..2", "a b", "2 pi", "#", "1;2"]
+    free = ["theta", "2*theta", "max(1,2)", "f(1)", "1/0", "ln(0)", "sqrt(-1)", "e"]
+    got = {r.e: (r.valid, r.value) for r in spark.createDataFrame([(t,) for t in bad + free], "e string").select("e", expressions.evaluate(F.col("e")).alias("r")).select("e", "r.*").collect()}
+    assert [t for t in bad if got[t][0]] == ["sin"] and all(got[t] == (True, None) for t in free)
+    exact = spark.createDataFrame([("pi/2",), ("1.5707963267948966",)], "e string").select(expressions.value(F.col("e")).alias("v")).distinct().count()
+    assert exact == 1
+
+
+def test_deep_and_long_expressions(spark):
+    deep = "(" * 300 + "pi" + ")" * 300
+    many = "+".join(["1"] * 5000)
+    rows = spark.createDataFrame([(deep,), (many,), ("-" * 51 + "1",)], "e string").select(expressions.value(F.col("e")).alias("v")).collect()
+    assert [r.v for r in rows] == [pytest.approx(3.141592653589793), 5000.0, -1.0]
+
+
+def test_definitions_expand_to_what_they_call(spark):
+    text = HEAD + """gate half(t) a { rz(t/2) a; }
+        gate pair(t,u) a,b { half(t+u) b; cx a,b; half(-t) a; barrier a,b; }
+        opaque box(t) a;
+        gate twice(t) a,b,d { pair(t,1) b,a; pair(2*t,pi) a,d; box(t) d; }
+        twice(0.5) q[0],r[1],q[2]; pair(theta,1) q[1],r; h q[0]; measure q[0] -> c[1];"""
+    rows = qasm.parse(spark.createDataFrame([("a", text)], "name string, qasm string"), definitions=True)
+    opaque, found = rows.first(), qasm.expand_definitions(rows).first()
+    assert opaque.problem is None and [o.op for o in opaque.ops] == ["twice", "pair", "pair", "h", "measure"]
+    assert [(o.op, o.params, o.qubits, o.clbits) for o in found.ops] == [
+        ("rz", ["(0.5+1)/2"], [0], []), ("cx", [], [4, 0], []), ("rz", ["(-0.5)/2"], [4], []), ("barrier", [], [4, 0], []),
+        ("rz", ["((2*0.5)+pi)/2"], [2], []), ("cx", [], [0, 2], []), ("rz", ["(-(2*0.5))/2"], [0], []), ("barrier", [], [0, 2], []), ("box", ["0.5"], [2], []),
+        ("rz", ["(theta+1)/2"], [3], []), ("cx", [], [1, 3], []), ("rz", ["(-theta)/2"], [1], []), ("barrier", [], [1, 3], []),
+        ("rz", ["(theta+1)/2"], [4], []), ("cx", [], [1, 4], []), ("rz", ["(-theta)/2"], [1], []), ("barrier", [], [1, 4], []), ("h", [], [0], []), ("measure", [], [0], [1])]
+    assert [o.pos for o in found.ops] == list(range(len(found.ops)))
+    values = qasm.expand_definitions(rows).select(qasm.parameter_values().alias("v")).first().v
+    assert values[0] == [0.75] and values[4] == [pytest.approx((1 + 3.141592653589793) / 2)] and values[9] == [None]
+    plain = qasm.parse(spark.createDataFrame([("a", HEAD + "x q;"), ("b", None)], "name string, qasm string"), definitions=True)
+    assert [[o.op for o in r.ops] for r in qasm.expand_definitions(plain).orderBy("name").collect()] == [["x"] * 3, []]
+
+
+def plain_schedule(ops, timing, n):
+    free, ended, idle = [0.0] * n, [None] * n, [0.0] * n
+    for op, qubits in ops:
+        begin = max(free[w] for w in qubits)
+        end = begin + (0.0 if op == "barrier" else timing[op, tuple(qubits)])
+        for w in qubits:
+            free[w] = end
+            if op != "barrier":
+                idle[w] += begin - ended[w] if ended[w] is not None else 0.0
+                ended[w] = end
+    return max([e for e in ended if e is not None], default=0.0), idle
+
+
+def test_success_probability_by_a_plain_schedule(spark):
+    import math
+    import random
+
+    rng = random.Random(9)
+    texts = []
+    for _ in range(40):
+        body = []
+        for _ in range(rng.randint(1, 20)):
+            a, b, c = rng.sample(range(4), 3)
+            body.append(rng.choice([f"h q[{a}];", f"cx q[{a}],q[{b}];", "barrier q;", f"barrier q[{a}],q[{b}],q[{c}];", f"measure q[{a}] -> c[{b}];"]))
+        texts.append("OPENQASM 2.0; qreg q[4]; creg c[4];" + "".join(body))
+    error = {("h", (a,)): 0.001 * (a + 1) for a in range(4)} | {("measure", (a,)): 0.02 for a in range(4)} | {("cx", (a, b)): 0.01 * (a + 1) for a in range(4) for b in range(4) if a != b}
+    timing = {k: 10.0 * len(k[0]) + 3 * k[1][0] for k in error}
+    rows = [("d", name, list(q), error[name, q], timing[name, q]) for name, q in error]
+    instructions = spark.createDataFrame(rows + rows[:3], "device_id string, name string, qubits array<int>, error double, duration_seconds double")
+    qubits = spark.createDataFrame([("d", a, 500.0 + a, 520.0 - 9 * a) for a in range(4)], "device_id string, qubit int, t1 double, t2 double")
+    circuits = parsed(spark, *texts).withColumn("device", F.lit("d"))
+    want = {}
+    for r in circuits.collect():
+        length, idle = plain_schedule([(o.op, o.qubits) for o in r.ops], timing, 4)
+        product = math.prod(1 - error[o.op, tuple(o.qubits)] for o in r.ops if o.op != "barrier")
+        want[r.name] = (length, idle, product * math.exp(-sum(t / min(500.0 + a, 520.0 - 9 * a) for a, t in enumerate(idle))))
+    got = {r.name: r for r in qasm.estimated_success_probability(circuits, instructions, qubits).collect()}
+    assert got.keys() == want.keys() and any(sum(w[1]) for w in want.values())
+    for name, (length, idle, score) in want.items():
+        assert (got[name].length, got[name].idle) == (pytest.approx(length), pytest.approx(idle)) and got[name].score == pytest.approx(score)
+
+
+def test_success_probability_of_what_is_unknown(spark):
+    schema = "device_id string, name string, qubits array<int>, error double, duration_seconds double"
+    head = "OPENQASM 2.0; qreg q[2]; creg c[2]; "
+    circuits = parsed(spark, head + "h q[0]; cx q[0],q[1];", head + "h q[0]; h q[1]; h q[1]; cx q[0],q[1];", head + "x q[0];", head + "barrier q;", head).withColumn("device", F.lit("d"))
+    instructions = spark.createDataFrame([("d", "h", [0], 0.5, 1.0), ("d", "h", [1], 0.0, 1.0), ("d", "cx", [0, 1], 0.0, 1.0)], schema)
+    qubits = spark.createDataFrame([("d", 1, 1.0, 1.0)], "device_id string, qubit int, t1 double, t2 double")
+    got = {r.name: (r.length, r.score) for r in qasm.estimated_success_probability(circuits, instructions, qubits).collect()}
+    # n1 lets qubit 0 idle, of which nothing is known; n2 has an unknown gate; n4 no operation at all
+    assert got == {"n0": (2.0, 0.5), "n1": (3.0, None), "n2": (None, None), "n3": (0.0, 1.0)}
+    twice = instructions.union(spark.createDataFrame([("d", "h", [0], 0.75, 1.0)], schema))
+    assert qasm.expected_fidelity(circuits.where("name = 'n0'"), twice).first().score == 0.25
