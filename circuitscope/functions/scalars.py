@@ -77,7 +77,18 @@ def last_chars(text: Column, n: int = 8000) -> Column:
 
 
 def round3(x: Column) -> Column:
-    return F.round(x, 3)
+    """To three decimals by the exact binary value, ties to even: 1.0005, which is stored as a little less, becomes 1.0.
+
+    2000 x is split into two exact products, so it is known on which side of a tie x lies.
+    """
+    whole = F.when(F.abs(x) < 2.0**42, F.lit(0.0)).otherwise(F.floor(x).cast("double"))  # beyond, doubles have no more than three decimals
+    part = x - whole
+    spread = part * 134217729.0
+    high = spread - (spread - part)
+    halves = F.rint(part * 2000)
+    beyond = (high * 2000 - halves) + (part - high) * 2000
+    tie = F.when(beyond > 0, halves + 1).when(beyond < 0, halves - 1).otherwise(4 * F.rint(halves / 4))
+    return whole + F.when(F.pmod(halves, F.lit(2.0)) == 1, tie).otherwise(halves) / 2 / 1000
 
 
 def iso_utc(ts: Column) -> Column:

@@ -92,28 +92,48 @@ class Service:
         answers.write.parquet(path)
         return spark.read.schema(answers.schema).parquet(path)
 
-    def recommend(self, requests: DataFrame) -> DataFrame:
-        """(request_id, attempt, recommendation) of every request, or an error that carries the failures.
+    def answer_each(self, requests: DataFrame) -> DataFrame:
+        """(request_id, status, attempt, recommendation, errors), a row for every request, whatever becomes of the others.
 
-        Only counts of open requests come to the driver; each attempt asks again for what is still invalid, with its errors.
+        ``status``: ``answered``; ``bad_circuit`` with the parser's problem as its error, or ``no_compatible_device``, of which nobody is asked; ``attempts_exhausted``
+        with the last errors. What was prepared is written once, and so is each attempt's answer, before it is judged. Only whether a request is
+        still open comes to the driver; each attempt asks again for what is still invalid, with its errors.
         """
-        ready = self.prepare(requests).withColumn("__errors", F.lit(None).cast("array<string>"))
-        without = ready.where((F.coalesce(F.size("available"), F.lit(0)) <= 0) | F.col("problem").isNotNull())
-        if not without.isEmpty():
-            raise NoCompatibleDevice("requests without a device or with a bad circuit")
-        done, pending = None, ready
+        return self._asked(self._judged(requests))
+
+    def _judged(self, requests: DataFrame) -> DataFrame:
+        """What was prepared, written once, with the status of requests of which nobody is asked."""
+        none = F.coalesce(F.size("available"), F.lit(0)) <= 0
+        refused = F.when(F.col("problem").isNotNull(), "bad_circuit").when(none, "no_compatible_device")
+        return self._kept(self.prepare(requests).withColumn("__status", refused), 0).withColumn("__errors", F.lit(None).cast("array<string>"))
+
+    def _asked(self, judged: DataFrame) -> DataFrame:
+        kind = "struct<selected_device:string,figure_of_merit:string,plan:struct<optimization_level:bigint,seed_transpiler:bigint,layout_method:string,routing_method:string>,explanation:string,evidence:array<string>,warnings:array<string>>"
+        closed = lambda rows, status, attempt, errors: rows.select(
+            "request_id", status.alias("status"), F.lit(attempt).alias("attempt"), F.lit(None).cast(kind).alias("recommendation"), errors.alias("errors"))
+        out = closed(judged.where("__status IS NOT NULL"), F.col("__status"), 0, F.when(F.col("problem").isNotNull(), F.array("problem")).otherwise(F.array().cast("array<string>")))
+        pending = judged.where("__status IS NULL").drop("__status")
         for attempt in range(1, self.max_attempts + 1):
+            if pending.isEmpty():
+                return out
             circuit = F.struct(F.col("circuit_name").alias("name"), F.lit("OpenQASM 2").alias("format"), F.col("qasm").alias("qasm2"), "num_qubits", "depth", "operation_names", "features")
             request = F.struct("request_id", "user_text", "figure_of_merit", "constraints", circuit.alias("circuit"))
-            prompts = pending.withColumn("prompt", R.prompt_payload(request, F.col("hardware"), F.col("unavailable"), F.col("examples"), F.col("__errors"), F.col("figure_of_merit")))
+            prompts = pending.withColumn("prompt", R.prompt_payload(request, F.col("hardware"), F.col("unavailable"), F.col("examples"), F.col("__errors"), F.col("figure_of_merit"), F.col("available")))
             answered = self.validate(self._kept(self.gateway.generate(prompts), attempt)).withColumn("attempt", F.lit(attempt))
-            good = answered.where("is_valid").select("request_id", "attempt", "recommendation")
-            done = good if done is None else done.unionByName(good)
-            bad = answered.where("not is_valid")
-            if bad.isEmpty():
-                return done
-            pending = bad.select(*[c for c in ready.columns if c != "__errors"], F.col("errors").alias("__errors"))
-        raise AttemptsExhausted(pending.select("request_id", F.lit(self.max_attempts).alias("attempts"), F.col("__errors").alias("errors")))
+            out = out.unionByName(answered.where("is_valid").select("request_id", F.lit("answered").alias("status"), "attempt", F.col("recommendation").cast(kind), "errors"))
+            pending = answered.where("not is_valid").select(*[c for c in judged.columns if c not in ("__errors", "__status")], F.col("errors").alias("__errors"))
+        return out.unionByName(closed(pending, F.lit("attempts_exhausted"), self.max_attempts, F.col("__errors")))
+
+    def recommend(self, requests: DataFrame) -> DataFrame:
+        """(request_id, attempt, recommendation) of every request, or an error that carries the failures; :meth:`answer_each` has a row for each instead."""
+        judged = self._judged(requests)
+        if not judged.where("__status IS NOT NULL").isEmpty():
+            raise NoCompatibleDevice("requests without a device or with a bad circuit")
+        rows = self._asked(judged)
+        open_ = rows.where("status = 'attempts_exhausted'")
+        if not open_.isEmpty():
+            raise AttemptsExhausted(open_.select("request_id", F.col("attempt").alias("attempts"), "errors"))
+        return rows.select("request_id", "attempt", "recommendation")
 
 
 def approved(recommendations: DataFrame, approvals: DataFrame) -> DataFrame:

@@ -20,6 +20,10 @@ def cell_problems(cells: DataFrame, legacy_score_rule: bool = False) -> DataFram
     return cells.where(compatible).withColumns({"problem": problem, "outcome": outcome})
 
 
+#: The checks of a circuit in their order; those of its cells (:func:`cell_problems`) come before the last.
+CHECKS = ("source_missing", "feature_set_mismatch", "feature_not_finite", "width_mismatch", "no_compatible_device", "label_argmax_mismatch")
+
+
 def build(circuits: DataFrame, cells: DataFrame, labels: DataFrame, feature_names: list[str], metric: str = "expected_fidelity",
           legacy_score_rule: bool = False) -> DataFrame:
     """One row for each circuit (name, qasm, num_qubits, features, idx): reason (null if eligible), record_id, label, ranking, margin, outcomes.
@@ -39,10 +43,9 @@ def build(circuits: DataFrame, cells: DataFrame, labels: DataFrame, feature_name
     expected = F.array(*[F.lit(f) for f in feature_names])
     wrong_features = ~F.coalesce(S.same_elements(F.map_keys("features"), expected), F.lit(False))
     not_finite = ~F.forall(F.map_values("features"), lambda x: F.coalesce(S.is_finite(x), F.lit(False)))
-    reason = (F.when(F.col("qasm").isNull(), "source_missing").when(wrong_features, "feature_set_mismatch").when(not_finite, "feature_not_finite")
-              .when(F.try_element_at("features", F.lit("num_qubits")).cast("int") != F.col("num_qubits"), "width_mismatch")
-              .when(F.col("n_candidates").isNull(), "no_compatible_device").when(F.col("cell_problem").isNotNull(), F.col("cell_problem"))
-              .when(~F.col("label").eqNullSafe(F.col("best")), "label_argmax_mismatch"))
+    broken = dict(zip(CHECKS, (
+        F.col("qasm").isNull(), wrong_features, not_finite, F.try_element_at("features", F.lit("num_qubits")).cast("int") != F.col("num_qubits"), F.col("n_candidates").isNull())))
+    reason = F.coalesce(*[F.when(b, name) for name, b in broken.items()], F.col("cell_problem"), F.when(~F.col("label").eqNullSafe(F.col("best")), CHECKS[-1]))
     return joined.select("idx", "circuit", "num_qubits", reason.alias("reason"), S.record_id(F.lit(metric), F.col("circuit"), F.col("qasm")).alias("record_id"),
                          "label", "ranking", "margin", "outcomes", F.sha2("qasm", 256).alias("sha256"), "features", "qasm", "candidates")
 
@@ -53,12 +56,11 @@ def select_records(built: DataFrame, ratio: float, seed: int = 0, max_records: i
     return sampling.cap_rows(chosen, "record_id", max_records, seed, "idx") if max_records is not None else chosen.orderBy("idx")
 
 
-#: What a figure of merit is called, which way is better, and what it means.
-METRICS = {"expected_fidelity": ("maximize", "Estimated product of instruction and readout fidelities; not a measurement on hardware."),
-           "critical_depth": ("maximize", "1 - critical_depth; higher is better.")}
-#: The sections' promises to a reader.
-USAGE_RULE = "Only record.input is prompt input; expected_output is the target and deterministic_ground_truth is for evaluation."
-ELIGIBILITY_RULE = "Every compatible device has a successful learned trace that ends in terminate, a text valid for the device, and a score that can be reproduced."
+#: Figures of merit: which way is better, and what our operators compute under the name.
+METRICS = {"expected_fidelity": ("maximize", "prod(1 - error) over the compiled operations, from the device table"),
+           "critical_depth": ("maximize", "1 - (two-qubit gates on a longest path) / (two-qubit gates)")}
+#: What each section of a record is for.
+SECTIONS = {"input": "prompt", "expected_output": "target", "deterministic_ground_truth": "evaluation"}
 
 
 def to_records(selected: DataFrame, summaries: DataFrame, devices: DataFrame, feature_names: list[str], metric: str = "expected_fidelity") -> DataFrame:
@@ -79,8 +81,14 @@ def to_records(selected: DataFrame, summaries: DataFrame, devices: DataFrame, fe
     names = F.array(*[F.lit(n) for n in feature_names])
     direction, meaning = METRICS.get(metric, ("maximize", ""))
     own = F.try_element_at(F.filter("outcomes", lambda o: o["device"] == F.col("label")), F.lit(1))
-    reason = lambda claim, *evidence: F.struct(F.lit(claim).alias("claim"), F.array(*evidence).alias("evidence"))
+    capacity = F.try_element_at(F.transform(F.filter("backends", lambda b: b["id"] == F.col("label")), lambda b: b["num_qubits"]), F.lit(1))
+    fact = lambda claim, *evidence: F.struct(claim.alias("claim"), F.array(*evidence).alias("evidence"))
     at_label = lambda head, tail: F.concat(F.lit(head), F.col("label"), F.lit(tail))
+    facts_of = F.array(
+        fact(F.concat_ws(" ", F.lit("width:"), F.col("num_qubits").cast("string"), F.lit("<="), capacity.cast("string")),
+             F.lit("input.circuit.summary.num_qubits"), at_label("input.compatible_backends[id=", "].num_qubits")),
+        fact(F.concat_ws(" ", F.lit(f"{metric}: rank 1 of"), F.size("ranking").cast("string")), F.lit("deterministic_ground_truth.device_ranking"), F.lit("deterministic_ground_truth.selection_margin")),
+        fact(F.concat_ws(" ", F.lit("trace:"), F.size(own["compilation_passes"]).cast("string"), F.lit("passes")), at_label("deterministic_ground_truth.candidate_outcomes[device=", "]")))
     return rows.select(
         "record_id",
         F.struct(
@@ -90,13 +98,11 @@ def to_records(selected: DataFrame, summaries: DataFrame, devices: DataFrame, fe
                      F.struct(F.lit(len(feature_names)).alias("feature_count"), names.alias("ordered_names"), F.transform(names, lambda n: F.try_element_at("features", n)).alias("ordered_values"),
                               F.col("features").alias("by_name")).alias("features")).alias("circuit"),
             F.col("backends").alias("compatible_backends"),
-            F.struct(F.lit("the id of one of compatible_backends").alias("selected_device"), F.lit("passes that the device allows, in order").alias("compilation_passes"),
-                     F.lit("pairs of claim and evidence").alias("reasons"), F.lit("limits of the recommendation").alias("warnings")).alias("response_contract")).alias("input"),
+            F.struct(F.lit("string").alias("selected_device"), F.lit("array<string>").alias("compilation_passes"),
+                     F.lit("array<struct<claim:string,evidence:array<string>>>").alias("reasons"), F.lit("array<string>").alias("warnings")).alias("response_contract")).alias("input"),
         F.struct(
             F.col("label").alias("selected_device"), F.lit("qiskit").alias("compiler"), own["compilation_passes"].alias("compilation_passes"),
-            F.array(reason("The device has as many qubits as the circuit.", F.lit("input.circuit.summary.num_qubits"), at_label("input.compatible_backends[id=", "].num_qubits")),
-                    reason("Its score is the greatest of all candidates.", F.lit("deterministic_ground_truth.device_ranking"), F.lit("deterministic_ground_truth.selection_margin")),
-                    reason("The passes are those of a learned trace.", at_label("deterministic_ground_truth.candidate_outcomes[device=", "]"))).alias("reasons"),
+            facts_of.alias("reasons"),
             F.array(F.lit(meaning)).alias("warnings")).alias("expected_output"),
         F.struct(F.lit(f"argmax({metric}) over width-compatible devices").alias("selection_rule"), F.col("ranking").alias("device_ranking"), F.col("margin").alias("selection_margin"),
                  F.col("outcomes").alias("candidate_outcomes"), F.lit(False).alias("fallback_examples_included")).alias("deterministic_ground_truth"))
@@ -114,4 +120,4 @@ def header(built: DataFrame, selected: DataFrame, balance_report: DataFrame, str
         F.map_from_entries(F.collect_list(F.struct("reason", "n"))).alias("rejection_counts"), F.map_from_entries(F.collect_list(F.struct("reason", "examples"))).alias("rejection_examples"))
     one = counts.crossJoin(labels).crossJoin(balanced).crossJoin(rejected)  # a row each
     return one.select("*", F.lit(metric).alias("figure_of_merit"), F.lit(len(feature_names)).alias("feature_count"), F.array(*[F.lit(n) for n in feature_names]).alias("ordered_names"),
-                      F.lit(ELIGIBILITY_RULE).alias("eligibility_rule"), F.lit(USAGE_RULE).alias("usage_rule"))
+                      F.lit("rejected by: " + ", ".join(CHECKS)).alias("eligibility_rule"), F.lit("; ".join(f"{k}: {v}" for k, v in SECTIONS.items())).alias("usage_rule"))

@@ -289,6 +289,34 @@ def test_recommendation_retries_then_needs_confirmation(spark):
         recommend.Service(catalog.where("num_qubits < 2"), examples).recommend(request)
 
 
+def test_each_request_has_an_answer_of_its_own(spark):
+    catalog = spark.createDataFrame([("d", 2, 0, ["h", "cx"])], "device_id string, num_qubits int, device_pos int, operation_names array<string>")
+    examples = spark.createDataFrame([], f"record_id string, input {schemas.CONTEXT_RECORD.split('input:', 1)[1].rsplit('>', 1)[0]}")
+    text = lambda body: f"OPENQASM 2.0; qreg q[2]; {body}"
+    rows = [("good", text("h q[0];")), ("broken", text("cx q[0];")), ("wide", "OPENQASM 2.0; qreg q[9]; h q;"), ("silent", text("h q[1];"))]
+    requests = spark.createDataFrame([(k, "", q, k, "expected_fidelity", None, None) for k, q in rows], schemas.REQUESTS)
+    plan = json.dumps({"selected_device": "d", "figure_of_merit": "expected_fidelity", "compiler": "qiskit", "explanation": "e", "evidence": ["x"], "warnings": [],
+                       "qiskit_plan": {"optimization_level": 1, "seed_transpiler": 7, "layout_method": None, "routing_method": "sabre"}})
+    gateway = recommend.CallableGateway(lambda p: p.withColumn("response", F.when(F.col("request_id") == "good", plan).otherwise("no")))
+    service = recommend.Service(catalog, examples, gateway, max_attempts=2)
+    got = {r.request_id: r for r in service.answer_each(requests).collect()}
+    assert {k: (r.status, r.attempt, r.errors) for k, r in got.items()} == {
+        "good": ("answered", 1, []), "broken": ("bad_circuit", 0, ["wrong_arity"]), "wide": ("no_compatible_device", 0, []),
+        "silent": ("attempts_exhausted", 2, ["response must be a JSON object"])}
+    assert got["good"].recommendation.plan.seed_transpiler == 7 and got["silent"].recommendation is None
+    assert service.answer_each(requests.limit(0)).count() == 0
+
+
+def test_rounding_by_the_exact_value(spark):
+    import random
+
+    rng = random.Random(5)
+    values = [1.0005, 0.1235, 1.2345, 8.0025, 0.0625, 0.1875, -0.0625, -1.0005, 0.0, 2.5e-4, 1e15 + 0.3, 123456789.0005, -3.4565] + [rng.randint(-10**7, 10**7) / 10**4 for _ in range(500)] + [
+        rng.uniform(-1, 1) * 10 ** rng.randint(-4, 9) for _ in range(500)] + [rng.randint(-4000, 4000) / 16 for _ in range(100)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", S.round3(F.col("v")).alias("r")).collect()
+    assert [(r.v, r.r) for r in got] == [(v, round(v, 3)) for v in values]
+
+
 def test_devices_and_documents(spark, tmp_path):
     catalog = spark.createDataFrame([("b", 2), ("a", 3), ("a", 3)], "device_id string, num_qubits int")
     assert [r.device_id for r in readers.list_devices(catalog, ["b", "a", "b"]).collect()] == ["a", "b"]
