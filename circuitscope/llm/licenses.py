@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -165,6 +165,11 @@ class Scanner:
             found = self.seen[name, raw] = 1 - len(self.given[name].compress(raw.encode())) / alone
         return found
 
+    def ranked(self, names: Iterable[str], block: str) -> list[str]:
+        """The templates that shorten a compressed block, the one that shortens it most first."""
+        by = sorted((-self.reduction(name, block), name) for name in names)
+        return [name for saved, name in by if saved < 0]
+
     def aligned(self, name: str, words: list[str], lo: int, hi: int) -> list[tuple[int, int]]:
         """The places in words[lo:hi] that hold MIN_SHARE of the template's words in order, and no more other words than it has.
 
@@ -219,35 +224,38 @@ class Scanner:
         share = 1 - len(missing) / len(wanted)
         if share < MIN_SHARE or len(added) > len(wanted) or self.numbers[name] & {*missing} or self.deciding[name] & {*missing, *added}:
             return None
-        return {"license": name.split("/")[0], "share": share, "missing": missing, "added": added, "worth": len(wanted) - 2 * len(missing) - len(added)}
+        return {"license": name.split("/")[0], "share": share, "missing": missing, "added": added}
 
     def notices(self, low: str, starts: list[int], ends: list[int], words: list[str], lo: int, hi: int, names: set[str]) -> list[dict]:
         """The notices in words[lo:hi], in order of place, each with its exact wording differences.
 
-        The templates are ranked by how much knowing them shortens the compressed block, and each whose words are
-        there is confirmed or refused, place by place, by the exact differences; none is cut off. A place belongs to one
-        notice: the one with the most words there in order, less those missing and added, and of these the one that
-        shortens the place most. What stands before and after is searched again until nothing is found.
+        The places that hold enough of some template's words make the candidate blocks; where places meet they are one block. For each
+        block the templates are ranked by how much knowing them shortens it, and the ranking chooses: the first is confirmed or refused,
+        place by place, by the exact differences, then the next on what is left of the block; one that shortens nothing is none. What
+        stands before and after is searched again until nothing is found.
         """
-        there, found = Counter(words[lo:hi]), []
-        names = {name for name in names if self.possible(name, there)}
-        if not names:
-            return []
-        block = low[starts[lo]:ends[hi - 1]]
-        for name in sorted(names, key=lambda name: (-self.reduction(name, block), name)):
-            for a, b in self.places(name, words, lo, hi):
-                reduction = self.reduction(name, low[starts[a]:ends[b - 1]])
-                notice = self.confirmed(name, words[a:b]) if reduction > 0 else None
-                if notice:
-                    found.append(notice | {"reduction": reduction, "at": (a, b)})
-        if not found:
+        there = Counter(words[lo:hi])
+        proposed = sorted((a, b, name) for name in names if self.possible(name, there) for a, b in self.places(name, words, lo, hi))
+        if not proposed:
             return []
+        candidates: list[tuple[int, int, dict[str, list[tuple[int, int]]]]] = []
+        for a, b, name in proposed:
+            if candidates and a < candidates[-1][1]:
+                first, last, by_name = candidates.pop()
+                candidates.append((first, max(last, b), by_name))
+            else:
+                candidates.append((a, b, {}))
+            candidates[-1][2].setdefault(name, []).append((a, b))
         chosen, taken = [], bytearray(hi - lo)
-        for x in sorted(found, key=lambda x: (-x["worth"], -x["share"], -x["reduction"], x["license"], x["at"])):
-            a, b = x["at"]
-            if 1 not in taken[a - lo:b - lo]:
-                taken[a - lo:b - lo] = b"\1" * (b - a)
-                chosen.append(x)
+        for first, last, by_name in candidates:
+            for name in self.ranked(by_name, low[starts[first]:ends[last - 1]]):
+                for a, b in by_name[name]:
+                    notice = self.confirmed(name, words[a:b]) if 1 not in taken[a - lo:b - lo] else None
+                    if notice:
+                        taken[a - lo:b - lo] = b"\1" * (b - a)
+                        chosen.append(notice | {"reduction": self.reduction(name, low[starts[a]:ends[b - 1]]), "at": (a, b)})
+        if not chosen:
+            return []
         chosen.sort(key=lambda x: x["at"])
         out = []
         for before, x in zip([lo] + [x["at"][1] for x in chosen], chosen + [None]):

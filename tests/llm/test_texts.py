@@ -326,3 +326,20 @@ def test_letters_of_other_scripts_and_punctuation(spark):
                                  + [(200, "the plain words" + "\u65e5\u672c\u8a9e" * 5 + "of it and the words", None), (201, "\u2102", None), (202, "\u2014 5", None)], "doc_id long, text string, lang string")
     rows = {r.doc_id: r for r in langid.predict(docs).collect()}
     assert [s.lang for s in rows[200].spans] == ["en", "ja", "en"] and rows[202].lang_pred == "und" and (rows[201].lang_pred, rows[201].score) == ("en", 0.0)
+
+
+def test_compression_chooses_among_wordings_that_the_differences_allow(monkeypatch):
+    common = "permission is granted to copy and keep this work in any form for every reader who asks"
+    templates = {"a-first": common + " while supplies hold", "b-second": common + " until doors open"}
+    text = "Preface of the book. " + templates["b-second"] + " Chapter one."
+    assert [x["license"] for x in licenses.Scanner(templates).scan(text)] == ["b-second"]
+    monkeypatch.setattr(licenses.Scanner, "reduction", lambda self, name, raw: 1.0)
+    assert [x["license"] for x in licenses.Scanner(templates).scan(text)] == ["a-first"], "without compression nothing tells them apart"
+    monkeypatch.setattr(licenses.Scanner, "reduction", lambda self, name, raw: 0.0)
+    assert licenses.Scanner(templates).scan(text) == [], "what shortens nothing is no candidate"
+
+
+def test_templates_are_ranked_by_what_they_save():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, template in licenses.TEMPLATES.items():
+        assert scanner.ranked(licenses.TEMPLATES, template.lower())[0] == name
