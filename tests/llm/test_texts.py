@@ -342,4 +342,5 @@ def test_compression_chooses_among_wordings_that_the_differences_allow(monkeypat
 def test_templates_are_ranked_by_what_they_save():
     scanner = licenses.Scanner(licenses.TEMPLATES)
     for name, template in licenses.TEMPLATES.items():
-        assert scanner.ranked(licenses.TEMPLATES, template.lower())[0] == name
+        best = scanner.ranked(licenses.TEMPLATES, template.lower())[0]
+        assert best == name or scanner.reduction(best, template.lower()) == scanner.reduction(name, template.lower()), "only one that holds the whole template saves as much"
