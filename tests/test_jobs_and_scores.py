@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import Row, functions as F
 
+from circuitscope import schemas
 from circuitscope.functions import scalars as S
 from circuitscope.operators import compatibility, devices as D, jobs as J, qasm, records as R, retrieval, sampling, scores as C, selector_model, validation
 from circuitscope.plans import device_selector, recommend, strict_export
