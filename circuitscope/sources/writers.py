@@ -9,6 +9,7 @@ import tempfile
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars as S
+from . import copies
 
 
 def require_finite(rows: DataFrame, *columns: str) -> DataFrame:
@@ -73,8 +74,9 @@ def copy_plan(source: DataFrame, target: DataFrame, overwrite: bool = False) ->
 def publish(spark, source: str, target: str, *patterns: str, overwrite: bool = False, dry_run: bool = False) -> DataFrame:
     """Copies the files of a folder that match a pattern to another, and returns the plan (name, action).
 
-    A file of the same name and other content is an error unless ``overwrite``; then nothing is copied. A file is copied
-    under a temporary name and renamed, so a reader never sees half of it. ``dry_run`` only plans.
+    A file of the same name and other content is an error unless ``overwrite``; then nothing is copied. Files are copied and compared
+    in tasks under a temporary name, then renamed over what is there, so a reader never sees half of one or none. ``dry_run`` only
+    plans. For a set of files that must change as one see :mod:`.copies`.
     """
     plan = copy_plan(file_inventory(spark, source, *patterns), file_inventory(spark, target, *patterns), overwrite)
     conflicts = [r.name for r in plan.where("action = 'conflict'").orderBy("name").limit(5).collect()]
@@ -82,27 +84,18 @@ def publish(spark, source: str, target: str, *patterns: str, overwrite: bool = F
         raise FileExistsError(f"other content is there already: {', '.join(conflicts)}")
     if dry_run:
         return plan
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    at = lambda folder, name: jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
-    wanted = [r.name for r in plan.where("action in ('copy', 'replace')").select("name").toLocalIterator()]
-    files = at(target, "x").getFileSystem(conf)
-    for name in wanted:  # whole files, moved by the file system; the driver holds their names only
-        beside = at(target, f".{name}.tmp")
-        jvm.org.apache.hadoop.fs.FileUtil.copy(at(source, name).getFileSystem(conf), at(source, name), files, beside, False, True, conf)
-        files.delete(at(target, name), False)
-        if not files.rename(beside, at(target, name)):
-            raise OSError(f"{name} could not be published")
-    return spark.createDataFrame([(name, "copied") for name in wanted], "name string, action string")
+    wanted = plan.where("action in ('copy', 'replace')").select("name")
+    at = lambda folder, name: F.concat(F.lit(folder.rstrip("/") + "/"), name)
+    beside = F.concat(F.lit("."), F.col("name"), F.lit(".tmp"))
+    copied = [r.name for r in copies.copied(wanted.select("name", at(source, F.col("name")).alias("source"), at(target, beside).alias("target"))).select("name").toLocalIterator()]
+    for name in copied:  # names only: the bytes went from task to file system
+        copies.replace_file(spark, f"{target.rstrip('/')}/.{name}.tmp", f"{target.rstrip('/')}/{name}")
+    return spark.createDataFrame([(name, "copied") for name in copied], "name string, action string")
 
 
 def file_inventory(spark, path: str, *patterns: str) -> DataFrame:
-    """(name, sha256) of the files that match a pattern, each once."""
-    found = None
-    for pattern in patterns or ("*",):
-        part = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(
-            F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
-        found = part if found is None else found.unionByName(part)
-    return found.distinct()
+    """(name, sha256) of the files that match a pattern, each once; read chunk by chunk in tasks, so a file may have any size."""
+    return copies.hashed(copies.listed(spark, path, *patterns)).select("name", "sha256")
 
 
 def legacy_imports(jobs: DataFrame, valid_now: DataFrame, valid_legacy: DataFrame) -> DataFrame:
