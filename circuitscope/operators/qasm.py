@@ -264,6 +264,12 @@ def _one_each(parsed: DataFrame, *keep: str) -> DataFrame:
     return parsed.select(*keep, F.explode_outer("ops").alias("o")).where("o IS NOT NULL")
 
 
+def sequence_key(ops: Column | str = "ops") -> Column:
+    """Equal for circuits of the same operations on the same wires in order, whatever their parameters: such circuits belong on one side of a split."""
+    wires = lambda w: F.array_join(w.cast("array<string>"), ",")
+    return F.sha2(F.array_join(F.transform(ops, lambda o: F.concat_ws(" ", o["op"], wires(o["qubits"]), wires(o["clbits"]))), ";"), 256)
+
+
 def op_counts(parsed: DataFrame, key: str = "name") -> DataFrame:
     """(key, op, n): operations by name."""
     return explode_ops(parsed, key).groupBy(key, "op").agg(F.count("*").alias("n"))

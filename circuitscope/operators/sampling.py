@@ -40,6 +40,33 @@ def stratified_split(rows: DataFrame, label: str, identity: str, train_share: fl
         *rows.columns, "is_train")
 
 
+def group_split(rows: DataFrame, group: str, label: str, shares: dict[str, float] | None = None, seed: int = 5) -> DataFrame:
+    """``rows`` with ``side``: whole groups are dealt to sides, so nothing that belongs together is learned from on one and judged on another.
+
+    ``shares``: parts of all rows, in order (train 0.7, validation 0.1, test 0.2). A group has the label that most of its rows have, of equally frequent ones the
+    least. In each such class the groups are laid end to end in seeded order, and a group falls to the side that its middle lies in: so each class has
+    its shares but for one group at each cut. A null group is a group, a null label a class. The order is summed up piece by piece, so no class is
+    one task's work; rows meet the sides of their groups by one join.
+    """
+    shares = shares or {"train": 0.7, "validation": 0.1, "test": 0.2}
+    per = rows.groupBy(F.col(group).alias("__g"), F.col(label).alias("__l")).agg(F.count("*").alias("__n"))
+    groups = per.groupBy("__g").agg(F.sum("__n").alias("__n"), F.min(F.struct((-F.col("__n")).alias("n"), F.col("__l").alias("l")))["l"].alias("__class"))
+    keyed = groups.withColumn("__key", S.stable_key(seed, F.coalesce(F.col("__g").cast("string"), F.lit("")))).withColumn("__part", F.substring("__key", 1, 2))
+    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = before(Window.partitionBy("__class", "__part").orderBy("__key", "__g"))
+    pieces = keyed.groupBy(F.col("__class").alias("__c"), F.col("__part").alias("__p")).agg(F.sum("__n").alias("__n")).select(
+        "__c", "__p", before(Window.partitionBy("__c").orderBy("__p")).alias("__before"), F.sum("__n").over(Window.partitionBy("__c")).alias("__total"))  # 256 rows a class
+    placed = keyed.withColumn("__inside", inside).join(pieces, F.col("__class").eqNullSafe(F.col("__c")) & (F.col("__part") == F.col("__p")))
+    middle = (F.col("__inside") + F.col("__before") + F.col("__n") / 2) / F.col("__total")
+    side, reached, names = None, 0.0, list(shares)
+    for name in names[:-1]:
+        reached += shares[name]
+        hit = middle < F.lit(round(reached, 12))
+        side = F.when(hit, name) if side is None else side.when(hit, name)
+    sides = placed.select("__g", (side.otherwise(names[-1]) if side is not None else F.lit(names[-1])).alias("side"))
+    return rows.join(sides, F.col(group).eqNullSafe(F.col("__g"))).select(*rows.columns, "side")
+
+
 def balanced_weights(rows: DataFrame, label: str) -> DataFrame:
     """``rows`` with ``weight`` = n / (classes * n of the class): a join to a table of one row for each class."""
     sizes = rows.groupBy(label).agg(F.count("*").alias("__n"))

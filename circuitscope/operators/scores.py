@@ -31,6 +31,35 @@ def selection_margin(scores: DataFrame, keys: list[str] | None = None, device: s
     return ranked.select(*(keys or ["circuit"]), device, score, F.col("next_score").alias("second_score"), (F.col(score) - F.col("next_score")).alias("margin"))
 
 
+def paired_outcomes(scores: DataFrame, choices: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """(circuit, outcome, regret, first_score, second_score, best_score) of two ways to choose a device for each circuit.
+
+    ``choices``: circuit, first, second (device names, unique by circuit). ``outcome`` of the first against the second: ``win``, ``loss``, or ``tie`` within
+    ``tolerance``; a device without a valid score loses to one with it, two of them tie. ``regret``: the best valid score of the circuit less the
+    first's, null if either is missing. Circuits without scores count too. One aggregate by circuit behind one join.
+    """
+    valid = F.when(S.valid_score(F.col("score")), F.col("score"))
+    own = lambda who: F.max(F.when(F.col("device") == F.col(who), valid))
+    met = choices.select("circuit", "first", "second").join(scores.select("circuit", "device", "score"), "circuit", "left").groupBy("circuit").agg(
+        own("first").alias("first_score"), own("second").alias("second_score"), F.max(valid).alias("best_score"))
+    a, b = F.col("first_score"), F.col("second_score")
+    outcome = (F.when(a.isNull() & b.isNull(), "tie").when(b.isNull(), "win").when(a.isNull(), "loss").when(a - b > tolerance, "win").when(b - a > tolerance, "loss").otherwise("tie"))
+    return met.select("circuit", outcome.alias("outcome"), (F.col("best_score") - a).alias("regret"), "first_score", "second_score", "best_score")
+
+
+def comparison(outcomes: DataFrame) -> DataFrame:
+    """(n, wins, ties, losses, failures, mean_regret, max_regret) of :func:`paired_outcomes`; failures are circuits where the first has no valid score."""
+    of = lambda what: F.count_if(F.col("outcome") == what)
+    return outcomes.agg(F.count("*").alias("n"), of("win").alias("wins"), of("tie").alias("ties"), of("loss").alias("losses"), F.count_if(F.col("first_score").isNull()).alias("failures"),
+                        F.avg("regret").alias("mean_regret"), F.max("regret").alias("max_regret"))
+
+
+def confusion(predictions: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
+    """(label, predicted, n, share): how often each label was taken for which, and the part of the label's rows."""
+    counts = predictions.groupBy(label, predicted).agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(label)))  # a row for each pair of labels
+
+
 def label_distribution(labels: DataFrame, label: str = "label") -> DataFrame:
     return labels.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
 

@@ -11,7 +11,7 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
-from . import sampling
+from . import sampling, scores as C
 
 #: The searched grid, 3 * 4 * 3 * 3 * 2 = 216 combinations; and when rows are too few to search.
 GRID = {"numTrees": (100, 200, 500), "maxDepth": (8, 14, 20, 30), "minInstancesPerNode": (1, 2, 4), "minInfoGain": (0.0, 0.001, 0.01), "bootstrap": (True, False)}
@@ -56,6 +56,30 @@ def train(samples: DataFrame, feature_names: list[str], label: str = "label", id
     return search.fit(folded).bestModel
 
 
+def predict(model: PipelineModel, samples: DataFrame) -> DataFrame:
+    """``samples`` with ``predicted``, the label that the model gives."""
+    labels = F.array(*[F.lit(x) for x in model.stages[0].labels])
+    weighted = samples if "weight" in samples.columns else samples.withColumn("weight", F.lit(1.0))
+    found = model.transform(weighted).withColumn("predicted", F.element_at(labels, (F.col("prediction") + 1).cast("int")))
+    return found.select(*samples.columns, "predicted")
+
+
+def train_held_out(samples: DataFrame, feature_names: list[str], group: str, scores: DataFrame, baseline: str, label: str = "label", identity: str = "circuit",
+                   options: dict[str, tuple] = GRID, shares: dict[str, float] | None = None) -> tuple[PipelineModel, DataFrame, DataFrame, DataFrame]:
+    """A model fitted without the test side of :func:`.sampling.group_split`, and what it does there: predictions, confusion, and one row of wins, ties,
+    losses and regret against always choosing the device ``baseline``.
+
+    Test rows whose label the training side lacks keep it in the confusion: they count as errors, and are not left out.
+    """
+    split = sampling.group_split(samples, group, label, shares)
+    model = train(split.where("side <> 'test'").drop("side"), feature_names, label, identity, options)
+    test = split.where("side = 'test'").drop("side")
+    indexer = model.stages[0].setHandleInvalid("keep")
+    tested = predict(PipelineModel([indexer, *model.stages[1:]]), test)
+    choices = tested.select(F.col(identity).alias("circuit"), F.col("predicted").alias("first"), F.lit(baseline).alias("second"))
+    return model, tested, C.confusion(tested, label), C.comparison(C.paired_outcomes(scores, choices))
+
+
 def load(path: str) -> PipelineModel:
     """A saved model, or an error that says which folder holds none."""
     try:

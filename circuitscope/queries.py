@@ -378,6 +378,41 @@ def success_probabilities(spark, sf_dir):
     return found.select("name", F.round("length", 6).alias("length"), F.round(F.aggregate("idle", F.lit(0.0), lambda a, x: a + x), 6).alias("idle"), F.round("score", 9).alias("score"))
 
 
+def circuit_groups(spark, sf_dir):
+    """Circuits that differ in parameters only, by the operations they share."""
+    return Q.parse(_circuits(spark, sf_dir)).select("name", Q.sequence_key().alias("sequence"))
+
+
+def group_split(spark, sf_dir):
+    """Orders dealt to sides by customer, so that no customer is on two."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return sampling.group_split(rows, "o_custkey", "o_orderpriority").select("o_orderkey", "o_custkey", "side")
+
+
+def _choices(spark, sf_dir):
+    """Lines as cells, returned ones failed; the cell of the highest discount against that of the highest tax."""
+    lines = _table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("circuit"), F.format_string("%d:%d:%d", "l_linenumber", "l_partkey", "l_suppkey").alias("device"),
+        F.when(F.col("l_returnflag") == "R", F.lit(-1.0)).otherwise(F.col("l_extendedprice")).alias("score"), "l_discount", "l_tax")
+    by = lambda c: F.max_by("device", F.struct(c, "device"))
+    return lines, lines.groupBy("circuit").agg(by("l_discount").alias("first"), by("l_tax").alias("second"))
+
+
+def paired_outcomes(spark, sf_dir):
+    found = C.paired_outcomes(*_choices(spark, sf_dir))
+    return found.select("circuit", "outcome", *[F.round(c, 6).alias(c) for c in ("regret", "first_score", "second_score", "best_score")])
+
+
+def paired_comparison(spark, sf_dir):
+    return C.comparison(C.paired_outcomes(*_choices(spark, sf_dir))).withColumns({c: F.round(c, 4) for c in ("mean_regret", "max_regret")})
+
+
+def confusion(spark, sf_dir):
+    """Status of orders as a label, priority as what it was taken for."""
+    found = C.confusion(_table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority")
+    return found.select(F.col("o_orderstatus").alias("label"), F.col("o_orderpriority").alias("predicted"), "n", F.round("share", 9).alias("share"))
+
+
 def synthesis_limits(spark, sf_dir):
     operations = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("device_id"), F.when(F.col("l_returnflag") == "N", "barrier").otherwise("ccx").alias("name"),
                                                           F.when(F.col("l_quantity") == 3, 3).otherwise(2).alias("num_qubits"))
@@ -447,7 +482,7 @@ QUERIES = {f.__name__: f for f in (
     finite_stats, seeded_cap, seeded_top, stratified_split, balanced_weights, record_ids, nearest_rows, nearest_rows_each, op_counts, unsupported_ops, json_field, coverage,
     pending, missing_by_device, device_queues, reason_examples, fidelity_product, label_counts, below_minimum, failure_counts, first_circuits,
     one_job_per_device, copy_plan, validate_plans, circuit_operations, circuit_problems, circuit_op_counts, circuit_features, circuit_gate_counts, circuit_summary,
-    circuit_text, circuit_expansions, circuit_calls, circuit_refusals, parameter_values, success_probabilities, compiled_checks, compiled_fidelity, depth_scores, synthesis_limits, nearest_examples, trace_problems, strict_successes, log_lines, cell_states)}
+    circuit_text, circuit_expansions, circuit_calls, circuit_refusals, parameter_values, success_probabilities, circuit_groups, group_split, paired_outcomes, paired_comparison, confusion, compiled_checks, compiled_fidelity, depth_scores, synthesis_limits, nearest_examples, trace_problems, strict_successes, log_lines, cell_states)}
 
 _LINES_SQL = """SELECT l_orderkey AS circuit, l_linenumber || ':' || l_partkey || ':' || l_suppkey AS device,
     CAST(l_linenumber AS BIGINT) * 1000000000000000 + l_partkey * 10000000 + l_suppkey AS device_pos, l_extendedprice AS score FROM lineitem"""
@@ -487,6 +522,14 @@ _EXPANDED = """WITH l AS (SELECT l_orderkey AS name, row_number() OVER (PARTITIO
         UNION ALL SELECT name, r, 0, 'u3', [i], [], pi() / line, 0.5, -1 FROM l WHERE kind = 5),
     o AS (SELECT name, CAST(row_number() OVER (PARTITION BY name ORDER BY r, sub) - 1 AS INTEGER) AS pos, op, q, c, v0, v1, v2 FROM e)"""
 
+_OUTCOMES = """WITH l AS (SELECT l_orderkey AS circuit, l_linenumber || ':' || l_partkey || ':' || l_suppkey AS device,
+        CASE WHEN l_returnflag <> 'R' THEN CAST(l_extendedprice AS DOUBLE) END AS score, l_discount, l_tax FROM lineitem),
+    c AS (SELECT DISTINCT circuit, first_value(device) OVER (PARTITION BY circuit ORDER BY l_discount DESC, device DESC) AS first,
+        first_value(device) OVER (PARTITION BY circuit ORDER BY l_tax DESC, device DESC) AS second FROM l),
+    m AS (SELECT circuit, max(CASE WHEN device = first THEN score END) AS a, max(CASE WHEN device = second THEN score END) AS b, max(score) AS best FROM l JOIN c USING (circuit) GROUP BY circuit),
+    o AS (SELECT circuit, CASE WHEN a IS NULL AND b IS NULL THEN 'tie' WHEN b IS NULL THEN 'win' WHEN a IS NULL THEN 'loss' WHEN a > b THEN 'win' WHEN b > a THEN 'loss' ELSE 'tie' END AS outcome,
+        best - a AS regret, a, b, best FROM m)"""
+
 ORACLE_SQL = {
     "best_device_label": f"""SELECT circuit, device AS label, score AS best_score FROM ({_LINES_SQL})
         QUALIFY row_number() OVER (PARTITION BY circuit ORDER BY score DESC, device_pos, device) = 1""",
@@ -597,6 +640,18 @@ ORACLE_SQL = {
         f AS (SELECT name, list_reduce(list_prepend(CAST(1 AS DOUBLE), list_sort(list(factor) FILTER (op <> 'barrier'))), lambda x, y: x * y) AS product FROM g GROUP BY name)
         SELECT name, CAST(length AS DOUBLE) AS length, CAST(list_sum(idle) AS DOUBLE) AS idle, round(coalesce(product, 1)
             * exp(-list_sum(list_transform(range(5), lambda w: idle[w + 1] / CAST(least(50000 + 1000 * w, 47000 + 2000 * w) AS DOUBLE)))), 9) AS score FROM last JOIN f USING (name)""",
+    "circuit_groups": f"""SELECT name, sha256(string_agg(op || ' ' || CASE op WHEN 'cx' THEN a || ',' || b ELSE '' || a END || ' ' || CASE op WHEN 'measure' THEN '' || a ELSE '' END, ';' ORDER BY pos)) AS sequence
+        FROM ({_GATES}) GROUP BY name""",
+    "group_split": """WITH p AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL),
+        g AS (SELECT o_custkey, sum(n) OVER (PARTITION BY o_custkey) AS n, o_orderpriority AS class, sha256('5:' || o_custkey) AS k FROM p
+            QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY p.n DESC, o_orderpriority) = 1),
+        m AS (SELECT o_custkey, (coalesce(sum(n) OVER (PARTITION BY class ORDER BY k, o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2) / sum(n) OVER (PARTITION BY class) AS middle FROM g)
+        SELECT o_orderkey, o_custkey, CASE WHEN middle < 0.7 THEN 'train' WHEN middle < 0.8 THEN 'validation' ELSE 'test' END AS side FROM orders JOIN m USING (o_custkey)""",
+    "paired_outcomes": f"""{_OUTCOMES} SELECT circuit, outcome, round(regret, 6) AS regret, round(a, 6) AS first_score, round(b, 6) AS second_score, round(best, 6) AS best_score FROM o""",
+    "paired_comparison": f"""{_OUTCOMES} SELECT count(*) AS n, count(*) FILTER (outcome = 'win') AS wins, count(*) FILTER (outcome = 'tie') AS ties, count(*) FILTER (outcome = 'loss') AS losses,
+        count(*) FILTER (a IS NULL) AS failures, round(avg(regret), 4) AS mean_regret, round(max(regret), 4) AS max_regret FROM o""",
+    "confusion": """SELECT o_orderstatus AS label, o_orderpriority AS predicted, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY o_orderstatus) AS DOUBLE), 9) AS share
+        FROM orders GROUP BY o_orderstatus, o_orderpriority""",
     "compiled_checks": f"""WITH c AS (SELECT name, device, bool_or(op = 'rz') AS rz, string_agg(DISTINCT op, ',' ORDER BY op) AS used,
             bool_and(op <> 'cx' OR device = 'full' OR (device = 'ring' AND ((a + 1) % {_WIRES} = b OR (b + 1) % {_WIRES} = a))) AS fits_coupling
         FROM ({_GATES}), (VALUES ('ring'), ('full'), ('unknown')) AS d(device) GROUP BY name, device),
