@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators import jobs as J, qasm, sampling, scores as C
-from .plans import device_selector, strict_export
+from .plans import device_selector, strict_export, verified_cells
 from .sources import readers, writers
 
 
@@ -27,7 +27,10 @@ def arguments() -> argparse.ArgumentParser:
     export.add_argument("--ratio", type=float, default=3.0)
     export.add_argument("--seed", type=int, default=0)
     export.add_argument("--max-records", type=int)
-    export.add_argument("--minimum-per-device", type=int, default=0)
+    export.add_argument("--minimum-per-device", type=int, default=1)
+    export.add_argument("--compiled", help="folder of compiled files; cells (circuit, device, device_pos, score, mode, status, passes) are then checked and scored again from these")
+    export.add_argument("--edges"), export.add_argument("--instructions")
+    export.add_argument("--overwrite", action="store_true")
     export.add_argument("--audit-only", action="store_true")
     publish = commands.add_parser("publish", help="copy files to a folder unless others of the same name are there")
     publish.add_argument("source"), publish.add_argument("target"), publish.add_argument("patterns", nargs="*", default=["*"])
@@ -55,7 +58,18 @@ def export(spark: SparkSession, args: argparse.Namespace) -> None:
     parsed = readers.parse_circuits(readers.scan_circuits(spark, args.circuits))
     circuits = device_selector.with_index(_vectors(parsed).select("name", "qasm", "num_qubits", "features"), "name", "idx")
     devices = spark.read.parquet(args.devices)
-    built = strict_export.build(circuits, spark.read.parquet(args.cells), spark.read.parquet(args.labels), names, args.metric)
+    out = spark._jvm.org.apache.hadoop.fs.Path(f"{args.out}/header")
+    if not args.overwrite and out.getFileSystem(spark._jsc.hadoopConfiguration()).exists(out):
+        raise SystemExit(f"{args.out} holds an export; --overwrite replaces it")
+    cells = spark.read.parquet(args.cells)
+    if args.compiled:
+        if not (args.edges and args.instructions):
+            raise SystemExit("--compiled needs --edges and --instructions")
+        cells = verified_cells.verified_cells(cells, parsed, readers.scan_compiled(spark, args.compiled).where(F.col("metric") == args.metric), devices,
+                                              spark.read.parquet(args.edges), spark.read.parquet(args.instructions), args.metric)
+    # written once: what every circuit was refused for is read again by the minimum, the balance, the header and the records
+    strict_export.build(circuits, cells, spark.read.parquet(args.labels), names, args.metric, name_devices=bool(args.compiled)).write.mode("overwrite").parquet(f"{args.out}/eligibility")
+    built = spark.read.parquet(f"{args.out}/eligibility")
     eligible = built.where("reason is null")
     few = C.below_minimum(devices, eligible, args.minimum_per_device).collect()  # a row for each device at most
     if few:

@@ -16,6 +16,8 @@ def cell_problems(cells: DataFrame, legacy_score_rule: bool = False) -> DataFram
     """
     compatible = F.col("score").isNotNull() if legacy_score_rule else F.col("fits")
     problem, outcome = R.candidate(F.col("compilation"), F.col("device"), F.col("score"), F.col("recomputed"))
+    if "file_problem" in cells.columns:  # of :func:`.verified_cells.verified_cells`: what is wrong with the file says more than its score
+        problem = F.coalesce(R.trace_problem(F.col("compilation")), F.col("file_problem"), problem)
     problem = F.coalesce(problem, F.when(~F.coalesce("executable", F.lit(False)), "not_executable"))
     return cells.where(compatible).withColumns({"problem": problem, "outcome": outcome})
 
@@ -25,12 +27,15 @@ CHECKS = ("source_missing", "feature_set_mismatch", "feature_not_finite", "width
 
 
 def build(circuits: DataFrame, cells: DataFrame, labels: DataFrame, feature_names: list[str], metric: str = "expected_fidelity",
-          legacy_score_rule: bool = False) -> DataFrame:
+          legacy_score_rule: bool = False, name_devices: bool = False) -> DataFrame:
     """One row for each circuit (name, qasm, num_qubits, features, idx): reason (null if eligible), record_id, label, ranking, margin, outcomes.
 
-    Checks in order: the source, its features, its devices in catalog order, then that the label is rank 1.
+    Checks in order: the source, its features, its devices in catalog order, then that the label is rank 1. With ``name_devices`` the reason of a
+    device begins with its name and a colon.
     """
     rated = cell_problems(cells, legacy_score_rule)
+    if name_devices:
+        rated = rated.withColumn("problem", F.concat("device", F.lit(":"), "problem"))
     first = rated.groupBy("circuit").agg(
         F.min_by("problem", F.when(F.col("problem").isNotNull(), F.col("device_pos"))).alias("cell_problem"),
         F.array_sort(F.collect_list(F.when(F.col("problem").isNull(), F.col("outcome")))).alias("outcomes"), F.count("*").alias("n_candidates"),

@@ -46,3 +46,39 @@ def test_export(spark, tables):
     assert record.input.circuit.name == "bell" and record.expected_output.selected_device == "d"
     with pytest.raises(SystemExit):
         main([*given, "--out", at("few"), "--minimum-per-device", "2"], spark)
+
+
+def test_export_from_compiled_files(spark, tables):
+    """From folders of circuit text to records: files are read, checked, scored again, and refused for what is wrong with them."""
+    head = 'OPENQASM 2.0; include "qelib1.inc"; qreg q[3]; '
+    files = {"bell": {"d": "h q[0]; cx q[0],q[1];", "e": "h q[0]; cx q[0],q[1];"}, "off": {"d": "cx q[0],q[2];"}, "odd": {"d": "rz(1) q[0];"}, "bad": {"d": "cx q[0];"}, "low": {"d": "h q[0];"},
+             "dark": {"d": "h q[2];"}, "fell": {"d": "h q[0];"}}
+    (tables / "texts").mkdir(), (tables / "files").mkdir()
+    for name, by in files.items():
+        (tables / "texts" / f"{name}.qasm").write_text(BELL)
+        for device, body in by.items():
+            (tables / "files" / f"{name}_expected_fidelity-{device}.qasm").write_text(head + body)
+    (tables / "texts" / "gone.qasm").write_text(BELL)
+    save = lambda name, rows, kind: spark.createDataFrame(rows, kind).write.parquet(str(tables / name))
+    save("two", [("d", 3, ["cx", "h"], False, 0), ("e", 3, ["cx", "h"], True, 1), ("tiny", 1, ["h"], True, 2)],
+         "device_id string, num_qubits int, operation_names array<string>, all_to_all boolean, device_pos int")
+    save("edges", [("d", 0, 1)], "device_id string, src int, dst int")
+    save("instructions", [(d, "h", [q], 0.1) for d in "de" for q in (0, 1)] + [(d, "cx", [0, 1], 0.2) for d in "de"] + [("d", "cx", [0, 2], 0.2)], "device_id string, name string, qubits array<int>, error double")
+    good = ("rl", "success", ["a", "terminate"])
+    cells = [("bell", "d", 0, 0.72, *good), ("bell", "e", 1, 0.72, *good), ("bell", "tiny", 2, -1.0, None, None, None), ("off", "d", 0, 0.8, *good), ("odd", "d", 0, 0.9, *good), ("bad", "d", 0, 0.9, *good),
+             ("low", "d", 0, 0.5, *good), ("dark", "d", 0, 0.9, *good), ("gone", "d", 0, 0.9, *good), ("fell", "d", 0, 0.9, "fallback", "success", ["x"])]
+    save("stored", cells, "circuit string, device string, device_pos int, score double, mode string, status string, passes array<string>")
+    save("best", [(name, "d") for name in [*files, "gone"]], "circuit string, label string")
+    at = lambda n: str(tables / n)
+    given = ["export", "--circuits", at("texts"), "--cells", at("stored"), "--labels", at("best"), "--devices", at("two"), "--compiled", at("files"), "--edges", at("edges"),
+             "--instructions", at("instructions"), "--minimum-per-device", "0", "--out", at("made")]
+    main(given, spark)
+    reasons = {r.circuit: r.reason for r in spark.read.parquet(at("made/eligibility")).collect()}
+    assert reasons == {"bell": None, "off": "d:off_coupling", "odd": "d:unsupported_rz", "bad": "d:unreadable_wrong_arity", "low": "d:score_mismatch", "dark": "d:score_unknown",
+                       "gone": "d:no_file", "fell": "d:mode_fallback"}
+    record = spark.read.json(at("made/records")).first()
+    assert record.expected_output.selected_device == "d" and [x.device for x in record.deterministic_ground_truth.device_ranking] == ["d", "e"]
+    assert spark.read.json(at("made/header")).first().rejection_counts["d:no_file"] == 1
+    with pytest.raises(SystemExit, match="overwrite"):
+        main(given, spark)
+    main([*given, "--overwrite"], spark)
