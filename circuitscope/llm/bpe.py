@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
@@ -13,7 +14,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-
 from .words import Texts, find_words, hash_words, same_bytes
 
 #: Documents are dealt with in blocks of about so many bytes of text, or of one document that is longer.
@@ -29,14 +29,31 @@ _loaded: dict[str, object] = {}
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
-    """Where the installed public vocabulary file lies; operators take any such path as a parameter."""
+    """Where the installed public vocabulary file lies; operators take the path of any file of its kind as a parameter."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+#: The steps of a vocabulary file for which a text's ids are its words' ids, as :func:`split_words` and :class:`CachedEncoder` take for granted.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+def require_words(tokenizer, path: str) -> None:
+    """An error unless a vocabulary is of the kind that these operators encode word by word: others would get other ids than the library's."""
+    parts = json.loads(tokenizer.to_str())
+    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and not set(t["content"]) & set(" \t\n\x0b\x0c\r") for t in parts["added_tokens"])
+    model = parts["model"]
+    if not (added and parts["normalizer"] == NORMALIZER and parts["pre_tokenizer"] == PRE_TOKENIZER and parts["post_processor"] is None
+            and model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not model["continuing_subword_prefix"] and not model["dropout"]):
+        raise ValueError(f"{path} is no vocabulary of lower-cased words: its ids can't be made word by word")
+
+
 def load(path: str):
-    """The tokenizer of a file, without truncation or padding; one a process."""
+    """The tokenizer of a file, without truncation or padding; one a process. Files of another kind are refused; see :func:`require_words`."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
@@ -44,6 +61,7 @@ def load(path: str):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        require_words(tokenizer, path)
         _loaded[path] = tokenizer
     return _loaded[path]
 

@@ -196,3 +196,10 @@ def test_packing_is_the_same_for_any_partitioning(spark, monkeypatch):
     results = [sorted((tuple(r) for r in packing.pack(items.repartition(n), capacities=(256, 1024)).collect()), key=key) for n in (1, 2, 7)]
     assert results[0] == results[1] == results[2]
     assert sum(r[3] for r in results[0]) == sum(n for _, n in rows if n) and len({r[4] >> 24 for r in results[0] if r[0] == 7}) > 3
+
+
+def test_vocabularies_of_another_kind_are_refused(spark):
+    with pytest.raises(ValueError, match="word by word"):
+        bpe.load(bpe.vocabulary_path("byte_bpe_50k.json"))
+    with pytest.raises(Exception, match="word by word"):
+        pfor.token_counts(documents(spark), bpe.vocabulary_path("byte_bpe_50k.json")).collect()
