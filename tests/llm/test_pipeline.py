@@ -9,7 +9,7 @@ from circuitscope.llm.queries import ORACLE_SQL, QUERIES
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES} and set(ORACLE_SQL) <= set(QUERIES)
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES} and set(ORACLE_SQL) <= set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "simhash_near_dedup", "best_fit_packing"]
 
 
