@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import schemas
 from ..functions import scalars as S
 from ..operators import qasm
+from . import archives
 
 #: A compiled file's name: circuit, metric, device.
 COMPILED_NAME = r"^(.+)_(expected_fidelity|critical_depth)-(.+)\.qasm$"
@@ -45,21 +41,11 @@ def circuits_or_archive(spark: SparkSession, directory: str, archive: str) -> Da
 
 
 def scan_archive(spark: SparkSession, archive: str) -> DataFrame:
-    """The ``*.qasm`` members of zip files, read where the bytes are; nothing is extracted to a disk, so no member's
-    path can leave a folder. Members with an absolute path or ``..`` are refused."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch.path, batch.content):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for info in z.infolist():
-                        parts = info.filename.split("/")
-                        if info.is_dir() or not info.filename.endswith(".qasm"):
-                            continue
-                        if ".." in parts or not parts[0]:
-                            raise ValueError(f"unsafe member {info.filename!r} in {path}")
-                        yield pd.DataFrame({"name": [parts[-1].removesuffix(".qasm")], "qasm": [z.read(info).decode()], "file": [f"{path}!{info.filename}"]})
-
-    return spark.read.format("binaryFile").load(archive).select("path", "content").mapInPandas(run, schemas.CIRCUITS)
+    """The ``*.qasm`` members of zip files, each archive read by as many tasks as its size asks for (:mod:`.archives`). A member that is a large-file
+    pointer, whose circuit was never fetched, fails the query."""
+    members = archives.read_members(spark, archive, ".qasm")
+    text = F.when(archives.pointer("text").isNull(), F.col("text")).otherwise(F.raise_error(F.concat(F.lit("a large-file pointer, not a circuit: "), "member")).cast("string"))
+    return members.select(F.regexp_extract("member", r"([^/]*)\.qasm$", 1).alias("name"), text.alias("qasm"), F.concat("archive", F.lit("!"), "member").alias("file"))
 
 
 def scan_compiled(spark: SparkSession, directory: str) -> DataFrame:
