@@ -6,15 +6,15 @@ import json
 import os
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .words import Texts, find_words, hash_words, same_bytes
+from .words import Texts, find_words, group_hashes, hash_words, same_bytes
 
 #: Documents are dealt with in blocks of about so many bytes of text, or of one document that is longer.
 BLOCK_BYTES = 8 << 20
@@ -22,8 +22,8 @@ BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 64 << 20
 #: Words that are encoded in one call of the library.
 CALL_WORDS = 20_000
-#: Words that a worker's cache holds in each of its two generations; see :class:`CachedEncoder`.
-CACHE_WORDS = 300_000
+#: Words that a worker's cache holds, some 200 bytes each; see :class:`CachedEncoder`.
+CACHE_WORDS = 800_000
 
 _loaded: dict[str, object] = {}
 
@@ -80,17 +80,30 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)]
 
 
+#: Bytes of plain words: those that one or more ASCII letters begin with, and those that may follow these.
+_NO_LETTER, _NO_MARK = np.ones(256, bool), np.ones(256, bool)
+_NO_LETTER[[*range(65, 91), *range(97, 123)]] = False
+_NO_MARK[list(b".,;:!?")] = False
+
+
+def _letters_in_front(texts: Texts, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each word how many ASCII letters it begins with, if nothing but plain punctuation follows these; else -1."""
+    others = np.append(np.flatnonzero(_NO_LETTER[texts.data]), len(texts.data))
+    stop = np.minimum(others[np.searchsorted(others, starts)], ends)
+    odd = np.concatenate([[0], np.cumsum(_NO_MARK[texts.data], dtype="i4" if len(texts.data) < 1 << 31 else "i8")])
+    return np.where(odd[ends] == odd[stop], stop - starts, -1)
+
+
 class CachedEncoder:
     """Encodes texts word by word with the library, and keeps the ids of words seen lately.
 
-    The cache holds two generations: when the younger is full it becomes the older one, whose former
-    content is dropped. It bounds memory and changes no result. Most words are plain: Latin letters, then perhaps
+    The cache is emptied when it is full, which bounds memory and changes no result; ids are kept as bytes, a quarter of what tuples of numbers take. Most words are plain: Latin letters, then perhaps
     plain punctuation. The vocabulary lower-cases and splits these into the two parts, so they go straight to the library's
     model; every other word goes through all of the library's steps.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.young, self.old = load(path), {}, {}
+        self.tokenizer, self.known = load(path), {}
         self.letters = _byte_letters()
 
     def plain_parts(self, word: str) -> tuple[str, ...] | None:
@@ -108,8 +121,8 @@ class CachedEncoder:
             return None
         return (low, word[len(body):]) if len(body) < len(word) else (low,)
 
-    def _looked_up(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, list[tuple[int, ...]]]:
-        """For each word of a slice the number of its text and of its group; and the ids of each group's word.
+    def _looked_up(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """For each word of a slice the number of its text and of its group; and the ids of each group's word, as bytes.
 
         Words are grouped by hash, and the groups checked byte by byte; only a word of each group is looked up. Should
         two words ever share a hash, the slice is grouped by the words themselves.
@@ -117,56 +130,56 @@ class CachedEncoder:
         words = find_words(texts)
         if not len(words.starts):
             return np.zeros(0, "i8"), np.zeros(0, "i8"), []
-        raw, young = texts.data.tobytes(), self.young
-        _, first, group = np.unique(hash_words(texts, words), return_index=True, return_inverse=True)
+        raw, known = texts.data.tobytes(), self.known
+        first, group = group_hashes(hash_words(texts, words))
         if not same_bytes(texts, words, first[group]):
             numbers: dict[bytes, int] = {}
             group = np.array([numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(words.starts.tolist(), words.ends.tolist())])
             first = np.unique(group, return_index=True)[1]
         each = [raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist())]
-        self._add([w for w in each if w not in young])
-        ids = list(map(young.get, each))
-        if len(young) > CACHE_WORDS:
-            self.young, self.old = {}, young
+        new = [k for k, w in enumerate(each) if w not in known]
+        self._add([each[k] for k in new], _letters_in_front(texts, words.starts[first[new]], words.ends[first[new]]).tolist())
+        ids = list(map(known.get, each))
+        if len(known) > CACHE_WORDS:
+            known.clear()
         return words.text, group, ids
 
     def count(self, texts: Texts) -> np.ndarray:
         """How many ids each text of a slice has."""
         text, group, ids = self._looked_up(texts)
-        return np.bincount(text, np.fromiter(map(len, ids), "i8", len(ids))[group], len(texts)).astype("i8")
+        return np.bincount(text, np.fromiter(map(len, ids), "i8", len(ids))[group] // 4, len(texts)).astype("i8")
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice of texts, one after another, and how many each text has."""
         text, group, ids = self._looked_up(texts)
         if not len(text):
             return np.zeros(0, "u4"), np.zeros(len(texts), "i8")
-        lengths, flat = np.fromiter(map(len, ids), "i8", len(ids)), np.fromiter(chain.from_iterable(ids), "u4")
+        lengths, flat = np.fromiter(map(len, ids), "i8", len(ids)) // 4, np.frombuffer(b"".join(ids), "u4")
         n = lengths[group]
         ends = np.cumsum(n)
         at = np.repeat((np.cumsum(lengths) - lengths)[group] - (ends - n), n)
         at += np.arange(len(at))
         return flat[at], np.bincount(text, n, len(texts)).astype("i8")
 
-    def _add(self, missing: list[bytes]) -> None:
-        young, old, tokenize, odd = self.young, self.old, self.tokenizer.model.tokenize, []
-        parts: dict[str, tuple[int, ...]] = {}
-        for word in missing:
-            ids = old.get(word)
-            if ids is None:
-                plain = self.plain_parts(text := word.decode())
-                if plain is None:
-                    odd.append((word, text))
-                    continue
-                ids = ()
-                for p in plain:
-                    if p not in parts:
-                        parts[p] = tuple([t.id for t in tokenize(p)])
-                    ids += parts[p]
-            young[word] = ids
+    def _add(self, missing: list[bytes], letters: list[int]) -> None:
+        """Keeps the ids of words that aren't known; ``letters`` as :func:`_letters_in_front` gives them."""
+        known, tokenize, odd = self.known, self.tokenizer.model.tokenize, []
+        parts: dict[str, bytes] = {"": b""}
+        for word, front in zip(missing, letters):
+            if front >= 0:
+                low = word.lower().decode()
+                plain = (low[:front], low[front:])
+            elif (plain := self.plain_parts(text := word.decode())) is None:
+                odd.append((word, text))
+                continue
+            for p in plain:
+                if p not in parts:
+                    parts[p] = array("I", [t.id for t in tokenize(p)]).tobytes()
+            known[word] = parts[plain[0]] + parts[plain[1]] if len(plain) > 1 else parts[plain[0]]
         for at in range(0, len(odd), CALL_WORDS):
             some = odd[at:at + CALL_WORDS]
             for (word, _), x in zip(some, self.tokenizer.encode_batch([text for _, text in some], add_special_tokens=False)):
-                young[word] = tuple(x.ids)
+                known[word] = array("I", x.ids).tobytes()
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:

@@ -108,11 +108,14 @@ def unpack(data: bytes, starts: list[int], first: int = 0, count: int | None = N
         out = np.repeat(headers["base"][rows].astype("u4")[:, None], BLOCK_IDS, axis=1)
         packed = BLOCK_IDS * width // 8
         if width:
-            raw = np.stack([np.frombuffer(data, "u1", packed, chosen[r] + HEADER.itemsize) for r in rows])
-            size = 16 if width <= 16 else 32
-            bits = np.zeros((len(rows) * BLOCK_IDS, size), "u1")
-            bits[:, :width] = np.unpackbits(raw, axis=1, bitorder="little").reshape(-1, width)
-            out += np.packbits(bits, axis=1, bitorder="little").view(f"<u{size // 8}").reshape(len(rows), BLOCK_IDS)
+            raw = np.zeros((len(rows), packed + 8), "u1")  # so that eight bytes can be read from each place
+            for k, r in enumerate(rows.tolist()):
+                raw[k, :packed] = np.frombuffer(data, "u1", packed, chosen[r] + HEADER.itemsize)
+            bit = np.arange(BLOCK_IDS) * width  # a number's bits begin within a byte, and four or eight bytes hold them
+            kind = "<u4" if width <= 25 else "<u8"
+            from_byte = np.ndarray((len(rows), packed + 1), kind, raw, strides=(packed + 8, 1))
+            numbers = from_byte[:, bit >> 3] >> (bit & 7).astype(kind)
+            out += (numbers & np.array((1 << width) - 1, kind)).astype("u4")
         for k, r in enumerate(rows.tolist()):
             n, size = int(headers["exceptions"][r]), int(headers["high_bytes"][r])
             if n:

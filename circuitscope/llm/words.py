@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -98,6 +99,12 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _BASE + b * _K1 + _K2)
 
 
+def _eight_from(texts: Texts) -> np.ndarray:
+    """The eight bytes from each place on, as a number."""
+    padded = np.concatenate([texts.data, np.zeros(8, "u1")])
+    return np.ndarray(len(texts.data) + 1, "<u8", padded, strides=(1,))
+
+
 def hash_words(texts: Texts, words: Words) -> np.ndarray:
     """A 64-bit hash of each word's bytes; equal words are taken for the same word by it.
 
@@ -107,8 +114,7 @@ def hash_words(texts: Texts, words: Words) -> np.ndarray:
     if not len(words.starts):
         return np.zeros(0, "u8")
     lengths = words.ends - words.starts
-    padded = np.concatenate([texts.data, np.zeros(8, "u1")])
-    at_byte = np.ndarray(len(texts.data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    at_byte = _eight_from(texts)
     lanes = (lengths + 7) >> 3
     if int(lanes.max(initial=1)) <= 1:
         return mix(mix((at_byte[words.starts] & _MASKS[lengths]) + _K1) + lengths.astype("u8") * _K2)
@@ -119,11 +125,28 @@ def hash_words(texts: Texts, words: Words) -> np.ndarray:
     return mix(np.add.reduceat(mix(values + mix(place * _K1) * (place > 1) + _K1), first) + lengths.astype("u8") * _K2)
 
 
+def group_hashes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, group): the group of each hash, numbered as they first occur, and where each group does. By a hash table, not by sorting."""
+    group, found = pd.factorize(hashes)
+    first = np.empty(len(found), "i8")
+    first[group[::-1]] = np.arange(len(hashes) - 1, -1, -1)  # of repeated places the last assignment stays: the first occurrence
+    return first, group
+
+
 def same_bytes(texts: Texts, words: Words, other: np.ndarray) -> bool:
-    """Whether each word has the bytes of the word whose number ``other`` gives."""
+    """Whether each word has the bytes of the word whose number ``other`` gives: eight bytes at a time."""
     lengths = words.ends - words.starts
+    if not len(lengths):
+        return True
     if (lengths != lengths[other]).any():
         return False
-    first = np.cumsum(lengths) - lengths
-    at = np.arange(int(lengths.sum()))
-    return bool((texts.data[at + np.repeat(words.starts - first, lengths)] == texts.data[at + np.repeat(words.starts[other] - first, lengths)]).all())
+    at_byte = _eight_from(texts)
+    mask = _MASKS[np.minimum(lengths, 8)]
+    if ((at_byte[words.starts] ^ at_byte[words.starts[other]]) & mask).any():
+        return False
+    long = np.flatnonzero(lengths > 8)
+    lanes = (lengths[long] - 1) >> 3  # those behind the first eight bytes
+    within = 8 * (np.arange(1, int(lanes.sum()) + 1) - np.repeat(np.cumsum(lanes) - lanes, lanes))
+    mine = at_byte[np.repeat(words.starts[long], lanes) + within]
+    theirs = at_byte[np.repeat(words.starts[other[long]], lanes) + within]
+    return not ((mine ^ theirs) & _MASKS[np.minimum(np.repeat(lengths[long], lanes) - within, 8)]).any()

@@ -41,7 +41,7 @@ def test_cached_encoder_is_the_library(library):
             ids, counts = encoder.encode(texts)
             got += [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])]
         assert got == want
-        encoder.old, encoder.young = encoder.young, {}
+        encoder.known.clear()
 
 
 def test_word_table_encodes_and_decodes(spark, library):
@@ -203,3 +203,44 @@ def test_vocabularies_of_another_kind_are_refused(spark):
         bpe.load(bpe.vocabulary_path("byte_bpe_50k.json"))
     with pytest.raises(Exception, match="word by word"):
         pfor.token_counts(documents(spark), bpe.vocabulary_path("byte_bpe_50k.json")).collect()
+
+
+def test_groups_of_hashes_and_bytes_of_words():
+    from circuitscope.llm import words as W
+
+    texts = ["a bb ccccccccc a", "", "ccccccccd ccccccccc " + "x" * 40 + " " + "x" * 40, "bb é " + "y" * 17]
+    _, slice_ = next(W.slices(pa.array(texts)))
+    found = W.find_words(slice_)
+    first, group = W.group_hashes(W.hash_words(slice_, found))
+    plain = [w for t in texts for w in t.split()]
+    order = list(dict.fromkeys(plain))
+    assert [plain[i] for i in first] == order and [order[g] for g in group] == plain and [plain.index(w) for w in order] == first.tolist()
+    assert W.same_bytes(slice_, found, first[group])
+    for i, a in enumerate(plain):  # every pair of words, one at a time
+        for j, b in enumerate(plain):
+            other = np.arange(len(plain))
+            other[i] = j
+            assert W.same_bytes(slice_, found, other) == (a == b)
+    none = W.find_words(W.Texts(np.zeros(0, "u1"), np.zeros(1, "i8")))
+    assert W.same_bytes(W.Texts(np.zeros(0, "u1"), np.zeros(1, "i8")), none, np.zeros(0, "i8"))
+
+
+def test_full_blocks_of_every_width():
+    rng = np.random.default_rng(5)
+    for width in range(33):
+        ids = rng.integers(0, 1 << width, 3 * pfor.BLOCK_IDS + 7, dtype="u8").astype("u4")
+        ids[::50] = rng.integers(0, 1 << 32, len(ids[::50]), dtype="u8").astype("u4")
+        data, starts = pfor.pack(ids)
+        assert (pfor.unpack(data, starts) == ids).all() and (pfor.unpack(data, starts, 1030, 900) == ids[1030:1930]).all()
+
+
+def test_plain_words_are_told_by_their_bytes():
+    from circuitscope.llm import words as W
+
+    plain = {"abc": 3, "Abc,": 3, "x.;:!?": 1, "...": 0, "a1": -1, "1": -1, "a.b": -1, ".a": -1, "é": -1, "aé": -1, "a's": -1, "a-": -1}
+    _, texts = next(W.slices(pa.array([" ".join(plain)])))
+    found = W.find_words(texts)
+    assert bpe._letters_in_front(texts, found.starts, found.ends).tolist() == list(plain.values())
+    encoder = bpe.CachedEncoder(bpe.vocabulary_path())
+    ids, counts = encoder.encode(texts)
+    assert ids.tolist() == encoder.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids and counts.tolist() == [len(ids)]
