@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import materialize
 from .components import connected_components
@@ -52,8 +53,29 @@ def _signatures(classes: DataFrame) -> DataFrame:
     return classes.mapInArrow(run, f"{kinds}, keys array<bigint>")
 
 
+#: What makes a part of a bucket: the vectors of one label and length that share a table's key, and two of their chunks.
+PART = ["tag", "dims", "t", "key", "low", "high"]
+
+
+def _tag(rows: DataFrame) -> Column:
+    """The label as a value that Arrow compares as Spark does: NaN is equal to itself, nested values go as JSON."""
+    kind = rows.schema["label"].dataType
+    if isinstance(kind, (T.ArrayType, T.StructType)):
+        return F.to_json(F.struct("label"))
+    return F.col("label").cast("string") if isinstance(kind, (T.FloatType, T.DoubleType)) else F.col("label")
+
+
+def _changes(table: pa.Table) -> np.ndarray:
+    """For each row but the first whether it is of another part than the one before it."""
+    found = np.zeros(max(len(table) - 1, 0), bool)
+    for name in PART:
+        column = table.column(name)
+        found |= pc.not_equal(column.slice(1), column.slice(0, len(found))).to_numpy()
+    return found
+
+
 def _verify(threshold: float):
-    """Compare within each run of rows of one bucket part; rows come sorted by bucket part."""
+    """Compare within each run of rows of one bucket part; rows come sorted by all that makes a part, so a shared hash joins none."""
     def links(part: pa.RecordBatch | pa.Table) -> tuple[list, list, list]:
         vectors = np.stack(part.column("vector").to_pylist())
         keys = np.stack(part.column("keys").to_pylist())
@@ -79,8 +101,7 @@ def _verify(threshold: float):
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            part = table.column("part").to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1])
+            cuts = np.concatenate([[0], np.flatnonzero(_changes(table)) + 1])
             yield from found([table.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:])])
             rest = table.slice(cuts[-1]).combine_chunks() if len(table) else None
         if rest is not None and len(rest):
@@ -120,10 +141,10 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     # each chunk meets itself and every other chunk of its bucket in a part of its own
     parts = (shared.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
              .withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-             .select("rep", "t", F.xxhash64(*bucket, "low", "high").alias("part"), F.col("own").alias("side"),
+             .select("rep", _tag(shared).alias("tag"), "dims", "t", "key", "low", "high", F.col("own").alias("side"),
                      (F.col("low") < F.col("high")).alias("cross")))
     members = parts.join(classes.select("rep", "vector", "copies", "keys"), "rep")
-    links = materialize(members.repartition("part").sortWithinPartitions("part").mapInArrow(
+    links = materialize(members.repartition(*PART).sortWithinPartitions(*PART).mapInArrow(
         _verify(threshold), "rep long, n long, root long"), "links")
     components = connected_components(links.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     counts = links.groupBy("rep").agg(F.sum("n").alias("n"))

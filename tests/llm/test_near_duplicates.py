@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -225,3 +226,15 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
         assert got[i] == (0, i, True)
     assert got[None] == (0, None, True) and len(got) == len(rows) + len(odd)
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind, labels", [("string", ["a", "b", ""]), ("double", [float("nan"), 0.5, 1e300]), ("array<string>", [["a", "b"], ["a, b"], []]), ("int", [-1, 0, 7])])
+def test_parts_are_of_one_label_and_length(spark, kind, labels):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((6, 8))
+    near = lambda v: (v + 0.005 * rng.standard_normal(8)).tolist()
+    rows = [(6 * k + 100 * copy + i, near(v), label) for k, label in enumerate(labels) for copy in range(3) for i, v in enumerate(base)]
+    rows += [(1000 + i, v[:5].tolist(), labels[0]) for i, v in enumerate(base)]  # other lengths among them
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")).collect()}
+    assert {i: got[i] for i, _, _ in rows if i < 1000} == {i: (2, i % 100) for i, _, _ in rows if i < 1000}
+    assert all(got[1000 + i] == (0, 1000 + i) for i in range(6))
