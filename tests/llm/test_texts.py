@@ -132,6 +132,9 @@ def test_quality_rules_and_verdicts(spark):
     assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) for r in got)
     scored = [r for r in got if r.doc_id is not None and r.doc_id < 600 and not r.base_failed]
     assert all(r.kept == (r.doc_id % 6 > 0) for r in scored) and not any(r.kept for r in got if r.base_failed)
+    fewer = quality.quality(docs, labels.where("doc_id % 4 > 0")).where("doc_id % 4 = 0 and not base_failed").collect()
+    assert len(fewer) > 100 and all(r.kept == (r.doc_id % 6 > 0) for r in fewer)
+    assert all(r.kept != r.base_failed for r in quality.quality(docs, labels.limit(0)).collect())
     assert quality.quality(docs.limit(0), labels.limit(0)).count() == 0
 
 
@@ -141,6 +144,51 @@ def test_log_ratios_by_hand(spark):
     assert counts == {(3, 2), (1, 0), (1, 1)}  # a; b and the pair a b; the pair a a
 
 
+def test_quality_ratios_and_scores_by_plain_rules(spark):
+    """Each n-gram's bucket comes from a text of it alone; all sums and logs are made again from the words."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choices("ab cd ef gh ij".split(), k=rng.randint(1, 30)))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    grams = {k: t.split() + list(zip(t.split(), t.split()[1:])) for k, t in rows}
+
+    def bucket(gram):
+        _, part = next(iter(slices(pa.array([gram if isinstance(gram, str) else " ".join(gram)]))))
+        words = find_words(part)
+        return int(quality.ngrams(words, hash_words(part, words))[0][-1])  # the pair comes behind the words
+
+    place = {g: bucket(g) for g in set().union(*grams.values())}
+    raw, target = (collections.Counter(place[g] for k in grams if k % 3 == 0 or all_of for g in grams[k]) for all_of in (True, False))
+    trusted = spark.createDataFrame([(k,) for k in grams if k % 3 == 0], "doc_id long")
+    ratios = quality.log_ratios(quality.corpus_counts(docs, trusted))
+    n, m = quality.BUCKETS, quality.PRIOR
+    for b in range(0, n, 997):
+        raw.setdefault(b, 0)
+    for b in raw:
+        share = (raw[b] + 1) / (sum(raw.values()) + n)
+        assert abs(np.log((target[b] + m * share) / (sum(target.values()) + m) / share) - ratios[b]) < 1e-5
+    for r in quality.score(docs, ratios).collect():
+        assert abs(r.score - np.mean([ratios[place[g]] for g in grams[r.doc_id]])) < 1e-6
+    assert not quality.log_ratios(quality.corpus_counts(docs, trusted.limit(0))).any()
+
+
+def test_quality_threshold_by_trying_all_cuts():
+    rng = random.Random(9)
+    for _ in range(200):
+        good, bad = ([rng.randint(a, a + 12) / 8 for _ in range(rng.randint(1, 9))] for a in (4, 0))
+        cut = quality.threshold(np.array(good), np.array(bad), 0.25)
+        errors = lambda c: (sum(g < c for g in good) / len(good), sum(b >= c for b in bad) / len(bad))
+        allowed = [sum(errors(c / 16)) for c in range(-1, 30) if errors(c / 16)[0] <= 0.25]
+        assert errors(cut)[0] <= 0.25 and abs(sum(errors(cut)) - min(allowed)) < 1e-9
+    assert quality.threshold(np.array([]), np.array([1.0])) == quality.threshold(np.array([1.0]), np.array([])) == quality.MIN_SCORE
+
+
+def test_quality_judges_by_rows_that_it_did_not_count(spark):
+    labels = spark.createDataFrame([(k, k % 2, "x") for k in range(400)] + [(7, 0, "x"), (None, 1, "x"), (401, None, "x")], "doc_id long, quality int, text string")
+    counted, judged = {r.doc_id for r in quality.trusted_ids(labels).collect()}, dict(quality.judged_ids(labels).collect())
+    assert not counted & set(judged) and counted | set(judged) == set(range(400)) and judged.get(7, 1) == 1
+    assert all(q == k % 2 for k, q in judged.items()) and 20 < sum(judged.values()) < 80
+
+
 def test_languages(spark):
     rng = random.Random(8)
     parts = {"en": "the ing tion and er wh sh ly".split(), "fr": "eau é oi que eux ç le è".split(), "ru": ["при", "вет", "ов", "ско", "ние"]}
