@@ -95,11 +95,22 @@ def pending_jobs(jobs: DataFrame, valid_keys: DataFrame, attempts: DataFrame, ma
 
 
 def device_queues(pending: DataFrame) -> DataFrame:
-    """(device, position, key): each device's queue in job order, numbered without any task seeing all jobs of a device."""
-    ranked = ranked_within(pending.select("device", "num_qubits", "circuit", "key"), "device", ["num_qubits", "circuit"], F.col("num_qubits"), "position")
+    """(device, position, key): each device's queue in job order, numbered without any task seeing all jobs of a device, nor all of one width."""
+    piece = F.struct("num_qubits", ordered_part(pending, "circuit"))
+    ranked = ranked_within(pending.select("device", "num_qubits", "circuit", "key"), "device", ["num_qubits", "circuit"], piece, "position")
     return ranked.select("device", F.col("position").cast("int").alias("position"), "key")
 
 
+def ordered_part(rows: DataFrame, order: str, parts: int = 64) -> Column:
+    """A number that grows with a column and cuts ``rows`` into about ``parts`` pieces; nulls come first. The cut points are taken from a
+    bounded sample; where they lie changes the pieces, never what is numbered by them."""
+    share = min(1.0, 100 * parts / max(1, rows.count()))
+    seen = sorted(r[0] for r in rows.select(order).where(F.col(order).isNotNull()).sample(share, seed=1).limit(200 * parts).collect())
+    points = sorted({seen[k * len(seen) // parts] for k in range(1, parts)}) if seen else []
+    above = F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda p: p <= F.col(order))) if points else F.lit(0)
+    return F.when(F.col(order).isNotNull(), above).otherwise(F.lit(-1))
+
+
 def ranked_within(rows: DataFrame, group: str, order: list[str], part: Column, name: str) -> DataFrame:
     """``rows`` with consecutive numbers from 1 within each value of ``group``, in the order of columns.
 

@@ -56,11 +56,7 @@ def export_records(cells: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def with_index(rows: DataFrame, order: str, name: str, parts: int = 64) -> DataFrame:
-    """Consecutive numbers from 0 in the order of a column, without one task seeing all rows: a bounded sample of the column gives
-    fixed cut points, each part is numbered on its own and shifted by the sizes of those before it."""
-    share = min(1.0, 100 * parts / max(1, rows.count()))
-    seen = sorted(r[0] for r in rows.select(order).where(F.col(order).isNotNull()).sample(share, seed=1).limit(200 * parts).collect())
-    points = [seen[k * len(seen) // parts] for k in range(1, parts)] if seen else []
-    part = F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda p: p <= F.col(order))) if points else F.lit(0)
-    numbered = J.ranked_within(rows.withColumn("__all", F.lit(0)), "__all", [order], F.when(F.col(order).isNotNull(), part).otherwise(F.lit(-1)), name)
+    """Consecutive numbers from 0 in the order of a column, without one task seeing all rows: each part of the order is numbered on
+    its own and shifted by the sizes of those before it."""
+    numbered = J.ranked_within(rows.withColumn("__all", F.lit(0)), "__all", [order], J.ordered_part(rows, order, parts), name)
     return numbered.drop("__all").withColumn(name, F.col(name) - 1)

@@ -477,12 +477,134 @@ def cell_states(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", mode.alias("mode"), status.alias("status"))
 
 
+def instruction_summaries(spark, sf_dir):
+    """Suppliers as devices, their lines as instructions: what is known of each operation."""
+    rows = _table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("device_id"), F.col("l_returnflag").alias("name"), F.when(F.col("l_linenumber") == 1, F.lit(float("inf"))).otherwise(F.col("l_discount").cast("double")).alias("error"),
+        F.when(F.col("l_linestatus") == "F", F.col("l_tax").cast("double")).alias("duration_seconds"))
+    stat = lambda c: [F.col(f"{c}.count").alias(f"{c}_count"), F.col(f"{c}.min").alias(f"{c}_min"), F.round(f"{c}.mean", 9).alias(f"{c}_mean"), F.col(f"{c}.max").alias(f"{c}_max")]
+    return D.instruction_summary(rows).select("device_id", "name", *stat("errors"), *stat("durations"))
+
+
+def device_records(spark, sf_dir):
+    """Suppliers as devices with their lines as edges and instructions: the nested record, its parts as text."""
+    lines = _table(spark, sf_dir, "lineitem")
+    wire, other = F.col("l_partkey") % 5, (F.col("l_partkey") + 1 + F.col("l_linenumber") % 4) % 5
+    edges = lines.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("device_id"), wire.alias("src"), other.alias("dst"))
+    instructions = lines.select(F.col("l_suppkey").alias("device_id"), F.col("l_returnflag").alias("name"), F.lit(1).alias("num_qubits"), F.array(wire).alias("qubits"),
+                                F.when(F.col("l_linenumber") == 2, F.lit(float("nan"))).otherwise(F.col("l_discount").cast("double")).alias("error"), F.lit(None).cast("double").alias("duration_seconds"))
+    suppliers = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("device_id"), F.lit(5).alias("num_qubits"), F.array(F.lit("R"), F.lit("A")).alias("operation_names"),
+                                                         F.lit(False).alias("all_to_all"))
+    r = D.device_record(suppliers, edges, instructions).select("device_id", "record.*")
+    return r.select("device_id", F.array_join("operation_names", ",").alias("operation_names"), F.array_join(F.transform("edges", lambda e: F.concat_ws(">", e["src"], e["dst"])), ",").alias("edges"),
+                    F.size("instructions").alias("n_instructions"), F.size(F.filter("instructions", lambda i: i["error"].isNull())).alias("n_unknown"),
+                    F.array_join(F.map_keys("summaries"), ",").alias("summarised"))
+
+
+def provenance(spark, sf_dir):
+    return C.provenance(cell_states(spark, sf_dir))
+
+
+def all_failed(spark, sf_dir):
+    score = F.when(F.col("l_returnflag") == "R", F.lit(-1.0)).when(F.col("l_linestatus") == "F", F.lit(float("nan"))).otherwise(F.col("l_extendedprice").cast("double"))
+    return C.all_failed(_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("circuit"), score.alias("score")))
+
+
+def _device_scores(spark, sf_dir):
+    """The best line of each order on each of the three devices, which its line number deals; returned lines have failed."""
+    price = F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice").cast("double"))
+    device = F.element_at(F.array(*[F.lit(name) for name, _ in DEVICES]), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    return _table(spark, sf_dir, "lineitem").where("l_linenumber < 3").groupBy(F.col("l_orderkey").alias("circuit"), device.alias("device")).agg(F.max(price).alias("score"))
+
+
+def dense_scores(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("name"))
+    return C.dense_scores(orders, orders, _devices(spark), _device_scores(spark, sf_dir)).select("circuit", "device", "device_pos", "score")
+
+
+def labelled_samples(spark, sf_dir):
+    """Orders with a winner among the devices, with their features and the scores by device."""
+    features = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("circuit"), F.create_map(F.lit("num_qubits"), (F.col("o_custkey") % 5).cast("double")).alias("features"))
+    cells = _device_scores(spark, sf_dir).join(_devices(spark).select(F.col("device_id").alias("device"), "device_pos"), "device")
+    out = C.labelled_samples(cells, features)
+    return out.select("circuit", "label", F.col("features")["num_qubits"].alias("num_qubits"), F.array_join(F.map_keys("scores"), ",").alias("scored"))
+
+
+def strict_keys(spark, sf_dir):
+    """Users as jobs: those whose last event counts as a learned success and who have an order."""
+    log = _log(spark, sf_dir).withColumns({"status": F.when(F.col("status") == "click", "success").otherwise(F.col("status")), "mode": F.when(F.col("line_no") % 3 == 0, "rl"), "phase": F.lit(None).cast("string"),
+                                           "has_mode": F.col("line_no") % 3 < 2, "mode_is_null": F.col("line_no") % 6 == 1, "has_fallback": F.col("line_no") % 4 == 0})
+    files = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")).distinct()
+    return J.strict_keys(_log(spark, sf_dir).select("key").distinct(), J.latest_records(log, running="view"), files)
+
+
+def changed_outputs(spark, sf_dir):
+    """Orders as files: those that are new or differ from what an earlier listing says."""
+    o, key = _table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    now = o.select(key.alias("key"), F.col("o_orderdate").alias("modified"), F.col("o_custkey").alias("size"), (F.col("o_orderstatus") != "P").alias("valid"))
+    before = o.where(key % 7 != 0).select(key.alias("key"), F.col("o_orderdate").alias("modified"), F.when(key % 5 == 0, F.lit(0)).otherwise(F.col("o_custkey")).alias("size"))
+    return J.changed_outputs(before, now)
+
+
+def legacy_imports(spark, sf_dir):
+    from .sources import writers
+
+    jobs = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), "o_custkey")
+    own, old = (_table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag).select(F.col("l_orderkey").alias("key")) for flag in "RA")
+    return writers.legacy_imports(jobs, own, old)
+
+
+def last_errors(spark, sf_dir):
+    """Lines as attempts at their order: what the last one lacked, of orders that no attempt satisfied."""
+    errors = F.when(F.col("l_quantity") > 45, F.array().cast("array<string>")).otherwise(F.array("l_returnflag", F.col("l_partkey").cast("string")))
+    per = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("request_id"), F.col("l_linenumber").alias("attempt")).agg(F.min_by(errors, F.struct("l_partkey", "l_suppkey")).alias("errors"))
+    return J.last_errors(per).select("request_id", "attempts", F.array_join("errors", ",").alias("errors"))
+
+
+def folds(spark, sf_dir):
+    return sampling.fold_column(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "quality", "doc_id", 5)
+
+
+def balance_report(spark, sf_dir):
+    return sampling.balance(_table(spark, sf_dir, "documents").select("doc_id", "lang").where("lang is not null"), "lang", "doc_id", "cap-ratio", 1.5, seed=3)[1]
+
+
+def indexed_circuits(spark, sf_dir):
+    from .plans import device_selector
+
+    rows = _table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("circuit"), "o_custkey")
+    return device_selector.with_index(rows, "circuit", "index")
+
+
+def export_reasons(spark, sf_dir):
+    """Orders as circuits and their lines as cells: why each is no example, and the label and margin of those that are."""
+    from .plans import strict_export
+
+    key = F.col("o_orderkey")
+    circuits = _table(spark, sf_dir, "orders").select(
+        key.cast("string").alias("name"), key.alias("idx"), F.when(key % 11 != 0, F.concat(F.lit("text of "), key.cast("string"))).alias("qasm"), (F.col("o_custkey") % 50).cast("int").alias("num_qubits"),
+        F.create_map(F.when(key % 13 == 0, "width").otherwise("num_qubits"), F.when(key % 17 == 0, F.lit(float("inf"))).when(key % 19 == 0, F.lit(77.0)).otherwise((F.col("o_custkey") % 50).cast("double"))).alias("features"))
+    score, quantity = F.col("l_extendedprice").cast("double"), F.col("l_quantity").cast("int")
+    passes = F.array(F.lit("a"), F.when(quantity % 41 == 0, "a").otherwise("terminate"))
+    cells = _table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("circuit"), F.format_string("%d:%d:%d", "l_linenumber", "l_partkey", "l_suppkey").alias("device"),
+        (F.col("l_linenumber") * F.lit(10**15) + F.col("l_partkey") * F.lit(10**7) + F.col("l_suppkey")).alias("device_pos"), score.alias("score"),
+        F.when(quantity % 43 == 0, score * 2).otherwise(score).alias("recomputed"), F.struct(F.lit("rl").alias("mode"), F.lit("success").alias("status"), F.lit("q").alias("qasm"), passes.alias("passes")).alias("compilation"),
+        (F.col("l_returnflag") != "R").alias("fits"), (quantity % 47 != 0).alias("executable"))
+    labels = C.best_device(cells.where("fits")).select("circuit", F.when(F.col("circuit").cast("long") % 23 == 0, "other").otherwise(F.col("label")).alias("label"))
+    built = strict_export.build(circuits, cells, labels, ["num_qubits"])
+    ok = F.col("reason").isNull()
+    return built.select("idx", "reason", F.when(ok, F.col("record_id")).alias("record_id"), F.when(ok, F.col("label")).alias("label"), F.when(ok, F.round("margin", 6)).alias("margin"), F.when(ok, F.size("outcomes")).alias("n_outcomes"))
+
+
 QUERIES = {f.__name__: f for f in (
     best_device_label, rank_margin, width_filter, build_jobs, width_reasons, compatibility_report, latest_by_key, attempts_status, mean_duration,
     finite_stats, seeded_cap, seeded_top, stratified_split, balanced_weights, record_ids, nearest_rows, nearest_rows_each, op_counts, unsupported_ops, json_field, coverage,
     pending, missing_by_device, device_queues, reason_examples, fidelity_product, label_counts, below_minimum, failure_counts, first_circuits,
     one_job_per_device, copy_plan, validate_plans, circuit_operations, circuit_problems, circuit_op_counts, circuit_features, circuit_gate_counts, circuit_summary,
-    circuit_text, circuit_expansions, circuit_calls, circuit_refusals, parameter_values, success_probabilities, circuit_groups, group_split, paired_outcomes, paired_comparison, confusion, compiled_checks, compiled_fidelity, depth_scores, synthesis_limits, nearest_examples, trace_problems, strict_successes, log_lines, cell_states)}
+    circuit_text, circuit_expansions, circuit_calls, circuit_refusals, parameter_values, success_probabilities, circuit_groups, group_split, paired_outcomes, paired_comparison, confusion, compiled_checks, compiled_fidelity, depth_scores, synthesis_limits, nearest_examples, trace_problems, strict_successes, log_lines, cell_states,
+    instruction_summaries, device_records, provenance, all_failed, dense_scores, labelled_samples, strict_keys, changed_outputs, legacy_imports, last_errors, folds, balance_report,
+    indexed_circuits, export_reasons)}
 
 _LINES_SQL = """SELECT l_orderkey AS circuit, l_linenumber || ':' || l_partkey || ':' || l_suppkey AS device,
     CAST(l_linenumber AS BIGINT) * 1000000000000000 + l_partkey * 10000000 + l_suppkey AS device_pos, l_extendedprice AS score FROM lineitem"""
@@ -530,6 +652,11 @@ _OUTCOMES = """WITH l AS (SELECT l_orderkey AS circuit, l_linenumber || ':' || l
     o AS (SELECT circuit, CASE WHEN a IS NULL AND b IS NULL THEN 'tie' WHEN b IS NULL THEN 'win' WHEN a IS NULL THEN 'loss' WHEN a > b THEN 'win' WHEN b > a THEN 'loss' ELSE 'tie' END AS outcome,
         best - a AS regret, a, b, best FROM m)"""
 
+_CELL_STATES = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_quantity > 40 THEN 'incompatible_num_qubits' WHEN l_linestatus <> 'F' THEN 'missing' WHEN l_linenumber = 1 THEN 'rl' ELSE 'unknown' END AS mode,
+        CASE WHEN l_quantity > 40 THEN 'incompatible_num_qubits' WHEN l_linestatus <> 'F' THEN 'missing' WHEN l_returnflag = 'R' THEN 'success' ELSE 'unknown' END AS status FROM lineitem"""
+_DEVICE_SCORES = """SELECT l_orderkey AS circuit, ([%s])[l_linenumber %% 3 + 1] AS device, max(CASE WHEN l_returnflag <> 'R' THEN CAST(l_extendedprice AS DOUBLE) END) AS score
+        FROM lineitem WHERE l_linenumber < 3 GROUP BY ALL""" % ", ".join(f"'{name}'" for name, _ in DEVICES)
+
 ORACLE_SQL = {
     "best_device_label": f"""SELECT circuit, device AS label, score AS best_score FROM ({_LINES_SQL})
         QUALIFY row_number() OVER (PARTITION BY circuit ORDER BY score DESC, device_pos, device) = 1""",
@@ -673,6 +800,43 @@ ORACLE_SQL = {
         ELSE (event_id % 3 <> 1) AND event_id % 4 <> 0 END AS strict FROM events""",
     "log_lines": """SELECT event_id AS line_no, CASE event_id % 4 WHEN 0 THEN CASE WHEN json_type(props, '$.key') = 'VARCHAR' THEN 'kept' ELSE 'key_not_a_string' END
         WHEN 1 THEN 'not_json' WHEN 2 THEN 'not_an_object' ELSE 'kept' END AS reason FROM events""",
-    "cell_states": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_quantity > 40 THEN 'incompatible_num_qubits' WHEN l_linestatus <> 'F' THEN 'missing' WHEN l_linenumber = 1 THEN 'rl' ELSE 'unknown' END AS mode,
-        CASE WHEN l_quantity > 40 THEN 'incompatible_num_qubits' WHEN l_linestatus <> 'F' THEN 'missing' WHEN l_returnflag = 'R' THEN 'success' ELSE 'unknown' END AS status FROM lineitem""",
+    "cell_states": _CELL_STATES,
+    "instruction_summaries": """SELECT l_suppkey AS device_id, l_returnflag AS name, count(e) AS errors_count, min(e) AS errors_min, round(avg(e), 9) AS errors_mean, max(e) AS errors_max,
+        count(d) AS durations_count, min(d) AS durations_min, round(avg(d), 9) AS durations_mean, max(d) AS durations_max FROM (SELECT l_suppkey, l_returnflag,
+        CASE WHEN l_linenumber <> 1 THEN CAST(l_discount AS DOUBLE) END AS e, CASE WHEN l_linestatus = 'F' THEN CAST(l_tax AS DOUBLE) END AS d FROM lineitem) GROUP BY ALL""",
+    "device_records": """WITH l AS (SELECT *, l_partkey % 5 AS a, (l_partkey + 1 + l_linenumber % 4) % 5 AS b FROM lineitem),
+        e AS (SELECT l_suppkey, string_agg(a || '>' || b, ',' ORDER BY a, b) AS edges FROM (SELECT DISTINCT l_suppkey, a, b FROM l WHERE l_returnflag = 'R') GROUP BY l_suppkey),
+        i AS (SELECT l_suppkey, CAST(count(*) AS INTEGER) AS n, CAST(count(*) FILTER (l_linenumber = 2) AS INTEGER) AS u, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS ops FROM l GROUP BY l_suppkey)
+        SELECT s_suppkey AS device_id, 'A,R' AS operation_names, edges, n AS n_instructions, u AS n_unknown, ops AS summarised
+        FROM supplier LEFT JOIN e ON s_suppkey = e.l_suppkey LEFT JOIN i ON s_suppkey = i.l_suppkey""",
+    "provenance": f"SELECT mode, count(*) AS n FROM ({_CELL_STATES}) GROUP BY mode",
+    "all_failed": """SELECT count(*) AS n_circuits, count(*) FILTER (NOT ok) AS n_dropped FROM (SELECT bool_or(l_returnflag <> 'R' AND l_linestatus <> 'F') AS ok FROM lineitem GROUP BY l_orderkey)""",
+    "dense_scores": f"""SELECT o_orderkey AS circuit, d.device_id AS device, CAST(d.device_pos AS INTEGER) AS device_pos, coalesce(score, -1) AS score
+        FROM orders CROSS JOIN {_DEV} LEFT JOIN ({_DEVICE_SCORES}) s ON s.circuit = o_orderkey AND s.device = d.device_id""",
+    "labelled_samples": f"""SELECT circuit, any_value(label) AS label, CAST(any_value(o_custkey) % 5 AS DOUBLE) AS num_qubits, string_agg(device, ',' ORDER BY device) AS scored
+        FROM (SELECT s.circuit, s.device, first_value(s.device) OVER (PARTITION BY s.circuit ORDER BY score DESC NULLS LAST, d.device_pos) AS label, max(score) OVER (PARTITION BY s.circuit) AS best
+            FROM ({_DEVICE_SCORES}) s JOIN {_DEV} ON s.device = d.device_id) JOIN orders ON o_orderkey = circuit WHERE best IS NOT NULL GROUP BY circuit""",
+    "strict_keys": """SELECT user_id AS key FROM (SELECT user_id, event_id, event_type FROM events WHERE event_type <> 'view'
+            QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+        WHERE event_type = 'click' AND (event_id % 3 <> 1 OR event_id % 6 = 1) AND event_id % 4 <> 0 AND user_id IN (SELECT o_custkey FROM orders)""",
+    "changed_outputs": "SELECT o_orderkey AS key FROM orders WHERE o_orderstatus <> 'P' AND (o_orderkey % 7 = 0 OR (o_orderkey % 5 = 0 AND o_custkey <> 0))",
+    "legacy_imports": """SELECT o_orderkey AS key, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+        AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')""",
+    "last_errors": """WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity > 45 AS ok, l_returnflag || ',' || l_partkey AS errors FROM lineitem
+            QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1)
+        SELECT l_orderkey AS request_id, max(l_linenumber) AS attempts, arg_max(errors, l_linenumber) AS errors FROM a GROUP BY l_orderkey HAVING NOT bool_or(ok)""",
+    "folds": """SELECT doc_id, quality, CAST((row_number() OVER (PARTITION BY quality ORDER BY sha256('5:' || doc_id), doc_id) - 1) % 5 AS INTEGER) AS fold FROM labels""",
+    "balance_report": """WITH n AS (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang)
+        SELECT lang AS label, n AS before, least(n, CAST(greatest(1, floor((SELECT min(n) FROM n) * 1.5)) AS BIGINT)) AS after FROM n""",
+    "indexed_circuits": "SELECT 'c' || o_orderkey AS circuit, o_custkey, row_number() OVER (ORDER BY 'c' || o_orderkey) - 1 AS index FROM orders",
+    "export_reasons": """WITH l AS (SELECT l_orderkey AS k, l_linenumber || ':' || l_partkey || ':' || l_suppkey AS device, CAST(l_linenumber AS BIGINT) * 1000000000000000 + l_partkey * 10000000 + l_suppkey AS pos,
+            CAST(l_extendedprice AS DOUBLE) AS score, CAST(l_quantity AS INTEGER) AS q FROM lineitem WHERE l_returnflag <> 'R'),
+        p AS (SELECT *, CASE WHEN q % 41 = 0 THEN 'trace_without_terminal_action' WHEN q % 43 = 0 THEN 'score_mismatch' WHEN q % 47 = 0 THEN 'not_executable' END AS problem FROM l),
+        c AS (SELECT k, arg_min(problem, pos) FILTER (problem IS NOT NULL) AS problem, count(*) AS n, list(device ORDER BY score DESC, device)[1] AS best,
+            list(score ORDER BY score DESC)[1] - list(score ORDER BY score DESC)[2] AS margin FROM p GROUP BY k),
+        r AS (SELECT o_orderkey AS idx, CASE WHEN o_orderkey % 11 = 0 THEN 'source_missing' WHEN o_orderkey % 13 = 0 THEN 'feature_set_mismatch' WHEN o_orderkey % 17 = 0 THEN 'feature_not_finite'
+            WHEN o_orderkey % 19 = 0 AND o_custkey % 50 <> 77 THEN 'width_mismatch' WHEN k IS NULL THEN 'no_compatible_device' WHEN problem IS NOT NULL THEN problem
+            WHEN o_orderkey % 23 = 0 THEN 'label_argmax_mismatch' END AS reason, best, margin, n FROM orders LEFT JOIN c ON k = o_orderkey)
+        SELECT idx, reason, CASE WHEN reason IS NULL THEN substr(sha256('expected_fidelity:' || idx || ':' || sha256('text of ' || idx)), 1, 24) END AS record_id,
+            CASE WHEN reason IS NULL THEN best END AS label, CASE WHEN reason IS NULL THEN round(margin, 6) END AS margin, CASE WHEN reason IS NULL THEN CAST(n AS INTEGER) END AS n_outcomes FROM r""",
 }
