@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators import jobs as J, qasm, sampling, scores as C
 from .plans import device_selector, strict_export, verified_cells
-from .sources import readers, writers
+from .sources import observed, readers, writers
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -55,31 +55,41 @@ def select(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def export(spark: SparkSession, args: argparse.Namespace) -> None:
     names = list(qasm.FEATURE_NAMES)
-    parsed = readers.parse_circuits(readers.scan_circuits(spark, args.circuits))
-    circuits = device_selector.with_index(_vectors(parsed).select("name", "qasm", "num_qubits", "features"), "name", "idx")
     devices = spark.read.parquet(args.devices)
     out = spark._jvm.org.apache.hadoop.fs.Path(f"{args.out}/header")
-    if not args.overwrite and out.getFileSystem(spark._jsc.hadoopConfiguration()).exists(out):
+    files = out.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not args.overwrite and files.exists(out):
         raise SystemExit(f"{args.out} holds an export; --overwrite replaces it")
+    files.delete(out, True)  # nothing tells a whole export until all of the new one is there
+    # the circuits are read and parsed once; numbers, features, widths and summaries come from this table
+    observed.write(readers.parse_circuits(readers.scan_circuits(spark, args.circuits)), f"{args.out}/circuits", {"n": F.count("*")})
+    parsed = C.require_distinct(spark.read.parquet(f"{args.out}/circuits"), "name")
+    circuits = _vectors(parsed).select("name", "qasm", "num_qubits", "features").join(device_selector.with_index(parsed.select("name"), "name", "idx"), "name")
     cells = spark.read.parquet(args.cells)
     if args.compiled:
         if not (args.edges and args.instructions):
             raise SystemExit("--compiled needs --edges and --instructions")
         cells = verified_cells.verified_cells(cells, parsed, readers.scan_compiled(spark, args.compiled).where(F.col("metric") == args.metric), devices,
                                               spark.read.parquet(args.edges), spark.read.parquet(args.instructions), args.metric)
-    # written once: what every circuit was refused for is read again by the minimum, the balance, the header and the records
-    strict_export.build(circuits, cells, spark.read.parquet(args.labels), names, args.metric, name_devices=bool(args.compiled)).write.mode("overwrite").parquet(f"{args.out}/eligibility")
-    built = spark.read.parquet(f"{args.out}/eligibility")
-    eligible = built.where("reason is null")
-    few = C.below_minimum(devices, eligible, args.minimum_per_device).collect()  # a row for each device at most
+    # written once: what every circuit was refused for is read again by the balance, the header and the records; its counts are taken in the write
+    built = strict_export.build(circuits, cells, spark.read.parquet(args.labels), names, args.metric, name_devices=bool(args.compiled))
+    known = [r.device_id for r in devices.select("device_id").distinct().limit(observed.MAX_LABELS + 1).collect()]
+    if len(known) > observed.MAX_LABELS:
+        raise SystemExit(f"more than {observed.MAX_LABELS} devices")
+    seen = observed.write_counted(built, f"{args.out}/eligibility", F.col("label"), known, F.col("reason").isNull())
+    few = {name: n for name, n in seen.by_label.items() if n < args.minimum_per_device}
     if few:
-        raise SystemExit("too few examples: " + ", ".join(f"{r.device}={r.n}" for r in few))
-    kept, report = sampling.balance(eligible, "label", "record_id", args.balance, args.ratio, args.seed)
+        raise SystemExit("too few examples: " + ", ".join(f"{name}={n}" for name, n in few.items()))
+    built = spark.read.parquet(f"{args.out}/eligibility")
+    kept, report = sampling.balance(built.where("reason is null"), "label", "record_id", args.balance, args.ratio, args.seed, seen.smallest())
     if args.max_records is not None:
         kept = sampling.cap_rows(kept, "record_id", args.max_records, args.seed)
-    writers.write_records(strict_export.header(built, kept, report, args.balance, names, args.metric), f"{args.out}/header")
+    exported = None
     if not args.audit_only:
-        writers.write_records(strict_export.to_records(kept.orderBy("idx"), qasm.summary(parsed), devices, names, args.metric), f"{args.out}/records")
+        records = strict_export.to_records(kept.orderBy("idx"), qasm.summary(parsed), devices, names, args.metric)
+        exported = observed.write_counted(records, f"{args.out}/records", F.col("expected_output.selected_device"), known, source="json")
+    # last, since it tells a whole export
+    writers.write_records(strict_export.header(built, kept, report, args.balance, names, args.metric, seen, exported), f"{args.out}/header")
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:

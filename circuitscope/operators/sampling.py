@@ -8,13 +8,14 @@ from ..functions import scalars as S
 from .jobs import ranked_within
 
 
-def cap_classes(rows: DataFrame, label: str, identity: str, ratio: float, seed: int = 0) -> DataFrame:
+def cap_classes(rows: DataFrame, label: str, identity: str, ratio: float, seed: int = 0, smallest: int | None = None) -> DataFrame:
     """At most floor(smallest class * ratio) rows (one at least) of each class, those of the smallest seeded hashes.
 
     Other columns stay. Rows of null label are a class of their own. Only ids and labels are ranked, and each task passes on
     no more rows of a class than the cap; the rows themselves are then semi-joined by id, which should be unique.
+    ``smallest`` is the size of the smallest class where it is known; otherwise it is counted.
     """
-    sizes = rows.groupBy(label).agg(F.count("*").alias("n"))
+    sizes = rows.groupBy(label).agg(F.count("*").alias("n")) if smallest is None else rows.sparkSession.range(1).select(F.lit(smallest).cast("long").alias("n"))
     cap = sizes.agg(S.class_cap(F.min("n"), ratio).alias("cap")).first()["cap"]
     if cap is None:
         return rows
@@ -82,12 +83,13 @@ def fold_column(rows: DataFrame, label: str, identity: str, folds: int, seed: in
     return ranked.withColumn("fold", ((F.col("__rank") - 1) % folds).cast("int")).select(*rows.columns, "fold")
 
 
-def balance(rows: DataFrame, label: str, identity: str, strategy: str = "cap-ratio", ratio: float = 3.0, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def balance(rows: DataFrame, label: str, identity: str, strategy: str = "cap-ratio", ratio: float = 3.0, seed: int = 0,
+            smallest: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``rows`` after balancing, and a report (label, before, after). ``none`` keeps all, ``undersample`` cuts each class to the
     smallest, ``cap-ratio`` to ``ratio`` times that; nothing is drawn twice."""
     if strategy not in ("none", "undersample", "cap-ratio"):
         raise ValueError(f"no such strategy: {strategy}")
-    kept = rows if strategy == "none" else cap_classes(rows, label, identity, 1.0 if strategy == "undersample" else ratio, seed)
+    kept = rows if strategy == "none" else cap_classes(rows, label, identity, 1.0 if strategy == "undersample" else ratio, seed, smallest)
     count = lambda t, name: t.groupBy(label).agg(F.count("*").alias(name))
     report = count(rows, "before").join(count(kept, "after"), label, "left").select(F.col(label).alias("label"), "before", F.coalesce("after", F.lit(0)).alias("after"))
     return kept, report

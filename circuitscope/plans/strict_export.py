@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars as S
 from ..operators import jobs as J, records as R, sampling, scores as C
+from ..sources.observed import Seen
 
 
 def cell_problems(cells: DataFrame, legacy_score_rule: bool = False) -> DataFrame:
@@ -113,11 +114,22 @@ def to_records(selected: DataFrame, summaries: DataFrame, devices: DataFrame, fe
                  F.col("outcomes").alias("candidate_outcomes"), F.lit(False).alias("fallback_examples_included")).alias("deterministic_ground_truth"))
 
 
-def header(built: DataFrame, selected: DataFrame, balance_report: DataFrame, strategy: str, feature_names: list[str], metric: str = "expected_fidelity") -> DataFrame:
-    """One row about an export: counts, how it was balanced, its labels, and why circuits were rejected, with examples."""
-    counts = built.agg(F.count("*").alias("source_sample_count"), F.count_if(F.col("reason").isNull()).alias("strict_eligible_count"))
-    labels = selected.groupBy("label").agg(F.count("*").alias("n")).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("exported_record_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("label_distribution"))
+def header(built: DataFrame, selected: DataFrame, balance_report: DataFrame, strategy: str, feature_names: list[str], metric: str = "expected_fidelity",
+           seen: Seen | None = None, exported: Seen | None = None) -> DataFrame:
+    """One row about an export: counts, how it was balanced, its labels, and why circuits were rejected, with examples.
+
+    ``seen`` and ``exported`` are what the writes of ``built`` and ``selected`` counted; without them these are scanned.
+    """
+    if seen is None:
+        counts = built.agg(F.count("*").alias("source_sample_count"), F.count_if(F.col("reason").isNull()).alias("strict_eligible_count"))
+    else:
+        counts = built.sparkSession.createDataFrame([(seen.n, seen.chosen)], "source_sample_count long, strict_eligible_count long")
+    if exported is not None and not exported.elsewhere:
+        found = {name: n for name, n in exported.by_label.items() if n}
+        labels = built.sparkSession.createDataFrame([(exported.n, found)], "exported_record_count long, label_distribution map<string,long>")
+    else:
+        labels = selected.groupBy("label").agg(F.count("*").alias("n")).agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("exported_record_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("label_distribution"))
     as_map = lambda value: F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", value))))
     balanced = balance_report.agg(F.struct(F.lit(strategy).alias("strategy"), as_map("before").alias("before"), as_map("after").alias("after"),
                                            F.coalesce(F.sum(F.col("before") - F.col("after")), F.lit(0)).alias("discarded_for_balance")).alias("balance"))

@@ -5,7 +5,9 @@ import json
 import pytest
 
 from circuitscope.__main__ import main
-from circuitscope.operators import qasm
+from circuitscope.operators import qasm, sampling
+from circuitscope.plans import strict_export
+from circuitscope.sources import readers
 
 BELL = 'OPENQASM 2.0; include "qelib1.inc"; qreg q[2]; h q[0]; cx q[0],q[1];'
 
@@ -48,6 +50,38 @@ def test_export(spark, tables):
         main([*given, "--out", at("few"), "--minimum-per-device", "2"], spark)
 
 
+def test_export_reads_its_circuits_once(spark, tables, monkeypatch):
+    """Rows of circuits are counted as they are read; the header's counts, taken while writing, equal those of scans."""
+    read, scan = spark.sparkContext.accumulator(0), readers.scan_circuits
+
+    def counted(*given):
+        def see(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+        rows = scan(*given)
+        return rows.mapInArrow(see, rows.schema)
+
+    monkeypatch.setattr(readers, "scan_circuits", counted)
+    at = lambda n: str(tables / n)
+    main(["export", "--circuits", at("circuits"), "--cells", at("cells"), "--labels", at("labels"), "--devices", at("devices"), "--out", at("once")], spark)
+    assert read.value == 2
+    built = spark.read.parquet(at("once/eligibility"))
+    kept, report = sampling.balance(built.where("reason is null"), "label", "record_id", "cap-ratio", 3.0)
+    scanned = strict_export.header(built, kept, report, "cap-ratio", list(qasm.FEATURE_NAMES)).first().asDict(recursive=True)
+    told = spark.read.json(at("once/header")).first().asDict(recursive=True)
+    assert all(told[k] == scanned[k] for k in ("source_sample_count", "strict_eligible_count", "exported_record_count", "label_distribution", "balance", "rejection_counts"))
+
+
+def test_export_refuses_repeated_names(spark, tables, monkeypatch):
+    scan = readers.scan_circuits
+    monkeypatch.setattr(readers, "scan_circuits", lambda *given: scan(*given).union(scan(*given)))
+    at = lambda n: str(tables / n)
+    with pytest.raises(ValueError, match="2 rows repeat name"):
+        main(["export", "--circuits", at("circuits"), "--cells", at("cells"), "--labels", at("labels"), "--devices", at("devices"), "--out", at("twice")], spark)
+    assert not (tables / "twice" / "header").exists()
+
+
 def test_export_from_compiled_files(spark, tables):
     """From folders of circuit text to records: files are read, checked, scored again, and refused for what is wrong with them."""
     head = 'OPENQASM 2.0; include "qelib1.inc"; qreg q[3]; '
