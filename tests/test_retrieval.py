@@ -25,3 +25,20 @@ def test_nearest_rows_of_many(spark, monkeypatch, most):
     whole = [(i, v) for i, v in rows if i < 2500]
     assert {q: got[q] for q in got if q < 2500} == {i: brute(v, whole, 4) for i, v in whole if i % 50 == 0}
     assert [i for _, i in got[2500]] == [0, 1, 2, 3]  # all at a distance that is no number, itself too
+
+
+def test_nearest_examples_of_many(spark):
+    record = ("struct<objective:struct<name:string,direction:string>,user_constraints:map<string,string>,circuit:struct<name:string,qasm2:string,summary:map<string,string>,"
+              "features:struct<by_name:map<string,double>>>,compatible_backends:array<struct<id:string,num_qubits:int,operation_names:array<string>>>>")
+    features = [(float(i % 17), float(i % 23)) for i in range(1500)]
+    records = spark.createDataFrame([(i, (("m", "max"), {}, ("n", "", {}, ({"x": x, "y": y},)), [("d" if i % 2 else "e", 5, [])])) for i, (x, y) in enumerate(features)], f"record_id long, input {record}")
+    asked = [(f"q{j}", {"x": j * 1.7, "y": j * 0.9} if j % 3 else {"y": j * 0.9}, ["d"] if j % 2 else ["d", "e", None]) for j in range(40)] + [("none", {}, ["e"]), ("unknown", {"z": 1.0}, ["e"])]
+    requests = spark.createDataFrame([(r, "m", f, a) for r, f, a in asked], "request_id string, figure_of_merit string, features map<string,double>, available array<string>")
+    got = {}
+    for r in retrieval.nearest_examples(requests, records, 3).orderBy("request_id", "rank").collect():
+        got.setdefault(r.request_id, []).append((r.distance, r.record_id))
+    want = {"none": [(0.0, 0), (0.0, 2), (0.0, 4)]}
+    for r, f, a in asked[:40]:
+        open_to = [(i, [{"x": x, "y": y}[n] for n in sorted(f)]) for i, (x, y) in enumerate(features) if ("d" if i % 2 else "e") in a]
+        want[r] = brute([f[n] for n in sorted(f)], open_to, 3)
+    assert got == want
