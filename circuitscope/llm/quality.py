@@ -12,14 +12,12 @@ from .words import IN_WORD, Texts, Words, find_words, hash_words, pair_hash, sli
 
 #: Size of the hashed feature space: unigrams and bigrams of words. It bounds the model, whatever the corpus.
 BUCKETS = 1 << 16
-#: At most so many trusted documents (by hash of their id) estimate the target multinomial.
-MAX_TRUSTED = 20_000
-#: At most so many labelled documents (by hash of their id) that the target doesn't count choose the threshold.
-MAX_JUDGED = 20_000
 #: One good document in so many is left out of the target, to choose the threshold.
 FOLDS = 4
 #: The threshold rejects at most this share of the good documents that choose it.
 MAX_LOST = 0.02
+#: Scores that choose the threshold are counted in steps of this width, so that the counts of any number of documents stay few.
+STEP = 1e-4
 #: Documents below this mean log ratio (nats per n-gram) are rejected if there are no labels of both kinds to choose a threshold.
 MIN_SCORE = -0.1
 #: Additive smoothing of the raw multinomial, and the weight, in n-grams, of the raw shares as the target's Dirichlet prior.
@@ -61,11 +59,11 @@ def duplicate_lines(raw: bytes) -> int:
 def corpus_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bucket, raw, target): n-grams of all documents, and of the documents whose id is in ``trusted``.
 
-    One pass without a shuffle of texts: each task sums its own documents into the fixed buckets, and
-    only those sums are shuffled. ``trusted`` holds at most MAX_TRUSTED ids, hence the broadcast.
+    Each task sums its own documents into the fixed buckets, and only those sums are shuffled. ``trusted`` may hold any number of
+    ids: Spark broadcasts them if they are few (its own limit), and shuffles texts by id only if they are many.
     """
     marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(
-        F.broadcast(trusted.select(F.col(id_col).alias("__id"), F.lit(True).alias("__trusted"))), "__id", "left")
+        trusted.select(F.col(id_col).alias("__id"), F.lit(True).alias("__trusted")), "__id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS), "i8")
@@ -104,14 +102,22 @@ def _labelled(labels: DataFrame, id_col: str) -> DataFrame:
     return known.withColumn("counted", (F.col("quality") == 1) & (F.pmod(F.xxhash64(id_col), F.lit(FOLDS)) > 0))
 
 
-def trusted_ids(labels: DataFrame, id_col: str = "doc_id", limit: int = MAX_TRUSTED) -> DataFrame:
-    """The ids of up to ``limit`` rows of ``labels`` of quality 1, picked by hash; one in FOLDS is left to :func:`judged_ids`."""
-    return _labelled(labels, id_col).where("counted").orderBy(F.xxhash64(id_col), id_col).limit(limit).select(id_col)
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The ids of all rows of ``labels`` of quality 1, but for one in FOLDS by hash, which is left to :func:`judged_ids`."""
+    return _labelled(labels, id_col).where("counted").select(id_col)
 
 
-def judged_ids(labels: DataFrame, id_col: str = "doc_id", limit: int = MAX_JUDGED) -> DataFrame:
-    """(id, quality) of up to ``limit`` labelled rows that :func:`trusted_ids` never takes, picked by hash."""
-    return _labelled(labels, id_col).where("not counted").orderBy(F.xxhash64(id_col), id_col).limit(limit).select(id_col, "quality")
+def judged_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, quality) of all labelled rows that :func:`trusted_ids` doesn't take."""
+    return _labelled(labels, id_col).where("not counted").select(id_col, "quality")
+
+
+def _cut(at: np.ndarray, good: np.ndarray, bad: np.ndarray, max_lost: float, step: float) -> float:
+    """:func:`threshold` of scores in ascending order, each up to ``step`` above its ``at``, with the numbers of good and bad ones."""
+    lost, passed = (good.cumsum() - good) / good.sum(), 1 - (bad.cumsum() - bad) / bad.sum()
+    error = np.where(lost <= max_lost, lost + passed, np.inf)  # of the cut at each score
+    k = np.flatnonzero(error == error.min())[-1]
+    return float(at[k] if k == 0 else max(at[k - 1], (at[k - 1] + step + at[k]) / 2))
 
 
 def threshold(good: np.ndarray, bad: np.ndarray, max_lost: float = MAX_LOST) -> float:
@@ -122,11 +128,8 @@ def threshold(good: np.ndarray, bad: np.ndarray, max_lost: float = MAX_LOST) ->
     """
     if not len(good) or not len(bad):
         return MIN_SCORE
-    good, bad, at = np.sort(good), np.sort(bad), np.unique(np.concatenate([good, bad]))
-    lost, passed = np.searchsorted(good, at) / len(good), 1 - np.searchsorted(bad, at) / len(bad)
-    error = np.where(lost <= max_lost, lost + passed, np.inf)  # of the cut at each score
-    k = np.flatnonzero(error == error.min())[-1]
-    return float(at[k] if k == 0 else (at[k - 1] + at[k]) / 2)
+    at, place = np.unique(np.concatenate([good, bad]), return_inverse=True)
+    return _cut(at, np.bincount(place[:len(good)], minlength=len(at)), np.bincount(place[len(good):], minlength=len(at)), max_lost, 0.0)
 
 
 def score(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text",
@@ -162,15 +165,17 @@ def score(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col:
 
 
 def fit_threshold(docs: DataFrame, labels: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> float:
-    """The threshold that labelled documents outside the target choose, those aside that the base rules reject."""
+    """The threshold that all labelled documents outside the target choose, those aside that the base rules reject."""
     judged = judged_ids(labels, id_col).select(F.col(id_col).alias("__id"), F.col("quality").alias("__quality"))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    scored = score(rows.join(F.broadcast(judged.select("__id")), "__id", "left_semi"), ratios, "__id", "__text")
-    # Rows that repeat an id are one: at most MAX_JUDGED rows reach the driver.
-    scores = scored.where("not base_failed").groupBy("__id").agg(F.min("score").alias("score")).join(F.broadcast(judged), "__id").select("__quality", "score").collect()
-    values = np.array([r.score for r in scores])
-    good = np.array([r[0] == 1 for r in scores], bool)
-    return threshold(values[good], values[~good])
+    scored = score(rows.join(judged.select("__id"), "__id", "left_semi"), ratios, "__id", "__text")
+    # Rows that repeat an id are one. A mean log ratio lies within 30 of 0, so a few hundred thousand rows at most reach the driver, whatever the corpus.
+    counts = scored.where("not base_failed").groupBy("__id").agg(F.min("score").alias("score")).join(judged, "__id").groupBy(
+        F.floor(F.col("score") / STEP).alias("at")).agg(F.count_if(F.col("__quality") == 1).alias("good"), F.count("*").alias("all")).orderBy("at").collect()
+    at, good, both = (np.array([r[k] for r in counts]) for k in range(3))
+    if not len(counts) or not good.sum() or good.sum() == both.sum():
+        return MIN_SCORE
+    return _cut(at * STEP, good, both - good, MAX_LOST, STEP)
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

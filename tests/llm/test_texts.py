@@ -182,6 +182,11 @@ def test_quality_threshold_by_trying_all_cuts():
     assert quality.threshold(np.array([]), np.array([1.0])) == quality.threshold(np.array([1.0]), np.array([])) == quality.MIN_SCORE
 
 
+def test_quality_learns_from_every_label(spark):
+    labels = spark.range(60000).selectExpr("id as doc_id", "cast(id % 10 > 0 as int) as quality")
+    assert quality.trusted_ids(labels).count() + quality.judged_ids(labels).count() == 60000 and quality.trusted_ids(labels).count() > 30000
+
+
 def test_quality_judges_by_rows_that_it_did_not_count(spark):
     labels = spark.createDataFrame([(k, k % 2, "x") for k in range(400)] + [(7, 0, "x"), (None, 1, "x"), (401, None, "x")], "doc_id long, quality int, text string")
     counted, judged = {r.doc_id for r in quality.trusted_ids(labels).collect()}, dict(quality.judged_ids(labels).collect())
