@@ -49,13 +49,17 @@ def _tidy(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def _statements(text: Column) -> Column:
-    """(text, guard, at) of every statement but header and includes, without comments; definitions are one statement each.
+def _pieces(text: Column) -> Column:
+    """The text of every statement but header and includes, without comments; definitions are one statement each."""
+    pieces = F.regexp_extract_all(F.when(text.contains("//"), _plain(text)).otherwise(text), F.lit(r"[^;{}]*+(?:\{[^{}]*+\}|;)|[^;{}]++|[{}]"), F.lit(0))
+    return F.filter(pieces, lambda p: ~p.rlike(r"(?s)^\s*+(?:;|(?:OPENQASM|include)\b.*;)?\z"))
+
+
+def _statements(pieces: Column) -> Column:
+    """(text, guard, at) of every piece that is a statement.
 
     A piece that neither a semicolon nor a body ends keeps a mark that no grammar allows.
     """
-    pieces = F.regexp_extract_all(_plain(text), F.lit(r"[^;{}]*+(?:\{[^{}]*+\}|;)|[^;{}]++|[{}]"), F.lit(0))
-
     def one(piece: Column, i: Column) -> Column:
         tidy = F.when(piece.endswith(";"), _tidy(F.substring(piece, F.lit(1), F.length(piece) - 1))).when(
             piece.endswith("}"), _tidy(piece)).when(_tidy(piece) == "", F.lit("")).otherwise(F.concat(F.lit("\\"), piece))
@@ -187,28 +191,17 @@ def _rows(s: Column, registers: Column, definitions: Column, bad_params: Column)
     return bind(F.transform(c["args"], lambda a: _argument(a, registers, s["at"])), placed)
 
 
-def parse(circuits: DataFrame, definitions: bool = False) -> DataFrame:
-    """``circuits`` (with a text column ``qasm``) and num_qubits, num_clbits, ops, problem; with ``definitions`` also the gates that the text defines.
-
-    ``ops``: pos, op, params, qubits, clbits, in order; wires are numbers over all registers of a kind. ``problem`` is null for a valid
-    text, else blank, no_header, no_qubits, or what is wrong with its first bad statement: bad_statement (not of the grammar), duplicate_name,
-    bad_definition, unknown_gate, wrong_arity (parameters or arguments), unknown_argument (not declared before, of the wrong kind, beyond its register, or
-    a qubit twice), size_mismatch (whole registers of different sizes) or bad_parameter. Null texts are blank. Parameters are whole
-    expressions with parentheses to any depth, parted at the commas outside of these; names in them that nothing defines are free parameters.
-    """
-    text = F.coalesce("qasm", F.lit(""))
+def _parse_pieces(pieces: DataFrame) -> DataFrame:
+    """``pieces`` (an array of statements' texts, ``__p``) and registers ``__r``, definitions ``__d``, and for each statement its place with what
+    it stands for (``__ops``) and what is wrong with it (``__found``)."""
     body = F.filter("__s", lambda s: ~s["text"].rlike(_REGISTER) & ~s["text"].rlike(_DEFINITION))
     calls = F.concat(F.transform("__c", lambda s: s["call"]["params"]), F.flatten(F.transform("__f", lambda d: F.transform(d["body"], lambda c: c["params"]))))
-    staged = (circuits.withColumn("__s", _statements(text))
+    staged = (pieces.withColumn("__s", _statements(F.col("__p")))
               .withColumns({"__r": _registers(F.col("__s")), "__f": _definitions(F.col("__s")), "__c": F.transform(body, _with_call)})
               .withColumn("__bad", F.filter(F.array_distinct(F.flatten(calls)), lambda p: ~E.evaluate(p)["valid"]))
               .withColumn("__d", bind(F.col("__bad"), lambda bad: _checked(F.col("__f"), bad)))
               .withColumn("__ops", bind(F.struct("__r", "__d", "__bad"), lambda k: F.transform("__c", lambda s: F.struct(
                   s["at"].alias("at"), _rows(s, k["__r"], k["__d"], k["__bad"]).alias("rows"))))))
-    # calls that have neither a name nor a wire are no operation
-    rows = F.filter(F.flatten(F.transform("__ops", lambda o: o["rows"])), lambda o: (o["op"] != "") & (F.size(o["qubits"]) + F.size(o["clbits"]) > 0))
-    ops = F.transform(rows, lambda o, i: F.struct(i.cast("int").alias("pos"), o["op"].alias("op"), o["params"].alias("params"),
-                                                  o["qubits"].alias("qubits"), o["clbits"].alias("clbits"))).cast(schemas.OPERATIONS)
     found = lambda at, what: F.struct(at.alias("at"), what.alias("what"))
     in_calls = F.transform(F.filter("__ops", lambda o: F.exists(o["rows"], lambda r: r["problem"].isNotNull())), lambda o: found(
         o["at"], F.get(F.filter(F.transform(o["rows"], lambda r: r["problem"]), lambda p: p.isNotNull()), 0)))
@@ -216,11 +209,67 @@ def parse(circuits: DataFrame, definitions: bool = False) -> DataFrame:
     name = lambda d: F.struct(d["name"].alias("name"), d["at"].alias("at"))
     taken = lambda names: F.transform(F.filter(names, lambda d: F.exists(names, lambda e: (e["name"] == d["name"]) & (e["at"] < d["at"]))), lambda d: found(d["at"], F.lit("duplicate_name")))
     none = F.transform(F.filter("__r", lambda r: r["size"] == 0), lambda r: found(r["at"], F.lit("bad_statement")))
-    first = F.array_min(F.concat(in_calls, in_definitions, bind(F.concat(F.transform("__r", name), F.transform("__d", name)), taken), none))["what"]
+    return staged.withColumn("__found", F.concat(in_calls, in_definitions, bind(F.concat(F.transform("__r", name), F.transform("__d", name)), taken), none))
+
+
+def _operations(rows: Column) -> Column:
+    # calls that have neither a name nor a wire are no operation
+    kept = F.filter(rows, lambda o: (o["op"] != "") & (F.size(o["qubits"]) + F.size(o["clbits"]) > 0))
+    return F.transform(kept, lambda o, i: F.struct(i.cast("int").alias("pos"), o["op"].alias("op"), o["params"].alias("params"),
+                                                   o["qubits"].alias("qubits"), o["clbits"].alias("clbits"))).cast(schemas.OPERATIONS)
+
+
+def parse(circuits: DataFrame, definitions: bool = False, expand: bool = False, values: bool = False) -> DataFrame:
+    """``circuits`` (with a text column ``qasm``) and num_qubits, num_clbits, ops, problem; with ``definitions`` also the gates that the text defines.
+
+    ``ops``: pos, op, params, qubits, clbits, in order; wires are numbers over all registers of a kind. ``problem`` is null for a valid
+    text, else blank, no_header, no_qubits, or what is wrong with its first bad statement: bad_statement (not of the grammar), duplicate_name,
+    bad_definition, unknown_gate, wrong_arity (parameters or arguments), unknown_argument (not declared before, of the wrong kind, beyond its register, or
+    a qubit twice), size_mismatch (whole registers of different sizes) or bad_parameter. Null texts are blank. Parameters are whole
+    expressions with parentheses to any depth, parted at the commas outside of these; names in them that nothing defines are free parameters.
+    With ``expand`` the operations are those of :func:`expand_definitions`, with ``values`` also the :func:`parameter_values` of each.
+
+    What a statement means depends on its text and the declarations around it. So each distinct statement is parsed once for each distinct list of declarations,
+    as a text of these and itself, and joined to the circuits that have it: work on the grammar grows with distinct statements, the rest is one join and
+    one grouping by the text's digest.
+    """
+    text = F.coalesce("qasm", F.lit(""))
+    # whatever may be a declaration; others that hold such a word do no harm
+    declares = lambda p: p.rlike("qreg|creg|gate|opaque")
+    texts = circuits.select(F.unhex(F.md5(text)).alias("__text"), _pieces(text).alias("__p")).withColumn("__context", F.filter("__p", declares))
+    before = bind(F.struct(F.col("__p").alias("ps"), F.transform("__p", declares).alias("are")), lambda k: F.transform(k["ps"], lambda p, i: F.struct(
+        i.cast("int").alias("pos"), F.when(~F.get(k["are"], i), p).alias("piece"), F.size(F.filter(F.slice(k["are"], 1, i), lambda d: d)).alias("nth"))))
+    said = texts.select("__text", "__context", F.explode_outer(before).alias("s")).where("s IS NOT NULL").select("__text", "__context", "s.*")
+    kinds = ["__context", "nth", "piece"]
+    # the statement stands behind those declarations that are before it; a null piece is the declaration at that place itself
+    around = F.when(F.col("piece").isNull(), F.col("__context")).otherwise(F.concat(
+        F.slice("__context", F.lit(1), F.col("nth")), F.array("piece"), F.slice("__context", F.col("nth") + 1, F.size("__context"))))
+    parsed = _parse_pieces(said.select(*kinds).distinct().withColumn("__p", around))
+    own = lambda items: F.filter(items, lambda o: o["at"] == F.col("nth"))
+    meaning = parsed.select(*kinds, _total(F.col("__r"), "qreg").alias("n_q"), _total(F.col("__r"), "creg").alias("n_c"), F.array_min(own("__found"))["what"].alias("what"),
+                            F.col("__d").alias("definitions"), _operations(F.flatten(F.transform(own("__ops"), lambda o: o["rows"]))).alias("ops"))
+    if expand:
+        meaning = expand_definitions(meaning)
+    if values:
+        meaning = meaning.withColumn("values", parameter_values())
+    meaning = meaning.select(*[F.col(k).alias(f"m_{k}") for k in kinds], "n_q", "n_c", "what", "ops", *(["definitions"] if definitions else []), *(["values"] if values else []))
+    # rows travel with two hashes of their statement instead of its text
+    digest = lambda prefix: [F.xxhash64(*[prefix + k for k in kinds]).alias("__k"), F.xxhash64(F.lit(1), *[prefix + k for k in kinds]).alias("__l")]
+    met = said.select("__text", "pos", *digest("")).join(meaning.select(*digest("m_"), "*").drop(*[f"m_{k}" for k in kinds]), ["__k", "__l"])
+    # equal texts are one: their statements repeat, and the set holds each once
+    whole = met.groupBy("__text").agg(
+        F.max("n_q").alias("num_qubits"), F.max("n_c").alias("num_clbits"), F.min(F.when(F.col("what").isNotNull(), F.struct("pos", "what")))["what"].alias("__what"),
+        F.array_sort(F.collect_set(F.struct("pos", "ops", *(["values"] if values else [])))).alias("__said"), *([F.first("definitions").alias("definitions")] if definitions else []))
+    empty = lambda kind: F.array().cast(kind)
+    n_qubits, n_clbits = F.coalesce("num_qubits", F.lit(0)), F.coalesce("num_clbits", F.lit(0))
     problem = (F.when(_tidy(text) == "", "blank").when(~text.rlike(r"(?s)^(?:\s|//[^\n]*\n)*+OPENQASM\s+2\.0\s*;"), "no_header")
-               .when(_total(F.col("__r"), "qreg") == 0, "no_qubits").otherwise(first))
-    return (staged.withColumns({"num_qubits": _total(F.col("__r"), "qreg"), "num_clbits": _total(F.col("__r"), "creg"), "ops": ops, "problem": problem}
-                               | ({"definitions": F.col("__d")} if definitions else {})).drop("__s", "__r", "__f", "__c", "__bad", "__d", "__ops"))
+               .when(n_qubits == 0, "no_qubits").otherwise(F.col("__what")))
+    found = {"num_qubits": n_qubits, "num_clbits": n_clbits, "ops": F.coalesce(_operations(F.flatten(F.transform("__said", lambda s: s["ops"]))), empty(schemas.OPERATIONS)), "problem": problem}
+    if definitions:
+        found["definitions"] = F.coalesce("definitions", empty(_DEFINITIONS))
+    if values:
+        found["values"] = F.coalesce(F.flatten(F.transform("__said", lambda s: s["values"])), empty("array<array<double>>"))
+    return circuits.withColumn("__text", F.unhex(F.md5(text))).join(whole, "__text", "left").withColumns(found).drop("__text", "__what", "__said")
 
 
 def expand_definitions(parsed: DataFrame) -> DataFrame:

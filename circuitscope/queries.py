@@ -332,7 +332,7 @@ def _two_register_circuits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def circuit_expansions(spark, sf_dir):
     """Every operation that definitions, whole registers and barriers stand for, with the values of its parameters."""
-    found = Q.expand_definitions(Q.parse(_two_register_circuits(spark, sf_dir), definitions=True)).withColumn("values", Q.parameter_values())
+    found = Q.parse(_two_register_circuits(spark, sf_dir), expand=True, values=True)
     rows = found.select("name", "problem", F.explode_outer(F.arrays_zip("ops", "values")).alias("z")).where("z IS NOT NULL").select("name", "problem", "z.ops.*", "z.values")
     return rows.select("name", "pos", "op", _wires_text("qubits").alias("qubits"), _wires_text("clbits").alias("clbits"),
                        *[F.round(F.get("values", k), 9).alias(f"value_{k}") for k in range(3)], "problem")
@@ -373,7 +373,7 @@ def success_probabilities(spark, sf_dir):
     two = spark.sql("""SELECT 'five' AS device_id, 'cx' AS name, array(CAST(a.id AS INT), CAST(b.id AS INT)) AS qubits, 0.01D * (1 + a.id) AS error, 200D + 10 * b.id AS duration_seconds
         FROM range(5) a JOIN range(5) b ON a.id <> b.id""")
     qubits = spark.sql("SELECT 'five' AS device_id, CAST(id AS INT) AS qubit, 50000D + 1000 * id AS t1, 47000D + 2000 * id AS t2 FROM range(5)")
-    circuits = Q.expand_definitions(Q.parse(_two_register_circuits(spark, sf_dir), definitions=True)).withColumn("device", F.lit("five"))
+    circuits = Q.parse(_two_register_circuits(spark, sf_dir), expand=True).withColumn("device", F.lit("five"))
     found = Q.estimated_success_probability(circuits, one.union(two), qubits)
     return found.select("name", F.round("length", 6).alias("length"), F.round(F.aggregate("idle", F.lit(0.0), lambda a, x: a + x), 6).alias("idle"), F.round("score", 9).alias("score"))
 

@@ -354,3 +354,17 @@ def test_success_probability_of_what_is_unknown(spark):
     assert got == {"n0": (2.0, 0.5), "n1": (3.0, None), "n2": (None, None), "n3": (0.0, 1.0)}
     twice = instructions.union(spark.createDataFrame([("d", "h", [0], 0.75, 1.0)], schema))
     assert qasm.expected_fidelity(circuits.where("name = 'n0'"), twice).first().score == 0.25
+
+
+def test_distinct_statements_are_parsed_once(spark):
+    """Equal statements of many circuits make one row of the grammar's work; circuits with other declarations before them don't share it."""
+    gates = [f"rz(pi/{k % 3}) q[{k % 2}];" for k in range(50)]
+    rows = [(f"n{k}", HEAD + g) for k, g in enumerate(gates)] + [("again", HEAD + gates[0]), ("before", "OPENQASM 2.0; x q[0]; qreg q[2];"), ("wide", "OPENQASM 2.0; qreg r[3]; qreg q[2]; " + gates[0])]
+    seen, parse_pieces = [], qasm._parse_pieces
+    qasm._parse_pieces = lambda pieces: seen.append(pieces) or parse_pieces(pieces)
+    try:
+        got = {r.name: r for r in qasm.parse(spark.createDataFrame(rows, "name string, qasm string")).collect()}
+    finally:
+        qasm._parse_pieces = parse_pieces
+    assert len(got) == len(rows) and seen[0].count() < 20
+    assert got["again"].ops == got["n0"].ops and got["before"].problem == "unknown_argument" and got["wide"].ops[0].qubits == [3]
