@@ -272,6 +272,16 @@ def parse(circuits: DataFrame, definitions: bool = False, expand: bool = False,
     return circuits.withColumn("__text", F.unhex(F.md5(text))).join(whole, "__text", "left").withColumns(found).drop("__text", "__what", "__said")
 
 
+def parse_each(circuits: DataFrame) -> DataFrame:
+    """:func:`parse` text by text: no join and no shuffle, and ``circuits`` is read once, but every statement is parsed wherever it stands."""
+    text = F.coalesce("qasm", F.lit(""))
+    staged = _parse_pieces(circuits.withColumn("__p", _pieces(text)))
+    problem = (F.when(_tidy(text) == "", "blank").when(~text.rlike(r"(?s)^(?:\s|//[^\n]*\n)*+OPENQASM\s+2\.0\s*;"), "no_header")
+               .when(_total(F.col("__r"), "qreg") == 0, "no_qubits").otherwise(F.array_min("__found")["what"]))
+    return staged.withColumns({"num_qubits": _total(F.col("__r"), "qreg"), "num_clbits": _total(F.col("__r"), "creg"), "ops": _operations(F.flatten(F.transform("__ops", lambda o: o["rows"]))),
+                               "problem": problem}).drop("__p", "__s", "__r", "__f", "__c", "__bad", "__d", "__ops", "__found")
+
+
 def expand_definitions(parsed: DataFrame) -> DataFrame:
     """The result of ``parse(definitions=True)`` with every call of a defined gate replaced by its body, until only gates without a body are left.
 

@@ -61,7 +61,7 @@ class Service:
     max_attempts: int = 2
     n_examples: int = 3
     answers: str | None = None
-    parse: Frame = qasm.parse
+    parse: Frame = qasm.parse_each
     validate: Frame = validation.validate
 
     def __post_init__(self):

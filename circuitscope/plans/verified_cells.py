@@ -19,7 +19,7 @@ def rescored(compiled: DataFrame, devices: DataFrame, edges: DataFrame, instruct
     if metric not in (EXPECTED_FIDELITY, CRITICAL_DEPTH):
         raise ValueError(f"{metric} can't be computed again")
     newest = compiled.groupBy("circuit", "device").agg(F.max_by("qasm", F.struct("modified", "qasm")).alias("qasm")).withColumnRenamed("circuit", "name")
-    parsed = qasm.parse(newest)
+    parsed = qasm.parse_each(newest)
     capacity = devices.select(F.col("device_id").alias("device"), F.col("num_qubits").alias("__capacity"))
     checked = qasm.verify_compiled(parsed, devices, edges).join(capacity, "device", "left")
     if metric == EXPECTED_FIDELITY:

@@ -22,7 +22,7 @@ def scan_circuits(spark: SparkSession, directory: str) -> DataFrame:
 
 def parse_circuits(circuits: DataFrame, strict: bool = True) -> DataFrame:
     """``circuits`` with num_qubits, num_clbits, ops and problem. With ``strict`` a bad circuit fails the query."""
-    parsed = qasm.parse(circuits)
+    parsed = qasm.parse_each(circuits)
     if not strict:
         return parsed
     return parsed.withColumn("problem", F.when(F.col("problem").isNull(), F.lit(None).cast("string")).otherwise(

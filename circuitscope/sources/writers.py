@@ -56,7 +56,7 @@ def write_compiled(rows: DataFrame, path: str) -> None:
     """Compiled circuits, checked before they are published: each text must parse."""
     from ..operators import qasm
 
-    checked = qasm.parse(rows.withColumnRenamed("circuit", "name")).withColumnRenamed("name", "circuit")
+    checked = qasm.parse_each(rows.withColumnRenamed("circuit", "name")).withColumnRenamed("name", "circuit")
     checked.withColumn("qasm", F.when(F.col("problem").isNull(), F.col("qasm")).otherwise(
         F.raise_error(F.concat_ws(": ", "circuit", "problem")).cast("string"))).select("circuit", "device", "qasm").write.mode("overwrite").parquet(path)
 
