@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import materialize
 from .words import IN_WORD, Texts, Words, find_words, hash_words, pair_hash, slices
 
 #: Size of the hashed feature space: unigrams and bigrams of words. It bounds the model, whatever the corpus.
@@ -18,6 +19,8 @@ FOLDS = 4
 MAX_LOST = 0.02
 #: Scores that choose the threshold are counted in steps of this width, so that the counts of any number of documents stay few.
 STEP = 1e-4
+#: So many trusted ids are sent to every task; if there are more, texts are shuffled by id, once.
+MAX_SENT = 1 << 20
 #: Documents below this mean log ratio (nats per n-gram) are rejected if there are no labels of both kinds to choose a threshold.
 MIN_SCORE = -0.1
 #: Additive smoothing of the raw multinomial, and the weight, in n-grams, of the raw shares as the target's Dirichlet prior.
@@ -60,10 +63,11 @@ def corpus_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     """(bucket, raw, target): n-grams of all documents, and of the documents whose id is in ``trusted``.
 
     Each task sums its own documents into the fixed buckets, and only those sums are shuffled. ``trusted`` may hold any number of
-    ids: Spark broadcasts them if they are few (its own limit), and shuffles texts by id only if they are many.
+    ids: up to MAX_SENT, which are counted, are broadcast; texts are shuffled by id only if there are more.
     """
-    marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(
-        trusted.select(F.col(id_col).alias("__id"), F.lit(True).alias("__trusted")), "__id", "left")
+    ids = trusted.select(F.col(id_col).alias("__id"), F.lit(True).alias("__trusted"))
+    ids = F.broadcast(ids) if trusted.count() <= MAX_SENT else ids
+    marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(ids, "__id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS), "i8")
@@ -164,13 +168,15 @@ def score(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col:
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def fit_threshold(docs: DataFrame, labels: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> float:
-    """The threshold that all labelled documents outside the target choose, those aside that the base rules reject."""
+def fit_threshold(scored: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> float:
+    """The threshold that all labelled documents outside the target choose, those aside that the base rules reject.
+
+    ``scored`` is :func:`score`'s result: ids and scores meet the labels, texts don't.
+    """
     judged = judged_ids(labels, id_col).select(F.col(id_col).alias("__id"), F.col("quality").alias("__quality"))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    scored = score(rows.join(judged.select("__id"), "__id", "left_semi"), ratios, "__id", "__text")
     # Rows that repeat an id are one. A mean log ratio lies within 30 of 0, so a few hundred thousand rows at most reach the driver, whatever the corpus.
-    counts = scored.where("not base_failed").groupBy("__id").agg(F.min("score").alias("score")).join(judged, "__id").groupBy(
+    rows = scored.where("not base_failed").select(F.col(id_col).alias("__id"), "score").join(judged, "__id")
+    counts = rows.groupBy("__id").agg(F.min("score").alias("score"), F.first("__quality").alias("__quality")).groupBy(
         F.floor(F.col("score") / STEP).alias("at")).agg(F.count_if(F.col("__quality") == 1).alias("good"), F.count("*").alias("all")).orderBy("at").collect()
     at, good, both = (np.array([r[k] for r in counts]) for k in range(3))
     if not len(counts) or not good.sum() or good.sum() == both.sum():
@@ -183,9 +189,10 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """Fit the two multinomials and the threshold, unless ``min_score`` gives one, and judge every document; see :func:`score` for the rows.
 
     Null labels and ids count as no label; an empty table gives an empty one; other columns of either table, whatever
-    their names, are ignored; texts of any length are read whole.
+    their names, are ignored; texts of any length are read whole. To choose the threshold the rows are written without their texts and judged from there.
     """
     ratios = log_ratios(corpus_counts(docs, trusted_ids(labels, id_col), id_col, text_col))
-    if min_score is None:
-        min_score = fit_threshold(docs, labels, ratios, id_col, text_col)
-    return score(docs, ratios, id_col, text_col, min_score)
+    if min_score is not None:
+        return score(docs, ratios, id_col, text_col, min_score)
+    scored = materialize(score(docs, ratios, id_col, text_col), "scored")
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= fit_threshold(scored, labels, id_col)))

@@ -187,6 +187,23 @@ def test_quality_learns_from_every_label(spark):
     assert quality.trusted_ids(labels).count() + quality.judged_ids(labels).count() == 60000 and quality.trusted_ids(labels).count() > 30000
 
 
+def test_quality_shuffles_no_text(spark, monkeypatch):
+    """Labels beyond Spark's own limit of a broadcast: sums and scores are shuffled, texts only for ids beyond MAX_SENT."""
+    rows = [(k, f"a{k % 7} b{k % 5} " * 40) for k in range(300)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(300)], "doc_id long, quality int")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        plan = lambda: quality.corpus_counts(docs, quality.trusted_ids(labels))._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan() and "SortMergeJoin" not in plan()
+        want = sorted(map(tuple, quality.quality(docs, labels).collect()))
+        monkeypatch.setattr(quality, "MAX_SENT", 10)
+        assert "SortMergeJoin" in plan() and sorted(map(tuple, quality.quality(docs, labels).collect())) == want
+    finally:
+        spark.conf.set(limit, before)
+
+
 def test_quality_judges_by_rows_that_it_did_not_count(spark):
     labels = spark.createDataFrame([(k, k % 2, "x") for k in range(400)] + [(7, 0, "x"), (None, 1, "x"), (401, None, "x")], "doc_id long, quality int, text string")
     counted, judged = {r.doc_id for r in quality.trusted_ids(labels).collect()}, dict(quality.judged_ids(labels).collect())
