@@ -9,7 +9,7 @@ name; :func:`expand_definitions` puts their bodies in their place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import schemas
 from . import expressions as E
@@ -329,9 +329,16 @@ def sequence_key(ops: Column | str = "ops") -> Column:
     return F.sha2(F.array_join(F.transform(ops, lambda o: F.concat_ws(" ", o["op"], wires(o["qubits"]), wires(o["clbits"]))), ";"), 256)
 
 
+def _counted(ops: Column | str = "ops") -> Column:
+    """(op, n) of each name that operations have."""
+    return bind(F.transform(ops, lambda o: o["op"]), lambda names: F.transform(F.array_distinct(names), lambda op: F.struct(
+        op.alias("op"), F.size(F.filter(names, lambda n: n == op)).cast("long").alias("n"))))
+
+
 def op_counts(parsed: DataFrame, key: str = "name") -> DataFrame:
-    """(key, op, n): operations by name."""
-    return explode_ops(parsed, key).groupBy(key, "op").agg(F.count("*").alias("n"))
+    """(key, op, n): operations by name. Each row counts its own, and only the counts are shuffled."""
+    own = parsed.select(key, F.explode_outer(_counted()).alias("c")).where("c IS NOT NULL").select(key, "c.*")
+    return own.groupBy(key, "op").agg(F.sum("n").alias("n"))
 
 
 def _two_qubit(o: Column) -> Column:
@@ -379,10 +386,11 @@ def features(parsed: DataFrame) -> DataFrame:
 
 
 def gate_count_features(parsed: DataFrame, gates: list[str], key: str = "name") -> DataFrame:
-    """One column ``gate_count_<name>`` for each named gate; gates that do not occur are 0."""
-    counts = explode_ops(parsed, key).groupBy(key).pivot("op", gates).count()
-    wide = counts.select(key, *[F.coalesce(F.col(f"`{g}`"), F.lit(0)).alias(f"gate_count_{g}") for g in gates])
-    return parsed.select(key).join(wide, key, "left").fillna(0)
+    """One column ``gate_count_<name>`` for each named gate; gates that do not occur are 0. A row for each of ``parsed``; rows of one key count together, rows without a key nothing."""
+    names = parsed.select(key, F.transform("ops", lambda o: o["op"]).alias("__names"))
+    own = names.select(key, *[F.size(F.filter("__names", lambda n: n == g)).alias(f"gate_count_{g}") for g in gates])
+    total = lambda c: F.when(F.col(key).isNull(), F.lit(0).cast("long")).otherwise(F.sum(c).over(Window.partitionBy(key)))
+    return own.select(key, *[total(f"gate_count_{g}").alias(f"gate_count_{g}") for g in gates])
 
 
 def feature_map(with_features: DataFrame) -> DataFrame:
@@ -399,9 +407,19 @@ def n_parameters(ops: Column) -> Column:
 
 
 def summary(parsed: DataFrame, key: str = "name") -> DataFrame:
-    """(key, num_qubits, num_clbits, depth, size, num_parameters, op_counts sorted by name)."""
-    counts = op_counts(parsed, key).groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("op", "n")))).alias("op_counts"))
-    return features(parsed).select(key, "num_qubits", "num_clbits", "depth", "size", n_parameters(F.col("ops")).alias("num_parameters")).join(counts, key, "left")
+    """(key, num_qubits, num_clbits, depth, size, num_parameters, op_counts sorted by name). Rows of one key have the counts of them all; without a key or an operation there are none.
+
+    ``parsed`` is read once, and rows meet by their key without their operations.
+    """
+    shown = ["num_qubits", "num_clbits", "depth", "size", "num_parameters"]
+    rows = features(parsed).select(key, *shown[:4], n_parameters(F.col("ops")).alias("num_parameters"), _counted().alias("__counted"))
+    # rows without a key are no group: each stays by itself
+    met = rows.withColumn("__alone", F.when(F.col(key).isNull(), F.monotonically_increasing_id())).groupBy(key, "__alone").agg(
+        F.collect_list(F.struct(*shown)).alias("__rows"), F.flatten(F.collect_list("__counted")).alias("__all"))
+    total = bind(F.col("__all"), lambda items: F.transform(F.array_sort(F.array_distinct(F.transform(items, lambda c: c["op"]))), lambda op: F.struct(
+        op.alias("op"), F.aggregate(F.filter(items, lambda c: c["op"] == op), F.lit(0).cast("long"), lambda t, c: t + c["n"]).alias("n"))))
+    counts = F.when(F.col(key).isNotNull() & (F.size("__all") > 0), F.map_from_entries(total))
+    return met.withColumn("op_counts", counts).select(key, "op_counts", F.explode("__rows").alias("r")).select(key, *[f"r.{c}" for c in shown], "op_counts")
 
 
 def to_text(ops: Column, num_qubits: Column, num_clbits: Column) -> Column:

@@ -368,3 +368,17 @@ def test_distinct_statements_are_parsed_once(spark):
         qasm._parse_pieces = parse_pieces
     assert len(got) == len(rows) and seen[0].count() < 20
     assert got["again"].ops == got["n0"].ops and got["before"].problem == "unknown_argument" and got["wide"].ops[0].qubits == [3]
+
+
+def test_summaries_read_their_circuits_once(spark):
+    """Rows of one key count together, rows without a key count nothing; neither the summary nor the gate counts join the circuits to themselves."""
+    schema = "name string, num_qubits int, num_clbits int, ops array<struct<pos:int,op:string,params:array<string>,qubits:array<int>,clbits:array<int>>>"
+    x, h = (0, "x", [], [0], []), (1, "h", ["t"], [1], [])
+    rows = spark.createDataFrame([("a", 2, 0, [x, h]), ("a", 3, 0, [x]), ("b", 1, 0, []), (None, 2, 0, [h])], schema)
+    found = qasm.summary(rows)
+    assert sorted(((r.name or "", r.num_qubits, r.size, r.num_parameters, r.op_counts) for r in found.collect()), key=str) == sorted(
+        [("a", 2, 2, 1, {"h": 1, "x": 2}), ("a", 3, 1, 0, {"h": 1, "x": 2}), ("b", 1, 0, 0, None), ("", 2, 1, 1, None)], key=str)
+    gates = qasm.gate_count_features(rows, ["x", "h"])
+    assert sorted((r.name or "", r.gate_count_x, r.gate_count_h) for r in gates.collect()) == [("", 0, 0), ("a", 2, 1), ("a", 2, 1), ("b", 0, 0)]
+    for table in (found, gates):
+        assert "Join" not in table._jdf.queryExecution().optimizedPlan().toString()
