@@ -39,6 +39,8 @@ _NAME = r"^[A-Za-z_]\w*$"
 _REGISTERS = "array<struct<name:string,size:int,first:int,kind:string,at:int>>"
 _DEFINITIONS = "array<struct<name:string,params:array<string>,wires:array<string>,body:array<struct<op:string,params:array<string>,args:array<string>>>,opaque:boolean,valid:boolean,at:int>>"
 _FLAT = "array<struct<name:string,params:array<string>,body:array<struct<op:string,params:array<string>,wires:array<int>>>>>"
+#: So many distinct statements are sent to every task, if what each stands for has at most so many characters.
+MAX_SENT, MAX_MEANING = 2048, 1 << 12
 
 
 def _plain(text: Column) -> Column:
@@ -219,6 +221,31 @@ def _operations(rows: Column) -> Column:
                                                    o["qubits"].alias("qubits"), o["clbits"].alias("clbits"))).cast(schemas.OPERATIONS)
 
 
+def _placed(pieces: Column, declares) -> Column:
+    """(pos, piece, nth) of every piece: its place, its text (null for a declaration) and how many declarations stand before it."""
+    def of(k: Column) -> Column:
+        # behind the last declaration all stand before
+        before = lambda i: F.when(i >= k["last"], k["n"]).otherwise(F.size(F.filter(F.slice(k["are"], 1, i), lambda d: d)))
+        return F.transform(k["ps"], lambda p, i: F.struct(i.cast("int").alias("pos"), F.when(~F.get(k["are"], i), p).alias("piece"), before(i).alias("nth")))
+
+    marked = F.struct(pieces.alias("ps"), F.transform(pieces, declares).alias("are"))
+    return bind(bind(marked, lambda m: F.struct(m["ps"].alias("ps"), m["are"].alias("are"), F.size(F.filter(m["are"], lambda d: d)).alias("n"), F.when(
+        F.array_contains(m["are"], True), F.size(m["are"]) - F.array_position(F.reverse(m["are"]), F.lit(True)).cast("int") + 1).otherwise(0).alias("last"))), of)
+
+
+def _table(meaning: DataFrame) -> tuple[Column, int] | None:
+    """What statements mean as one constant that every task has: buckets of (k, l, meaning) by ``k``, and their number; none if they are too many or one is too long."""
+    entry = F.to_json(F.struct("__k", "__l", F.struct(*[c for c in meaning.columns if c not in ("__k", "__l")]).alias("m")))
+    kind = meaning.select(F.array(F.array(F.struct("__k", "__l", F.struct(*[c for c in meaning.columns if c not in ("__k", "__l")]).alias("m"))))).schema[0].dataType
+    known = meaning.select("__k", F.when(F.length(entry) <= MAX_MEANING, entry)).collect()
+    if len(known) > MAX_SENT or any(text is None for _, text in known):
+        return None
+    buckets = [[] for _ in range(max(1, 2 * len(known)))]
+    for k, text in known:
+        buckets[k % len(buckets)].append(text)
+    return F.from_json(F.lit("[" + ",".join("[" + ",".join(b) + "]" for b in buckets) + "]"), kind), len(buckets)
+
+
 def parse(circuits: DataFrame, definitions: bool = False, expand: bool = False, values: bool = False) -> DataFrame:
     """``circuits`` (with a text column ``qasm``) and num_qubits, num_clbits, ops, problem; with ``definitions`` also the gates that the text defines.
 
@@ -230,53 +257,83 @@ def parse(circuits: DataFrame, definitions: bool = False, expand: bool = False,
     With ``expand`` the operations are those of :func:`expand_definitions`, with ``values`` also the :func:`parameter_values` of each.
 
     What a statement means depends on its text and the declarations around it. So each distinct statement is parsed once for each distinct list of declarations,
-    as a text of these and itself, and joined to the circuits that have it: work on the grammar grows with distinct statements, the rest is one join and
-    one grouping by the text's digest.
+    as a text of these and itself: work on the grammar grows with distinct statements. A first pass lists and parses these, when the function is called; if they
+    are few (MAX_SENT, none longer than MAX_MEANING), every task has them all and each text looks its own up, without a shuffle. More of them are joined to the
+    circuits that have them: one join, and one grouping by the text's digest.
     """
     text = F.coalesce("qasm", F.lit(""))
     # whatever may be a declaration; others that hold such a word do no harm
-    declares = lambda p: p.rlike("qreg|creg|gate|opaque")
-    texts = circuits.select(F.unhex(F.md5(text)).alias("__text"), _pieces(text).alias("__p")).withColumn("__context", F.filter("__p", declares))
-    before = bind(F.struct(F.col("__p").alias("ps"), F.transform("__p", declares).alias("are")), lambda k: F.transform(k["ps"], lambda p, i: F.struct(
-        i.cast("int").alias("pos"), F.when(~F.get(k["are"], i), p).alias("piece"), F.size(F.filter(F.slice(k["are"], 1, i), lambda d: d)).alias("nth"))))
-    said = texts.select("__text", "__context", F.explode_outer(before).alias("s")).where("s IS NOT NULL").select("__text", "__context", "s.*")
+    declares = lambda p: p.contains("qreg") | p.contains("creg") | p.contains("gate") | p.contains("opaque")
+    staged = circuits.withColumn("__p", _pieces(text)).withColumn("__context", F.filter("__p", declares)).withColumn("__s", _placed(F.col("__p"), declares))
+    exploded = lambda rows, *own: rows.select(*own, "__context", F.explode_outer("__s").alias("s")).where("s IS NOT NULL").select(*own, "__context", "s.*")
     kinds = ["__context", "nth", "piece"]
-    # the statement stands behind those declarations that are before it; a null piece is the declaration at that place itself
-    around = F.when(F.col("piece").isNull(), F.col("__context")).otherwise(F.concat(
-        F.slice("__context", F.lit(1), F.col("nth")), F.array("piece"), F.slice("__context", F.col("nth") + 1, F.size("__context"))))
-    parsed = _parse_pieces(said.select(*kinds).distinct().withColumn("__p", around))
-    own = lambda items: F.filter(items, lambda o: o["at"] == F.col("nth"))
-    meaning = parsed.select(*kinds, _total(F.col("__r"), "qreg").alias("n_q"), _total(F.col("__r"), "creg").alias("n_c"), F.array_min(own("__found"))["what"].alias("what"),
-                            F.col("__d").alias("definitions"), _operations(F.flatten(F.transform(own("__ops"), lambda o: o["rows"]))).alias("ops"))
-    if expand:
-        meaning = expand_definitions(meaning)
-    if values:
-        meaning = meaning.withColumn("values", parameter_values())
-    meaning = meaning.select(*[F.col(k).alias(f"m_{k}") for k in kinds], "n_q", "n_c", "what", "ops", *(["definitions"] if definitions else []), *(["values"] if values else []))
     # rows travel with two hashes of their statement instead of its text
-    digest = lambda prefix: [F.xxhash64(*[prefix + k for k in kinds]).alias("__k"), F.xxhash64(F.lit(1), *[prefix + k for k in kinds]).alias("__l")]
-    met = said.select("__text", "pos", *digest("")).join(meaning.select(*digest("m_"), "*").drop(*[f"m_{k}" for k in kinds]), ["__k", "__l"])
+    digest = lambda of: (F.xxhash64(*of), F.xxhash64(F.lit(1), *of))
+    empty = lambda kind: F.array().cast(kind)
+
+    def meant(statements: DataFrame) -> DataFrame:
+        # the statement stands behind those declarations that are before it; a null piece is the declaration at that place itself
+        around = F.when(F.col("piece").isNull(), F.col("__context")).otherwise(F.concat(
+            F.slice("__context", F.lit(1), F.col("nth")), F.array("piece"), F.slice("__context", F.col("nth") + 1, F.size("__context"))))
+        parsed = _parse_pieces(statements.withColumn("__p", around))
+        own = lambda items: F.filter(items, lambda o: o["at"] == F.col("nth"))
+        meaning = parsed.select(*kinds, _total(F.col("__r"), "qreg").alias("n_q"), _total(F.col("__r"), "creg").alias("n_c"), F.array_min(own("__found"))["what"].alias("what"),
+                                F.col("__d").alias("definitions"), _operations(F.flatten(F.transform(own("__ops"), lambda o: o["rows"]))).alias("ops"))
+        if expand:
+            meaning = expand_definitions(meaning)
+        if values:
+            meaning = meaning.withColumn("values", parameter_values())
+        k, l = digest(kinds)
+        return meaning.select(k.alias("__k"), l.alias("__l"), "n_q", "n_c", "what", "ops", *(["definitions"] if definitions else []), *(["values"] if values else []))
+
+    def finished(whole: DataFrame, n_qubits: Column, n_clbits: Column, what: Column, kept: Column, defined: Column | None) -> DataFrame:
+        problem = (F.when(~text.rlike(r"\S"), "blank").when(~text.rlike(r"(?s)^(?:\s|//[^\n]*\n)*+OPENQASM\s+2\.0\s*;"), "no_header")
+                   .when(n_qubits == 0, "no_qubits").otherwise(what))
+        ops = F.transform(F.flatten(F.transform(kept, lambda m: m["ops"])), lambda o, i: F.struct(
+            i.cast("int").alias("pos"), o["op"].alias("op"), o["params"].alias("params"), o["qubits"].alias("qubits"), o["clbits"].alias("clbits")))
+        found = {"num_qubits": n_qubits, "num_clbits": n_clbits, "ops": F.coalesce(ops.cast(schemas.OPERATIONS), empty(schemas.OPERATIONS)), "problem": problem}
+        if definitions:
+            found["definitions"] = F.coalesce(defined, empty(_DEFINITIONS))
+        if values:
+            found["values"] = F.coalesce(F.flatten(F.transform(kept, lambda m: m["values"])), empty("array<array<double>>"))
+        return whole.withColumns(found)
+
+    distinct = exploded(staged).select(*kinds).distinct()
+    table = None if circuits.isStreaming else _table(meant(distinct.limit(MAX_SENT + 1)))
+    if table:
+        known, n_buckets = table
+
+        def looked_up(s: Column, context: Column) -> Column:
+            def entry(key: Column) -> Column:
+                bucket = F.get(known, F.pmod(key["k"], F.lit(n_buckets)).cast("int"))
+                return F.get(F.filter(bucket, lambda e: (e["__k"] == key["k"]) & (e["__l"] == key["l"])), 0)["m"]
+
+            k, l = digest([context, s["nth"], s["piece"]])
+            return F.coalesce(bind(F.struct(k.alias("k"), l.alias("l")), entry), F.raise_error(F.lit("a circuit has changed since its statements were listed")))
+
+        said = bind(F.struct("__context", "__s"), lambda c: F.transform(c["__s"], lambda s: looked_up(s, c["__context"])))
+        first = lambda c: F.get(F.col("__said"), F.lit(0))[c]
+        what = F.get(F.filter("__said", lambda m: m["what"].isNotNull()), F.lit(0))["what"]
+        return finished(staged.withColumn("__said", said), F.coalesce(first("n_q"), F.lit(0)), F.coalesce(first("n_c"), F.lit(0)), what, F.col("__said"),
+                        first("definitions") if definitions else None).drop("__p", "__context", "__s", "__said")
+    meaning = meant(distinct)
+    hashed = F.unhex(F.md5(text))
+    k, l = digest(kinds)
+    met = exploded(staged.withColumn("__text", hashed), "__text").select("__text", "pos", k.alias("__k"), l.alias("__l")).join(meaning, ["__k", "__l"])
     # equal texts are one: their statements repeat, and the set holds each once
     whole = met.groupBy("__text").agg(
-        F.max("n_q").alias("num_qubits"), F.max("n_c").alias("num_clbits"), F.min(F.when(F.col("what").isNotNull(), F.struct("pos", "what")))["what"].alias("__what"),
-        F.array_sort(F.collect_set(F.struct("pos", "ops", *(["values"] if values else [])))).alias("__said"), *([F.first("definitions").alias("definitions")] if definitions else []))
-    empty = lambda kind: F.array().cast(kind)
-    n_qubits, n_clbits = F.coalesce("num_qubits", F.lit(0)), F.coalesce("num_clbits", F.lit(0))
-    problem = (F.when(_tidy(text) == "", "blank").when(~text.rlike(r"(?s)^(?:\s|//[^\n]*\n)*+OPENQASM\s+2\.0\s*;"), "no_header")
-               .when(n_qubits == 0, "no_qubits").otherwise(F.col("__what")))
-    found = {"num_qubits": n_qubits, "num_clbits": n_clbits, "ops": F.coalesce(_operations(F.flatten(F.transform("__said", lambda s: s["ops"]))), empty(schemas.OPERATIONS)), "problem": problem}
-    if definitions:
-        found["definitions"] = F.coalesce("definitions", empty(_DEFINITIONS))
-    if values:
-        found["values"] = F.coalesce(F.flatten(F.transform("__said", lambda s: s["values"])), empty("array<array<double>>"))
-    return circuits.withColumn("__text", F.unhex(F.md5(text))).join(whole, "__text", "left").withColumns(found).drop("__text", "__what", "__said")
+        F.max("n_q").alias("__n_q"), F.max("n_c").alias("__n_c"), F.min(F.when(F.col("what").isNotNull(), F.struct("pos", "what")))["what"].alias("__what"),
+        F.array_sort(F.collect_set(F.struct("pos", "ops", *(["values"] if values else [])))).alias("__said"), *([F.first("definitions").alias("__defined")] if definitions else []))
+    joined = circuits.withColumn("__text", hashed).join(whole, "__text", "left")
+    return finished(joined, F.coalesce("__n_q", F.lit(0)), F.coalesce("__n_c", F.lit(0)), F.col("__what"), F.col("__said"), F.col("__defined") if definitions else None).drop(
+        "__text", "__n_q", "__n_c", "__what", "__said", "__defined")
 
 
 def parse_each(circuits: DataFrame) -> DataFrame:
     """:func:`parse` text by text: no join and no shuffle, and ``circuits`` is read once, but every statement is parsed wherever it stands."""
     text = F.coalesce("qasm", F.lit(""))
     staged = _parse_pieces(circuits.withColumn("__p", _pieces(text)))
-    problem = (F.when(_tidy(text) == "", "blank").when(~text.rlike(r"(?s)^(?:\s|//[^\n]*\n)*+OPENQASM\s+2\.0\s*;"), "no_header")
+    problem = (F.when(~text.rlike(r"\S"), "blank").when(~text.rlike(r"(?s)^(?:\s|//[^\n]*\n)*+OPENQASM\s+2\.0\s*;"), "no_header")
                .when(_total(F.col("__r"), "qreg") == 0, "no_qubits").otherwise(F.array_min("__found")["what"]))
     return staged.withColumns({"num_qubits": _total(F.col("__r"), "qreg"), "num_clbits": _total(F.col("__r"), "creg"), "ops": _operations(F.flatten(F.transform("__ops", lambda o: o["rows"]))),
                                "problem": problem}).drop("__p", "__s", "__r", "__f", "__c", "__bad", "__d", "__ops", "__found")
@@ -347,16 +404,17 @@ def _two_qubit(o: Column) -> Column:
 
 def critical_path(ops: Column, n_wires: Column) -> Column:
     """(depth, two): length of the longest chain over shared qubits and clbits, and the most two-qubit gates that a
-    longest chain has. A barrier joins its wires and adds nothing."""
-    start = F.transform(F.sequence(F.lit(1), F.greatest(n_wires, F.lit(1))), lambda _: F.struct(F.lit(0).alias("depth"), F.lit(0).alias("two")))
+    longest chain has. A barrier joins its wires and adds nothing. A level is one number, the depth before its lower 32 bits."""
+    start = F.transform(F.sequence(F.lit(1), F.greatest(n_wires, F.lit(1))), lambda _: F.lit(0).cast("long"))
 
     def step(levels: Column, o: Column) -> Column:
-        wires = o["wires"]
-        top = F.aggregate(wires, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("two")), lambda best, w: F.greatest(best, F.get(levels, w)))
-        level = F.struct((top["depth"] + o["layer"]).alias("depth"), (top["two"] + o["pair"]).alias("two"))
-        return F.transform(levels, lambda old, i: F.when(F.array_contains(wires, i), level).otherwise(old))
+        top = F.aggregate(o["wires"], F.lit(0).cast("long"), lambda best, w: F.greatest(best, F.get(levels, w)))
+        return bind(top + o["adds"], lambda level: F.transform(levels, lambda old, i: F.when(F.array_contains(o["wires"], i), level).otherwise(old)))
 
-    return F.array_max(F.aggregate(ops, start, step))
+    adds = lambda o: o["layer"].cast("long") * F.lit(1 << 32) + o["pair"].cast("long")
+    counted = F.transform(ops, lambda o: F.struct(o["wires"].alias("wires"), adds(o).alias("adds")))
+    return bind(F.array_max(F.aggregate(counted, start, step)), lambda m: F.struct(
+        F.shiftright(m, 32).cast("int").alias("depth"), m.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("two")))
 
 
 def features(parsed: DataFrame) -> DataFrame:

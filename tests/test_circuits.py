@@ -382,3 +382,24 @@ def test_summaries_read_their_circuits_once(spark):
     assert sorted((r.name or "", r.gate_count_x, r.gate_count_h) for r in gates.collect()) == [("", 0, 0), ("a", 2, 1), ("a", 2, 1), ("b", 0, 0)]
     for table in (found, gates):
         assert "Join" not in table._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_statements_are_looked_up_without_a_shuffle(spark, monkeypatch):
+    texts = [None, "", "OPENQASM 2.0;", BELL, RICH, RICH + "foo a[0]; x a[7];", "x q[0];", BELL + "qreg z[2]; cx q,z; gate later u { x u; } later z;", BELL.replace("h q[0];", "rz(1/3*theta,2) q[0]; u1(1/3) q[1];")]
+    rows = spark.createDataFrame([(k % 5, t) for k, t in enumerate(texts + texts)], "name int, qasm string")
+    both = []
+    for most in (qasm.MAX_SENT, 0):
+        monkeypatch.setattr(qasm, "MAX_SENT", most)
+        found = qasm.parse(rows, definitions=True, expand=True, values=True)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Join" in plan, "Aggregate" in plan) == (most == 0, most == 0)
+        both.append(sorted(found.drop("file").collect(), key=str))
+    assert both[0] == both[1] and len(both[0]) == 18
+    each = {r.qasm: (r.num_qubits, r.num_clbits, r.problem) for r in qasm.parse_each(rows).collect()}
+    assert {r.qasm: (r.num_qubits, r.num_clbits, r.problem) for r in both[0]} == each
+
+
+def test_statements_that_stand_for_much_are_not_sent(spark, monkeypatch):
+    monkeypatch.setattr(qasm, "MAX_MEANING", 300)
+    found = qasm.parse(spark.createDataFrame([("a", "OPENQASM 2.0; qreg q[40]; h q;")], "name string, qasm string"))
+    assert "Join" in found._jdf.queryExecution().optimizedPlan().toString() and len(found.first().ops) == 40
