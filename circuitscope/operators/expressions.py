@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Functions of the OpenQASM 2 grammar.
 FUNCTIONS: dict[str, Callable[[Column], Column]] = {"sin": F.sin, "cos": F.cos, "tan": F.tan, "exp": F.exp, "ln": F.ln, "sqrt": F.sqrt}
@@ -15,6 +15,8 @@ _NUMBER = r"(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 _NAME = r"[A-Za-z_]\w*"
 #: A name with the parenthesis behind it is one token: a call.
 _TOKEN = rf"{_NUMBER}|{_NAME}\s*\(|{_NAME}|\S"
+#: So many distinct expressions are sent to every task with their values.
+MAX_SENT = 1 << 14
 #: How tightly operators bind; ``neg`` is the sign before an operand, a comma parts the operands of an unknown function.
 BINDS = {",": 1, "+": 2, "-": 2, "*": 3, "/": 3, "neg": 4, "^": 5}
 
@@ -120,6 +122,18 @@ def evaluate(expression: Column) -> Column:
     return bind(F.when(text.rlike(rf"^-?{_NUMBER}$"), simple).otherwise(F.aggregate(tokens, start, step, finish)), finite)
 
 
+def evaluated(rows: DataFrame, expression: str) -> DataFrame:
+    """``rows`` with ``value`` and ``valid`` of their ``expression``, by :func:`evaluate`, which each distinct expression goes through once.
+
+    A first pass evaluates them, when the function is called; up to MAX_SENT are sent to every task, more are joined by their text.
+    """
+    known = rows.select(F.col(expression).alias("__text")).distinct().select("__text", evaluate(F.col("__text")).alias("__e")).select("__text", "__e.*")
+    sent = None if rows.isStreaming else known.limit(MAX_SENT + 1).collect()
+    if sent is not None and len(sent) <= MAX_SENT:
+        known = F.broadcast(rows.sparkSession.createDataFrame(sent, "__text string, value double, valid boolean"))
+    return rows.join(known, F.col(expression).eqNullSafe(F.col("__text")), "left").drop("__text")
+
+
 def value(expression: Column) -> Column:
     return evaluate(expression)["value"]
 

@@ -367,10 +367,10 @@ def parameter_values(spark, sf_dir):
     """Expressions from lines, by a precedence parser: powers, signs, functions, nested parentheses, free names."""
     n = {c: F.col(c).cast("int") for c in ("l_linenumber", "l_quantity")} | {"s": F.col("l_suppkey") % 7}
     line, quantity, s = n.values()
-    text = (F.when(quantity % 4 == 0, F.format_string("-pi/(%d+((%d)))*2^-%d", line, s, s)).when(quantity % 4 == 1, F.format_string("sin(%d)^2+cos(%d)^2-%d*1e-1/-4", quantity, quantity, line))
-            .when(quantity % 4 == 2, F.format_string("sqrt(%d)-ln(%d)*(1-(2-(3-%d)))", quantity, line, s)).otherwise(F.format_string("%d*theta", line)))
-    found = E.evaluate(text)
-    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(found["value"], 9).alias("value"), found["valid"].alias("valid"))
+    text = (F.when(quantity % 4 == 0, _text("-pi/(%d+((%d)))*2^-%d", line, s, s)).when(quantity % 4 == 1, _text("sin(%d)^2+cos(%d)^2-%d*1e-1/-4", quantity, quantity, line))
+            .when(quantity % 4 == 2, _text("sqrt(%d)-ln(%d)*(1-(2-(3-%d)))", quantity, line, s)).otherwise(_text("%d*theta", line)))
+    found = E.evaluated(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("expression")), "expression")
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("value", 9).alias("value"), "valid")
 
 
 def success_probabilities(spark, sf_dir):

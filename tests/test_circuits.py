@@ -403,3 +403,12 @@ def test_statements_that_stand_for_much_are_not_sent(spark, monkeypatch):
     monkeypatch.setattr(qasm, "MAX_MEANING", 300)
     found = qasm.parse(spark.createDataFrame([("a", "OPENQASM 2.0; qreg q[40]; h q;")], "name string, qasm string"))
     assert "Join" in found._jdf.queryExecution().optimizedPlan().toString() and len(found.first().ops) == 40
+
+
+def test_expressions_are_evaluated_once_each(spark, monkeypatch):
+    texts = ["pi/2", "2*theta", "1/0", "1+", "", None, " 3 ", "pi/2"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    want = {r.k: (r.e.value, r.e.valid) for r in rows.select("k", expressions.evaluate(F.col("t")).alias("e")).collect()}
+    for most in (expressions.MAX_SENT, 3):
+        monkeypatch.setattr(expressions, "MAX_SENT", most)
+        assert {r.k: (r.value, r.valid) for r in expressions.evaluated(rows, "t").collect()} == want
