@@ -405,11 +405,12 @@ def _two_qubit(o: Column) -> Column:
 def critical_path(ops: Column, n_wires: Column) -> Column:
     """(depth, two): length of the longest chain over shared qubits and clbits, and the most two-qubit gates that a
     longest chain has. A barrier joins its wires and adds nothing. A level is one number, the depth before its lower 32 bits."""
-    start = F.transform(F.sequence(F.lit(1), F.greatest(n_wires, F.lit(1))), lambda _: F.lit(0).cast("long"))
+    start = F.array_repeat(F.lit(0).cast("long"), F.greatest(n_wires, F.lit(1)))
 
     def step(levels: Column, o: Column) -> Column:
         top = F.aggregate(o["wires"], F.lit(0).cast("long"), lambda best, w: F.greatest(best, F.get(levels, w)))
-        return bind(top + o["adds"], lambda level: F.transform(levels, lambda old, i: F.when(F.array_contains(o["wires"], i), level).otherwise(old)))
+        put = lambda level, old, w: F.concat(F.slice(old, F.lit(1), w), F.array(level), F.slice(old, w + 2, F.size(old)))
+        return bind(top + o["adds"], lambda level: F.aggregate(o["wires"], levels, lambda old, w: put(level, old, w)))
 
     adds = lambda o: o["layer"].cast("long") * F.lit(1 << 32) + o["pair"].cast("long")
     counted = F.transform(ops, lambda o: F.struct(o["wires"].alias("wires"), adds(o).alias("adds")))
