@@ -13,6 +13,8 @@ from ..functions import scalars as S
 MAX_REQUESTS, MAX_NUMBERS = 1 << 16, 1 << 19
 #: Rows are dealt out in so many blocks or more if that leaves MIN_BLOCK in each, so that few queries keep all tasks busy too.
 MIN_BLOCKS, MIN_BLOCK = 16, 1024
+#: Blocks meet in at most so many tasks.
+MAX_TASKS = 1024
 #: At most so many queries and rows are held against each other at once: their distances stay in a core's cache.
 _TILE = (32, 1024)
 
@@ -123,8 +125,10 @@ def _ranked(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     keys = ["group", "length", "a", "b"]
-    left = asked.withColumns({"length": F.size("vector"), "a": block(asked_blocks)}).withColumn("b", every(row_blocks))
-    right = rows.withColumns({"length": F.size("vector"), "b": block(row_blocks)}).withColumn("a", every(asked_blocks))
+    # a fixed number of tasks: by bytes, which are few, Spark would put the blocks into one to three
+    tasks = min(MAX_TASKS, 2 * asked_blocks * row_blocks)
+    left = asked.withColumns({"length": F.size("vector"), "a": block(asked_blocks)}).withColumn("b", every(row_blocks)).repartition(tasks, *keys)
+    right = rows.withColumns({"length": F.size("vector"), "b": block(row_blocks)}).withColumn("a", every(asked_blocks)).repartition(tasks, *keys)
     schema = T.StructType([T.StructField("query", asked.schema["id"].dataType), T.StructField("row", rows.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
 
     def run(some: pa.Table, others: pa.Table) -> pa.Table:

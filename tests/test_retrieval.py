@@ -42,3 +42,12 @@ def test_nearest_examples_of_many(spark):
         open_to = [(i, [{"x": x, "y": y}[n] for n in sorted(f)]) for i, (x, y) in enumerate(features) if ("d" if i % 2 else "e") in a]
         want[r] = brute([f[n] for n in sorted(f)], open_to, 3)
     assert got == want
+
+
+def test_blocks_meet_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "MIN_BLOCK", 10)
+    rows = spark.createDataFrame([(i, [float(i)]) for i in range(200)], "vec_id long, embedding array<double>")
+    found = retrieval.nearest_rows_each(rows, rows, "embedding", "vec_id", 2)
+    assert found.count() == 400
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 2 and f"{2 * retrieval.MIN_BLOCKS})" in plan
