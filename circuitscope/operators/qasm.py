@@ -221,24 +221,31 @@ def _operations(rows: Column) -> Column:
                                                    o["qubits"].alias("qubits"), o["clbits"].alias("clbits"))).cast(schemas.OPERATIONS)
 
 
-def _placed(pieces: Column, declares) -> Column:
-    """(pos, piece, nth) of every piece: its place, its text (null for a declaration) and how many declarations stand before it."""
+def _placed(pieces: Column, declared: Column, declares, item) -> Column:
+    """``item`` (of pos, piece, nth) of every piece: its place, its text (null for a declaration) and how many declarations stand before it.
+
+    ``declared`` holds the pieces that are declarations. Where all of them come first, as in most texts, places alone tell the rest.
+    """
     def of(k: Column) -> Column:
         # behind the last declaration all stand before
         before = lambda i: F.when(i >= k["last"], k["n"]).otherwise(F.size(F.filter(F.slice(k["are"], 1, i), lambda d: d)))
-        return F.transform(k["ps"], lambda p, i: F.struct(i.cast("int").alias("pos"), F.when(~F.get(k["are"], i), p).alias("piece"), before(i).alias("nth")))
+        return F.transform(k["ps"], lambda p, i: item(i, F.when(~F.get(k["are"], i), p), before(i)))
 
-    marked = F.struct(pieces.alias("ps"), F.transform(pieces, declares).alias("are"))
-    return bind(bind(marked, lambda m: F.struct(m["ps"].alias("ps"), m["are"].alias("are"), F.size(F.filter(m["are"], lambda d: d)).alias("n"), F.when(
+    marked = lambda ps: F.struct(ps.alias("ps"), F.transform(ps, declares).alias("are"))
+    scattered = lambda ps: bind(bind(marked(ps), lambda m: F.struct(m["ps"].alias("ps"), m["are"].alias("are"), F.size(F.filter(m["are"], lambda d: d)).alias("n"), F.when(
         F.array_contains(m["are"], True), F.size(m["are"]) - F.array_position(F.reverse(m["are"]), F.lit(True)).cast("int") + 1).otherwise(0).alias("last"))), of)
+    first = lambda k: F.transform(k["ps"], lambda p, i: item(i, F.when(i >= k["n"], p), F.least(i, k["n"])))
+    whole = F.struct(pieces.alias("ps"), declared.alias("ds"), F.size(declared).alias("n"))
+    return bind(whole, lambda k: F.when(F.slice(k["ps"], F.lit(1), k["n"]) == k["ds"], first(k)).otherwise(scattered(k["ps"])))
 
 
 def _table(meaning: DataFrame) -> tuple[Column, int] | None:
-    """What statements mean as one constant that every task has: buckets of (k, l, meaning) by ``k``, and their number; none if they are too many or one is too long."""
-    entry = F.to_json(F.struct("__k", "__l", F.struct(*[c for c in meaning.columns if c not in ("__k", "__l")]).alias("m")))
-    kind = meaning.select(F.array(F.array(F.struct("__k", "__l", F.struct(*[c for c in meaning.columns if c not in ("__k", "__l")]).alias("m"))))).schema[0].dataType
-    known = meaning.select("__k", F.when(F.length(entry) <= MAX_MEANING, entry)).collect()
-    if len(known) > MAX_SENT or any(text is None for _, text in known):
+    """What statements mean as one constant that every task has: buckets of (k, meaning) by ``k``, and their number; none if they are too many, one is too long
+    or two have one ``k``."""
+    entry = F.struct("__k", F.struct(*[c for c in meaning.columns if c not in ("__k", "__l")]).alias("m"))
+    kind = meaning.select(F.array(F.array(entry))).schema[0].dataType
+    known = meaning.select("__k", F.when(F.length(F.to_json(entry)) <= MAX_MEANING, F.to_json(entry))).collect()
+    if len(known) > MAX_SENT or any(text is None for _, text in known) or len({k for k, _ in known}) < len(known):
         return None
     buckets = [[] for _ in range(max(1, 2 * len(known)))]
     for k, text in known:
@@ -264,11 +271,14 @@ def parse(circuits: DataFrame, definitions: bool = False, expand: bool = False,
     text = F.coalesce("qasm", F.lit(""))
     # whatever may be a declaration; others that hold such a word do no harm
     declares = lambda p: p.contains("qreg") | p.contains("creg") | p.contains("gate") | p.contains("opaque")
-    staged = circuits.withColumn("__p", _pieces(text)).withColumn("__context", F.filter("__p", declares)).withColumn("__s", _placed(F.col("__p"), declares))
+    staged = circuits.withColumn("__p", _pieces(text)).withColumn("__context", F.filter("__p", declares))
+    placed = lambda item: _placed(F.col("__p"), F.col("__context"), declares, item)
+    listed = staged.withColumn("__s", placed(lambda i, piece, nth: F.struct(i.cast("int").alias("pos"), piece.alias("piece"), nth.alias("nth"))))
     exploded = lambda rows, *own: rows.select(*own, "__context", F.explode_outer("__s").alias("s")).where("s IS NOT NULL").select(*own, "__context", "s.*")
     kinds = ["__context", "nth", "piece"]
-    # rows travel with two hashes of their statement instead of its text
-    digest = lambda of: (F.xxhash64(*of), F.xxhash64(F.lit(1), *of))
+    # rows travel with two hashes of their statement instead of its text; the first is made of a hash of the declarations, which a text makes once
+    key = lambda declared, nth, piece: F.xxhash64(declared, nth, piece)
+    digest = (key(F.xxhash64("__context"), F.col("nth"), F.col("piece")), F.xxhash64(F.lit(1), *kinds))
     empty = lambda kind: F.array().cast(kind)
 
     def meant(statements: DataFrame) -> DataFrame:
@@ -283,14 +293,15 @@ def parse(circuits: DataFrame, definitions: bool = False, expand: bool = False,
             meaning = expand_definitions(meaning)
         if values:
             meaning = meaning.withColumn("values", parameter_values())
-        k, l = digest(kinds)
+        k, l = digest
         return meaning.select(k.alias("__k"), l.alias("__l"), "n_q", "n_c", "what", "ops", *(["definitions"] if definitions else []), *(["values"] if values else []))
 
     def finished(whole: DataFrame, n_qubits: Column, n_clbits: Column, what: Column, kept: Column, defined: Column | None) -> DataFrame:
         problem = (F.when(~text.rlike(r"\S"), "blank").when(~text.rlike(r"(?s)^(?:\s|//[^\n]*\n)*+OPENQASM\s+2\.0\s*;"), "no_header")
                    .when(n_qubits == 0, "no_qubits").otherwise(what))
+        # a place that may be null, as the schema has it: a cast would copy every operation
         ops = F.transform(F.flatten(F.transform(kept, lambda m: m["ops"])), lambda o, i: F.struct(
-            i.cast("int").alias("pos"), o["op"].alias("op"), o["params"].alias("params"), o["qubits"].alias("qubits"), o["clbits"].alias("clbits")))
+            F.when(i >= 0, i.cast("int")).alias("pos"), o["op"].alias("op"), o["params"].alias("params"), o["qubits"].alias("qubits"), o["clbits"].alias("clbits")))
         found = {"num_qubits": n_qubits, "num_clbits": n_clbits, "ops": F.coalesce(ops.cast(schemas.OPERATIONS), empty(schemas.OPERATIONS)), "problem": problem}
         if definitions:
             found["definitions"] = F.coalesce(defined, empty(_DEFINITIONS))
@@ -298,28 +309,25 @@ def parse(circuits: DataFrame, definitions: bool = False, expand: bool = False,
             found["values"] = F.coalesce(F.flatten(F.transform(kept, lambda m: m["values"])), empty("array<array<double>>"))
         return whole.withColumns(found)
 
-    distinct = exploded(staged).select(*kinds).distinct()
+    distinct = exploded(listed).select(*kinds).distinct()
     table = None if circuits.isStreaming else _table(meant(distinct.limit(MAX_SENT + 1)))
     if table:
         known, n_buckets = table
 
-        def looked_up(s: Column, context: Column) -> Column:
-            def entry(key: Column) -> Column:
-                bucket = F.get(known, F.pmod(key["k"], F.lit(n_buckets)).cast("int"))
-                return F.get(F.filter(bucket, lambda e: (e["__k"] == key["k"]) & (e["__l"] == key["l"])), 0)["m"]
-
-            k, l = digest([context, s["nth"], s["piece"]])
-            return F.coalesce(bind(F.struct(k.alias("k"), l.alias("l")), entry), F.raise_error(F.lit("a circuit has changed since its statements were listed")))
+        def looked_up(k: Column) -> Column:
+            bucket = F.get(known, F.pmod(k, F.lit(n_buckets)).cast("int"))
+            return F.coalesce(F.get(F.filter(bucket, lambda e: e["__k"] == k), 0)["m"], F.raise_error(F.lit("a circuit has changed since its statements were listed")))
 
-        said = bind(F.struct("__context", "__s"), lambda c: F.transform(c["__s"], lambda s: looked_up(s, c["__context"])))
+        keys = bind(F.xxhash64("__context"), lambda h: placed(lambda i, piece, nth: key(h, nth, piece)))
+        said = F.transform(keys, looked_up)
         first = lambda c: F.get(F.col("__said"), F.lit(0))[c]
         what = F.get(F.filter("__said", lambda m: m["what"].isNotNull()), F.lit(0))["what"]
         return finished(staged.withColumn("__said", said), F.coalesce(first("n_q"), F.lit(0)), F.coalesce(first("n_c"), F.lit(0)), what, F.col("__said"),
-                        first("definitions") if definitions else None).drop("__p", "__context", "__s", "__said")
+                        first("definitions") if definitions else None).drop("__p", "__context", "__said")
     meaning = meant(distinct)
     hashed = F.unhex(F.md5(text))
-    k, l = digest(kinds)
-    met = exploded(staged.withColumn("__text", hashed), "__text").select("__text", "pos", k.alias("__k"), l.alias("__l")).join(meaning, ["__k", "__l"])
+    k, l = digest
+    met = exploded(listed.withColumn("__text", hashed), "__text").select("__text", "pos", k.alias("__k"), l.alias("__l")).join(meaning, ["__k", "__l"])
     # equal texts are one: their statements repeat, and the set holds each once
     whole = met.groupBy("__text").agg(
         F.max("n_q").alias("__n_q"), F.max("n_c").alias("__n_c"), F.min(F.when(F.col("what").isNotNull(), F.struct("pos", "what")))["what"].alias("__what"),

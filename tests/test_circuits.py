@@ -412,3 +412,14 @@ def test_expressions_are_evaluated_once_each(spark, monkeypatch):
     for most in (expressions.MAX_SENT, 3):
         monkeypatch.setattr(expressions, "MAX_SENT", most)
         assert {r.k: (r.value, r.valid) for r in expressions.evaluated(rows, "t").collect()} == want
+
+
+def test_declarations_are_hashed_once_for_a_text(spark):
+    texts = [HEAD + "x q[0]; h q[1];", "OPENQASM 2.0; x q[0]; qreg q[2]; h q; creg c[1]; measure q[0] -> c[0]; gate g a { x a; } g q[1]; qreg r[1]; x r;", "OPENQASM 2.0; qreg q[1];", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "qasm string")
+    found = qasm.parse(rows)
+    columns = ["qasm", "num_qubits", "num_clbits", "ops", "problem"]
+    assert sorted(found.select(columns).collect(), key=lambda r: r.qasm) == sorted(qasm.parse_each(rows).select(columns).collect(), key=lambda r: r.qasm)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # by one hash of the declarations, not one in each statement, and operations have their type without a cast of each
+    assert plan.count("xxhash64(__context") == 1 and "xxhash64(1" not in plan and "cast(transform(" not in plan
